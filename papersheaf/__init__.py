@@ -7,6 +7,6 @@ Tables are plain DataFrames with a few fixed column names:
 ``cluster_id``  ``INT``, ``-1`` for DBSCAN noise
 """
 
+from papersheaf.plans.pipeline import DocumentClusterer, cluster_documents, organize_documents
 
-
-
+__all__ = ["DocumentClusterer", "cluster_documents", "organize_documents"]

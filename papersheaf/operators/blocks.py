@@ -48,11 +48,9 @@ class Block:
         return self.table.column(name).to_numpy()
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A list column of equal lengths as a ``(rows, dimensions)`` double matrix."""
-    joined = column.combine_chunks()
-    if isinstance(joined, pa.ChunkedArray):
-        joined = pa.concat_arrays(joined.chunks)
+    joined = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = joined.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(joined), -1) if len(joined) else flat.reshape(0, 0)
 
