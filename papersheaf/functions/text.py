@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papersheaf.functions.binding import bind
+
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
-DROPPED = r"[^\p{L}\p{N}_ .,!?;:\-()]"
+KEPT = r"\p{L}\p{N}_.,!?;:\-()"
 LETTER_OR_DIGIT = r"[\p{L}\p{N}_]"
 
 
@@ -22,12 +24,18 @@ def strip(text: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """Collapse white space, drop all but word characters and basic punctuation.
 
-    Null, empty and texts of at most three characters become ``''``. That length is tested
-    before the last collapse of spaces.
+    Null, empty and texts of at most three characters become ``''``; that length counts dropped
+    characters inside the text as single spaces, before spaces are merged. White space and dropped
+    characters both end as one space, so one pass over the text gives the result, and the longer form
+    is made only for results too short to settle the length test. Single spaces are not touched.
     """
-    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " ")
-    kept = F.trim(F.regexp_replace(spaced, DROPPED, " "))
-    return F.when(F.length(kept) > 3, F.regexp_replace(kept, " {2,}", " ")).otherwise("")
+    body = F.coalesce(text, F.lit(""))
+    merged = F.trim(F.regexp_replace(body, f"[^{KEPT} ][^{KEPT}]*+| [^{KEPT}]++", " "))
+    spaced = F.regexp_replace(F.regexp_replace(body, f"{SPACE}+", " "), f"[^{KEPT} ]", " ")
+    return bind(
+        merged,
+        lambda m: F.when(F.length(m) > 3, m).when(F.length(F.trim(spaced)) > 3, m).otherwise(""),
+    )
 
 
 def count_chars(cleaned: Column) -> Column:

@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it in ``body``.
-
-    A plain sub-expression would be evaluated again for every element of an inner lambda.
-    """
-    return F.transform(F.array(value), body)[0]
+from papersheaf.functions.binding import bind
 
 
 def total(values: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papersheaf.functions import text, vectors
+from papersheaf.session import materialized
 
 DIMENSIONS = 384
 BATCH_SIZE = 32
@@ -22,19 +23,22 @@ def embed_documents(
     text_field: str = "full_text",
     dimensions: int = DIMENSIONS,
     max_words: int | None = MAX_WORDS,
+    keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """Hashed TF-IDF vectors of unit length, computed by Spark alone.
+    """Hashed TF-IDF vectors of unit length, computed by Spark alone: ``keep`` and ``embedding ARRAY<FLOAT>``.
 
-    Adds ``embedding ARRAY<FLOAT>``. Texts are cut to their first ``max_words`` words, as the models
-    this stands in for accept no more; ``None`` keeps all words.
+    Texts are cut to their first ``max_words`` words, as the models this stands in for accept no more;
+    ``None`` keeps all words. Term counts are written once, so that texts are read and split only once
+    although the inverse frequencies need a pass of their own.
     """
     body = F.col(text_field) if max_words is None else text.first_n_words(F.col(text_field), max_words)
     token = F.lit(f"({text.LETTER_OR_DIGIT}+)")
-    tokens = documents.withColumn("_words", F.regexp_extract_all(F.lower(body), token, F.lit(1)))
-    counted = HashingTF(numFeatures=dimensions, inputCol="_words", outputCol="_tf").transform(tokens)
+    tokens = documents.select(*keep, F.regexp_extract_all(F.lower(body), token, F.lit(1)).alias("_words"))
+    hashed = HashingTF(numFeatures=dimensions, inputCol="_words", outputCol="_tf").transform(tokens)
+    counted = materialized(hashed.drop("_words"))
     weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted).transform(counted)
     unit = Normalizer(p=2.0, inputCol="_tfidf", outputCol="_unit").transform(weighted)
-    return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_words", "_tf", "_tfidf", "_unit")
+    return unit.select(*keep, vector_to_array("_unit", "float32").alias("embedding"))
 
 
 def embed_with_model(

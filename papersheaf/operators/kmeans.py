@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from papersheaf.functions import vectors
 from papersheaf.operators import blocks
-from papersheaf.session import materialized
+from papersheaf.session import materialized, spread_rows
 
 SEED = 42
 RESTARTS = 10
@@ -42,12 +42,6 @@ class KMeansFit:
         return spark.createDataFrame(rows, "cluster_id int, center array<double>")
 
 
-def spread(points: DataFrame) -> DataFrame:
-    """Give every core a share when the input has fewer partitions than there are cores."""
-    cores = points.sparkSession.sparkContext.defaultParallelism
-    return points.repartition(cores) if points.rdd.getNumPartitions() < cores else points
-
-
 def seeding_rows(points: DataFrame, seed: int, rows: int = SEEDING_ROWS) -> np.ndarray:
     """A bounded number of vectors in hash order, from which starting centres are drawn."""
     chosen = points.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows).select("embedding")
@@ -70,7 +64,16 @@ def spread_start(candidates: np.ndarray, k: int, rng: np.random.Generator) -> np
     return candidates[chosen]
 
 
-def _one_pass(points: DataFrame, centers: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+@dataclass
+class Sums:
+    """What one pass finds for one set of centres."""
+
+    sizes: np.ndarray
+    totals: np.ndarray
+    cost: float = 0.0
+
+
+def _one_pass(points: DataFrame, centers: list[np.ndarray]) -> list[Sums]:
     """Assign all rows under every set of centres: cluster sizes, vector sums and inertia of each set."""
     schema = "run int, cluster int, n bigint, cost double, total array<double>"
     out = blocks.arrow_schema(points, schema)
@@ -108,22 +111,21 @@ def _one_pass(points: DataFrame, centers: list[np.ndarray]) -> list[tuple[np.nda
             schema=out,
         ).to_batches()
 
-    summed = (
-        points.select("embedding")
-        .mapInArrow(scan, schema)
-        .groupBy("run", "cluster")
-        .agg(
+    partial = points.select("embedding").mapInArrow(scan, schema)
+    rows_bytes = sum(c.size for c in centers) * 8 * points.rdd.getNumPartitions()
+    if rows_bytes > LIMIT_BYTES:  # too many partial sums for the driver: let Spark add them up
+        partial = partial.groupBy("run", "cluster").agg(
             F.sum("n").alias("n"),
             F.sum("cost").alias("cost"),
             vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
         )
-    )
-    results = [(np.zeros(len(c)), np.zeros(c.shape), 0.0) for c in centers]
-    for row in summed.collect():  # one row per centre
-        sizes, totals, cost = results[row.run]
-        sizes[row.cluster] = row.n
-        totals[row.cluster] = row.total
-        results[row.run] = (sizes, totals, cost + row.cost)
+    results = [Sums(np.zeros(len(c)), np.zeros(c.shape)) for c in centers]
+    sums = partial.toArrow()
+    totals = blocks.matrix(sums.column("total"))
+    for i, (r, j, n, cost) in enumerate(zip(*(sums.column(c).to_numpy() for c in ("run", "cluster", "n", "cost")))):
+        results[r].sizes[j] += n
+        results[r].totals[j] += totals[i]
+        results[r].cost += cost
     return results
 
 
@@ -139,14 +141,14 @@ def lloyd(points: DataFrame, starts: list[np.ndarray], max_iter: int, tolerance:
     for passes in range(1, max_iter + 2):
         results = _one_pass(points, [centers[i] for i in moving])
         after = []
-        for i, (sizes, totals, cost) in zip(moving, results):
+        for i, found in zip(moving, results):
             if i in settled or passes > max_iter:
-                order = np.lexsort((*centers[i].T[::-1], -sizes))
-                fits[i] = KMeansFit(centers[i][order], cost, passes)
+                order = np.lexsort((*centers[i].T[::-1], -found.sizes))
+                fits[i] = KMeansFit(centers[i][order], found.cost, passes)
                 continue
-            filled = sizes > 0
+            filled = found.sizes > 0
             new = centers[i].copy()
-            new[filled] = totals[filled] / sizes[filled, None]
+            new[filled] = found.totals[filled] / found.sizes[filled, None]
             if ((new - centers[i]) ** 2).sum() <= tolerance:
                 settled.add(i)
             centers[i] = new
@@ -179,7 +181,7 @@ def fit_many(
     limit_bytes: int = LIMIT_BYTES,
 ) -> dict[int, KMeansFit]:
     """The best of ``restarts`` fits, by inertia, for every k."""
-    kept = spread(points.select("doc_id", vectors.doubles(F.col("embedding")).alias("embedding"))).persist()
+    kept = spread_rows(points.select("doc_id", vectors.doubles(F.col("embedding")).alias("embedding"))).persist()
     try:
         candidates = seeding_rows(kept, seed, max(SEEDING_ROWS, 4 * max(ks)))
         dimension = candidates.shape[1]

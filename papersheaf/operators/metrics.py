@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papersheaf.functions import names, vectors
+from papersheaf.functions.binding import bind
 from papersheaf.operators import blocks
 from papersheaf.operators.embedding import histogram
 
@@ -47,7 +48,7 @@ def cluster_centers(points: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def _mean() -> Column:
-    return vectors.bind(F.col("n").cast("double"), lambda n: F.transform("s", lambda x: x / n))
+    return bind(F.col("n").cast("double"), lambda n: F.transform("s", lambda x: x / n))
 
 
 def cluster_sizes(assignments: DataFrame, by: str | None = None) -> DataFrame:
@@ -64,7 +65,7 @@ def calinski_harabasz(points: DataFrame, by: str | None = None) -> DataFrame:
     """One row (per ``by``): ``calinski_harabasz``; 0 for a single cluster, 1 without inner spread."""
     moments = cluster_moments(points, by).withColumn("b", vectors.squared_norm(F.col("s")) / F.col("n"))
     sums = moments.groupBy(*_keys(by)).agg(
-        F.count("*").alias("k"),
+        F.count("*").alias("_clusters"),
         F.sum("n").alias("n"),
         F.sum("q").alias("q"),
         F.sum("b").alias("b"),
@@ -72,8 +73,8 @@ def calinski_harabasz(points: DataFrame, by: str | None = None) -> DataFrame:
     )
     within = F.col("q") - F.col("b")
     between = F.col("b") - vectors.squared_norm(F.col("s")) / F.col("n")
-    ratio = (between * (F.col("n") - F.col("k"))) / (within * (F.col("k") - 1))
-    score = F.when(F.col("k") <= 1, 0.0).when(within <= 1e-12 * F.col("q"), 1.0).otherwise(ratio)
+    ratio = (between * (F.col("n") - F.col("_clusters"))) / (within * (F.col("_clusters") - 1))
+    score = F.when(F.col("_clusters") <= 1, 0.0).when(within <= 1e-12 * F.col("q"), 1.0).otherwise(ratio)
     return sums.select(*_keys(by), score.alias("calinski_harabasz"))
 
 

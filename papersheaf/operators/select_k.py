@@ -16,6 +16,7 @@ from papersheaf.functions import vectors
 from papersheaf.operators import agglomerative as agg
 from papersheaf.operators import blocks, kmeans, metrics
 from papersheaf.operators import dbscan as density
+from papersheaf.session import spread_rows
 
 MAX_CLUSTERS = 10
 MIN_CLUSTERS = 2
@@ -46,7 +47,7 @@ def k_sweep(
     if not ks:
         return spark.createDataFrame([], SCORES)
     fits = kmeans.fit_many(points, ks, seed, restarts, max_iter)
-    labelled = label_all(kmeans.spread(points), fits).persist()
+    labelled = label_all(spread_rows(points), fits).persist()
     try:
         rows = labelled.select("doc_id", "embedding", F.posexplode("labels").alias("_i", "cluster_id"))
         k_of = F.array(*[F.lit(k) for k in ks])

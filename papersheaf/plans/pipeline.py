@@ -130,11 +130,11 @@ def prepare_documents(rows: DataFrame, text_field: str = "text") -> DataFrame:
 
 def cluster_texts(
     rows: DataFrame, n_clusters: int | None, text_field: str = "text", dimensions: int = embedding.DIMENSIONS
-) -> tuple[DataFrame, Clustering]:
-    """Clean, embed and cluster raw texts: ``(embedded documents, clustering)``."""
+) -> Clustering:
+    """Clean, embed and cluster raw texts; documents without text have no vector and no cluster."""
     usable = documents.embeddable_documents(prepare_documents(rows, text_field))
     embedded = materialized(embedding.embed_documents(usable, dimensions=dimensions))
-    return embedded, cluster_documents(embedded, n_clusters=n_clusters)
+    return cluster_documents(embedded, n_clusters=n_clusters)
 
 
 @dataclass

@@ -27,7 +27,7 @@ from papersheaf.operators import (
     similarity,
 )
 from papersheaf.plans import pipeline
-from papersheaf.session import fresh_folder
+from papersheaf.session import fresh_folder, spread_rows
 from papersheaf.sources import cache, files, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, shared out over the cores when they come in few splits."""
+    return spread_rows(table(spark, sf_dir, "documents"))
+
+
 def rounded(column: Column | str) -> Column:
     value = F.col(column) if isinstance(column, str) else column
     return F.round(value, 6) + F.lit(0.0)  # no negative zero
@@ -70,7 +75,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned documents, clustered by their source, with a file name."""
-    rows = table(spark, sf_dir, "documents")
+    rows = raw_documents(spark, sf_dir)
     return rows.select(
         "doc_id",
         "lang",
@@ -89,7 +94,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.posexplode(F.split("text", "\n")).alias("_position", "raw_text")
     return (
-        table(spark, sf_dir, "documents")
+        raw_documents(spark, sf_dir)
         .select("doc_id", lines)
         .select("doc_id", (F.col("_position") + 1).alias("page_number"), "raw_text")
     )
@@ -191,13 +196,13 @@ def validate_files(spark, sf_dir):
 
 @query
 def extract_pages(spark, sf_dir):
-    stored = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    stored = raw_documents(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("content"))
     return files.page_rows(files.extract_pages(stored, split_pages), ["doc_id"])
 
 
 @query
 def extract_errors(spark, sf_dir):
-    stored = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    stored = raw_documents(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("content"))
     parsed = files.extract_pages(stored, split_pages)
     return parsed.select("doc_id", F.size("raw_pages").alias("total_pages"), "error")
 
@@ -774,9 +779,9 @@ def archive_path(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """Raw texts to cleaned, embedded and clustered documents with the summary of their clusters."""
-    embedded, found = pipeline.cluster_texts(table(spark, sf_dir, "documents"), k)
-    named = embedded.select("doc_id", F.concat("source", F.lit("_"), F.col("doc_id").cast("string")).alias("document_name"))
-    return found.summary(named)
+    rows = raw_documents(spark, sf_dir)
+    named = rows.select("doc_id", F.concat("source", F.lit("_"), F.col("doc_id").cast("string")).alias("document_name"))
+    return pipeline.cluster_texts(rows, k).summary(named)
 
 
 QUERIES["cluster_texts"] = flagship

@@ -69,6 +69,15 @@ def materialized(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_rows(rows: DataFrame) -> DataFrame:
+    """Give every core a share when the input has fewer partitions than there are cores.
+
+    Inputs of many splits, as on a cluster, are left as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the tables written by ``materialized`` in this application, once no result needs them."""
     jvm = spark.sparkContext._jvm
