@@ -50,16 +50,19 @@ def _nearest(
             height = h[np.arange(len(h)), best]
             found = np.isfinite(height)
             mine, partner = rows.ids[found], others.ids[best[found]]
-            group = rows.column("label")[found] if by_label else mine
+            group, other = mine, partner
+            if by_label:
+                group, other = rows.column("label")[found], others.column("label")[best[found]]
             swap = mine > partner
-            parts.append((group, height[found], np.where(swap, partner, mine), np.where(swap, mine, partner)))
+            ends = (np.where(swap, partner, mine), np.where(swap, mine, partner))
+            parts.append((group, height[found], *ends, other))
         columns = [np.concatenate(c) for c in zip(*parts)]
-        return dict(zip(["owner", "height", "lo", "hi"], columns))
+        return dict(zip(["owner", "height", "lo", "hi", "other"], columns))
 
-    schema = f"owner {id_type}, height double, lo {id_type}, hi {id_type}"
+    schema = f"owner {id_type}, height double, lo {id_type}, hi {id_type}, other {id_type}"
     carry = ("label",) if by_label else ("weight",)
     found = blocks.self_pairs(state, kernel, schema, size, carry, block_rows=block_rows)
-    return found.groupBy("owner").agg(F.min(F.struct("height", "lo", "hi")).alias("best"))
+    return found.groupBy("owner").agg(F.min(F.struct("height", "lo", "hi", "other")).alias("best"))
 
 
 def _tail(state: DataFrame, first_round: int) -> DataFrame:
@@ -134,34 +137,39 @@ def ward_merges(
     if rows > 1:
         merges.append(materialized(_tail(state, number)))
     if not merges:
-        return state.select(
-            F.col("doc_id").alias("dead"),
-            F.col("doc_id").alias("survivor"),
-            F.lit(0.0).alias("height"),
-            F.lit(0).alias("round"),
-        ).limit(0)
-    return reduce(DataFrame.unionByName, merges)
+        return _no_merges(state)
+    return materialized(reduce(DataFrame.unionByName, merges))
 
 
 def single_merges(distinct: DataFrame, size: blocks.Size, block_rows: int) -> DataFrame:
     """Edges of a minimum spanning tree as ``(dead, survivor, height, round)``."""
-    nodes = distinct.select(F.col("doc_id").alias("id"))
-    labelled = distinct.withColumn("label", F.col("doc_id"))
-    tree, count, number = None, 0, 0
-    while count < size.rows - 1:
-        nearest = _nearest(labelled, size, block_rows, by_label=True)
-        edges = materialized(
-            nearest.select("best.*")
-            .distinct()
-            .select(F.col("hi").alias("dead"), F.col("lo").alias("survivor"), "height", F.lit(number).alias("round"))
+    labelled = distinct.select("doc_id", "embedding", F.col("doc_id").alias("label"))
+    edges, components, number = [], size.rows, 0
+    while components > 1:
+        nearest = materialized(_nearest(labelled, size, block_rows, by_label=True).select("owner", "best.*"))
+        chosen = nearest.select(
+            F.col("hi").alias("dead"), F.col("lo").alias("survivor"), "height", F.lit(number).alias("round")
+        )
+        edges.append(chosen.distinct())
+        joined = connected_components(
+            nearest.select(F.col("owner").alias("id")),
+            nearest.select(F.col("owner").alias("u"), F.col("other").alias("v")),
+        )
+        renamed = joined.select(F.col("id").alias("label"), F.col("label").alias("root"))
+        labelled = materialized(
+            labelled.join(renamed, "label").select("doc_id", "embedding", F.col("root").alias("label"))
         )
-        tree = edges if tree is None else tree.unionByName(edges)
-        components = connected_components(nodes, tree.select(F.col("dead").alias("u"), F.col("survivor").alias("v")))
-        labelled = distinct.join(components.select(F.col("id").alias("doc_id"), "label"), "doc_id")
-        count, number = tree.count(), number + 1
-    if tree is None:
-        return ward_merges(distinct.limit(1), blocks.Size(1, 1, 1, 0.0), block_rows)
-    return tree
+        components, number = joined.select("label").distinct().count(), number + 1
+    if not edges:
+        return _no_merges(distinct)
+    return materialized(reduce(DataFrame.unionByName, edges))
+
+
+def _no_merges(state: DataFrame) -> DataFrame:
+    same = F.col("doc_id")
+    return state.select(
+        same.alias("dead"), same.alias("survivor"), F.lit(0.0).alias("height"), F.lit(0).alias("round")
+    ).limit(0)
 
 
 def agglomerative(
