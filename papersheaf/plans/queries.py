@@ -258,7 +258,7 @@ def write_reports(spark, sf_dir):
     manifest = organize.placement_manifest(rows, named_files(spark, sf_dir), known, "/in")
     paths = reports.write_reports(fresh_folder(spark, "reports"), rows, manifest, known)
     schema = "cluster_id int, file_count bigint, percentage double, name string"
-    return with_rounded(spark.read.schema(schema).json(paths["clusters"]), "percentage")
+    return with_rounded(spark.read.schema(schema).json(paths["cluster_summary"]), "percentage")
 
 
 @query

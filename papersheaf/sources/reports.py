@@ -35,7 +35,7 @@ def write_reports(
     timestamp = datetime.now().isoformat()
     paths = {
         "metadata": f"{folder}/reports/organization_summary/metadata",
-        "clusters": f"{folder}/reports/organization_summary/cluster_summary",
+        "cluster_summary": f"{folder}/reports/organization_summary/cluster_summary",
         "files": f"{folder}/reports/organization_summary/cluster_files",
         "organized": f"{folder}/reports/organization_summary/organized_files",
         "failed": f"{folder}/reports/organization_summary/failed_files",
@@ -49,7 +49,7 @@ def write_reports(
         "*",
     )
     totals.write.mode(mode).json(paths["metadata"])
-    organize.cluster_statistics(assignments, cluster_names).write.mode(mode).json(paths["clusters"])
+    organize.cluster_statistics(assignments, cluster_names).write.mode(mode).json(paths["cluster_summary"])
     organize.cluster_listing(assignments, cluster_names).write.mode(mode).json(paths["files"])
     manifest.filter("success").write.mode(mode).json(paths["organized"])
     manifest.filter("not success").write.mode(mode).json(paths["failed"])
