@@ -9,13 +9,16 @@ from pyspark.sql import types as T
 SLICES = 256
 
 
-def rank_within(rows: DataFrame, keys: list[str], order: str, name: str, slices: int = SLICES) -> DataFrame:
+def rank_within(
+    rows: DataFrame, keys: list[str], order: str, name: str, start: DataFrame | None = None, slices: int = SLICES
+) -> DataFrame:
     """``row_number()`` per key in the order of a unique column, safe for a key holding most rows.
 
     The order column is cut into slices of about equal size (bounds from one approximate
     percentile aggregate), rows are numbered inside ``(key, slice)`` and shifted by the sizes of the
     key's earlier slices, of which there are at most ``slices``. The result is exact whatever the
-    bounds are. Identities that are not numeric are ordered by their hash, then by value.
+    bounds are. Identities that are not numeric are ordered by their hash, then by value. ``start`` adds
+    its column of that name to the ranks of a key; it joins the slice sizes, not the rows.
     """
     numeric = isinstance(rows.schema[order].dataType, T.NumericType)
     position: Column = F.col(order) if numeric else F.xxhash64(F.col(order))
@@ -36,6 +39,9 @@ def rank_within(rows: DataFrame, keys: list[str], order: str, name: str, slices:
         .withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
         .drop("_rows")
     )
+    if start is not None:
+        shifts = shifts.join(start.select(*keys, "start"), keys).withColumn("_shift", F.col("_shift") + F.col("start"))
+        shifts = shifts.drop("start")
     return (
         numbered.join(shifts, [*keys, "_slice"])
         .withColumn(name, F.col("_shift") + F.col("_local"))

@@ -21,10 +21,11 @@ from pyspark.sql.types import StructType
 from papersheaf.functions import vectors
 from papersheaf.session import ship_package
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
 MIN_BLOCKS = 4
 CELLS = 128
 TARGET_BYTES = 64 * 1024 * 1024
+MAX_PARTITIONS = 100_000
 
 
 @dataclass
@@ -113,7 +114,7 @@ def block_count(rows: int, block_rows: int = BLOCK_ROWS) -> int:
 def _partitions(df: DataFrame, row_bytes: float, groups: int) -> int:
     """Enough shuffle partitions for about ``TARGET_BYTES`` each, and at least one per core."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return int(max(1, min(groups, max(cores, row_bytes / TARGET_BYTES))))
+    return int(max(1, min(groups, MAX_PARTITIONS, max(cores, row_bytes / TARGET_BYTES))))
 
 
 def _run_pairs(replicated: DataFrame, key: list[str], kernel: Callable, schema: str, partitions: int) -> DataFrame:
@@ -242,8 +243,6 @@ def cluster_pairs(
     kernel: Callable[[Block, Block, bool], dict],
     schema: str,
     keys: tuple[str, ...],
-    rows: int,
-    dimension: int,
     carry: tuple[str, ...] = (),
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -253,7 +252,13 @@ def cluster_pairs(
     becomes many groups. Kernel output has the key columns in front.
     """
     columns = ["doc_id", "embedding", *carry]
-    sizes = points.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
+    counted = points.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"))
+    sizes = counted.withColumn("blocks", F.ceil(F.col("n") / F.lit(block_rows)).cast("int"))
+    work = sizes.agg(
+        F.coalesce(F.sum(F.col("n") * F.col("blocks") * F.col("d") * 8), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2), F.lit(0)).alias("groups"),
+    ).first()
+    sizes = sizes.select(*keys, "blocks")
     placed = points.select(*keys, *columns).join(sizes, list(keys))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     paired = placed.select(
@@ -267,21 +272,40 @@ def cluster_pairs(
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
         (F.col("block") == F.col("other")).alias("diagonal"),
     )
-    total = block_count(rows, block_rows)
-    partitions = _partitions(points, rows * total * dimension * 8.0, max(rows, 1))
+    partitions = _partitions(points, work.bytes, int(work.groups))
     return _run_pairs(replicated, [*keys, "a", "b"], kernel, schema, partitions)
 
 
+Kernel = Callable[[Iterator[pa.Table], pa.Table], Iterator[dict]]
+
+
+def each(kernel: Callable[[pa.Table, pa.Table], dict]) -> Kernel:
+    """A kernel without memory: one result for every slice of rows."""
+
+    def run(slices: Iterator[pa.Table], targets: pa.Table) -> Iterator[dict]:
+        for rows in slices:
+            yield kernel(rows, targets)
+
+    return run
+
+
+def cut(table: pa.Table, width: int) -> Iterator[pa.Table]:
+    """Slices whose product with ``width`` columns of doubles stays below ``TARGET_BYTES``."""
+    step = max(1, TARGET_BYTES // (8 * max(1, width)))
+    for start in range(0, table.num_rows, step):
+        yield table.slice(start, step)
+
+
 def against(
     rows: DataFrame,
     targets: DataFrame,
-    kernel: Callable[[pa.Table, pa.Table], dict],
+    kernel: Kernel,
     schema: str,
     reduce: Callable[[DataFrame], DataFrame],
     limit_bytes: int = TARGET_BYTES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Run ``kernel(rows, targets)`` for all rows against all targets.
+    """Run ``kernel(slices of rows, targets)`` for all rows against all targets.
 
     Targets are measured first. Up to ``limit_bytes`` they are broadcast and rows stay where they are.
     Beyond, both sides are cut into blocks, every block of rows meets every chunk of targets in its own
@@ -294,9 +318,11 @@ def against(
         shared = rows.sparkSession.sparkContext.broadcast(targets.toArrow())
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows and shared.value.num_rows:
-                    result = kernel(pa.Table.from_batches([batch]), shared.value)
+            known = shared.value
+            if known.num_rows:
+                tables = (pa.Table.from_batches([batch]) for batch in batches)
+                slices = (piece for table in tables for piece in cut(table, known.num_rows))
+                for result in kernel(slices, known):
                     yield from pa.table(result).cast(out).to_batches()
 
         return rows.mapInArrow(scan, schema)
@@ -313,10 +339,10 @@ def against(
     def run(some_rows: pa.Table, some_targets: pa.Table) -> pa.Table:
         if not some_rows.num_rows or not some_targets.num_rows:
             return out.empty_table()
-        result = kernel(
-            some_rows.drop_columns(["_row_block", "_chunk"]), some_targets.drop_columns(["_row_block", "_chunk"])
-        )
-        return pa.table(result).cast(out)
+        some_rows = some_rows.drop_columns(["_row_block", "_chunk"])
+        some_targets = some_targets.drop_columns(["_row_block", "_chunk"])
+        results = kernel(cut(some_rows, some_targets.num_rows), some_targets)
+        return pa.concat_tables([pa.table(result).cast(out) for result in results])
 
     key = ["_row_block", "_chunk"]
     return reduce(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema))

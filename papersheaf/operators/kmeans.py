@@ -84,11 +84,11 @@ def _one_pass(points: DataFrame, centers: list[np.ndarray]) -> list[Sums]:
         counts = [np.zeros(len(c)) for c in sets]
         costs = [np.zeros(len(c)) for c in sets]
         totals = [np.zeros(c.shape) for c in sets]
-        for batch in batches:
-            x = blocks.matrix(pa.Table.from_batches([batch]).column("embedding"))
-            if not len(x):
-                continue
-            near = blocks.squared_distances(x, np.concatenate(sets))
+        stacked = np.concatenate(sets)
+        tables = (pa.Table.from_batches([batch]) for batch in batches)
+        for piece in (p for table in tables for p in blocks.cut(table, len(stacked))):
+            x = blocks.matrix(piece.column("embedding"))
+            near = blocks.squared_distances(x, stacked)
             start = 0
             for r, c in enumerate(sets):
                 d = near[:, start : start + len(c)]
@@ -247,7 +247,7 @@ def kmeans_assign(
     return blocks.against(
         points.select("doc_id", vectors.doubles(F.col("embedding")).alias("embedding")),
         centers.select("cluster_id", F.col("center").alias("embedding")),
-        kernel,
+        blocks.each(kernel),
         schema + (", embedding array<double>" if keep_vector else ""),
         reduce=lambda parts: parts.groupBy("doc_id").agg(best, *extra).select(*picked),
         limit_bytes=limit_bytes,

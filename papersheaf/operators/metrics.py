@@ -142,7 +142,6 @@ def davies_bouldin(points: DataFrame, by: str | None = None) -> DataFrame:
         .withColumn("_by", F.col(by).cast("string") if by else F.lit("all"))
         .select("_by", "doc_id", "embedding", "spread")
     )
-    size = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
 
     def kernel(left: blocks.Block, right: blocks.Block, same: bool) -> dict:
         gaps = np.sqrt(blocks.squared_distances(left.x, right.x, same))
@@ -156,9 +155,7 @@ def davies_bouldin(points: DataFrame, by: str | None = None) -> DataFrame:
         ids, worst = np.concatenate(ids), np.concatenate(worst)
         return {"_by": np.repeat(group, len(ids)), "cluster_id": ids, "worst": worst}
 
-    worst = blocks.cluster_pairs(
-        rows, kernel, "_by string, cluster_id int, worst double", ("_by",), size[0], size[1] or 1, ("spread",)
-    )
+    worst = blocks.cluster_pairs(rows, kernel, "_by string, cluster_id int, worst double", ("_by",), ("spread",))
     scores = worst.groupBy("_by", "cluster_id").agg(F.max("worst").alias("worst"))
     if not by:
         return scores.agg(F.avg("worst").alias("davies_bouldin"))
@@ -211,7 +208,7 @@ def cosine_samples(points: DataFrame, by: str | None = None, limit_bytes: int =
     parts = blocks.against(
         unit,
         targets,
-        kernel,
+        blocks.each(kernel),
         schema,
         reduce=lambda p: p.groupBy("doc_id", *keys, "cluster_id").agg(F.max("a").alias("a"), F.min("b").alias("b")),
         limit_bytes=limit_bytes,
@@ -286,7 +283,6 @@ def silhouette_euclidean(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS)
 def cluster_compactness(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """Mean Euclidean distance over the pairs of each cluster, 0 below two members."""
     distinct = blocks.distinct_points(points, ("cluster_id",))
-    size = blocks.measure(distinct)
 
     def kernel(left: blocks.Block, right: blocks.Block, same: bool) -> dict:
         d = np.sqrt(blocks.squared_distances(left.x, right.x, same))
@@ -299,8 +295,6 @@ def cluster_compactness(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS)
         kernel,
         f"cluster_id {cluster_type}, total double",
         ("cluster_id",),
-        size.rows,
-        size.dimension,
         ("weight",),
         block_rows,
     )

@@ -1,12 +1,12 @@
 """Cluster names from word counts.
 
-Words are counted per cluster with a pre-aggregated group-by; the place where a word is first seen,
-``(doc_id, position)``, is carried as a minimum to break ties the way a running count would.
+Words are counted per cluster with a hash aggregate that also keeps the first document of a word. Ties
+go to the word seen first; the place inside that document is looked up for the few words it decides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papersheaf.functions import lexicon, names, ranking, text
@@ -14,28 +14,45 @@ from papersheaf.functions import lexicon, names, ranking, text
 Lexicon = dict[str, "list[str] | str"]
 
 
-def _counted(words: DataFrame) -> DataFrame:
-    """From ``(cluster_id, doc_id, position, word)`` to ``(cluster_id, word, n, seen)``."""
-    return words.groupBy("cluster_id", "word").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "position")).alias("seen")
+def _counted(rows: DataFrame, words: Column, usable: Column) -> DataFrame:
+    """``(cluster_id, word, n, first_doc)`` from an array of words per document."""
+    exploded = rows.select("cluster_id", "doc_id", F.explode(words).alias("word"))
+    return (
+        exploded.filter(usable)
+        .groupBy("cluster_id", "word")
+        .agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    )
+
+
+def _top(rows: DataFrame, words: Column, counts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most frequent words of each cluster, ties by first document, then by place in it.
+
+    Words that tie on both count and first document all come from that one document, so what is kept
+    beyond ``k`` is bounded by its length.
+    """
+    order = Window.partitionBy("cluster_id").orderBy(F.desc("n"), F.asc("first_doc"))
+    tied = counts.withColumn("_r", F.rank().over(order)).filter(F.col("_r") <= k).drop("_r")
+    place = rows.select(F.col("doc_id").alias("first_doc"), words.alias("_words"))
+    located = tied.join(place, "first_doc").withColumn("place", F.array_position("_words", F.col("word")))
+    return ranking.top_per_key(
+        located.drop("_words"), ["cluster_id"], [F.desc("n"), F.asc("first_doc"), F.asc("place")], k
     )
 
 
-def _top(counts: DataFrame, k: int) -> DataFrame:
-    return ranking.top_per_key(counts, ["cluster_id"], [F.desc("n"), F.asc("seen")], k)
+def _content_words(text_field: str) -> tuple[Column, Column]:
+    return text.lowercase_words(F.col(text_field), 4), ~F.col("word").isin(lexicon.STOP_WORDS)
 
 
 def word_counts(documents: DataFrame, text_field: str = "full_text") -> DataFrame:
     """Words of at least four letters a-z, without stop words, counted per cluster."""
-    words = documents.select(
-        "cluster_id", "doc_id", F.posexplode(text.lowercase_words(F.col(text_field), 4)).alias("position", "word")
-    )
-    return _counted(words.filter(~F.col("word").isin(lexicon.STOP_WORDS)))
+    return _counted(documents, *_content_words(text_field))
 
 
 def cluster_top_words(documents: DataFrame, k: int = 3, text_field: str = "full_text") -> DataFrame:
     """``(cluster_id, rank, word, n)`` for the most frequent words, ties by first appearance."""
-    return _top(word_counts(documents, text_field), k).select("cluster_id", "rank", "word", "n")
+    words, usable = _content_words(text_field)
+    counts = _counted(documents, words, usable)
+    return _top(documents, words, counts, k).select("cluster_id", "rank", "word", "n")
 
 
 def domain_table(spark: SparkSession, domains: Lexicon | None = None) -> DataFrame:
@@ -63,8 +80,7 @@ def content_names(documents: DataFrame, domains: Lexicon | None = None, text_fie
         _domain_scores(counts, domains), ["cluster_id"], [F.desc("score"), F.asc("domain_rank")], 1
     ).select("cluster_id", "domain")
     frequent = (
-        _top(counts, 3)
-        .filter("n >= 2")
+        _top(documents, _content_words(text_field)[0], counts.filter("n >= 2"), 3)
         .groupBy("cluster_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("top"))  # three at most
         .select(
@@ -81,21 +97,18 @@ def content_names(documents: DataFrame, domains: Lexicon | None = None, text_fie
     )
 
 
-def _filename_counts(assignments: DataFrame) -> DataFrame:
+def _filename_words() -> Column:
     spaced = F.translate(names.stem(F.col("document_name")), "_-", "  ")
     parts = F.split(text.strip(spaced), f"{text.SPACE}+")
-    words = assignments.select("cluster_id", "doc_id", F.posexplode(parts).alias("position", "_part")).withColumn(
-        "word", F.lower("_part")
-    )
-    usable = (
-        (F.length("_part") > 2) & ~F.col("_part").rlike(r"^\p{Nd}+$") & ~F.col("word").isin(lexicon.FILENAME_STOP_WORDS)
-    )
-    return _counted(words.filter(usable))
+    return F.transform(F.filter(parts, lambda p: ~p.rlike(r"^\p{Nd}+$")), F.lower)
 
 
 def filename_keywords(assignments: DataFrame, k: int = 3) -> DataFrame:
     """``(cluster_id, rank, word, n)``: of the top words of file names, those seen more than once."""
-    return _top(_filename_counts(assignments), k).filter("n > 1").select("cluster_id", "rank", "word", "n")
+    words = _filename_words()
+    usable = (F.length("word") > 2) & ~F.col("word").isin(lexicon.FILENAME_STOP_WORDS)
+    counts = _counted(assignments, words, usable).filter("n > 1")
+    return _top(assignments, words, counts, k).select("cluster_id", "rank", "word", "n")
 
 
 def filename_names(assignments: DataFrame) -> DataFrame:
@@ -110,14 +123,10 @@ def filename_names(assignments: DataFrame) -> DataFrame:
 
 def theme_names(documents: DataFrame, text_field: str = "full_text") -> DataFrame:
     """``(cluster_id, name)`` by rules over the top three longer words, else the top word titled."""
-    words = documents.select(
-        "cluster_id",
-        "doc_id",
-        F.posexplode(text.words(F.lower(text_field))).alias("position", "word"),
-    ).filter((F.length("word") > 4) & ~F.col("word").isin(lexicon.THEME_STOP_WORDS))
+    words = text.words(F.lower(text_field))
+    usable = (F.length("word") > 4) & ~F.col("word").isin(lexicon.THEME_STOP_WORDS)
     frequent = (
-        _top(_counted(words), 3)
-        .filter("n > 1")
+        _top(documents, words, _counted(documents, words, usable).filter("n > 1"), 3)
         .groupBy("cluster_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("top"))  # three at most
         .select("cluster_id", F.col("top.word").alias("words"))

@@ -97,12 +97,13 @@ def resolve_conflicts(placed: DataFrame) -> DataFrame:
             .withColumn("taken", F.when(F.col("_reach") >= F.col("_index"), 1).otherwise(0))
             .drop("_reach")
         )
-    ranked = ranking.rank_within(placed, keys, "doc_id", "_rank").join(groups.select(*keys, "taken"), keys)
-    index = F.col("_rank") - 1 + F.col("taken")
+    start = groups.select(*keys, (F.col("taken") - 1).alias("start"))
+    ranked = ranking.rank_within(placed, keys, "doc_id", "_index", start)
+    index = F.col("_index")
     renamed = F.when(index == 0, F.col("file_name")).otherwise(
         F.concat(stem, F.lit("_"), index.cast("string"), suffix)
     )
-    return ranked.withColumn("destination_path", F.concat_ws("/", "cluster_dir", renamed)).drop("_rank", "taken")
+    return ranked.withColumn("destination_path", F.concat_ws("/", "cluster_dir", renamed)).drop("_index")
 
 
 def placement_manifest(
