@@ -133,7 +133,7 @@ def ward_merges(
         )
         state = materialized(merged)
         merges.append(pairs)
-        rows, number = state.count(), number + 1
+        rows, number = rows - pairs.count(), number + 1
     if rows > 1:
         merges.append(materialized(_tail(state, number)))
     if not merges:

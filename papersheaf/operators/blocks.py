@@ -26,6 +26,7 @@ MIN_BLOCKS = 4
 CELLS = 128
 TARGET_BYTES = 64 * 1024 * 1024
 MAX_PARTITIONS = 100_000
+TASK_PRODUCTS = 50_000_000
 
 
 @dataclass
@@ -56,6 +57,31 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(joined), -1) if len(joined) else flat.reshape(0, 0)
 
 
+def pack(points: DataFrame) -> DataFrame:
+    """Vectors as one binary matrix per batch, so that repeated passes move bytes instead of elements."""
+    schema = "dimension int, data binary"
+    out = arrow_schema(points, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(0)).astype(np.float32 if single else np.float64)
+                yield from pa.table({"dimension": [x.shape[1]], "data": [x.tobytes()]}).cast(out).to_batches()
+
+    single = points.schema["embedding"].dataType.elementType.typeName() == "float"
+    return points.select("embedding").mapInArrow(run, f"{schema}").withColumn("single", F.lit(single))
+
+
+def unpack(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+    """The matrices of ``pack`` in slices whose product with ``width`` columns stays below ``TARGET_BYTES``."""
+    step = max(1, TARGET_BYTES // (8 * max(1, width)))
+    for batch in batches:
+        for row in batch.to_pylist():
+            x = np.frombuffer(row["data"], np.float32 if row["single"] else np.float64).reshape(-1, row["dimension"])
+            for start in range(0, len(x), step):
+                yield x[start : start + step].astype(np.float64)
+
+
 def squared_distances(x: np.ndarray, y: np.ndarray, same: bool = False) -> np.ndarray:
     """All squared Euclidean distances; exactly symmetric, with a zero diagonal, for the same rows twice."""
     d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
@@ -111,10 +137,16 @@ def block_count(rows: int, block_rows: int = BLOCK_ROWS) -> int:
     return max(-(-rows // block_rows), min(MIN_BLOCKS, rows), 1)
 
 
-def _partitions(df: DataFrame, row_bytes: float, groups: int) -> int:
-    """Enough shuffle partitions for about ``TARGET_BYTES`` each, and at least one per core."""
+def tasks_for(products: float) -> int:
+    """Tasks worth starting for so many multiplications: small work is faster in few tasks."""
+    return int(max(1, min(products / TASK_PRODUCTS, MAX_PARTITIONS)))
+
+
+def _partitions(df: DataFrame, row_bytes: float, products: float, groups: int) -> int:
+    """Shuffle partitions of about ``TARGET_BYTES``, and one per core as far as the work asks for it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return int(max(1, min(groups, MAX_PARTITIONS, max(cores, row_bytes / TARGET_BYTES))))
+    wanted = max(min(cores, tasks_for(products)), row_bytes / TARGET_BYTES)
+    return int(max(1, min(groups, MAX_PARTITIONS, wanted)))
 
 
 def _run_pairs(replicated: DataFrame, key: list[str], kernel: Callable, schema: str, partitions: int) -> DataFrame:
@@ -182,7 +214,8 @@ def self_pairs(
         (F.col("block") == F.col("other")).alias("diagonal"),
     )
     groups = total * (total + 1) // 2
-    partitions = _partitions(points, size.rows * total * size.dimension * 8.0, groups)
+    products = float(size.rows) * size.rows * size.dimension
+    partitions = _partitions(points, size.rows * total * size.dimension * 8.0, products, groups)
     return _run_pairs(replicated, ["a", "b"], kernel, schema, partitions)
 
 
@@ -256,6 +289,7 @@ def cluster_pairs(
     sizes = counted.withColumn("blocks", F.ceil(F.col("n") / F.lit(block_rows)).cast("int"))
     work = sizes.agg(
         F.coalesce(F.sum(F.col("n") * F.col("blocks") * F.col("d") * 8), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum(F.col("n").cast("double") * F.col("n") * F.col("d")), F.lit(0.0)).alias("products"),
         F.coalesce(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2), F.lit(0)).alias("groups"),
     ).first()
     sizes = sizes.select(*keys, "blocks")
@@ -272,7 +306,7 @@ def cluster_pairs(
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
         (F.col("block") == F.col("other")).alias("diagonal"),
     )
-    partitions = _partitions(points, work.bytes, int(work.groups))
+    partitions = _partitions(points, work.bytes, work.products, int(work.groups))
     return _run_pairs(replicated, [*keys, "a", "b"], kernel, schema, partitions)
 
 

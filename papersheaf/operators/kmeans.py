@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from papersheaf.functions import vectors
 from papersheaf.operators import blocks
-from papersheaf.session import materialized, spread_rows
+from papersheaf.session import materialized
 
 SEED = 42
 RESTARTS = 10
@@ -73,11 +73,11 @@ class Sums:
     cost: float = 0.0
 
 
-def _one_pass(points: DataFrame, centers: list[np.ndarray]) -> list[Sums]:
+def _one_pass(packed: DataFrame, partitions: int, centers: list[np.ndarray]) -> list[Sums]:
     """Assign all rows under every set of centres: cluster sizes, vector sums and inertia of each set."""
     schema = "run int, cluster int, n bigint, cost double, total array<double>"
-    out = blocks.arrow_schema(points, schema)
-    shared = points.sparkSession.sparkContext.broadcast(centers)
+    out = blocks.arrow_schema(packed, schema)
+    shared = packed.sparkSession.sparkContext.broadcast(centers)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shared.value
@@ -85,9 +85,7 @@ def _one_pass(points: DataFrame, centers: list[np.ndarray]) -> list[Sums]:
         costs = [np.zeros(len(c)) for c in sets]
         totals = [np.zeros(c.shape) for c in sets]
         stacked = np.concatenate(sets)
-        tables = (pa.Table.from_batches([batch]) for batch in batches)
-        for piece in (p for table in tables for p in blocks.cut(table, len(stacked))):
-            x = blocks.matrix(piece.column("embedding"))
+        for x in blocks.unpack(batches, len(stacked)):
             near = blocks.squared_distances(x, stacked)
             start = 0
             for r, c in enumerate(sets):
@@ -111,9 +109,8 @@ def _one_pass(points: DataFrame, centers: list[np.ndarray]) -> list[Sums]:
             schema=out,
         ).to_batches()
 
-    partial = points.select("embedding").mapInArrow(scan, schema)
-    rows_bytes = sum(c.size for c in centers) * 8 * points.rdd.getNumPartitions()
-    if rows_bytes > LIMIT_BYTES:  # too many partial sums for the driver: let Spark add them up
+    partial = packed.mapInArrow(scan, schema)
+    if sum(c.size for c in centers) * 8 * partitions > LIMIT_BYTES:  # too many partial sums for the driver: let Spark add them up
         partial = partial.groupBy("run", "cluster").agg(
             F.sum("n").alias("n"),
             F.sum("cost").alias("cost"),
@@ -129,8 +126,8 @@ def _one_pass(points: DataFrame, centers: list[np.ndarray]) -> list[Sums]:
     return results
 
 
-def lloyd(points: DataFrame, starts: list[np.ndarray], max_iter: int, tolerance: float) -> list[KMeansFit]:
-    """Lloyd iterations from all starts together; a start leaves the passes once its centres rest.
+def lloyd(packed: DataFrame, starts: list[np.ndarray], max_iter: int, tolerance: float) -> list[KMeansFit]:
+    """Lloyd iterations over packed vectors from all starts together; a start leaves the passes once its centres rest.
 
     A centre that loses all its rows stays where it is.
     """
@@ -138,8 +135,9 @@ def lloyd(points: DataFrame, starts: list[np.ndarray], max_iter: int, tolerance:
     fits: list[KMeansFit | None] = [None] * len(starts)
     moving = list(range(len(starts)))
     settled: set[int] = set()
+    partitions = packed.rdd.getNumPartitions()
     for passes in range(1, max_iter + 2):
-        results = _one_pass(points, [centers[i] for i in moving])
+        results = _one_pass(packed, partitions, [centers[i] for i in moving])
         after = []
         for i, found in zip(moving, results):
             if i in settled or passes > max_iter:
@@ -159,8 +157,16 @@ def lloyd(points: DataFrame, starts: list[np.ndarray], max_iter: int, tolerance:
     return fits
 
 
-def _mean_variance(points: DataFrame) -> float:
-    """Mean over dimensions of the variance, from the summed vectors."""
+@dataclass
+class Spread:
+    """Rows, dimensions and the mean over dimensions of the variance."""
+
+    rows: int
+    dimension: int
+    variance: float
+
+
+def _spread(points: DataFrame) -> Spread:
     values = vectors.doubles(F.col("embedding"))
     row = points.agg(
         F.count("*").alias("n"),
@@ -168,7 +174,19 @@ def _mean_variance(points: DataFrame) -> float:
         vector_to_array(Summarizer.mean(array_to_vector(values))).alias("m"),
     ).first()
     mean = np.array(row.m)
-    return max(0.0, (row.q / row.n - float(mean @ mean)) / len(mean))
+    return Spread(row.n, len(mean), max(0.0, (row.q / row.n - float(mean @ mean)) / len(mean)))
+
+
+def _prepared(points: DataFrame, wanted: int) -> DataFrame:
+    """Packed vectors in about as many partitions as the work of a pass is worth.
+
+    Large inputs keep their partitions; only inputs with fewer than there are cores are shared out.
+    """
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    have = points.rdd.getNumPartitions()
+    if have < min(cores, wanted):
+        points = points.repartition(min(cores, wanted))
+    return blocks.pack(points).persist()
 
 
 def fit_many(
@@ -181,21 +199,22 @@ def fit_many(
     limit_bytes: int = LIMIT_BYTES,
 ) -> dict[int, KMeansFit]:
     """The best of ``restarts`` fits, by inertia, for every k."""
-    kept = spread_rows(points.select("doc_id", vectors.doubles(F.col("embedding")).alias("embedding"))).persist()
+    candidates = seeding_rows(points, seed, max(SEEDING_ROWS, 4 * max(ks)))
+    runs = [
+        (k, spread_start(candidates, k, np.random.default_rng([seed, k, r]))) for k in ks for r in range(restarts)
+    ]
+    data = _spread(points)
+    absolute = tolerance * data.variance
+    per_pass = max(1, limit_bytes // max(1, max(ks) * data.dimension * 8))
+    centres = sum(k for k, _ in runs[:per_pass])
+    wanted = blocks.tasks_for(float(data.rows) * data.dimension * centres)
+    kept = _prepared(points, wanted)
     try:
-        candidates = seeding_rows(kept, seed, max(SEEDING_ROWS, 4 * max(ks)))
-        dimension = candidates.shape[1]
-        runs = [
-            (k, spread_start(candidates, k, np.random.default_rng([seed, k, r])))
-            for k in ks
-            for r in range(restarts)
-        ]
-        absolute = tolerance * _mean_variance(kept)
-        per_pass = max(1, limit_bytes // max(1, max(ks) * dimension * 8))
+        used = kept.coalesce(wanted)
         best: dict[int, KMeansFit] = {}
         for first in range(0, len(runs), per_pass):
             some = runs[first : first + per_pass]
-            for (k, _), fit in zip(some, lloyd(kept, [s for _, s in some], max_iter, absolute)):
+            for (k, _), fit in zip(some, lloyd(used, [s for _, s in some], max_iter, absolute)):
                 if k not in best or fit.inertia < best[k].inertia:
                     best[k] = fit
         return best
@@ -276,7 +295,7 @@ def lloyd_table(points: DataFrame, k: int, seed: int = SEED, max_iter: int = MAX
             vectors.doubles(F.col("embedding")).alias("center"),
         )
     )
-    tolerance = TOLERANCE * _mean_variance(points)
+    tolerance = TOLERANCE * _spread(points).variance
     for _ in range(max_iter):
         new = materialized(kmeans_step(points, centers).select("cluster_id", "center"))
         before = centers.withColumnRenamed("center", "_old")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papersheaf.functions import lexicon, names, ranking, text
+from papersheaf.session import materialized
 
 Lexicon = dict[str, "list[str] | str"]
 
@@ -75,7 +76,7 @@ def domain_scores(documents: DataFrame, domains: Lexicon | None = None, text_fie
 
 def content_names(documents: DataFrame, domains: Lexicon | None = None, text_field: str = "full_text") -> DataFrame:
     """``(cluster_id, name)``: best domain, else the top words joined, else ``Topic_id``; then the size."""
-    counts = word_counts(documents, text_field)
+    counts = materialized(word_counts(documents, text_field))  # texts are split once for both uses
     best = ranking.top_per_key(
         _domain_scores(counts, domains), ["cluster_id"], [F.desc("score"), F.asc("domain_rank")], 1
     ).select("cluster_id", "domain")
