@@ -15,3 +15,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     an inner lambda.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def once(value: Column) -> Column:
+    """A generated column holding ``value``: later filters on it cannot be pushed below and repeat its work.
+
+    For use as a column of a ``select``, once per ``select``.
+    """
+    return F.explode(F.array(value))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papersheaf.functions import names, text
+from papersheaf.functions.binding import once
 from papersheaf.sources import files as file_source
 
 MIN_TEXT_LENGTH = 100
@@ -32,7 +33,7 @@ def _assemble(rows: DataFrame) -> DataFrame:
     """From ``kept ARRAY<STRUCT<page_number, text>>`` (raw, in page order) to text, pages and counts."""
     joined = F.concat(F.array_join(F.col("kept.text"), "\n"), F.lit("\n"))
     return (
-        rows.withColumn("full_text", text.clean_text(joined))
+        rows.select("*", once(text.clean_text(joined)).alias("full_text"))
         .withColumn(
             "page_texts",
             F.transform(

@@ -167,14 +167,10 @@ class Spread:
 
 
 def _spread(points: DataFrame) -> Spread:
-    values = vectors.doubles(F.col("embedding"))
-    row = points.agg(
-        F.count("*").alias("n"),
-        F.sum(vectors.squared_norm(values)).alias("q"),
-        vector_to_array(Summarizer.mean(array_to_vector(values))).alias("m"),
-    ).first()
-    mean = np.array(row.m)
-    return Spread(row.n, len(mean), max(0.0, (row.q / row.n - float(mean @ mean)) / len(mean)))
+    summary = Summarizer.metrics("count", "variance").summary(array_to_vector(vectors.doubles(F.col("embedding"))))
+    row = points.agg(summary.alias("s")).first().s
+    sample = float(np.mean(row.variance.toArray()))
+    return Spread(row["count"], len(row.variance), sample * (row["count"] - 1) / row["count"])
 
 
 def _prepared(points: DataFrame, wanted: int) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -35,13 +36,28 @@ def _vector_sum(column: str | Column) -> Column:
 
 def cluster_moments(points: DataFrame, by: str | None = None) -> DataFrame:
     """Per cluster: rows ``n``, vector sum ``s`` and sum of squared lengths ``q``."""
-    values = vectors.doubles(F.col("embedding"))
-    prepared = points.select(*_keys(by), "cluster_id", values.alias("x"), vectors.squared_norm(values).alias("l"))
-    return prepared.groupBy(*_keys(by), "cluster_id").agg(
-        F.count("*").alias("n"), _vector_sum("x").alias("s"), F.sum("l").alias("q")
+    vector = array_to_vector(vectors.doubles(F.col("embedding")))
+    summary = Summarizer.metrics("count", "sum", "normL2").summary(vector).alias("_m")
+    return (
+        points.groupBy(*_keys(by), "cluster_id")
+        .agg(summary)
+        .select(
+            *_keys(by),
+            "cluster_id",
+            F.col("_m.count").alias("n"),
+            vector_to_array("_m.sum").alias("s"),
+            vectors.squared_norm(vector_to_array("_m.normL2")).alias("q"),
+        )
     )
 
 
+def unit_points(points: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and the vectors at unit length, zero vectors as they are."""
+    vector = points.select(*columns, array_to_vector(vectors.doubles(F.col("embedding"))).alias("_v"))
+    unit = Normalizer(p=2.0, inputCol="_v", outputCol="_u").transform(vector)
+    return unit.select(*columns, vector_to_array("_u").alias("embedding"))
+
+
 def cluster_centers(points: DataFrame, by: str | None = None) -> DataFrame:
     """Mean vector of each cluster as ``center``."""
     return cluster_moments(points, by).select(*_keys(by), "cluster_id", "n", _mean().alias("center"))
@@ -94,15 +110,29 @@ def inertia(points: DataFrame, centers: DataFrame | None = None, by: str | None
 
 
 def distances_to_center(points: DataFrame, centers: DataFrame | None = None, by: str | None = None) -> DataFrame:
-    """Every document with the Euclidean distance to its centre.
-
-    The table of centres is joined without a hint: Spark broadcasts it while its measured size allows.
-    """
+    """Every document with the Euclidean distance to its own centre."""
     centers = cluster_centers(points, by) if centers is None else centers
     keys = [*_keys(by), "cluster_id"]
-    joined = points.join(centers.select(*keys, "center"), keys)
-    distance = F.sqrt(vectors.squared_distance(F.col("embedding"), F.col("center")))
-    return joined.select("doc_id", *keys, distance.alias("distance"))
+
+    def named(table: pa.Table) -> list[tuple]:
+        return list(zip(*(table.column(key).to_numpy() for key in keys)))
+
+    def kernel(rows: pa.Table, known: pa.Table) -> dict:
+        place = {key: i for i, key in enumerate(named(known))}
+        own = np.array([place.get(key, -1) for key in named(rows)])
+        rows, own = rows.filter(pa.array(own >= 0)), own[own >= 0]
+        gap = blocks.matrix(rows.column("embedding")) - blocks.matrix(known.column("embedding"))[own]
+        distance = np.sqrt((gap * gap).sum(1))
+        return {**{c: rows.column(c) for c in ["doc_id", *keys]}, "distance": distance}
+
+    fields = [f"{c} {points.schema[c].dataType.simpleString()}" for c in ["doc_id", *keys]]
+    return blocks.against(
+        points.select("doc_id", *keys, "embedding"),
+        centers.select(*keys, F.col("center").alias("embedding")),
+        blocks.each(kernel),
+        ", ".join([*fields, "distance double"]),
+        reduce=lambda parts: parts,  # a row finds its centre in one chunk only
+    )
 
 
 def avg_distance_to_center(points: DataFrame, centers: DataFrame | None = None, by: str | None = None) -> DataFrame:
@@ -176,7 +206,7 @@ def cosine_samples(points: DataFrame, by: str | None = None, limit_bytes: int =
     meets one vector per cluster and no other document.
     """
     keys = _keys(by)
-    unit = points.select("doc_id", *keys, "cluster_id", vectors.l2_normalize(F.col("embedding")).alias("embedding"))
+    unit = unit_points(points, "doc_id", *keys, "cluster_id")
     targets = cluster_moments(unit, by).select(*keys, "cluster_id", "n", F.col("s").alias("embedding"))
 
     def kernel(rows: pa.Table, clusters: pa.Table) -> dict:
@@ -314,7 +344,7 @@ def intra_cluster_distance_pool(points: DataFrame, block_rows: int = blocks.BLOC
     squares from its second-moment matrix. A cluster that fits one block gives that square directly,
     a larger one gives one triangular matrix per block, which Spark adds up.
     """
-    unit = points.select("cluster_id", "doc_id", vectors.l2_normalize(F.col("embedding")).alias("embedding"))
+    unit = unit_points(points, "cluster_id", "doc_id")
     slots = unit.groupBy("cluster_id").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
     placed = unit.join(slots, "cluster_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papersheaf.functions import text
+from papersheaf.functions.binding import once
 from papersheaf.operators import (
     agglomerative,
     dbscan,
@@ -118,7 +119,7 @@ def cluster_documents(
 
 def prepare_documents(rows: DataFrame, text_field: str = "text") -> DataFrame:
     """Raw single-text documents to cleaned records ready for embedding: no shuffle."""
-    cleaned = rows.withColumn("full_text", text.clean_text(F.col(text_field)))
+    cleaned = rows.select("*", once(text.clean_text(F.col(text_field))).alias("full_text"))
     return cleaned.withColumns(
         {
             "word_count": text.count_words(F.col("full_text")),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papersheaf.functions import names, text, vectors
+from papersheaf.functions.binding import once
 from papersheaf.operators import (
     agglomerative,
     dbscan,
@@ -73,10 +74,9 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned documents, clustered by their source, with a file name."""
-    rows = raw_documents(spark, sf_dir)
-    return rows.select(
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents clustered by their source, with a file name."""
+    return raw_documents(spark, sf_dir).select(
         "doc_id",
         "lang",
         "source",
@@ -86,11 +86,15 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("_", "source", "lang", F.concat((F.col("doc_id") % 50).cast("string"), F.lit(".pdf"))).alias(
             "document_name"
         ),
-        text.clean_text(F.col("text")).alias("full_text"),
-        F.lit(True).alias("success"),
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with cleaned text."""
+    cleaned = once(text.clean_text(F.col("text"))).alias("full_text")
+    return listed(spark, sf_dir).select("*", cleaned).withColumn("success", F.lit(True))
+
+
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.posexplode(F.split("text", "\n")).alias("_position", "raw_text")
     return (
@@ -141,12 +145,12 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("doc_id", "document_name", "cluster_id")
+    return listed(spark, sf_dir).select("doc_id", "document_name", "cluster_id")
 
 
 def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that exist: those of French documents are absent, and some lie in sub-folders."""
-    rows = texts(spark, sf_dir).filter("lang <> 'fr'")
+    rows = listed(spark, sf_dir).filter("lang <> 'fr'")
     folder = F.when(F.col("lang") == "de", F.lit("/in/sub/")).otherwise(F.lit("/in/"))
     return rows.groupBy(F.concat(folder, "document_name").alias("path")).agg(
         (F.sum("n_chars") * 1024).alias("length")
@@ -155,7 +159,7 @@ def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names for the clusters of sources that have German documents."""
-    rows = texts(spark, sf_dir).filter("lang = 'de'")
+    rows = listed(spark, sf_dir).filter("lang = 'de'")
     return rows.groupBy("cluster_id").agg(F.concat(F.lit("Topic (a: b) "), F.min("source")).alias("name"))
 
 
@@ -263,7 +267,7 @@ def write_reports(spark, sf_dir):
 
 @query
 def write_clustered(spark, sf_dir):
-    rows = texts(spark, sf_dir)
+    rows = listed(spark, sf_dir)
     folders = organize.cluster_directories(rows, sample_names(spark, sf_dir))
     placed = rows.join(folders, "cluster_id").select("doc_id", "text", "cluster_dir")
     path = reports.write_clustered(placed, fresh_folder(spark, "clustered"))
@@ -320,8 +324,8 @@ def count_chars(spark, sf_dir):
 
 def _records(spark, sf_dir):
     """Documents of all sources but one, as records, and the failed records of the rest."""
-    rows = texts(spark, sf_dir).select("doc_id", F.col("document_name").alias("filename"))
-    pages = page_table(spark, sf_dir).join(texts(spark, sf_dir).filter("source <> 'src5'").select("doc_id"), "doc_id")
+    rows = listed(spark, sf_dir).select("doc_id", F.col("document_name").alias("filename"))
+    pages = page_table(spark, sf_dir).join(listed(spark, sf_dir).filter("source <> 'src5'").select("doc_id"), "doc_id")
     return documents.failed_records(rows, documents.assemble_document(pages, PAGE_LENGTH))
 
 
@@ -712,7 +716,7 @@ def resolve_conflicts(spark, sf_dir):
     ending = (
         F.when(F.col("lang") == "en", "").when(F.col("lang") == "de", "_1").when(F.col("lang") == "fr", "_2_1")
     ).otherwise(F.concat(F.lit("_"), F.col("cluster_id").cast("string")))
-    placed = texts(spark, sf_dir).select(
+    placed = listed(spark, sf_dir).select(
         "doc_id",
         F.concat(F.lit("clusters/c"), (F.col("cluster_id") % 4).cast("string")).alias("cluster_dir"),
         F.concat(F.lit("file"), ending, F.lit(".pdf")).alias("file_name"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from papersheaf import organize_documents
 from papersheaf.operators import embedding, organize
 from papersheaf.plans import pipeline
-from papersheaf.session import fresh_folder, scratch_folder, shared_folder
+from papersheaf.session import clear_scratch, fresh_folder, materialized, scratch_folder, shared_folder
 from papersheaf.sources import cache, reports
 
 
@@ -173,3 +173,11 @@ def test_scratch_lies_in_the_shared_folder(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         assert shared_folder(spark) == configured.rstrip("/")
+
+
+def test_scratch_can_be_cleared(spark):
+    kept = materialized(spark.range(3))
+    assert kept.count() == 3
+    clear_scratch(spark)
+    with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST"):
+        spark.read.parquet(kept.inputFiles()[0])

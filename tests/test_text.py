@@ -183,3 +183,21 @@ def test_filename_and_theme_names(spark):
         1: "World,",
         2: "Mixed_Documents_2",
     }
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_assembly_from_files_needs_no_shuffle(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    nested = documents.assemble_nested(rows.select("doc_id", F.split("text", "\n").alias("raw_pages")), 20)
+    assert "Exchange" not in plan_of(documents.embeddable_documents(nested.withColumn("success", F.lit(True))))
+
+
+def test_words_are_counted_by_hash_and_ranked_before_the_shuffle(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = rows.select("doc_id", F.lit(1).alias("cluster_id"), F.col("text").alias("full_text"))
+    counts = plan_of(naming.word_counts(rows))
+    assert "HashAggregate" in counts and "SortAggregate" not in counts
+    assert "WindowGroupLimit" in plan_of(naming.cluster_top_words(rows))
