@@ -28,7 +28,7 @@ from papersheaf.operators import (
     similarity,
 )
 from papersheaf.plans import pipeline
-from papersheaf.session import fresh_folder, spread_rows
+from papersheaf.session import fresh_folder, materialized, spread_rows
 from papersheaf.sources import cache, files, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -259,7 +259,7 @@ def embedding_cache(spark, sf_dir):
 @query
 def write_reports(spark, sf_dir):
     rows, known = assignments(spark, sf_dir), sample_names(spark, sf_dir)
-    manifest = organize.placement_manifest(rows, named_files(spark, sf_dir), known, "/in")
+    manifest = materialized(organize.placement_manifest(rows, named_files(spark, sf_dir), known, "/in"))
     paths = reports.write_reports(fresh_folder(spark, "reports"), rows, manifest, known)
     schema = "cluster_id int, file_count bigint, percentage double, name string"
     return with_rounded(spark.read.schema(schema).json(paths["cluster_summary"]), "percentage")

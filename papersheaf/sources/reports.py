@@ -29,7 +29,7 @@ def write_reports(
 ) -> dict[str, str]:
     """Write the summary as JSON tables, the text report and the clustering table as CSV.
 
-    The JSON summary is one small table each for totals and cluster statistics and one row per file for
+    The manifest is read several times, so pass a written one. The JSON summary is one small table each for totals and cluster statistics and one row per file for
     the listings, so that its size never rests on one task.
     """
     timestamp = datetime.now().isoformat()
