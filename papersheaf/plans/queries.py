@@ -74,9 +74,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def listed(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Documents clustered by their source, with a file name."""
-    return raw_documents(spark, sf_dir).select(
+    rows = table(spark, sf_dir, "documents") if rows is None else rows
+    return rows.select(
         "doc_id",
         "lang",
         "source",
@@ -92,7 +93,7 @@ def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with cleaned text."""
     cleaned = once(text.clean_text(F.col("text"))).alias("full_text")
-    return listed(spark, sf_dir).select("*", cleaned).withColumn("success", F.lit(True))
+    return listed(spark, sf_dir, raw_documents(spark, sf_dir)).select("*", cleaned).withColumn("success", F.lit(True))
 
 
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
