@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papersheaf.llm import exact, minhash, substrings
+from papersheaf.llm import exact, minhash, quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,3 +51,23 @@ SELECT doc_id,
        sha256(body) AS text_sha256
 FROM plain
 """
+
+
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").filter(~quality.held_out())
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit(documents, training_labels(spark, sf_dir))
+    scored = quality.score(documents, model)
+    predicted = (F.col("score") >= 0.5).cast("int")
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, training_labels(spark, sf_dir))
+    return toxicity.score(documents, model).withColumn("held_out", quality.held_out())

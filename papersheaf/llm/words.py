@@ -81,18 +81,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             start = stop
 
 
-def split(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> Words:
-    """Maximal runs of ``word_bytes`` that do not cross a document's end."""
-    inside = word_bytes[data]
-    before = np.zeros(len(data) + 1, bool)
-    before[1:] = inside
-    edges = offsets[offsets < len(data)]
-    before[edges] = False
-    after = np.zeros(len(data) + 1, bool)
-    after[:-1] = inside
-    after[edges] = False
-    starts = np.flatnonzero(inside & ~before[:-1])
-    ends = np.flatnonzero(inside & ~after[1:]) + 1
+def split(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> Words:
+    """Maximal runs of bytes of one kind that do not cross a document's end; kind 0 separates."""
+    kind = np.zeros(len(data) + 2, np.uint8)
+    kind[1:-1] = kinds[data]
+    change = kind[1:] != kind[:-1]
+    change[offsets] = True
+    starts = np.flatnonzero(change[:-1] & (kind[1:-1] > 0))
+    ends = np.flatnonzero(change[1:] & (kind[1:-1] > 0)) + 1
     return Words(data, starts, ends, np.searchsorted(starts, offsets))
 
 
