@@ -15,8 +15,9 @@ from papersheaf.llm.tables import measured
 from papersheaf.operators.blocks import arrow_schema
 
 BITS = 18
-SHARDS = 2
-SAMPLE_ROWS = 16_000
+SHARD_ROWS = 16_000
+SAMPLE_ROWS = 32_000
+UPDATES = 50_000
 
 
 @dataclass
@@ -81,18 +82,20 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, max_rows: int =
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    share = min(1.0, max_rows / max(1, known.count()))
+    total = known.count()
+    share = min(1.0, max_rows / max(1, total))
+    shards = max(1, round(share * total / SHARD_ROWS))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     chosen = known.filter(place < F.lit(int(share * (1 << 30))))
     texts = documents.filter("text is not null").select("doc_id", "text")
     rows = texts.join(measured(chosen, 24), "doc_id")
-    return rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(SHARDS)).cast("int"))
+    return rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)).cast("int"))
 
 
 def fit_shards(rows: DataFrame, fit: Callable[[list[str], np.ndarray], np.ndarray]) -> np.ndarray:
     """The mean of the models that ``fit`` makes from each shard of a sample.
 
-    A shard holds at most about ``max_rows / SHARDS`` rows of the sample, and ``SHARDS`` models of fixed size come to the driver.
+    A shard holds about ``SHARD_ROWS`` rows, and one model of fixed size per shard comes to the driver.
     """
     out = arrow_schema(rows, "rows bigint, model binary")
 
@@ -129,5 +132,10 @@ def rows_of(parts: list[Features]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield part.row(k)
 
 
+def epochs(rows: int, least: int = 4, most: int = 10) -> int:
+    """Passes over a shard, so that small ones get about as many updates as large ones."""
+    return int(min(most, max(least, UPDATES // max(1, rows))))
+
+
 def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))

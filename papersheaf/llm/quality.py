@@ -22,7 +22,6 @@ from papersheaf.llm import linear, words
 KINDS = np.full(256, 2, np.uint8)
 KINDS[words.alphanumeric()] = 1
 KINDS[words.SPACE] = 0
-EPOCHS = 3
 SCALE = 20.0  # of the shares of a text
 
 
@@ -56,7 +55,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", max_row
         parts = linear.extracted(texts, features)
         rows = [(at, SCALE * counts / max(1, counts.sum())) for at, counts in linear.rows_of(parts)]
         model = linear.Ftrl(size + 1, rate=0.3, l1=0.1, l2=0.01)
-        for _ in range(EPOCHS):
+        for _ in range(linear.epochs(len(rows))):
             for (at, values), mark in zip(rows, marks):
                 at, values = np.append(at, size), np.append(values, 1.0)
                 weights = model.weights(at)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papersheaf.llm import exact, minhash, quality, substrings, toxicity
+from papersheaf.llm import exact, minhash, quality, substrings, toxicity, urls
+from papersheaf.session import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,3 +72,54 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit(documents, training_labels(spark, sf_dir))
     return toxicity.score(documents, model).withColumn("held_out", quality.held_out())
+
+
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+# The list of hosts for the method: those of the corpus that carry one of these words in their name.
+LISTED_WORDS = r"(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)"
+
+
+@query
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
+    hosts = materialized(pages.select("host").distinct())
+    cascades = urls.build(hosts.filter(F.col("host").rlike(LISTED_WORDS)), hosts, "host")
+    judged = urls.contains(pages, F.col("host"), cascades)
+    rule, verdict = urls.best_rule(F.col("host"), F.col("path"), URL_RULES)
+    return judged.select(
+        "page_id", "host", "path", rule.alias("rule"),
+        F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"),
+    )
+
+
+ORACLES["op1_urls"] = rf"""
+WITH parts AS (
+  SELECT page_id,
+         CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), named AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts
+), fitted AS (
+  SELECT *, CASE
+      WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+      WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+      WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+      WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule
+  FROM named
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+            WHEN rule IS NOT NULL THEN 'block'
+            WHEN regexp_matches(host, '{LISTED_WORDS}') THEN 'block' ELSE 'allow' END AS verdict
+FROM fitted
+"""

@@ -25,7 +25,6 @@ STEMS = (4, 5, 6)
 GRADES = 4
 MARKERS = (9, 25)  # from so many marker features on, grade 2 and grade 3; a word has up to four
 MARKER_ODDS = 3.0
-EPOCHS = 6
 MOST = 3  # a feature counts at most so often in a text
 GAP = 0.05
 
@@ -62,7 +61,7 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_gr
     model = linear.Ftrl(1 << linear.BITS, rate=0.2, l1=3.0, l2=0.01)
     thresholds = np.linspace(1.0, 3.0, n_grades - 1)
     moved = np.full(n_grades - 1, 1.0)
-    for _ in range(EPOCHS):
+    for _ in range(linear.epochs(len(rows))):
         for (at, counts), grade in zip(rows, grades):
             values = np.minimum(counts, MOST).astype(float)
             weights = model.weights(at)
