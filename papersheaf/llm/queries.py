@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papersheaf.llm import exact, minhash, quality, substrings, toxicity, urls
+from papersheaf.llm import bpe, exact, minhash, quality, substrings, toxicity, urls
 from papersheaf.session import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,3 +124,20 @@ SELECT page_id, host, path, rule,
             WHEN regexp_matches(host, '{LISTED_WORDS}') THEN 'block' ELSE 'allow' END AS verdict
 FROM fitted
 """
+
+
+def tokenizer_source(path: str = public_tokenizers.path("byte_bpe_50k.json")) -> str:
+    """The tokenizer file, read on the driver: it is installed there and goes to the tasks as a broadcast."""
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
+@query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_source())
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
