@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papersheaf.llm import bpe, exact, html, minhash, quality, substrings, toxicity, urls
+from papersheaf.llm import bpe, decontaminate, exact, html, minhash, quality, substrings, toxicity, urls
 from papersheaf.session import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +147,55 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
+
+
+ORACLES["op4_decontaminate"] = rf"""
+WITH word AS (
+  SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS position
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS k
+        FROM (SELECT doc_id, string_split_regex(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'),
+                                                '{decontaminate.NO_WORD}') AS words FROM documents))
+  WHERE word <> ''
+), item_word AS (
+  SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY k) - 1 AS position
+  FROM (SELECT item_id, unnest(words) AS word, unnest(range(len(words))) AS k
+        FROM (SELECT item_id, string_split_regex(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'),
+                                                 '{decontaminate.NO_WORD}') AS words FROM benchmark))
+  WHERE word <> ''
+), item_size AS (
+  SELECT item_id, least(count(*), 13) AS width FROM item_word GROUP BY item_id
+), item_window AS (
+  SELECT DISTINCT a.item_id, width, phrase FROM (
+    SELECT item_id, width, string_agg(word, ' ') OVER (PARTITION BY item_id ORDER BY position ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS phrase,
+           count(*) OVER (PARTITION BY item_id ORDER BY position ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS found
+    FROM item_word JOIN item_size USING (item_id)) a
+  WHERE found = width
+), document_window AS (
+  SELECT doc_id, position, w.width, array_to_string(list_slice(words, position + 1, position + w.width), ' ') AS phrase
+  FROM word JOIN (SELECT doc_id, list(word ORDER BY position) AS words FROM word GROUP BY doc_id) USING (doc_id)
+  CROSS JOIN (SELECT DISTINCT width FROM item_size) w
+  WHERE position + w.width <= len(words)
+), hit AS (
+  SELECT doc_id, position, width, item_id FROM document_window JOIN item_window USING (width, phrase)
+), hit_word AS (
+  SELECT doc_id, count(DISTINCT position + k) AS n_hit
+  FROM (SELECT doc_id, position, unnest(range(width)) AS k FROM hit) GROUP BY doc_id
+), hit_item AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+         string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+  FROM hit GROUP BY doc_id
+), total AS (
+  SELECT doc_id, count(*) AS n_words FROM word GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(n_words, 0) AS contaminated
+FROM documents d LEFT JOIN total USING (doc_id) LEFT JOIN hit_word USING (doc_id) LEFT JOIN hit_item USING (doc_id)
+"""
