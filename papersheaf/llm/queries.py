@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papersheaf.llm import bpe, decontaminate, exact, html, minhash, quality, substrings, toxicity, urls
+from papersheaf.llm import bpe, decontaminate, exact, html, minhash, pii, quality, substrings, toxicity, urls
 from papersheaf.session import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,3 +199,12 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(n_words, 0) AS contaminated
 FROM documents d LEFT JOIN total USING (doc_id) LEFT JOIN hit_word USING (doc_id) LEFT JOIN hit_item USING (doc_id)
 """
+
+
+# A fixed key, so that the query's result can be compared; callers of the operator keep their own.
+DEMONSTRATION_KEY = "papersheaf"
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
