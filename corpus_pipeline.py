@@ -1,31 +1,72 @@
-"""The training-data pipeline: each stage is one operator, written to Parquet and read by the next."""
+"""The training-data pipeline: each stage is one operator, written to Parquet and read by the next.
+
+A stage takes the documents that its predecessor kept and returns those that it keeps, with all columns of ``documents``; the
+last returns their tokens. Decisions are made per ``doc_id``: an id goes where none of its rows stays. Rows without
+``doc_id`` cannot be named by a decision and pass the stages, but for toxicity, which judges each row.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papersheaf.llm import minhash
+from papersheaf.llm import bpe, decontaminate, exact, minhash, toxicity
+from papersheaf.llm.queries import table, tokenizer_source, training_labels
+from papersheaf.llm.tables import measured
 from papersheaf.session import materialized
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-ORACLE_SQL = None
+
+ORACLE_SQL = None  # a trained model, signatures and a tokenizer are beyond SQL
+
+
+def _kept(docs: DataFrame, judged: DataFrame, stays: Column) -> DataFrame:
+    """``docs`` without the ids of which no row of ``judged`` stays."""
+    named = judged.filter("doc_id is not null").groupBy("doc_id").agg(F.max(stays).alias("stays"))
+    gone = materialized(named.filter("not stays").select("doc_id"))
+    return docs.join(measured(gone, 16), "doc_id", "left_anti").select(docs.columns)
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose severity model, trained on the marked ones, does not reject them."""
+    return toxicity.accepted(docs, toxicity.fit(docs, training_labels(spark, sf_dir)))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The longest row of each group of equal texts."""
+    return _kept(docs, exact.groups(docs), F.col("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
-    kept = minhash.near_duplicates(docs, width=4, percent=80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """The document with the smallest id of each group of near duplicates: five words, a similarity of 0.8."""
+    return _kept(docs, minhash.near_duplicates(docs, width=5, percent=80), F.col("kept"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share less than a twentieth of their words with benchmark items."""
+    return _kept(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")), ~F.col("contaminated"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_tokens, ids)`` of the remaining documents."""
+    found = bpe.encode(docs, tokenizer_source())
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids")
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", reject_toxic),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminated),
+    ("bpe", encoded),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialized(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -132,7 +132,7 @@ def rows_of(parts: list[Features]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield part.row(k)
 
 
-def epochs(rows: int, least: int = 4, most: int = 10) -> int:
+def epochs(rows: int, least: int = 6, most: int = 12) -> int:
     """Passes over a shard, so that small ones get about as many updates as large ones."""
     return int(min(most, max(least, UPDATES // max(1, rows))))
 

@@ -236,7 +236,7 @@ def _forest(left: pa.Table, right: pa.Table, percent: int) -> dict:
         return {"a": [], "b": []}
     n, m = (t.column("n").to_numpy().astype(np.int64) for t in (left, right))
     label, other = (t.column("label").to_numpy() for t in (left, right))
-    sketches = [np.stack([t.column(c).to_numpy() for c in ("sketch_a", "sketch_b")], 1) for t in (left, right)]
+    sketches = [np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("sketch_a", "sketch_b")], 1) for t in (left, right)]
     agree = label[:, None] != other[None, :]
     agree &= 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
     differing = np.bitwise_count(sketches[0][:, None, :] ^ sketches[1][None, :, :]).sum(2, dtype=np.int64)

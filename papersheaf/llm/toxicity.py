@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from papersheaf.llm import linear, words
@@ -100,11 +101,27 @@ def chances(found: linear.Features, model: np.ndarray, n_grades: int = GRADES) -
     return linear.sigmoid(dots[:, None] - thresholds[None, :])
 
 
-def score(documents: DataFrame, model: np.ndarray) -> DataFrame:
-    """``(doc_id, severity, grade, score, toxic)``: expected and likeliest grade, P(grade > 0) and the decision."""
+def _shared(documents: DataFrame, model: np.ndarray) -> Broadcast:
     if not len(model):
         model = np.append(np.zeros(1 << linear.BITS, np.float32), np.full(GRADES - 1, 35.0, np.float32))
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    return documents.sparkSession.sparkContext.broadcast(model)  # of fixed size
+
+
+def accepted(documents: DataFrame, model: np.ndarray) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that are not rejected."""
+    shared, names = _shared(documents, model), documents.columns
+
+    def kernel(batch: pa.RecordBatch) -> dict:
+        kept = batch.filter(pa.array(chances(features(batch.column("text")), shared.value)[:, 0] < 0.5))
+        return {name: kept.column(k) for k, name in enumerate(names)}
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+    return words.map_slices(documents, kernel, fields)
+
+
+def score(documents: DataFrame, model: np.ndarray) -> DataFrame:
+    """``(doc_id, severity, grade, score, toxic)``: expected and likeliest grade, P(grade > 0) and the decision."""
+    shared = _shared(documents, model)
 
     def columns(texts: pa.Array) -> dict:
         over = chances(features(texts), shared.value)
