@@ -39,7 +39,8 @@ LEAVES = set("p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption caption td th summary
 CONTAINERS = set(
     "html body article main section div ul ol dl table tbody thead tfoot tr blockquote figure details fieldset center".split()
 )
-CLOSES_P = LEAVES | CONTAINERS | SKIPPED - {"button", "select", "option", "svg", "canvas", "object", "map"} | {"hr"}
+INLINE = RAW | set("button select option svg canvas object audio video map".split())
+CLOSES_P = LEAVES | CONTAINERS | SKIPPED - INLINE | {"hr"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SIDE_WORDS = set(
     """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies
