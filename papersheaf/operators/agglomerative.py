@@ -192,7 +192,7 @@ def agglomerative_cuts(
 ) -> dict[int, DataFrame]:
     """Cuts of one tree at several numbers of clusters."""
     if linkage not in LINKAGES:
-        raise ValueError(f"Unsupported linkage: {linkage}. Choose from: {list(LINKAGES)}")
+        raise ValueError(f"no linkage named {linkage!r}, only {', '.join(LINKAGES)}")
     if any(k < 1 for k in ks):
         raise ValueError("the number of clusters must be at least 1")
     distinct = materialized(blocks.distinct_points(points))

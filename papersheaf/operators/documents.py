@@ -57,24 +57,15 @@ def assemble_nested(parsed: DataFrame, min_text_length: int = MIN_TEXT_LENGTH) -
     return _assemble(rows)
 
 
-def assemble_document(
-    pages: DataFrame,
-    min_text_length: int = MIN_TEXT_LENGTH,
-    max_file_size_mb: float = file_source.MAX_FILE_SIZE_MB,
-) -> DataFrame:
+def assemble_document(pages: DataFrame, min_text_length: int = MIN_TEXT_LENGTH) -> DataFrame:
     """Assemble documents from long ``(doc_id, page_number, raw_text)`` rows.
 
-    Raw valid pages are joined in page order, then cleaned. Documents whose pages exceed the file
-    size limit are found by a pre-aggregated sum and come out as ``Invalid file`` records; their
-    pages are not gathered, which bounds what one group can hold.
+    Raw valid pages are joined in page order, then cleaned. A group holds the pages of one document, whole;
+    the limit on file sizes belongs to ``validate_files`` and ``extract_documents``.
     """
-    limit = int(max_file_size_mb * 1024 * 1024)
-    sizes = pages.groupBy("doc_id").agg(F.sum(F.octet_length("raw_text")).alias("_bytes"))
-    oversized = sizes.filter(F.col("_bytes") > limit).select("doc_id")
     page = F.struct(F.col("page_number").cast("int").alias("page_number"), F.col("raw_text").alias("text"))
     gathered = (
-        pages.join(oversized, "doc_id", "left_anti")
-        .groupBy("doc_id")
+        pages.groupBy("doc_id")
         .agg(
             F.array_sort(
                 F.collect_list(F.when(is_valid_page(F.col("raw_text"), min_text_length), page))
@@ -82,8 +73,7 @@ def assemble_document(
             F.count("*").cast("int").alias("total_pages"),
         )
     )
-    good = _assemble(gathered).withColumn("success", F.lit(True)).withColumn("error", F.lit(None).cast("string"))
-    return good.unionByName(empty_records(oversized, F.lit("Invalid file")).select(*good.columns))
+    return _assemble(gathered).withColumn("success", F.lit(True)).withColumn("error", F.lit(None).cast("string"))
 
 
 def empty_records(rows: DataFrame, error: Column) -> DataFrame:
@@ -119,7 +109,8 @@ def extract_documents(
 ) -> DataFrame:
     """Files with content to document records, in one narrow stage.
 
-    The size test is a filter on ``length``, which the file source applies before it opens a file.
+    The size test is a filter on ``length``, which the file source applies before it opens a file. A file without
+    a length, as for a missing one, comes out as a failed record like one beyond the limit.
     """
     limit = int(max_file_size_mb * 1024 * 1024)
     is_pdf = F.lower(names.extension(F.col("path"))) == ".pdf"
@@ -134,7 +125,7 @@ def extract_documents(
         ).cast(METADATA_TYPE),
     )
     rejected = empty_records(
-        files.filter((F.col("length") > limit) | ~is_pdf).select("path", "length"), F.lit("Invalid file")
+        files.filter(~F.coalesce(usable, F.lit(False))).select("path", "length"), F.lit("Invalid file")
     ).withColumn("metadata", F.lit(None).cast(METADATA_TYPE))
 
     def record(rows: DataFrame) -> DataFrame:

@@ -15,20 +15,18 @@ from papersheaf.session import materialized
 
 DIMENSIONS = 384
 BATCH_SIZE = 32
-MAX_WORDS = 512
 
 
 def embed_documents(
     documents: DataFrame,
     text_field: str = "full_text",
     dimensions: int = DIMENSIONS,
-    max_words: int | None = MAX_WORDS,
+    max_words: int | None = None,
     keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
     """Hashed TF-IDF vectors of unit length, computed by Spark alone: ``keep`` and ``embedding ARRAY<FLOAT>``.
 
-    Texts are cut to their first ``max_words`` words, as the models this stands in for accept no more;
-    ``None`` keeps all words. Term counts are written once, so that texts are read and split only once
+    Whole texts are read unless the caller names a number of leading words, ``max_words``. Term counts are written once, so that texts are read and split only once
     although the inverse frequencies need a pass of their own.
     """
     body = F.col(text_field) if max_words is None else text.first_n_words(F.col(text_field), max_words)
@@ -46,10 +44,13 @@ def embed_with_model(
     make_predict_fn: Callable,
     text_field: str = "full_text",
     batch_size: int = BATCH_SIZE,
-    max_words: int | None = MAX_WORDS,
+    max_words: int | None = None,
     normalize: bool = True,
 ) -> DataFrame:
-    """Vectors from the caller's model, loaded once per worker and run on batches inside the tasks."""
+    """Vectors from the caller's model, loaded once per worker and run on batches inside the tasks.
+
+    A model that accepts no more than so many words is given ``max_words``; by default it gets whole texts.
+    """
     predict = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
     body = F.col(text_field) if max_words is None else text.first_n_words(F.col(text_field), max_words)
     embedded = documents.withColumn("embedding", predict(body))

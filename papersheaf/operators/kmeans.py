@@ -1,13 +1,12 @@
 """k-means in which every pass over the data serves all restarts and all k at once.
 
 The state that travels is small: one vector sum per restart and cluster. Restarts are packed into
-passes as far as their centres stay below a byte limit; a single set of centres beyond the limit is
-kept as a table instead and never visits the driver.
+passes as far as their centres stay below a byte limit. Starts are drawn from candidates that any row can be among.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +18,14 @@ from pyspark.sql import functions as F
 
 from papersheaf.functions import vectors
 from papersheaf.operators import blocks
-from papersheaf.session import materialized
 
 SEED = 42
 RESTARTS = 10
 MAX_ITER = 300
 TOLERANCE = 1e-4
-SEEDING_ROWS = 4096
+SEEDING_ROWS = 256  # expected draws of a round, at least
+SEEDING_FACTOR = 4  # expected draws of a round, per centre
+SEEDING_ROUNDS = 4
 LIMIT_BYTES = blocks.TARGET_BYTES
 
 
@@ -42,23 +42,79 @@ class KMeansFit:
         return spark.createDataFrame(rows, "cluster_id int, center array<double>")
 
 
-def seeding_rows(points: DataFrame, seed: int, rows: int = SEEDING_ROWS) -> np.ndarray:
-    """A bounded number of vectors in hash order, from which starting centres are drawn."""
-    chosen = points.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows).select("embedding")
-    return blocks.matrix(chosen.toArrow().column("embedding"))
+def _chances(x: np.ndarray, salt: int) -> np.ndarray:
+    """A number in [0, 1) for each row of a matrix, from its values alone, so that it does not depend on the task."""
+    bits = np.ascontiguousarray(x + 0.0).view(np.uint64)
+    mixed = np.full(len(x), salt * 2 + 1, np.uint64)
+    for column in bits.T:
+        mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return (mixed >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-def spread_start(candidates: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Starting centres drawn with probability proportional to the squared distance to those chosen."""
+def candidates(packed: DataFrame, rows: int, wanted: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors to draw starting centres from, with the number of rows nearest to each.
+
+    Every row can become one. About ``wanted`` rows come from an even draw; in each of a few more rounds, about as many
+    are drawn with a chance in proportion to their squared distance to those at hand, so rows far from all others
+    are found however few they are. The expected number depends on ``wanted`` alone.
+    """
+    dimension = packed.select("dimension").first()[0]
+
+    def scan(schema: str, known: np.ndarray, each: Callable[[np.ndarray, np.ndarray], dict]) -> DataFrame:
+        """``each`` on every slice of rows and their squared distances to ``known``."""
+        out = blocks.arrow_schema(packed, schema)
+        shared = packed.sparkSession.sparkContext.broadcast(known)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in blocks.unpack(batches, max(1, len(shared.value))):
+                near = blocks.squared_distances(x, shared.value) if len(shared.value) else np.ones((len(x), 1))
+                yield from pa.table(each(x, near), schema=out).to_batches()
+
+        return packed.mapInArrow(run, schema)
+
+    def draw(known: np.ndarray, total: float, number: int, salt: int) -> np.ndarray:
+        def drawn(x: np.ndarray, near: np.ndarray) -> dict:
+            chosen = x[_chances(x, salt) < number * near.min(1) / total]
+            return {"data": [row.tobytes() for row in np.unique(chosen, axis=0)]}
+
+        rows = scan("data binary", known, drawn).distinct().collect()
+        return np.frombuffer(b"".join(sorted(r["data"] for r in rows))).reshape(-1, dimension)
+
+    def cost(x: np.ndarray, near: np.ndarray) -> dict:
+        return {"cost": [float(near.min(1).sum())]}
+
+    def nearest(x: np.ndarray, near: np.ndarray) -> dict:
+        found, n = np.unique(near.argmin(1), return_counts=True)
+        return {"candidate": found, "n": n}
+
+    have, number = np.zeros((0, dimension)), wanted
+    while not len(have):  # a draw from few rows may find none
+        have = draw(have, float(rows), number, seed * 1000)
+        number *= 16
+    for turn in range(1, SEEDING_ROUNDS):
+        total = scan("cost double", have, cost).agg(F.sum("cost")).first()[0]
+        if total <= 1e-12 * rows:
+            break
+        have = np.concatenate([have, draw(have, total, wanted, seed * 1000 + turn)])
+    counts = np.zeros(len(have))
+    for row in scan("candidate int, n bigint", have, nearest).groupBy("candidate").agg(F.sum("n").alias("n")).collect():
+        counts[row["candidate"]] = row["n"]
+    return have, counts
+
+
+def spread_start(candidates: np.ndarray, counts: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Starting centres drawn with probability proportional to the rows at a candidate and its squared distance to those chosen."""
     tries = 2 + int(np.log(k)) if k > 1 else 1
-    chosen = [int(rng.integers(len(candidates)))]
+    chosen = [int(rng.choice(len(candidates), p=counts / counts.sum()))]
     nearest = blocks.squared_distances(candidates, candidates[chosen])[:, 0]
     while len(chosen) < k:
-        mass = nearest.sum()
-        weights = nearest / mass if mass > 0 else None
+        mass = (counts * nearest).sum()
+        weights = counts * nearest / mass if mass > 0 else None
         options = rng.choice(len(candidates), size=tries, p=weights)
         gains = np.minimum(nearest, blocks.squared_distances(candidates, candidates[options]).T)
-        best = int(gains.sum(1).argmin())
+        best = int((gains * counts).sum(1).argmin())
         chosen.append(int(options[best]))
         nearest = gains[best]
     return candidates[chosen]
@@ -195,18 +251,18 @@ def fit_many(
     limit_bytes: int = LIMIT_BYTES,
 ) -> dict[int, KMeansFit]:
     """The best of ``restarts`` fits, by inertia, for every k."""
-    candidates = seeding_rows(points, seed, max(SEEDING_ROWS, 4 * max(ks)))
-    runs = [
-        (k, spread_start(candidates, k, np.random.default_rng([seed, k, r]))) for k in ks for r in range(restarts)
-    ]
     data = _spread(points)
     absolute = tolerance * data.variance
     per_pass = max(1, limit_bytes // max(1, max(ks) * data.dimension * 8))
-    centres = sum(k for k, _ in runs[:per_pass])
+    centres = max(ks) * min(per_pass, len(ks) * restarts)
     wanted = blocks.tasks_for(float(data.rows) * data.dimension * centres)
     kept = _prepared(points, wanted)
     try:
         used = kept.coalesce(wanted)
+        rows, counts = candidates(used, data.rows, max(SEEDING_ROWS, SEEDING_FACTOR * max(ks)), seed)
+        runs = [
+            (k, spread_start(rows, counts, k, np.random.default_rng([seed, k, r]))) for k in ks for r in range(restarts)
+        ]
         best: dict[int, KMeansFit] = {}
         for first in range(0, len(runs), per_pass):
             some = runs[first : first + per_pass]
@@ -228,14 +284,11 @@ def kmeans(
 ) -> tuple[DataFrame, DataFrame]:
     """``(assignments, centers)``; clusters are numbered by descending size.
 
-    Centres too large for the driver are iterated as a table, from one start.
+    The centres are ``k`` vectors, a size that the caller sets and the data do not change. ``limit_bytes`` bounds the
+    centres that share a pass and those that are broadcast for the assignment; the result is the same for any value.
     """
-    dimension = points.select(F.size("embedding")).first()[0]
-    if k * dimension * 8 > limit_bytes:
-        centers = lloyd_table(points, k, seed, max_iter)
-    else:
-        centers = fit_many(points, [k], seed, restarts, max_iter)[k].table(points.sparkSession)
-    return kmeans_assign(points, centers), centers
+    centers = fit_many(points, [k], seed, restarts, max_iter, limit_bytes=limit_bytes)[k].table(points.sparkSession)
+    return kmeans_assign(points, centers, limit_bytes=limit_bytes), centers
 
 
 def kmeans_assign(
@@ -280,23 +333,3 @@ def kmeans_step(points: DataFrame, centers: DataFrame, limit_bytes: int = LIMIT_
         F.coalesce("n", F.lit(0)).alias("n"),
         F.coalesce("mean", "center").alias("center"),
     )
-
-
-def lloyd_table(points: DataFrame, k: int, seed: int = SEED, max_iter: int = MAX_ITER) -> DataFrame:
-    """Lloyd iterations with the centres as a written table."""
-    chosen = points.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(k)
-    centers = materialized(
-        chosen.select(
-            F.monotonically_increasing_id().cast("int").alias("cluster_id"),
-            vectors.doubles(F.col("embedding")).alias("center"),
-        )
-    )
-    tolerance = TOLERANCE * _spread(points).variance
-    for _ in range(max_iter):
-        new = materialized(kmeans_step(points, centers).select("cluster_id", "center"))
-        before = centers.withColumnRenamed("center", "_old")
-        moved = new.join(before, "cluster_id").agg(F.sum(vectors.squared_distance(F.col("center"), F.col("_old"))))
-        centers = new
-        if moved.first()[0] <= tolerance:
-            break
-    return centers

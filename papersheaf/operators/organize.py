@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from papersheaf.functions import names, ranking
 from papersheaf.operators.metrics import cluster_sizes
+from papersheaf.session import materialized
 
 REPORT_FILES = 10
 
@@ -84,20 +85,21 @@ def resolve_conflicts(placed: DataFrame) -> DataFrame:
         .withColumn("_index", F.regexp_extract(stem, ending, 2).try_cast("bigint"))
         .withColumn("taken", F.lit(0))
     )
-    endings = F.regexp_extract(stem, r"((?:_[1-9][0-9]*)*)$", 1)
-    levels = placed.agg(F.max(F.length(endings) - F.length(F.translate(endings, "_", "")))).first()[0] or 0
-    for _ in range(levels):
-        parents = groups.select(
-            "cluster_dir",
-            F.col("file_name").alias("_parent"),
-            (F.col("n") - 1 + F.col("taken")).alias("_reach"),
-        )
-        groups = (
-            groups.join(parents, ["cluster_dir", "_parent"], "left")
-            .withColumn("taken", F.when(F.col("_reach") >= F.col("_index"), 1).otherwise(0))
-            .drop("_reach")
-        )
-    start = groups.select(*keys, (F.col("taken") - 1).alias("start"))
+    groups = materialized(groups)
+    # names whose parent is a name too; the number of ``taken`` is right for those without one from the start
+    names_only = groups.select("cluster_dir", F.col("file_name").alias("_parent"))
+    open_names = materialized(groups.join(names_only, ["cluster_dir", "_parent"], "left_semi"))
+    known = groups.select(*keys, "n", "taken")
+    while not open_names.isEmpty():
+        reach = known.select("cluster_dir", F.col("file_name").alias("_parent"), (F.col("n") - 1 + F.col("taken")).alias("_reach"))
+        found = open_names.join(reach, ["cluster_dir", "_parent"])
+        found = found.select(*keys, "n", (F.col("_reach") >= F.col("_index")).cast("int").alias("now"), "taken")
+        changed = materialized(found.filter("now <> taken").select(*keys, F.col("now")))
+        if changed.isEmpty():
+            break
+        known = materialized(known.join(changed, keys, "left").select(*keys, "n", F.coalesce("now", "taken").alias("taken")))
+        open_names = materialized(open_names.drop("taken").join(known.select(*keys, "taken"), keys))
+    start = known.select(*keys, (F.col("taken") - 1).alias("start"))
     ranked = ranking.rank_within(placed, keys, "doc_id", "_index", start)
     index = F.col("_index")
     renamed = F.when(index == 0, F.col("file_name")).otherwise(
@@ -199,18 +201,18 @@ def readable_report(
 
     totals = organize_summary(manifest)
     heading = [
-        F.lit("PDF ORGANIZATION SUMMARY REPORT"),
+        F.lit("Report on the sorted documents"),
         F.lit("=" * 50),
-        F.lit(f"Generated: {timestamp}"),
-        F.lit(f"Output Directory: {output_dir}"),
-        F.lit(f"Operation: {operation}"),
-        F.lit("OVERALL STATISTICS"),
+        F.lit(f"Written: {timestamp}"),
+        F.lit(f"Folder: {output_dir}"),
+        F.lit(f"Placed by: {operation}"),
+        F.lit("All files"),
         F.lit("-" * 25),
-        F.format_string("Total Files Processed: %d", "total_files_processed"),
-        F.format_string("Successful Operations: %d", "successful_operations"),
-        F.format_string("Failed Operations: %d", "failed_operations"),
-        F.format_string("Success Rate: %.1f%%", "success_rate"),
-        F.lit("CLUSTER BREAKDOWN"),
+        F.format_string("Files: %d", "total_files_processed"),
+        F.format_string("Placed: %d", "successful_operations"),
+        F.format_string("Not placed: %d", "failed_operations"),
+        F.format_string("Share placed: %.1f%%", "success_rate"),
+        F.lit("Clusters"),
         F.lit("-" * 25),
     ]
     head = totals.select(F.posexplode(F.array(*heading)).alias("part", "text"))
@@ -226,17 +228,17 @@ def readable_report(
     parts = [
         line(head, 0, F.col("part"), "", F.col("text")),
         line(stats, 1, 0, "", F.col("name")),
-        line(stats, 1, 1, "", F.format_string("   Files: %d (%.1f%%)", "file_count", "percentage")),
-        line(stats, 1, 2, "", F.lit("   Documents:")),
+        line(stats, 1, 1, "", F.format_string("   Size: %d (%.1f%%)", "file_count", "percentage")),
+        line(stats, 1, 2, "", F.lit("   Members:")),
         line(first, 1, 2 + F.col("rank"), "", F.concat(F.lit("     - "), "document_name")),
         line(
             stats.filter(F.col("file_count") > REPORT_FILES),
             1,
             3 + REPORT_FILES,
             "",
-            F.format_string("     ... and %d more", F.col("file_count") - REPORT_FILES),
+            F.format_string("     and %d others", F.col("file_count") - REPORT_FILES),
         ),
-        line(totals.filter(failures > 0), 2, 0, "", F.format_string("FAILED OPERATIONS (%d)", failures)),
+        line(totals.filter(failures > 0), 2, 0, "", F.format_string("Files not placed (%d)", failures)),
         line(totals.filter(failures > 0), 2, 1, "", F.lit("-" * 25)),
         line(
             failed,
@@ -290,12 +292,12 @@ def listing_summary(assignments: DataFrame, cluster_names: DataFrame | None = No
     bar = "=" * 60
     heading = [
         F.lit(bar),
-        F.lit("DOCUMENT ORGANIZATION SUMMARY"),
+        F.lit("Documents by cluster"),
         F.lit(bar),
-        F.format_string("Total Documents: %d", "documents"),
-        F.format_string("Total Clusters: %d", "clusters"),
+        F.format_string("Documents: %d", "documents"),
+        F.format_string("Clusters: %d", "clusters"),
         F.lit(bar),
-        F.lit("CLUSTER DETAILS"),
+        F.lit("Listing"),
         F.lit(bar),
     ]
     empty = F.lit(0).cast("int")

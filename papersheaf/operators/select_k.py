@@ -231,7 +231,7 @@ def evaluate_k_range(
         same = density.dbscan(points, **options)
         labels = dict.fromkeys(usable, same)
     else:
-        raise ValueError(f"Unsupported algorithm: {algorithm}")
+        raise ValueError(f"no algorithm named {algorithm!r}")
     rows = []
     for k in usable:
         labelled = vectors_only.join(labels[k].select("doc_id", "cluster_id"), "doc_id")

@@ -65,6 +65,8 @@ TO_MEANS = MEANS + """, distances AS (
 LONG = f"{POINTS}, {VALUES_OF_POINTS}"
 CENTERS = f"{POINTS}, {MEANS}"
 DISTANCES = f"{POINTS}, {TO_MEANS}"
+COPIES = POINTS + """, twice AS (
+  SELECT doc_id, x FROM points UNION ALL SELECT doc_id + 1000000, x FROM points)"""
 PAIRS = POINTS + """, pairs AS (
   SELECT a.doc_id AS id_a, b.doc_id AS id_b, a.cluster_id AS ca, b.cluster_id AS cb,
     list_dot_product(a.x, b.x) AS dot, list_distance(a.x, b.x) AS distance,
@@ -132,20 +134,15 @@ INVENTORY = """inventory AS (
     CASE WHEN source <> 'src3' THEN n_chars * 1024 END AS length FROM documents)"""
 
 
-def assembled(limit_bytes: int | None = None) -> str:
-    """Documents from their lines, those above the limit as failed records."""
+def assembled() -> str:
+    """Documents from their lines."""
     good = f"""
   SELECT doc_id, {clean("string_agg(raw_text, chr(10) ORDER BY page_number) FILTER (valid)")} AS full_text,
-    count(*) FILTER (valid)::INT AS page_count, count(*)::INT AS total_pages, sum(strlen(raw_text)) AS bytes
+    count(*) FILTER (valid)::INT AS page_count, count(*)::INT AS total_pages
   FROM (SELECT *, length({strip('raw_text')}) >= {q.PAGE_LENGTH} AS valid FROM pages_of) GROUP BY doc_id"""
-    bad = f"bytes > {limit_bytes}" if limit_bytes else "false"
     return f"""{PAGES}, gathered AS ({good}), assembled AS (
-  SELECT doc_id, CASE WHEN {bad} THEN '' ELSE full_text END AS full_text,
-    CASE WHEN {bad} THEN 0 ELSE page_count END AS page_count,
-    CASE WHEN {bad} THEN 0 ELSE total_pages END AS total_pages,
-    CASE WHEN {bad} THEN 0 ELSE {n_words('full_text')} END AS word_count,
-    CASE WHEN {bad} THEN 0 ELSE length(full_text)::INT END AS char_count,
-    NOT ({bad}) AS success, CASE WHEN {bad} THEN 'Invalid file' END AS error FROM gathered)"""
+  SELECT doc_id, full_text, page_count, total_pages, {n_words('full_text')} AS word_count,
+    length(full_text)::INT AS char_count, true AS success, NULL::VARCHAR AS error FROM gathered)"""
 
 
 RECORDS = f"""{TEXTS}, {assembled()}, records AS (
@@ -241,22 +238,22 @@ composite AS (
 REPORT = f"""WITH {MANIFEST}, {STATISTICS}, totals AS (
   SELECT count(*) AS n, count(*) FILTER (success) AS good, count(*) FILTER (NOT success) AS bad FROM manifest),
 head AS (SELECT unnest([
-    'PDF ORGANIZATION SUMMARY REPORT', repeat('=', 50), 'Generated: now', 'Output Directory: /out', 'Operation: Copy',
-    'OVERALL STATISTICS', repeat('-', 25), 'Total Files Processed: ' || n, 'Successful Operations: ' || good,
-    'Failed Operations: ' || bad, 'Success Rate: ' || printf('%.1f', good * 100.0 / n) || '%', 'CLUSTER BREAKDOWN',
+    'Report on the sorted documents', repeat('=', 50), 'Written: now', 'Folder: /out', 'Placed by: Copy',
+    'All files', repeat('-', 25), 'Files: ' || n, 'Placed: ' || good,
+    'Not placed: ' || bad, 'Share placed: ' || printf('%.1f', good * 100.0 / n) || '%', 'Clusters',
     repeat('-', 25)]) AS line, unnest(generate_series(0, 12)) AS part FROM totals),
 first AS (
   SELECT cluster_id, document_name, row_number() OVER (PARTITION BY cluster_id ORDER BY document_name, doc_id) AS r
   FROM texts)
 SELECT 0 AS section, 0 AS cluster_id, part::INT AS part, '' AS item, line FROM head
 UNION ALL SELECT 1, cluster_id, 0, '', name FROM statistics
-UNION ALL SELECT 1, cluster_id, 1, '', '   Files: ' || file_count || ' (' || printf('%.1f', percentage) || '%)'
+UNION ALL SELECT 1, cluster_id, 1, '', '   Size: ' || file_count || ' (' || printf('%.1f', percentage) || '%)'
   FROM statistics
-UNION ALL SELECT 1, cluster_id, 2, '', '   Documents:' FROM statistics
+UNION ALL SELECT 1, cluster_id, 2, '', '   Members:' FROM statistics
 UNION ALL SELECT 1, cluster_id, (2 + r)::INT, '', '     - ' || document_name FROM first WHERE r <= 10
-UNION ALL SELECT 1, cluster_id, 13, '', '     ... and ' || (file_count - 10) || ' more' FROM statistics
+UNION ALL SELECT 1, cluster_id, 13, '', '     and ' || (file_count - 10) || ' others' FROM statistics
   WHERE file_count > 10
-UNION ALL SELECT 2, 0, 0, '', 'FAILED OPERATIONS (' || bad || ')' FROM totals WHERE bad > 0
+UNION ALL SELECT 2, 0, 0, '', 'Files not placed (' || bad || ')' FROM totals WHERE bad > 0
 UNION ALL SELECT 2, 0, 1, '', repeat('-', 25) FROM totals WHERE bad > 0
 UNION ALL SELECT 2, 0, 2, document_name || ' ' || doc_id, '   - ' || document_name || ': ' || error
   FROM manifest WHERE NOT success"""
@@ -310,7 +307,7 @@ SELECT cluster_id, file_count, {r6('percentage')} AS percentage, name FROM stati
     "clean_text": f"WITH {TEXTS} SELECT doc_id, full_text FROM texts",
     "valid_pages": f"""WITH {PAGES} SELECT doc_id, page_number::INT AS page_number, raw_text FROM pages_of
 WHERE length({strip('raw_text')}) >= {q.PAGE_LENGTH}""",
-    "assemble_document": f"WITH {assembled(int(0.02 * 1024 * 1024))} SELECT * FROM assembled",
+    "assemble_document": f"WITH {assembled()} SELECT * FROM assembled",
     "cleaned_pages": f"""WITH {PAGES} SELECT doc_id, page_number::INT AS page_number, {clean('raw_text')} AS text
 FROM pages_of WHERE length({strip('raw_text')}) >= {q.PAGE_LENGTH}""",
     "count_words": f"WITH {TEXTS} SELECT doc_id, {n_words('full_text')} AS word_count FROM texts",
@@ -335,7 +332,7 @@ FROM texts""",
 SELECT {r6('avg(words)')} AS avg_words, {r6('avg(length)')} AS avg_characters,
   {r6('avg(CASE WHEN words > 0 THEN u / words END)')} AS avg_vocabulary_diversity FROM c""",
     "sanitize_name": f"SELECT page_id, {sanitize('url')} AS name FROM pages",
-    "embed_with_model": letters("array_to_string(string_split(full_text, ' ')[1:512], ' ')"),
+    "embed_with_model": letters("full_text"),
     "l2_normalize": f"""WITH {POINTS}, scaled AS (
   SELECT doc_id, list_transform(x, lambda e: e * (cluster_id + 2)) AS x FROM points),
 normed AS (SELECT doc_id, x, sqrt(list_dot_product(x, x)) AS n FROM scaled)
@@ -344,6 +341,14 @@ SELECT doc_id, (unnest(generate_series(1, len(x))) - 1)::INT AS position,
     "incremental_embed": letters("full_text"),
     "pairwise_similarity": f"""WITH {PAIRS} SELECT id_a, id_b, {r6('dot')} AS similarity FROM pairs
 WHERE id_a < id_b AND dot >= 0.25 UNION ALL SELECT doc_id, doc_id, 1.0 FROM points""",
+    "pairwise_similarity_copies": f"""WITH {COPIES} SELECT a.doc_id AS id_a, b.doc_id AS id_b, {r6('list_dot_product(a.x, b.x)')} AS similarity
+FROM twice a JOIN twice b ON a.doc_id < b.doc_id WHERE list_dot_product(a.x, b.x) >= 0.25""",
+    "similarity_network_copies": f"""WITH {COPIES} SELECT a.doc_id AS id_a, b.doc_id AS id_b, {r6('list_dot_product(a.x, b.x)')} AS similarity
+FROM twice a JOIN twice b ON a.doc_id < b.doc_id WHERE list_dot_product(a.x, b.x) > 0.3""",
+    "pairwise_correlation_copies": f"""WITH {COPIES}, centred AS (
+  SELECT doc_id, list_transform(x, lambda e: e - m) AS x FROM (SELECT doc_id, x, list_avg(x) AS m FROM twice))
+SELECT a.doc_id AS id_a, b.doc_id AS id_b, {r6('list_cosine_similarity(a.x, b.x)')} AS correlation
+FROM centred a JOIN centred b ON a.doc_id < b.doc_id WHERE list_cosine_similarity(a.x, b.x) >= 0.25""",
     "find_most_similar": f"""WITH {POINTS}, scored AS (
   SELECT q.doc_id AS query_id, p.doc_id, list_dot_product(q.x, p.x) AS s FROM points q, points p)
 SELECT query_id, doc_id, {r6('s')} AS similarity, rank FROM (
@@ -478,8 +483,8 @@ FROM records r JOIN texts USING (doc_id) LEFT JOIN names USING (cluster_id)""",
     "cluster_listing": f"""WITH {TEXTS}, {NAMES} SELECT cluster_id, coalesce(name, 'Cluster_' || cluster_id) AS cluster,
   document_name FROM texts LEFT JOIN names USING (cluster_id)""",
     "listing_summary": f"""WITH {TEXTS}, {NAMES}, head AS (SELECT unnest([repeat('=', 60),
-    'DOCUMENT ORGANIZATION SUMMARY', repeat('=', 60), 'Total Documents: ' || count(*),
-    'Total Clusters: ' || count(DISTINCT cluster_id), repeat('=', 60), 'CLUSTER DETAILS', repeat('=', 60)]) AS line,
+    'Documents by cluster', repeat('=', 60), 'Documents: ' || count(*),
+    'Clusters: ' || count(DISTINCT cluster_id), repeat('=', 60), 'Listing', repeat('=', 60)]) AS line,
   unnest(generate_series(0, 7)) AS part FROM texts),
 c AS (SELECT DISTINCT cluster_id FROM texts)
 SELECT 0 AS section, 0 AS cluster_id, part::INT AS part, '' AS item, line FROM head

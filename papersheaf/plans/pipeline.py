@@ -76,7 +76,7 @@ class DocumentClusterer:
 
     def __init__(self, algorithm: str = "kmeans", n_clusters: int | None = None, random_state: int = 42, **options):
         if algorithm not in ALGORITHMS:
-            raise ValueError(f"Unsupported algorithm: {algorithm}. Choose from: {list(ALGORITHMS)}")
+            raise ValueError(f"no algorithm named {algorithm!r}, only {', '.join(ALGORITHMS)}")
         self.algorithm = algorithm
         self.n_clusters = n_clusters
         self.random_state = random_state

@@ -123,7 +123,7 @@ def letter_model() -> Callable[[np.ndarray], np.ndarray]:
 
 
 def embed_letters(rows: DataFrame, column: str) -> DataFrame:
-    return embedding.embed_with_model(rows, letter_model, column, max_words=None)
+    return embedding.embed_with_model(rows, letter_model, column)
 
 
 def exploded(rows: DataFrame) -> DataFrame:
@@ -301,7 +301,7 @@ def valid_pages(spark, sf_dir):
 
 @query
 def assemble_document(spark, sf_dir):
-    found = documents.assemble_document(page_table(spark, sf_dir), PAGE_LENGTH, max_file_size_mb=0.02)
+    found = documents.assemble_document(page_table(spark, sf_dir), PAGE_LENGTH)
     return found.select(
         "doc_id", "full_text", "page_count", "total_pages", "word_count", "char_count", "success", "error"
     )
@@ -407,6 +407,29 @@ def pairwise_similarity(spark, sf_dir):
     return with_rounded(similarity.pairwise_similarity(points(spark, sf_dir), 0.25), "similarity")
 
 
+def with_copies(rows: DataFrame) -> DataFrame:
+    """Every vector under two ids."""
+    copy = (F.col("doc_id") + 1_000_000).alias("doc_id")
+    return rows.select("doc_id", "embedding").unionByName(rows.select(copy, "embedding"))
+
+
+@query
+def pairwise_similarity_copies(spark, sf_dir):
+    rows = with_copies(points(spark, sf_dir))
+    return with_rounded(similarity.pairwise_similarity(rows, 0.25, include_diagonal=False), "similarity")
+
+
+@query
+def similarity_network_copies(spark, sf_dir):
+    return with_rounded(similarity.similarity_network(with_copies(points(spark, sf_dir)), 0.3), "similarity")
+
+
+@query
+def pairwise_correlation_copies(spark, sf_dir):
+    rows = with_copies(points(spark, sf_dir))
+    return with_rounded(similarity.pairwise_correlation(rows, 0.25, include_diagonal=False), "correlation")
+
+
 @query
 def find_most_similar(spark, sf_dir):
     rows = points(spark, sf_dir)

@@ -140,6 +140,19 @@ def test_kmeans_finds_separate_groups(spark):
     assert list(labels_of(again, len(x))) == list(label)
 
 
+def test_a_far_group_among_many_rows_gets_a_centre(spark):
+    """6000 rows of which 6 are far away: every row can be a start, and limits of bytes change nothing."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (5994, 4)), rng.normal(0, 0.01, (6, 4)) + 80])
+    rows = frame(spark, x)
+    labels = [
+        {r.doc_id: r.cluster_id for r in kmeans.kmeans(rows, 2, restarts=2, limit_bytes=limit)[0].collect()}
+        for limit in (10, kmeans.LIMIT_BYTES)
+    ]
+    assert labels[0] == labels[1]
+    assert [i for i, label in sorted(labels[0].items()) if label == 1] == list(range(5994, 6000))
+
+
 def test_kmeans_in_small_passes_and_as_a_table(spark):
     x = blobs(spread=0.05)
     rows = frame(spark, x)
@@ -226,7 +239,7 @@ def test_evaluate_range(spark):
 
 
 def test_unknown_algorithm():
-    with pytest.raises(ValueError, match="Unsupported algorithm"):
+    with pytest.raises(ValueError, match="no algorithm named"):
         DocumentClusterer(algorithm="invalid_algorithm")
     chosen = DocumentClusterer(algorithm="kmeans", n_clusters=3)
     assert (chosen.algorithm, chosen.n_clusters) == ("kmeans", 3)

@@ -81,9 +81,9 @@ def test_report_lists_ten_files_and_counts_the_rest(spark):
     manifest = organize.placement_manifest(rows, files, directory="/in")
     lines = [r.line for r in organize.readable_report(rows, manifest, None, "/out", "now").collect()]
     assert lines[lines.index("Cluster 0") :] == [
-        "Cluster 0", "   Files: 13 (92.9%)", "   Documents:", *[f"     - f{i:02}.pdf" for i in range(10)],
-        "     ... and 3 more", "Cluster 1", "   Files: 1 (7.1%)", "   Documents:", "     - gone.pdf",
-        "FAILED OPERATIONS (1)", "-" * 25, "   - gone.pdf: Source file not found: gone.pdf",
+        "Cluster 0", "   Size: 13 (92.9%)", "   Members:", *[f"     - f{i:02}.pdf" for i in range(10)],
+        "     and 3 others", "Cluster 1", "   Size: 1 (7.1%)", "   Members:", "     - gone.pdf",
+        "Files not placed (1)", "-" * 25, "   - gone.pdf: Source file not found: gone.pdf",
     ]
 
 
@@ -101,7 +101,7 @@ def test_tables_match_on_identity(spark):
         ("c.pdf", "Cluster_8", 2, 5, "Success"),
     }
     lines = [r.line for r in organize.listing_summary(rows, names).collect()]
-    assert lines[3:5] == ["Total Documents: 2", "Total Clusters: 2"]
+    assert lines[3:5] == ["Documents: 2", "Clusters: 2"]
     assert lines[8:] == ["Seven", "-" * 40, "  • a.pdf", "Cluster 8", "-" * 40, "  • c.pdf"]
     summary = rows.withColumn("intra_cluster_similarity", F.lit(0.5))
     stats = organize.cluster_statistics(summary, names).orderBy("cluster_id").collect()
@@ -126,7 +126,7 @@ def test_organize_documents_writes_folders_and_reports(spark):
     }
     assert "/organized_2" in done.report_paths["text"]
     text = [r.value for r in spark.read.text(done.report_paths["text"]).collect()]
-    assert "Failed Operations: 1" in text and text[0] == "PDF ORGANIZATION SUMMARY REPORT"
+    assert "Not placed: 1" in text and text[0] == "Report on the sorted documents"
     table = spark.read.option("header", True).csv(done.report_paths["breakdown"])
     assert table.count() == 3 and table.columns == ["doc_id", "document_name", "cluster_id"]
     metadata = spark.read.json(done.report_paths["metadata"]).first()
@@ -147,7 +147,7 @@ def test_cache_embeds_each_missing_text_once(spark):
         return predict
 
     def embed(rows, column):
-        return embedding.embed_with_model(rows, model, column, max_words=None, normalize=False)
+        return embedding.embed_with_model(rows, model, column, normalize=False)
 
     path = fresh_folder(spark, "cache")
     first = spark.createDataFrame([(1, "aa"), (2, "bbb"), (3, "aa")], "doc_id bigint, full_text string")
