@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papersheaf.session import materialized
+from papersheaf.session import discard, materialized
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -16,7 +16,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     labels = nodes.select("id", F.col("id").alias("label"))
     remaining = materialized(edges.select("u", "v").filter("u <> v").distinct())
+    first = True
     while not remaining.isEmpty():
+        before = [remaining] if first else [remaining, labels]
         both = remaining.unionByName(remaining.select(F.col("v").alias("u"), F.col("u").alias("v")))
         follow = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to"))
         onward = follow.select(F.col("u").alias("to"), F.col("to").alias("root"))
@@ -35,4 +37,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
+        discard(*before, parents)
+        first = False
     return labels

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,39 @@ DIMENSIONS = 384
 BATCH_SIZE = 32
 
 
+def _term_counts(documents: DataFrame, text_field: str, dimensions: int, max_words: int | None, keep: tuple[str, ...]) -> DataFrame:
+    body = F.col(text_field) if max_words is None else text.first_n_words(F.col(text_field), max_words)
+    token = F.lit(f"({text.LETTER_OR_DIGIT}+)")
+    tokens = documents.select(*keep, F.regexp_extract_all(F.lower(body), token, F.lit(1)).alias("_words"))
+    return HashingTF(numFeatures=dimensions, inputCol="_words", outputCol="_tf").transform(tokens).drop("_words")
+
+
+@dataclass
+class TextEmbedder:
+    """Hashed TF-IDF in the space of the documents it was fitted on; other texts can be placed in it."""
+
+    idf: IDFModel
+    dimensions: int
+    max_words: int | None
+
+    def transform(self, rows: DataFrame, text_field: str = "full_text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        """``keep`` and ``embedding ARRAY<FLOAT>`` of unit length."""
+        return self.weighted(_term_counts(rows, text_field, self.dimensions, self.max_words, keep), keep)
+
+    def weighted(self, counted: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+        weighted = self.idf.transform(counted)
+        unit = Normalizer(p=2.0, inputCol="_tfidf", outputCol="_unit").transform(weighted)
+        return unit.select(*keep, vector_to_array("_unit", "float32").alias("embedding"))
+
+
+def fit_embedder(
+    documents: DataFrame, text_field: str = "full_text", dimensions: int = DIMENSIONS, max_words: int | None = None
+) -> TextEmbedder:
+    """An embedder whose inverse frequencies come from all ``documents``."""
+    counted = _term_counts(documents, text_field, dimensions, max_words, ())
+    return TextEmbedder(IDF(inputCol="_tf", outputCol="_tfidf").fit(counted), dimensions, max_words)
+
+
 def embed_documents(
     documents: DataFrame,
     text_field: str = "full_text",
@@ -26,17 +60,12 @@ def embed_documents(
 ) -> DataFrame:
     """Hashed TF-IDF vectors of unit length, computed by Spark alone: ``keep`` and ``embedding ARRAY<FLOAT>``.
 
-    Whole texts are read unless the caller names a number of leading words, ``max_words``. Term counts are written once, so that texts are read and split only once
-    although the inverse frequencies need a pass of their own.
+    Whole texts are read unless the caller names a number of leading words, ``max_words``. Term counts are written once, so that
+    texts are read and split only once although the inverse frequencies need a pass of their own.
     """
-    body = F.col(text_field) if max_words is None else text.first_n_words(F.col(text_field), max_words)
-    token = F.lit(f"({text.LETTER_OR_DIGIT}+)")
-    tokens = documents.select(*keep, F.regexp_extract_all(F.lower(body), token, F.lit(1)).alias("_words"))
-    hashed = HashingTF(numFeatures=dimensions, inputCol="_words", outputCol="_tf").transform(tokens)
-    counted = materialized(hashed.drop("_words"))
-    weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted).transform(counted)
-    unit = Normalizer(p=2.0, inputCol="_tfidf", outputCol="_unit").transform(weighted)
-    return unit.select(*keep, vector_to_array("_unit", "float32").alias("embedding"))
+    counted = materialized(_term_counts(documents, text_field, dimensions, max_words, keep))
+    model = TextEmbedder(IDF(inputCol="_tf", outputCol="_tfidf").fit(counted), dimensions, max_words)
+    return model.weighted(counted, keep)
 
 
 def embed_with_model(

@@ -9,6 +9,7 @@ such as the k of a sweep, so that many clusterings of the same documents are mea
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -114,12 +115,11 @@ def distances_to_center(points: DataFrame, centers: DataFrame | None = None, by:
     centers = cluster_centers(points, by) if centers is None else centers
     keys = [*_keys(by), "cluster_id"]
 
-    def named(table: pa.Table) -> list[tuple]:
-        return list(zip(*(table.column(key).to_numpy() for key in keys)))
+    def named(table: pa.Table) -> pd.MultiIndex:
+        return pd.MultiIndex.from_arrays([table.column(key).to_numpy() for key in keys])
 
     def kernel(rows: pa.Table, known: pa.Table) -> dict:
-        place = {key: i for i, key in enumerate(named(known))}
-        own = np.array([place.get(key, -1) for key in named(rows)])
+        own = named(known).get_indexer(named(rows))
         rows, own = rows.filter(pa.array(own >= 0)), own[own >= 0]
         gap = blocks.matrix(rows.column("embedding")) - blocks.matrix(known.column("embedding"))[own]
         distance = np.sqrt((gap * gap).sum(1))

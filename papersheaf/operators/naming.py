@@ -33,7 +33,8 @@ def _top(rows: DataFrame, words: Column, counts: DataFrame, k: int) -> DataFrame
     """
     order = Window.partitionBy("cluster_id").orderBy(F.desc("n"), F.asc("first_doc"))
     tied = counts.withColumn("_r", F.rank().over(order)).filter(F.col("_r") <= k).drop("_r")
-    place = rows.select(F.col("doc_id").alias("first_doc"), words.alias("_words"))
+    few = tied.select(F.col("first_doc").alias("doc_id")).distinct()  # at most k documents and ties per cluster
+    place = rows.join(few, "doc_id", "left_semi").select(F.col("doc_id").alias("first_doc"), words.alias("_words"))
     located = tied.join(place, "first_doc").withColumn("place", F.array_position("_words", F.col("word")))
     return ranking.top_per_key(
         located.drop("_words"), ["cluster_id"], [F.desc("n"), F.asc("first_doc"), F.asc("place")], k
@@ -52,7 +53,7 @@ def word_counts(documents: DataFrame, text_field: str = "full_text") -> DataFram
 def cluster_top_words(documents: DataFrame, k: int = 3, text_field: str = "full_text") -> DataFrame:
     """``(cluster_id, rank, word, n)`` for the most frequent words, ties by first appearance."""
     words, usable = _content_words(text_field)
-    counts = _counted(documents, words, usable)
+    counts = materialized(_counted(documents, words, usable))
     return _top(documents, words, counts, k).select("cluster_id", "rank", "word", "n")
 
 
@@ -127,7 +128,7 @@ def theme_names(documents: DataFrame, text_field: str = "full_text") -> DataFram
     words = text.words(F.lower(text_field))
     usable = (F.length("word") > 4) & ~F.col("word").isin(lexicon.THEME_STOP_WORDS)
     frequent = (
-        _top(documents, words, _counted(documents, words, usable).filter("n > 1"), 3)
+        _top(documents, words, materialized(_counted(documents, words, usable).filter("n > 1")), 3)
         .groupBy("cluster_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("top"))  # three at most
         .select("cluster_id", F.col("top.word").alias("words"))

@@ -157,6 +157,12 @@ LETTER_VECTORS = "[" + ", ".join(
 ) + "]"
 
 
+UNIT = (
+    "CASE WHEN list_dot_product(v, v) = 0 THEN v "
+    "ELSE list_transform(v, lambda e: (e / sqrt(list_dot_product(v, v)))::FLOAT::DOUBLE) END"
+)
+
+
 def letters(body: str) -> str:
     return f"""WITH {TEXTS}, counted AS (
   SELECT doc_id, v, sqrt(list_dot_product(v, v)) AS n FROM (
@@ -350,7 +356,7 @@ FROM twice a JOIN twice b ON a.doc_id < b.doc_id WHERE list_dot_product(a.x, b.x
 SELECT a.doc_id AS id_a, b.doc_id AS id_b, {r6('list_cosine_similarity(a.x, b.x)')} AS correlation
 FROM centred a JOIN centred b ON a.doc_id < b.doc_id WHERE list_cosine_similarity(a.x, b.x) >= 0.25""",
     "find_most_similar": f"""WITH {POINTS}, scored AS (
-  SELECT q.doc_id AS query_id, p.doc_id, list_dot_product(q.x, p.x) AS s FROM points q, points p)
+  SELECT q.doc_id AS query_id, p.doc_id, list_dot_product(q.x, p.x) AS s FROM points q, points p WHERE q.doc_id % 50 = 0)
 SELECT query_id, doc_id, {r6('s')} AS similarity, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id)::INT AS rank FROM scored) WHERE rank <= 5""",
     "similarity_network": f"""WITH {PAIRS} SELECT id_a, id_b, {r6('dot')} AS similarity FROM pairs
@@ -361,6 +367,22 @@ c AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, list_cosine_similarity(a.x, b.x
   FROM centred a JOIN centred b ON a.doc_id < b.doc_id)
 SELECT id_a, id_b, {r6('r')} AS correlation FROM c WHERE r >= 0.25
 UNION ALL SELECT doc_id, doc_id, 1.0 FROM points""",
+    "search_text": f"""WITH {TEXTS}, asked AS (
+  SELECT item_id AS query_id, {clean('text')} AS body FROM benchmark),
+q AS (SELECT query_id, {LETTER_VECTORS} AS v FROM asked),
+d AS (SELECT doc_id, {LETTER_VECTORS} AS v FROM (SELECT doc_id, full_text AS body FROM texts)),
+qn AS (SELECT query_id, {UNIT} AS x FROM q), dn AS (SELECT doc_id, {UNIT} AS x FROM d),
+ranked AS (
+  SELECT query_id, list_dot_product(qn.x, dn.x) AS s,
+    row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(qn.x, dn.x) DESC, doc_id) AS rank FROM qn, dn)
+SELECT query_id, {r6('max(s)')} AS best, {r6('min(s)')} AS fifth FROM ranked WHERE rank <= 5 GROUP BY query_id""",
+    "embedder_places_texts": f"""WITH {TEXTS} SELECT count(*) AS n, count(*) AS n_same,
+  count(*) FILTER (regexp_matches(full_text, '[\\p{{L}}\\p{{N}}]')) AS n_unit, count(*) AS n_whole
+FROM texts WHERE full_text <> ''""",
+    "join_embeddings": f"""SELECT doc_id, lang, {r6('embedding[1]::DOUBLE')} AS first
+FROM documents JOIN embeddings ON vec_id = doc_id""",
+    "best_per_metric": f"""WITH {SCORES} SELECT arg_max(k, silhouette) AS best_silhouette_k,
+  arg_max(k, calinski_harabasz) AS best_calinski_harabasz_k FROM scores""",
     "embedding_statistics": f"""WITH {LONG} SELECT count(DISTINCT doc_id) AS n_documents, max(i)::INT AS dimension,
   {r6('min(v)')} AS min_value, {r6('max(v)')} AS max_value, {r6('avg(v)')} AS mean_value,
   {r6('stddev_pop(v)')} AS std_value FROM longs""",
@@ -495,3 +517,7 @@ UNION ALL SELECT 1, cluster_id, 2, document_name || ' ' || doc_id, '  • ' || d
   'Cluster_' || cluster_id), '(', ''), ')', ''), ' ', '_') || '/' || document_name AS archive_path
 FROM texts LEFT JOIN names USING (cluster_id)""",
 }
+
+ORACLES["fit_predict_dbscan"] = f"SELECT doc_id, cluster_id FROM ({ORACLES['dbscan']})"
+ORACLES["kmeans_invariants"] = f"""WITH {POINTS} SELECT count(*) AS n, count(*) AS n_nearest, 8::BIGINT AS n_clusters,
+  8::BIGINT AS n_means, true AS sizes_descend FROM points"""

@@ -433,10 +433,55 @@ def pairwise_correlation_copies(spark, sf_dir):
 @query
 def find_most_similar(spark, sf_dir):
     rows = points(spark, sf_dir)
-    asked = rows.select(F.col("doc_id").alias("query_id"), "embedding")
+    asked = rows.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
     return with_rounded(similarity.find_most_similar(asked, rows), "similarity")
 
 
+@query
+def search_text(spark, sf_dir):
+    """The benchmark texts against all documents, both placed by the same model."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.clean_text(F.col("text")).alias("full_text"))
+    rows = embed_letters(texts(spark, sf_dir).select("doc_id", "full_text"), "full_text").select("doc_id", "embedding")
+    found = similarity.search_text(asked, rows, lambda queries: embed_letters(queries, "full_text"))
+    return with_rounded(found.groupBy("query_id").agg(F.max("similarity").alias("best"), F.min("similarity").alias("fifth")), "best", "fifth")
+
+
+@query
+def embedder_places_texts(spark, sf_dir):
+    """Texts embedded again by the fitted embedder: as many as there are, all at their own document's place."""
+    rows = documents.embeddable_documents(pipeline.prepare_documents(raw_documents(spark, sf_dir))).select("doc_id", "full_text")
+    model = embedding.fit_embedder(rows, dimensions=64)
+    first, again = embedding.embed_documents(rows, dimensions=64), model.transform(rows)
+    both = first.join(again.withColumnRenamed("embedding", "other"), "doc_id")
+    same = vectors.squared_distance(F.col("embedding"), F.col("other")) < 1e-9
+    length = vectors.squared_norm(vectors.doubles(F.col("embedding")))
+    return both.agg(
+        F.count("*").alias("n"),
+        F.count_if(same).alias("n_same"),
+        F.count_if(F.abs(length - 1) < 1e-5).alias("n_unit"),
+        F.count_if(F.size("embedding") == 64).alias("n_whole"),
+    )
+
+
+@query
+def join_embeddings(spark, sf_dir):
+    joined = embedding.join_embeddings(table(spark, sf_dir, "documents").select("doc_id", "lang"), points(spark, sf_dir))
+    return joined.select("doc_id", "lang", rounded(F.col("embedding")[0].cast("double")).alias("first"))
+
+
+@query
+def best_per_metric(spark, sf_dir):
+    scores = score_table(spark, sf_dir).withColumnsRenamed(
+        {"silhouette": "silhouette_score", "calinski_harabasz": "calinski_harabasz_score"}
+    )
+    return select_k.best_per_metric(scores)
+
+
+@query
+def fit_predict_dbscan(spark, sf_dir):
+    return pipeline.DocumentClusterer("dbscan", eps=EPS).fit_predict(points(spark, sf_dir)).select("doc_id", "cluster_id")
+
+
 @query
 def similarity_network(spark, sf_dir):
     return with_rounded(similarity.similarity_network(points(spark, sf_dir), 0.3), "similarity")
@@ -472,6 +517,30 @@ def fit_predict(spark, sf_dir):
     return pipeline.DocumentClusterer("kmeans", n_clusters=8).fit_predict(points(spark, sf_dir))
 
 
+@query
+def kmeans_invariants(spark, sf_dir):
+    """What any result of k-means must fulfil, counted by plain joins over its written assignment."""
+    rows = points(spark, sf_dir).select("doc_id", "embedding")
+    labels, centers = kmeans.kmeans(rows, 8)
+    labels = materialized(labels.select("doc_id", "cluster_id"))
+    gap = F.sqrt(vectors.squared_distance(vectors.doubles(F.col("embedding")), F.col("center")))
+    every = rows.crossJoin(F.broadcast(centers.withColumnRenamed("cluster_id", "other"))).withColumn("gap", gap)  # 8 rows
+    near = every.groupBy("doc_id").agg(F.min("gap").alias("least"))
+    own = every.join(labels, "doc_id").filter("other = cluster_id").join(near, "doc_id")
+    nearest = own.agg(F.count("*").alias("n"), F.count_if(F.col("gap") <= F.col("least") + 1e-9).alias("n_nearest"))
+    values = rows.join(labels, "doc_id").select("cluster_id", F.posexplode("embedding").alias("i", "v"))
+    means = values.groupBy("cluster_id", "i").agg(F.avg(F.col("v").cast("double")).alias("mean"))
+    wanted = centers.select("cluster_id", F.posexplode("center").alias("i", "value"))
+    off = means.join(wanted, ["cluster_id", "i"]).groupBy("cluster_id").agg(F.max(F.abs(F.col("mean") - F.col("value"))).alias("off"))
+    sizes = labels.groupBy("cluster_id").agg(F.count("*").alias("size"))
+    listed_sizes = F.transform(F.array_sort(F.collect_list(F.struct("cluster_id", "size"))), lambda s: s["size"])
+    order = sizes.agg(
+        F.count("*").alias("n_clusters"), (listed_sizes == F.reverse(F.array_sort(listed_sizes))).alias("sizes_descend")
+    )
+    moved = off.agg(F.count_if(F.col("off") < 1e-2).alias("n_means"))
+    return nearest.crossJoin(order).crossJoin(moved)  # one row each
+
+
 @query
 def kmeans_assign(spark, sf_dir):
     return with_rounded(kmeans.kmeans_assign(points(spark, sf_dir), label_centers(spark, sf_dir)), "distance")

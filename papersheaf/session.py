@@ -69,6 +69,17 @@ def materialized(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialized`` that nothing reads any more, such as those of a round that is over."""
+    for table in tables:
+        spark = table.sparkSession
+        folders = {path.rsplit("/", 1)[0] for path in table.inputFiles()}
+        for folder in folders:
+            if "/papersheaf/" in folder and folder.rsplit("/", 1)[1].startswith("table-"):
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread_rows(rows: DataFrame) -> DataFrame:
     """Give every core a share when the input has fewer partitions than there are cores.
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papersheaf.session import materialized
+
 CACHE = "cache_key string, embedding array<float>, model string"
 
 
@@ -17,14 +20,14 @@ def cache_key(model: str, body: Column) -> Column:
 
 
 def read_cache(spark: SparkSession, path: str, model: str) -> DataFrame:
-    """Cached ``(cache_key, embedding)`` of one model; a missing cache has no rows."""
+    """Cached ``(cache_key, embedding)`` of one model; a missing cache has no rows. Keys are unique as written."""
     try:
         cached = spark.read.schema(CACHE).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         cached = spark.createDataFrame([], CACHE)
-    return cached.filter(F.col("model") == model).select("cache_key", "embedding").dropDuplicates(["cache_key"])
+    return cached.filter(F.col("model") == model).select("cache_key", "embedding")
 
 
 def split_by_cache(keyed: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,15 +50,16 @@ def incremental_embed(
     vectors from the table. When the cache cannot be written the vectors are still returned.
     """
     spark = documents.sparkSession
-    keyed = documents.withColumn("_body", F.col(text_field)).withColumn(
-        "cache_key", cache_key(model, F.col(text_field))
+    keyed = materialized(  # texts are made once, for the missing ones and for the result
+        documents.withColumn("_body", F.col(text_field)).withColumn("cache_key", cache_key(model, F.col(text_field)))
     )
     hits, misses = split_by_cache(keyed, read_cache(spark, path, model))
-    fresh = embed(misses, "_body").select("cache_key", F.col("embedding").cast("array<float>").alias("embedding"))
+    embedded = embed(misses, "_body").select("cache_key", F.col("embedding").cast("array<float>").alias("embedding"))
+    fresh = materialized(embedded)
     try:
         fresh.withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(path)
         vectors = read_cache(spark, path, model)
         return keyed.join(vectors, "cache_key").drop("_body", "cache_key")
-    except AnalysisException as error:
-        warnings.warn(f"embedding cache not written: {error}", stacklevel=2)
+    except (PySparkException, Py4JError) as error:  # an unwritable folder, a full disk, a failed job
+        warnings.warn(f"embedding cache not written: {str(error)[:500]}", stacklevel=2)
     return hits.unionByName(keyed.join(fresh, "cache_key")).drop("_body", "cache_key")
