@@ -5,17 +5,9 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from papersheaf.plans import oracles
 
 SF = "/root/testdata/sf0.001"
-# the slow iterative ones are tested against brute force elsewhere
-SAMPLED = [
-    "validate_files", "extract_pages", "extract_documents", "assemble_document", "failed_records", "first_n_words",
-    "text_characteristics", "embedding_cache", "incremental_embed", "pairwise_similarity", "find_most_similar",
-    "pairwise_correlation", "embedding_histogram", "kmeans_assign", "kmeans_step", "dbscan", "best_k",
-    "clustering_evaluation", "cluster_info", "cluster_summary", "cluster_ellipses", "content_names",
-    "content_names_default", "filename_names", "theme_names", "resolve_sources", "resolve_conflicts",
-    "placement_manifest", "readable_report", "document_table", "listing_summary", "write_clustered", "write_plan",
-]
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +18,7 @@ def database():
     return connection
 
 
-@pytest.mark.parametrize("name", SAMPLED)
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_query_equals_sql(spark, database, name):
     got = entry.queries()[name](spark, SF).toPandas()
     assert check.compare(got, database.execute(entry.oracle_sql()[name]).df()).startswith("ok")
