@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
@@ -33,10 +35,27 @@ from papersheaf.operators.blocks import arrow_schema
 PIECE_CHARS = 32_768
 BATCH_CHARS = 1 << 19
 WINDOW = 64  # characters on each side of a join at first
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 RUN = 4  # characters of the same kind that make a place the middle of a run
 LETTER, NUMBER, SPACE = (regex.compile(p) for p in (r"\p{L}", r"\p{N}", r"\s"))
 
 
+# How byte-level tokenizers of this family split a text into pre-tokens.
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PLAIN = "\\t\\n\\r\u0020-\u007e\u00a1-\u024f"
+OTHER = regex.compile(f"[^{PLAIN}]")
+KNOWN = 1 << 18  # remembered pre-tokens of a task
+LONG_WORD = 64  # characters; longer ones are not remembered
+
+
+def pack(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if LITTLE else np.asarray(ids, "<u4").tobytes()
+
+
+def unpack(data: bytes) -> list[int]:
+    return np.frombuffer(data, "<u4").tolist()
+
+
 class Codec:
     """One tokenizer inside a task, from the text of its file."""
 
@@ -55,8 +74,28 @@ class Codec:
         for token in model["added_tokens"]:
             self.bytes[token["id"]] = token["content"].encode()
         self.special = [t["content"] for t in model["added_tokens"]]
+        self.known: dict[str, bytes] = {}
         self.margin = max([len(s) for s in self.special], default=0)
 
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers.
+
+        Pre-tokens are encoded on their own by definition, so each is looked up once and remembered. Texts with special tokens or
+        with characters outside ``PLAIN``, where versions of Unicode could differ, are left to the tokenizer as a whole.
+        """
+        words = [None if OTHER.search(t) or any(s in t for s in self.special) else PRE_TOKEN.findall(t) for t in texts]
+        new = list(set().union(*(w for w in words if w)) - self.known.keys())
+        self.known.update(zip(new, map(pack, self.encode(new))))
+        out = [b"" if w is None else b"".join(map(self.known.__getitem__, w)) for w in words]
+        for k, found in zip(rest := [k for k, w in enumerate(words) if w is None], self.encode([texts[k] for k in rest])):
+            out[k] = pack(found)
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        for word in new:
+            if len(word) > LONG_WORD:
+                self.known.pop(word, None)
+        return out
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -213,9 +252,6 @@ def encode(documents: DataFrame, source: str, piece_chars: int = PIECE_CHARS) ->
     long = F.char_length("text") > piece_chars
     out = arrow_schema(rows, "doc_id bigint, ids binary, decoded string")
 
-    def packed(ids: list[int]) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(shared.value)
         for batch in batches:
@@ -226,8 +262,8 @@ def encode(documents: DataFrame, source: str, piece_chars: int = PIECE_CHARS) ->
                 while stop < len(texts) and (stop == start or size + len(texts[stop]) <= BATCH_CHARS):
                     size += len(texts[stop])
                     stop += 1
-                found = code.encode(texts[start:stop])
-                columns = [ids.slice(start, stop - start), [packed(x) for x in found], [code.decode(x).decode() for x in found]]
+                found = code.packed(texts[start:stop])
+                columns = [ids.slice(start, stop - start), found, [code.decode(unpack(x)).decode() for x in found]]
                 yield from pa.table(columns, schema=out).to_batches()
                 start = stop
 
@@ -248,18 +284,18 @@ def encode(documents: DataFrame, source: str, piece_chars: int = PIECE_CHARS) ->
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
-                ids = packed(code.encode(one.column("text").to_pylist())[0])
+                ids = code.packed(one.column("text").to_pylist())[0]
                 yield from pa.table([*one.columns, pa.array([ids], pa.binary())], schema=piece_out).to_batches()
 
     def joined(group: pa.Table) -> pa.Table:
         code = codec(shared.value)
         group = group.sort_by("piece")
         halves = [
-            (text, np.frombuffer(ids, "<u4").tolist())
+            (text, unpack(ids))
             for text, ids in zip(group.column("text").to_pylist(), group.column("ids").to_pylist())
         ]
         ids = concatenated(halves, code)
-        return pa.table([group.column("doc_id").slice(0, 1), [packed(ids)], [code.decode(ids).decode()]], schema=out)
+        return pa.table([group.column("doc_id").slice(0, 1), [pack(ids)], [code.decode(ids).decode()]], schema=out)
 
     short = rows.filter(~long).mapInArrow(whole, "doc_id bigint, ids binary, decoded string")
     # a text and its id name a row, so that equal ids do not mix; equal rows are told apart by their number

@@ -37,6 +37,16 @@ def test_joined_pieces_equal_the_whole(seed):
         assert code.decode(ids) == whole.encode() == code.tokenizer.decode(ids, skip_special_tokens=False).encode()
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_remembered_pre_tokens_equal_the_library(seed, monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN", 200)
+    draw, code = random.Random(100 + seed), bpe.Codec(tokenizer_source())
+    odd = ["\x00\x1c\x1f\x85\xa0\u2003", "Ünïcödé ŝtŕ", "ß²³¼½ªº", "©®±×÷", "it's we'll I'M 'tis", "\t\r\n  \n"]
+    for _ in range(40):
+        texts = [text(draw, draw.choice([5, 80, 900])) + draw.choice(odd) * draw.randint(0, 3) for _ in range(8)] + ["", " "]
+        assert code.packed(texts) == [bpe.pack(ids) for ids in code.encode(texts)]
+
+
 def test_rows(spark):
     draw, code = random.Random(9), bpe.Codec(tokenizer_source())
     rows = [(k, text(draw, draw.choice([10, 2000]))) for k in range(40)] + [(50, None), (51, ""), (None, "x" * 900)]
