@@ -44,6 +44,18 @@ def test_conflicts_match_sequential_placement(spark, seed):
     assert got == place_one_by_one(rows)
 
 
+def test_names_with_many_numbers_at_the_end(spark):
+    """Each name is the parent of the next; the plan does not grow with their number."""
+    names = ["a" + "_1" * k + ".pdf" for k in range(13)]
+    rows = [(i, "clusters/c0", name) for i, name in enumerate(names * 2)]
+    placed = spark.createDataFrame(rows, "doc_id bigint, cluster_dir string, file_name string")
+    found = organize.resolve_conflicts(placed)
+    assert {r.doc_id: r.destination_path for r in found.collect()} == place_one_by_one(rows)
+    two = organize.resolve_conflicts(placed.filter("length(file_name) < 10"))
+    scans = [len(table._jdf.queryExecution().optimizedPlan().collectLeaves().toList().mkString("\n").split("\n")) for table in (found, two)]
+    assert scans[0] <= scans[1] + 2
+
+
 def test_one_name_holding_most_rows(spark):
     rows = spark.range(2000).select(
         F.col("id").alias("doc_id"), F.lit("clusters/c").alias("cluster_dir"), F.lit("scan.pdf").alias("file_name")
@@ -161,6 +173,18 @@ def test_cache_embeds_each_missing_text_once(spark):
     assert calls.value == 5
 
 
+def test_unwritable_cache_only_warns(spark, tmp_path):
+    (tmp_path / "file").write_text("x")  # no folder can be made below a file
+
+    def embed(rows, column):
+        return rows.withColumn("embedding", F.array(F.length(column).cast("float")))
+
+    rows = spark.createDataFrame([(1, "aa"), (2, "bbb")], "doc_id bigint, full_text string")
+    with pytest.warns(UserWarning, match="not written"):
+        got = cache.incremental_embed(rows, embed, str(tmp_path / "file" / "cache"), "m")
+    assert {(r.doc_id, r.embedding[0]) for r in got.collect()} == {(1, 2.0), (2, 3.0)}
+
+
 def test_texts_to_clusters(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     done = pipeline.cluster_texts(rows, 3, dimensions=64)

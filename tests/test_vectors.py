@@ -40,16 +40,26 @@ def expanded(pairs, x):
 @pytest.mark.parametrize("block_rows, cells", [(4096, None), (11, None), (16, 5)])
 def test_pairs_match_brute_force(spark, block_rows, cells):
     x, _ = sample()
-    found = similarity.similarity_network(frame(spark, x), 0.5, block_rows, cells).collect()
     sims = x @ x.T
     wanted = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if sims[i, j] > 0.5}
-    assert expanded(found, x) == wanted
+    compact = similarity.similarity_network(frame(spark, x), 0.5, block_rows, cells, compact=True).collect()
+    assert expanded(compact, x) == wanted
     # copies are linked once each, not pair by pair
-    assert len(found) < len(wanted)
-    for a, b, s in found:
+    assert len(compact) < len(wanted)
+    found = similarity.similarity_network(frame(spark, x), 0.5, block_rows, cells).collect()
+    assert {(a, b) for a, b, _ in found} == wanted and len(found) == len(wanted)
+    for a, b, s in [*found, *compact]:
         assert s == pytest.approx(sims[a, b])
 
 
+def test_copies_keep_all_their_pairs(spark):
+    x = [[1.0, 0.0], [1.0, 0.0], [0.8, 0.6], [0.8, 0.6]]
+    found = similarity.similarity_network(frame(spark, np.array(x)), 0.3).collect()
+    assert sorted((a, b, round(s, 9)) for a, b, s in found) == [
+        (0, 1, 1.0), (0, 2, 0.8), (0, 3, 0.8), (1, 2, 0.8), (1, 3, 0.8), (2, 3, 1.0),
+    ]
+
+
 def test_similarity_diagonal_and_correlation(spark):
     x, _ = sample(copies=1)
     rows = similarity.pairwise_similarity(frame(spark, x), 0.4).filter("id_a = id_b")
