@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,8 +15,8 @@ from papersheaf.llm.tables import measured
 from papersheaf.operators.blocks import arrow_schema
 
 BITS = 18
-SHARD_ROWS = 16_000
-SAMPLE_ROWS = 32_000
+SHARD_ROWS = 8_000
+SAMPLE_ROWS = 16_000
 UPDATES = 50_000
 
 
@@ -112,9 +112,15 @@ def fit_shards(rows: DataFrame, fit: Callable[[list[str], np.ndarray], np.ndarra
     return (stacked * (shares / shares.sum())[:, None]).sum(0).astype(np.float32)
 
 
-def extracted(texts: pa.ChunkedArray, extract: Extract) -> list[Features]:
-    batch = pa.table({"text": texts}).combine_chunks().to_batches()
-    return [extract(part.column("text")) for part in words.slices(iter(batch))]
+def training_rows(texts: pa.ChunkedArray, extract: Extract) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct features of each text and how often each occurs, made slice by slice."""
+    rows = []
+    for part in words.slices(iter(pa.table({"text": texts}).to_batches())):
+        found = extract(part.column("text"))
+        for k in range(len(found)):
+            at, counts = found.row(k)
+            rows.append((at.astype(np.int32), counts.astype(np.float32)))
+    return rows
 
 
 def scored(documents: DataFrame, columns: Callable[[pa.Array], dict], schema: str) -> DataFrame:
@@ -126,12 +132,6 @@ def scored(documents: DataFrame, columns: Callable[[pa.Array], dict], schema: st
     return words.map_slices(documents.select("doc_id", "text"), kernel, f"doc_id bigint, {schema}")
 
 
-def rows_of(parts: list[Features]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for part in parts:
-        for k in range(len(part)):
-            yield part.row(k)
-
-
 def epochs(rows: int, least: int = 6, most: int = 12) -> int:
     """Passes over a shard, so that small ones get about as many updates as large ones."""
     return int(min(most, max(least, UPDATES // max(1, rows))))

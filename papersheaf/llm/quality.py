@@ -52,8 +52,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", max_row
     size = 1 << linear.BITS
 
     def train(texts: pa.ChunkedArray, marks: np.ndarray) -> np.ndarray:
-        parts = linear.extracted(texts, features)
-        rows = [(at, SCALE * counts / max(1, counts.sum())) for at, counts in linear.rows_of(parts)]
+        rows = [(at, SCALE * counts / max(1, counts.sum())) for at, counts in linear.training_rows(texts, features)]
         model = linear.Ftrl(size + 1, rate=0.3, l1=0.1, l2=0.01)
         for _ in range(linear.epochs(len(rows))):
             for (at, values), mark in zip(rows, marks):

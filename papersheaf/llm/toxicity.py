@@ -2,7 +2,7 @@
 
 Grades 0..K-1 are ordered: P(grade > k) = sigmoid(w.x - t_k) with one weight vector for all thresholds t_0 < t_1 < ... A text's
 expected severity is the sum of these probabilities, and it is rejected where P(grade > 0) >= 0.5. Features are its words and
-their first four, five and six bytes, hashed, so that new endings of a known stem count; weights are trained with FTRL
+their first four to eight bytes, hashed, so that new endings of a known stem count; weights are trained with FTRL
 updates on the likelihood, which leaves most of them at zero.
 
 Where only a toxic mark of 0 or 1 is given, ``graded`` makes grades of it: 0 for unmarked texts, and for marked ones 1, 2 or 3 by
@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from papersheaf.llm import linear, words
 
 KINDS = words.alphanumeric().astype(np.uint8)
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)  # bytes
 GRADES = 4
-MARKERS = (9, 25)  # from so many marker features on, grade 2 and grade 3; a word has up to four
+MARKERS = (12, 36)  # from so many marker features on, grade 2 and grade 3; a word has up to six
 MARKER_ODDS = 3.0
 MOST = 3  # a feature counts at most so often in a text
 GAP = 0.05
@@ -59,7 +59,7 @@ def graded(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.n
 
 def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int = GRADES) -> np.ndarray:
     """Weights of all buckets, then the thresholds, by FTRL on the likelihood of the grades."""
-    model = linear.Ftrl(1 << linear.BITS, rate=0.2, l1=3.0, l2=0.01)
+    model = linear.Ftrl(1 << linear.BITS, rate=0.2, l1=8.0, l2=0.01)
     thresholds = np.linspace(1.0, 3.0, n_grades - 1)
     moved = np.full(n_grades - 1, 1.0)
     for _ in range(linear.epochs(len(rows))):
@@ -84,7 +84,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_rows:
     """The model from a bounded sample of rows marked 0 or 1."""
 
     def train(texts: pa.ChunkedArray, marks: np.ndarray) -> np.ndarray:
-        rows = list(linear.rows_of(linear.extracted(texts, features)))
+        rows = linear.training_rows(texts, features)
         return fit_rows(rows, graded(rows, marks))
 
     return linear.fit_shards(linear.sample(documents, labels, label, max_rows), train)

@@ -27,7 +27,7 @@ def test_toxicity_of_unseen_documents(spark):
     known = held_out(spark, rows, "toxic")
     clean, toxic = ([r for r, mark in known if mark == m] for m in (0, 1))
     assert sum(r.toxic for r in clean) <= 0.01 * len(clean)
-    assert sum(r.toxic for r in toxic) >= 0.65 * len(toxic)
+    assert sum(r.toxic for r in toxic) >= 0.75 * len(toxic)
     assert all(0 <= r.severity <= 3 and 0 <= r.grade <= 3 and r.toxic == (r.score >= 0.5) for r in rows)
     mean = lambda rows: sum(r.severity for r in rows) / len(rows)
     assert mean(toxic) > mean(clean) + 1
