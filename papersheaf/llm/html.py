@@ -1,9 +1,11 @@
 """Main text of web pages by consensus of each host's container paths.
 
-Each page's containers are scored by the text of the blocks in them, less what is linked. The best container of a page votes
-for its generalised path: tags with their classes from the root, digits replaced, so that numbered classes fall together. Spark
+Each page's containers are scored by the text of the blocks in them, less what is linked. From the best container a page climbs
+to the ``main`` or ``article`` around it, or to the lowest ancestor that holds nearly all of the page's unlinked text, and votes
+for the generalised path of that: tags with their classes from the root, digits replaced, so that numbered classes fall together. Spark
 counts the votes per host, and every page of the host is extracted again from its winning paths. A page that has none of
-them is extracted from its own best container.
+them is extracted from its own best container. Blocks that stand directly in the containers around the chosen one, as a heading,
+belong to the text unless they are mostly links.
 
 A host is never gathered: votes are counts per host and path, and a host has at most ``1 / share`` winning paths beside its
 first. Winning paths are broadcast when their measured size allows, else joined by host.
@@ -31,6 +33,7 @@ from papersheaf.session import materialized
 
 SHARE = 0.2
 PARENT_PART = 0.5
+NEARLY = 0.95
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp template".split())
@@ -41,6 +44,7 @@ CONTAINERS = set(
 )
 INLINE = RAW | set("button select option svg canvas object audio video map".split())
 CLOSES_P = LEAVES | CONTAINERS | SKIPPED - INLINE | {"hr"}
+MAIN = ("main", "article")
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SIDE_WORDS = set(
     """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies
@@ -77,6 +81,17 @@ class Page:
     parents: list[int] = field(default_factory=lambda: [-1])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # container, text, linked characters
 
+    def tag(self, container: int) -> str:
+        return self.paths[container].rpartition("/")[2].partition(".")[0]
+
+    def chain(self, container: int) -> list[int]:
+        """A container and those around it, from the inside."""
+        found = []
+        while container >= 0:
+            found.append(container)
+            container = self.parents[container]
+        return found
+
     def scores(self) -> dict[int, float]:
         scores: dict[int, float] = defaultdict(float)
         for container, text, linked in self.blocks:
@@ -86,27 +101,79 @@ class Page:
                 scores[self.parents[container]] += PARENT_PART * value
         return scores
 
+    def held(self) -> dict[str, int]:
+        """The unlinked characters in all containers of each path, with those inside."""
+        own = [0] * len(self.paths)
+        for container, text, linked in self.blocks:
+            own[container] += len(text) - linked
+        for k in range(len(own) - 1, 0, -1):  # what is inside comes later
+            own[self.parents[k]] += own[k]
+        held: dict[str, int] = defaultdict(int)
+        for path, value in zip(self.paths, own):
+            held[path] += value
+        return held
+
     def best(self) -> str | None:
-        """The path of the best container; the first of equals."""
+        """The path of the best container, the first of equals, or of what holds the text around it.
+
+        That is the outermost ``main`` or ``article`` around it with half of the page's unlinked text, else the lowest ancestor
+        with ``NEARLY`` all of it.
+        """
         scores = self.scores()
         if not scores:
             return None
-        return self.paths[min(scores, key=lambda k: (-scores[k], k))]
-
-    def text(self, wanted: set[str]) -> str:
-        inside = [False] * len(self.paths)
+        held, chain = self.held(), self.chain(min(scores, key=lambda k: (-scores[k], k)))
+        total = held[""]
+        for k in reversed(chain):
+            if self.tag(k) in MAIN and 2 * held[self.paths[k]] >= total:
+                return self.paths[k]
+        return next((self.paths[k] for k in chain if held[self.paths[k]] >= NEARLY * total), "")
+
+    def text(self, chosen: str) -> str:
+        """The text inside the containers of a path and the blocks of those around them that are not mostly links.
+
+        Where the path is that of the whole page, containers beside the best one are left out if they are mostly links.
+        """
+        inside, around = [False] * len(self.paths), {0}
         for k, path in enumerate(self.paths):
-            inside[k] = path in wanted or (self.parents[k] >= 0 and inside[self.parents[k]])
-        return " ".join(text for container, text, _ in self.blocks if inside[container])
+            inside[k] = path == chosen or (self.parents[k] >= 0 and inside[self.parents[k]])
+            if path == chosen:
+                around.update(self.chain(k)[1:])
+        if self.tag(self.paths.index(chosen)) in ("", "html", "body"):
+            for k in self._linked():
+                inside[k] = False
+        return " ".join(
+            text for k, text, linked in self.blocks if inside[k] or (k in around and 2 * linked <= len(text))
+        )
+
+    def _linked(self) -> list[int]:
+        """Containers that neither hold the best one nor lie in it and are mostly links, with all inside them."""
+        scores, sizes, links = self.scores(), [0] * len(self.paths), [0] * len(self.paths)
+        core = min(scores, key=lambda k: (-scores[k], k))
+        for k, text, linked in self.blocks:
+            sizes[k] += len(text)
+            links[k] += linked
+        for k in range(len(sizes) - 1, 0, -1):
+            sizes[self.parents[k]] += sizes[k]
+            links[self.parents[k]] += links[k]
+        spared, out = set(self.chain(core)), [False] * len(self.paths)
+        for k in range(1, len(self.paths)):
+            if core in self.chain(k):
+                continue
+            out[k] = k not in spared and (out[self.parents[k]] or 2 * links[k] > sizes[k])
+        return [k for k, left in enumerate(out) if left]
 
     def extract(self, winning: list[str]) -> str:
-        """The text of the winning path that scores best here, or of the page's own best container."""
-        scores: dict[str, float] = defaultdict(float)
+        """The text of the winning path that scores best here among those that hold nearly the most, or of the page's own."""
+        held, scores = self.held(), defaultdict(float)
+        filled = {path for container, _, _ in self.blocks for path in map(self.paths.__getitem__, self.chain(container))}
         for k, value in self.scores().items():
             scores[self.paths[k]] += value
-        known = [path for path in winning if path in scores]
+        known = [path for path in winning if path in filled]
+        most = max((held[path] for path in known), default=0)
+        known = [path for path in known if held[path] >= NEARLY * most]
         chosen = max(known, key=lambda path: (scores[path], path)) if known else self.best()
-        return self.text({chosen}) if chosen is not None else ""
+        return self.text(chosen) if chosen is not None else ""
 
 
 class Reader:

@@ -57,3 +57,23 @@ def test_hosts_vote_for_their_paths(spark):
 
 def test_no_rows(spark):
     assert html.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "body, wanted",
+    [
+        ("<article><h1>{h}</h1><div class='entry-content'><p>{long}</p></div></article>", "{h} {long}"),
+        ("<article><div class='lead'><p>{lead}</p></div><div class='body'><p>{long}</p></div></article>", "{lead} {long}"),
+        ("<div class='post'><div class='lead'><p>{lead}</p></div><div class='body'><p>{long}</p></div></div>", "{lead} {long}"),
+        ("<h1>{h}</h1><div class='x'><p>{long}</p></div><p><a href='/'>{lead}</a></p>", "{h} {long}"),
+        ("<article><p>{lead}</p><ul><li>{long}<li>{long}</ul><p>{h}</p></article>", "{lead} {long} {long} {h}"),
+        ("<article><p>{lead}</p><table><tr><td>{long}<td>{h}<tr><td>{long}</table></article>", "{lead} {long} {h} {long}"),
+        ("<div class='a'><p>{lead}</p></div><div class='b'><p>{long}</p></div><ul class='c'><li><a>{h}</a></ul>", "{lead} {long}"),
+    ],
+)
+def test_text_around_the_best_container(spark, body, wanted):
+    parts = {"h": "the heading", "lead": "a lead of some words " * 5, "long": "long text of the body " * 40}
+    wanted = " ".join(wanted.format(**parts).split())
+    source = page(body.format(**parts))
+    assert html.read(source).extract([]) == wanted
+    assert html.read(source).extract([html.read(source).best()]) == wanted
