@@ -10,6 +10,9 @@ belong to the text unless they are mostly links.
 A host is never gathered: votes are counts per host and path, and a host has at most ``1 / share`` winning paths beside its
 first. Winning paths are broadcast when their measured size allows, else joined by host.
 
+Side matter is what its tag, role or ``hidden`` says, and containers whose class or id names it, unless they hold the main text
+(``Page.without_side``). Names that tell of a state, as ``has-sidebar``, are no such names.
+
 Defined results: null or empty html has an empty text. A page whose url is null or names no host votes with the others of
 that kind. Cut-off pages are read as far as they go. Repeated pages vote and are extracted one by one. Other columns are ignored.
 """
@@ -51,6 +54,8 @@ SIDE_WORDS = set(
     disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion
     related replies reply share sharing sidebar signup social sponsor sponsored subscribe toolbar widget""".split()
 )
+STATE_WORDS = set("has have with without no not is open opened closed free enabled disabled off work".split())  # has-sidebar, ad-free
+READER_WORDS = set("comment comments disqus replies reply".split())
 SIDE_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -59,27 +64,32 @@ NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @lru_cache(4096)
-def describe(name: str, attributes: str) -> tuple[str, bool]:
-    """A tag's step of a generalised path, and whether it stands beside the main text."""
+def describe(name: str, attributes: str) -> tuple[str, bool, set[str]]:
+    """A tag's step of a generalised path, whether it stands beside the main text, and the words by which its names say so."""
     if not attributes.strip("/ \t\n\r\f"):
-        return name, name in SKIPPED
+        return name, name in SKIPPED, set()
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     classes = found.get("class", "").split()
     step = ".".join([name, *sorted({re.sub(r"\d+", "#", c) for c in classes})])
     aside = name in SKIPPED or "hidden" in found or found.get("role", "").lower() in SIDE_ROLES
+    marks: set[str] = set()
     if name not in ("html", "body"):
-        named = {w.lower() for w in NAMES.findall(" ".join([*classes, found.get("id", "")]))}
-        aside = aside or bool(named & SIDE_WORDS)
-    return step, aside
+        for token in [*classes, *found.get("id", "").split()]:
+            named = {w.lower() for w in NAMES.findall(token)}
+            if not named & STATE_WORDS:
+                marks |= named & SIDE_WORDS
+    return step, aside, marks
 
 
 @dataclass
 class Page:
-    """The blocks of a page outside its side matter, and the containers they stand in."""
+    """The blocks of a page, and the containers they stand in."""
 
     paths: list[str] = field(default_factory=lambda: [""])
     parents: list[int] = field(default_factory=lambda: [-1])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # container, text, linked characters
+    marks: dict[int, set[str]] = field(default_factory=dict)  # containers whose names put them beside the main text
+    passed: int = 0  # characters of marked tags inside paragraphs
 
     def tag(self, container: int) -> str:
         return self.paths[container].rpartition("/")[2].partition(".")[0]
@@ -92,6 +102,43 @@ class Page:
             container = self.parents[container]
         return found
 
+    def without_side(self) -> Page:
+        """The page without the blocks of marked containers, where the mark counts.
+
+        It does not count for a container that holds ``main``. If no ``main`` or ``article`` with text stands outside the marked
+        ones, it counts neither where an unmarked ``article`` inside holds more than all that stands outside, nor where the
+        container holds most of the page's unlinked text, unless it is named for readers' comments.
+        """
+        if not self.marks:
+            return self
+        size, sizes = len(self.paths), [0] * len(self.paths)
+        marked = [False] * size
+        for k in range(size):
+            marked[k] = k in self.marks or (self.parents[k] >= 0 and marked[self.parents[k]])
+        for k, text, linked in self.blocks:
+            sizes[k] += len(text) - linked
+        outside = sum(value for value, side in zip(sizes, marked) if not side)
+        for k in range(size - 1, 0, -1):
+            sizes[self.parents[k]] += sizes[k]
+        plain = any(sizes[k] > 0 and not marked[k] and self.tag(k) in MAIN for k in range(size))
+        holds_main, article = set(), dict.fromkeys(range(size), 0)
+        for k in range(size):
+            if self.tag(k) == "main":
+                holds_main.update(self.chain(k))
+            elif self.tag(k) == "article" and k not in self.marks:
+                for around in self.chain(k):
+                    article[around] = max(article[around], sizes[k])
+                    if around in self.marks and self.marks[around] & READER_WORDS:
+                        break
+        side = [False] * size
+        for k in range(size):
+            side[k] = self.parents[k] >= 0 and side[self.parents[k]]
+            if k in self.marks and k not in holds_main:
+                reader = bool(self.marks[k] & READER_WORDS)
+                main = not plain and not reader and (article[k] > outside or 2 * sizes[k] > sizes[0])
+                side[k] = side[k] or not main
+        return Page(self.paths, self.parents, [block for block in self.blocks if not side[block[0]]], {}, self.passed)
+
     def scores(self) -> dict[int, float]:
         scores: dict[int, float] = defaultdict(float)
         for container, text, linked in self.blocks:
@@ -179,9 +226,10 @@ class Page:
 class Reader:
     """Reads one page from start to end, as far as it goes."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, by_name: bool = True):
         self.page = Page()
-        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, beside the main text
+        self.by_name = by_name
+        self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, beside the main text, passed over
         self.parts: list[str] = []
         self.linked = 0
         self.anchors = 0
@@ -228,6 +276,8 @@ class Reader:
 
     def _text(self, raw: str) -> None:
         if self.stack[-1][2]:
+            if self.stack[-1][3]:
+                self.page.passed += len(raw.strip())
             return
         text = references.unescape(raw) if "&" in raw else raw
         self.parts.append(text)
@@ -250,15 +300,22 @@ class Reader:
             self.parts.append(" ")
         if name in VOID:
             return
-        _, container, aside = self.stack[-1]
-        step, side = describe(name, attributes if name != "a" else "")
+        _, container, aside, passed = self.stack[-1]
+        step, side, marks = describe(name, attributes if name != "a" else "")
+        marks = marks if self.by_name else set()
         if name == "a":
             self.anchors += 1
-        if name in CONTAINERS and not aside and not side:
+        if not aside and not side and (name in CONTAINERS or (marks and block)):
             self.page.paths.append(f"{self.page.paths[container]}/{step}")
             self.page.parents.append(container)
             container = len(self.page.paths) - 1
-        self.stack.append((name, container, aside or side))
+            if marks:
+                self.page.marks[container] = marks
+        elif marks and not aside and not side:  # inside a paragraph
+            side = passed = True
+        elif side:
+            passed = False
+        self.stack.append((name, container, aside or side, passed))
 
     def _close_leaf(self, name: str) -> None:
         """A new block ends an open paragraph, and a list item or cell ends the one before it."""
@@ -285,14 +342,20 @@ class Reader:
                 return  # an inline end tag without a start does not leave its container
 
     def _pop(self, depth: int) -> None:
-        if any(tag in CLOSES_P for tag, _, _ in self.stack[depth:]):
+        if any(tag in CLOSES_P for tag, *_ in self.stack[depth:]):
             self._flush()
-        self.anchors -= sum(tag == "a" for tag, _, _ in self.stack[depth:])
+        self.anchors -= sum(tag == "a" for tag, *_ in self.stack[depth:])
         del self.stack[depth:]
 
 
 def read(source: str | None) -> Page:
-    return Reader(source or "").page
+    """A page without its side matter; names do not count where they would leave nothing, or less than they take from paragraphs."""
+    page = Reader(source or "").page
+    named = bool(page.marks) or page.passed > 0
+    page = page.without_side()
+    if named and page.passed >= sum(len(text) for _, text, _ in page.blocks):
+        return Reader(source or "", by_name=False).page
+    return page
 
 
 def winning_paths(pages: DataFrame, share: float = SHARE) -> DataFrame:

@@ -77,3 +77,26 @@ def test_text_around_the_best_container(spark, body, wanted):
     source = page(body.format(**parts))
     assert html.read(source).extract([]) == wanted
     assert html.read(source).extract([html.read(source).best()]) == wanted
+
+
+@pytest.mark.parametrize(
+    "body, wanted",
+    [
+        ("<div class='content has-sidebar'><article><p>{long}</p></article></div>", "{long}"),
+        ("<article class='post comments-open'><p>{long}</p><section class='related-work'><p>{lead}</p></section></article>", "{long} {lead}"),
+        ("<div id='sidebar-layout'><article><p>{long}</p></article></div>", "{long}"),
+        ("<div class='page-header-below'><main><p>{lead}</p></main></div>", "{lead}"),
+        ("<div class='newsletter'><p>{long}</p></div>", "{long}"),
+        ("<app-root class='ad-layout'><article><p>{long}</p></article></app-root>", "{long}"),
+        ("<article><p>{lead}</p></article><div class='sidebar'><article><p>{long}</p></article></div>", "{lead}"),
+        ("<article><p>{lead}<span class='share'>now</span></p><p class='ad'>buy</p></article>", "{lead}"),
+    ],
+)
+def test_names_of_side_matter_around_the_main_text(spark, body, wanted):
+    parts = {"lead": "a lead of some words " * 5, "long": "long text of the body " * 40}
+    assert html.read(page(body.format(**parts))).extract([]) == " ".join(wanted.format(**parts).split())
+
+
+def test_no_page_is_empty_for_its_names():
+    assert html.read("<div class='comments'><p>all there is</p></div><nav>x</nav>").extract([]) == "all there is"
+    assert html.read("<p><span class='notice'>all there is</span></p>").extract([]) == "all there is"
