@@ -5,7 +5,7 @@ IPv4 addresses by their octets, telephone and social security numbers by their d
 value is split in two halves that go through a keyed Feistel network, so every value has exactly one pseudonym of its format
 and no two values share one: equal values stay linked across documents, whatever separators they are written with.
 Cards keep a valid check digit, dates stay dates of the same 400 years, e-mail addresses keep their domain. What does not
-validate is left as it is.
+validate is left as it is. Runs of digit groups are searched for every card in them, so one followed by another number is found.
 
 All of it is column expressions: the text is split at the matches and put together again with their pseudonyms.
 
@@ -23,15 +23,28 @@ from papersheaf.functions.binding import bind
 ROUNDS = 10
 KINDS = ("card", "phone", "address", "date", "security", "email")
 LOCAL = r"[A-Za-z0-9._%+\-]"
+# national numbers of one length, whatever follows them
+FIXED = "|".join(
+    rf"(?:{codes})(?:[ .\-()]{{0,2}}\d){{{count}}}(?!\d)"
+    for codes, count in (("1|7|44|52|90|91", 10), ("31|33|34|41|48|61", 9), ("45|47", 8))
+)
+# what a run of card digits does not go on with
+OTHER = (
+    rf"{LOCAL}++@|\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?!\w|\.\d)|\d{{3}}-\d{{2}}-\d{{4}}(?!\w|-\d)"
+    r"|(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?!\w|[./\-]\d)"
+)
 PATTERNS = {
     "email": rf"(?<!{LOCAL}){LOCAL}++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,3}(?!\d)",
+    "phone": rf"(?<![\w+])\+(?:{FIXED}|\d{{1,3}}[ .\-]?\(?\d{{2,4}}\)?(?:[ .\-]?\d{{2,4}}){{2,3}}(?!\d))",
     "date": r"(?<![\w./\-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?!\w|[./\-]\d)",
     "address": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
     "security": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?!\w|-\d)",
-    "card": r"(?<![\w\-])\d(?:[ \-]?\d){12,18}(?!\w|-\d)",
+    "card": rf"(?<![\w\-])\d(?:(?:-| (?!{OTHER}))?\d){{12,}}(?!\w|-\d)",  # a run of groups, see card_pieces
 }
+RUN = r"^\d(?:[ \-]?\d){12,}$"
 CANDIDATE = "|".join(PATTERNS.values())
+CARD_SHAPE = "^(?:\\d{13,19}|\\d{4}([ -])\\d{4}\\1\\d{4}\\1\\d{4}(?:\\1\\d{3})?|\\d{4}([ -])\\d{6}\\2\\d{4,5}|\\d{4}([ -])\\d{3}\\3\\d{3}\\3\\d{3})$"
+CARD_DIGITS = (13, 19)
 DATE_FORMATS = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{2}\.\d{2}\.": "dd.MM.yyyy", r"^\d{2}/\d{2}/": "dd/MM/yyyy"}
 FIRST_DAY = "1800-01-01"
 DAY_PARTS = (189, 773)  # their product is the number of days in 400 years
@@ -111,6 +124,73 @@ def card_pseudonym(digits: Column, secret: str) -> Column:
     return bind(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
 
 
+def card_pieces(run: Column) -> Column:
+    """A run of digit groups as ``(match, kind)`` pieces: the valid cards in it, and what is between them.
+
+    From left to right each group starts the longest valid card of a usual form, else the longest other one that holds none of
+    a usual form. Others are the whole run or have three digits in each group.
+    """
+
+    def pieces(parts: Column) -> Column:  # groups at odd places, one sign between two of them
+        count = F.size(parts)
+        places = F.sequence(F.lit(1), count, F.lit(2))
+        most = 2 * CARD_DIGITS[1] - 2
+
+        def ending(start: Column) -> Column:
+            def span(stop: Column) -> Column:
+                return F.struct(stop.alias("stop"), F.array_join(F.slice(parts, start, stop - start + 1), "").alias("text"))
+
+            def valid(found: Column) -> Column:
+                digits = only_digits(found["text"])
+                form = found["text"].rlike(CARD_SHAPE) | ~found["text"].rlike(r"(?:^|\D)\d{1,2}(?:\D|$)")
+                whole = (start == 1) & (found["stop"] == count)
+                size = F.length(digits).between(*CARD_DIGITS)
+                return F.when(size & (form | whole), luhn_sum(digits) % 10 == 0).otherwise(False)
+
+            spans = F.filter(F.transform(F.sequence(start, F.least(start + most, count), F.lit(2)), span), valid)
+            usual = F.filter(spans, lambda found: found["text"].rlike(CARD_SHAPE))
+            return bind(
+                F.struct(spans.alias("all"), usual.alias("usual")),
+                lambda s: F.struct(
+                    start.alias("start"),
+                    F.array_max(F.transform(s["usual"], lambda f: f["stop"])).alias("usual"),
+                    F.array_max(F.transform(s["all"], lambda f: f["stop"])).alias("other"),
+                ),
+            )
+
+        def chosen(ends: Column) -> Column:
+            def step(state: Column, end: Column) -> Column:
+                after = F.slice(ends, F.floor(end["start"] / 2).cast("int") + 2, F.floor((end["other"] - end["start"]) / 2).cast("int"))
+                other = F.when(~F.exists(after, lambda e: e["usual"].isNotNull()), end["other"])
+                stop = F.when(end["start"] >= state["next"], F.coalesce(end["usual"], other))
+                here = F.struct(end["start"].alias("start"), stop.alias("stop"))
+                return F.when(
+                    stop.isNotNull(),
+                    F.struct((stop + 2).alias("next"), F.concat(state["cards"], F.array(here)).alias("cards")),
+                ).otherwise(state)
+
+            none = F.array().cast("array<struct<start:int,stop:int>>")
+            return F.aggregate(ends, F.struct(F.lit(1).alias("next"), none.alias("cards")), step)["cards"]
+
+        def cut(cards: Column) -> Column:
+            def piece(first: Column, last: Column, kind: Column) -> Column:
+                text = F.array_join(F.slice(parts, first, F.greatest(last - first + 1, F.lit(0))), "")
+                return F.struct(text.alias("match"), kind.alias("kind"))
+
+            no = F.lit(None).cast("string")
+
+            def with_gap(card: Column, number: Column) -> Column:
+                before = F.when(number > 0, F.element_at(cards, F.greatest(number, F.lit(1)))["stop"] + 1).otherwise(1)
+                return F.array(piece(before, card["start"] - 1, no), piece(card["start"], card["stop"], F.lit("card")))
+
+            rest = F.coalesce(F.try_element_at(cards, F.lit(-1))["stop"] + 1, F.lit(1))
+            return F.concat(F.flatten(F.transform(cards, with_gap)), F.array(piece(rest, count, no)))
+
+        return bind(bind(F.transform(places, ending), chosen), cut)
+
+    return bind(F.regexp_extract_all(run, F.lit(r"\d+|[ \-]"), F.lit(0)), pieces)
+
+
 def address_pseudonym(address: Column, secret: str) -> Column:
     octet = [F.element_at(F.split(address, r"\."), k).cast("bigint") for k in (1, 2, 3, 4)]
     size = F.lit(65536).cast("bigint")
@@ -177,7 +257,7 @@ def email_pseudonym(address: Column, secret: str) -> Column:
 
 
 def kind_of(match: Column) -> Column:
-    """The kind of a candidate that validates, else null."""
+    """The kind of a candidate that validates, else null; cards are found by ``card_pieces``."""
 
     def whole(kind: str) -> Column:
         return match.rlike(f"^(?:{PATTERNS[kind]})$")
@@ -189,7 +269,6 @@ def kind_of(match: Column) -> Column:
         .when(whole("date"), F.when(_day(match).between(0, DAY_PARTS[0] * DAY_PARTS[1] - 1), "date"))
         .when(whole("address"), F.when(F.forall(octets, lambda o: (o.cast("int") < 256) & (o.cast("int").cast("string") == o)), "address"))
         .when(whole("security"), "security")
-        .when(luhn_sum(only_digits(match)) % 10 == 0, "card")
     )
 
 
@@ -222,13 +301,16 @@ def pseudonymise(documents: DataFrame, secret: str) -> DataFrame:
         F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).alias("matches"),
         F.when(some, F.split(text, CANDIDATE, -1)).alias("gaps"),
     )
-    named = F.transform("matches", lambda m: F.struct(m.alias("match"), kind_of(m).alias("kind")))
-    named = F.when(F.size("matches") > 0, named)
+    def named(match: Column) -> Column:
+        one = F.array(F.struct(match.alias("match"), kind_of(match).alias("kind")))
+        return F.when(match.rlike(RUN) & one[0]["kind"].isNull(), card_pieces(match)).otherwise(one)
+
+    named = F.when(F.size("matches") > 0, F.transform("matches", named))
     found = found.select("doc_id", "text", "gaps", named.alias("matches"))
-    replaced = F.transform("matches", lambda m: pseudonym(m["match"], m["kind"], secret))
+    replaced = F.transform("matches", lambda m: F.array_join(F.transform(m, lambda x: pseudonym(x["match"], x["kind"], secret)), ""))
     pieces = F.zip_with("gaps", F.concat(replaced, F.array(F.lit(""))), lambda gap, value: F.concat(gap, value))
     counts = [
-        F.when(F.col("matches").isNull(), 0).otherwise(F.size(F.filter("matches", lambda m: m["kind"] == kind))).alias(f"n_{kind}")
+        F.when(F.col("matches").isNull(), 0).otherwise(F.size(F.filter(F.flatten("matches"), lambda m: m["kind"] == kind))).alias(f"n_{kind}")
         for kind in KINDS
     ]
     whole = F.when(F.col("matches").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))

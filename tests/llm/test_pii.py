@@ -107,3 +107,27 @@ def test_whole_long_text_and_repeated_rows(spark):
     got = replaced(spark, [(1, body), (1, body), (None, "2000-02-29")])
     assert [row[-1] for row in got[:2]] == [want, want] and got[2][-1] == str(day(date(2000, 2, 29)))
     assert replaced(spark, []) == []
+
+
+def test_cards_beside_other_numbers(spark):
+    one, two = "4111111111111111", "378282246310005"
+    spaced, moved = "4111 1111 1111 1111", fill("0000 0000 0000 0000", card(one))
+    cases = [
+        (f"card {one} 123 x", f"card {card(one)} 123 x", 1),
+        (f"{spaced} 12/27", f"{moved} 12/27", 1),
+        (f"order 12 {one}", f"order 12 {card(one)}", 1),
+        (f"12 {spaced} 123 {two} 7", f"12 {moved} 123 {card(two)} 7", 2),
+        (f"{one} {one}-{two}", f"{card(one)} {card(one)}-{card(two)}", 3),
+        (f"{one} 2000-02-29", f"{card(one)} {day(date(2000, 2, 29))}", 1),
+        (f"{one} 123-45-6789", f"{card(one)} {fill('000-00-0000', number('123456789', 'security'))}", 1),
+        ("no 1234567890123456 78", "no 1234567890123456 78", 0),
+        ("4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", fill("0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0", card(one)), 1),
+    ]
+    got = {row[0]: row for row in replaced(spark, [(k, text) for k, (text, _, _) in enumerate(cases)])}
+    assert [(got[k][-1], got[k][1]) for k in range(len(cases))] == [(text, n) for _, text, n in cases]
+
+
+def test_telephone_numbers_end_at_their_length(spark):
+    plain = fill("+0 000 000 0000", "1" + number("5551234567", "phone"))
+    got = [row[-1] for row in replaced(spark, [(1, "+1 555 123 4567"), (2, "+1 555 123 4567 89 x"), (3, "+33 1 23 45 67 89")])]
+    assert got[:2] == [plain, plain + " 89 x"] and got[2] != "+33 1 23 45 67 89"
