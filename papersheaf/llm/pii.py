@@ -6,6 +6,7 @@ value is split in two halves that go through a keyed Feistel network, so every v
 and no two values share one: equal values stay linked across documents, whatever separators they are written with.
 Cards keep a valid check digit, dates stay dates of the same 400 years, e-mail addresses keep their domain. What does not
 validate is left as it is. Runs of digit groups are searched for every card in them, so one followed by another number is found.
+The country code of a telephone number follows from its digits, not from its separators.
 
 All of it is column expressions: the text is split at the matches and put together again with their pseudonyms.
 
@@ -43,6 +44,8 @@ PATTERNS = {
 }
 RUN = r"^\d(?:[ \-]?\d){12,}$"
 CANDIDATE = "|".join(PATTERNS.values())
+# ITU country codes of one and two digits; all others have three
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 CARD_SHAPE = "^(?:\\d{13,19}|\\d{4}([ -])\\d{4}\\1\\d{4}\\1\\d{4}(?:\\1\\d{3})?|\\d{4}([ -])\\d{6}\\2\\d{4,5}|\\d{4}([ -])\\d{3}\\3\\d{3}\\3\\d{3})$"
 CARD_DIGITS = (13, 19)
 DATE_FORMATS = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{2}\.\d{2}\.": "dd.MM.yyyy", r"^\d{2}/\d{2}/": "dd/MM/yyyy"}
@@ -277,12 +280,12 @@ def pseudonym(match: Column, kind: Column, secret: str) -> Column:
     digits = only_digits(match)
 
     def phone(country: Column) -> Column:
-        number = F.substring(match, F.length(country) + 1, F.length(match))
-        return F.concat(country, refilled(number, digits_pseudonym(only_digits(number), secret, "phone")))
+        national = F.substring(digits, F.length(country) + 1, F.length(digits))
+        return refilled(match, F.concat(country, digits_pseudonym(national, secret, "phone")))
 
     return (
         F.when(kind == "email", email_pseudonym(match, secret))
-        .when(kind == "phone", bind(F.regexp_extract(match, r"^\+(?:\d{1,3}(?=\D)|\d)", 0), phone))
+        .when(kind == "phone", bind(F.regexp_extract(digits, COUNTRY, 0), phone))
         .when(kind == "date", date_pseudonym(match, secret))
         .when(kind == "address", address_pseudonym(match, secret))
         .when(kind == "security", refilled(match, digits_pseudonym(digits, secret, "security")))

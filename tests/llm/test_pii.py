@@ -131,3 +131,19 @@ def test_telephone_numbers_end_at_their_length(spark):
     plain = fill("+0 000 000 0000", "1" + number("5551234567", "phone"))
     got = [row[-1] for row in replaced(spark, [(1, "+1 555 123 4567"), (2, "+1 555 123 4567 89 x"), (3, "+33 1 23 45 67 89")])]
     assert got[:2] == [plain, plain + " 89 x"] and got[2] != "+33 1 23 45 67 89"
+
+
+def test_one_telephone_number_in_several_spellings(spark):
+    rows = [
+        ["+49 30 12345678", "+493012345678", "+49-30-12345678", "+4930 1234 5678"],
+        ["+44 20 7946 0958", "+442079460958", "+44 (20) 7946-0958"],
+        ["+33 1 23 45 67 89", "+33123456789", "+33 123 456 789"],
+        ["+351 21 234 5678", "+351212345678"],
+        ["+1 (988) 555-2485", "+19885552485", "+1.988.555.2485"],
+    ]
+    texts = [(k * 10 + n, text) for k, spellings in enumerate(rows) for n, text in enumerate(spellings)]
+    got = {row[0]: re.sub(r"\D", "", row[-1]) for row in replaced(spark, texts)}
+    known = {k: re.sub(r"\D", "", text) for k, text in texts}
+    for k, code in enumerate(["49", "44", "33", "351", "1"]):
+        digits = known[k * 10]
+        assert {got[i] for i in got if i // 10 == k} == {code + number(digits[len(code) :], "phone")}
