@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papersheaf.llm import words
@@ -59,25 +59,33 @@ def tokenized(texts: pa.Array) -> tuple[words.Words, np.ndarray]:
     return found, words.hashes(found)
 
 
-def _compacted(keys: list[np.ndarray], ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _compacted(
+    keys: list[np.ndarray], ids: np.ndarray, tags: np.ndarray, places: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rows to pass on, whether their key has a smaller id here, and whether it has any other id here.
 
-    One row is left for each key and id: equal sequences inside a document share its fate.
+    One row is left for each key, id and tag: equal sequences inside a text share its fate.
     """
-    order = np.lexsort((places, ids, *keys))
-    keys, ids = [k[order] for k in keys], ids[order]
+    order = np.lexsort((places, tags, ids, *keys))
+    keys, ids, tags = [k[order] for k in keys], ids[order], tags[order]
     new_key = np.ones(len(order), bool)
     new_key[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    new_row = new_key.copy()
-    new_row[1:] |= ids[1:] != ids[:-1]
-    order, group = order[new_row], np.cumsum(new_key[new_row])
-    later = ~new_key[new_row]
-    several = np.bincount(group, minlength=len(group) + 1)[group] > 1
-    return order, later, several
+    new_id = new_key.copy()
+    new_id[1:] |= ids[1:] != ids[:-1]
+    new_row = new_id.copy()
+    new_row[1:] |= tags[1:] != tags[:-1]
+    group = np.cumsum(new_key) - 1
+    later = (ids != ids[new_key][group])[new_row]
+    several = (np.bincount(group, new_id, len(group)) > 1)[group][new_row]
+    return order[new_row], later, several
+
+
+def _unpacked_place() -> list[Column]:
+    return [F.shiftright("place", 32).alias("tag"), F.col("place").bitwiseAND(0x7FFFFFFF).cast("int").alias("place")]
 
 
 def shared_anchors(documents: DataFrame, cover: Cover) -> DataFrame:
-    """``(doc_id, place)``: numbers of anchors whose sequence other documents have as well."""
+    """``(doc_id, tag, place)``: numbers of anchors whose sequence other documents have as well."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
         found, hashed = tokenized(batch.column("text"))
@@ -86,25 +94,25 @@ def shared_anchors(documents: DataFrame, cover: Cover) -> DataFrame:
         n = np.repeat(counts, counts)
         at = np.flatnonzero((cover.rank[position % cover.period] >= 0) & (position + cover.length <= n) & (n >= cover.width))
         keys = words.windows(hashed, cover.length)[at]
-        ids = np.repeat(batch.column("doc_id").to_numpy(), counts)[at]
+        ids, tags = (np.repeat(batch.column(c).to_numpy(), counts)[at] for c in ("doc_id", "tag"))
         rank = position[at] // cover.period * len(cover.shifts) + cover.rank[position[at] % cover.period]
-        order, later, several = _compacted([keys], ids, rank)
+        order, later, several = _compacted([keys], ids, tags, rank)
         return {
             "key": keys[order].view(np.int64),
             "salt": np.where(later, 1 + ids[order] % 1024, 0).astype(np.int32),
             "doc_id": ids[order],
-            "place": rank[order].astype(np.int32),
+            "place": (tags[order] << 32) | rank[order],
             "decided": several,
         }
 
-    schema = "key bigint, salt int, doc_id bigint, place int, decided boolean"
-    anchors = words.map_slices(documents.filter("doc_id is not null").select("doc_id", "text"), kernel, schema)
+    schema = "key bigint, salt int, doc_id bigint, place bigint, decided boolean"
+    anchors = words.map_slices(documents.filter("doc_id is not null").select("doc_id", "text", "tag"), kernel, schema)
     same = Window.partitionBy("key", "salt")
     several = F.min("doc_id").over(same) != F.max("doc_id").over(same)
-    return anchors.withColumn("several", several).filter("decided or several").select("doc_id", "place")
+    return anchors.withColumn("several", several).filter("decided or several").select("doc_id", *_unpacked_place())
 
 
-def runs(places: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def runs(places: DataFrame, keys: tuple[str, ...] = ("doc_id", "tag")) -> DataFrame:
     """The places of each document as runs: first and last of each, 32-bit numbers in ``runs``."""
     gathered = places.groupBy(*keys).agg(F.collect_list("place").alias("places"))  # no more than the document's words
     schema = ", ".join(f"{key} bigint" for key in keys) + ", runs binary"
@@ -165,7 +173,7 @@ def repeated_windows(documents: DataFrame, anchors: DataFrame, cover: Cover) ->
         at, ids, places, tags = (np.concatenate(x) for x in (at, ids, places, tags))
         key = full[at]
         check = (words.windows(words.mix(hashed ^ words.PRIME), cover.width)[at] >> np.uint64(32)).astype(np.uint32)
-        order, later, _ = _compacted([check, key], ids, places)
+        order, later, _ = _compacted([check, key], ids, tags, places)
         return {
             "key": key[order].view(np.int64),
             "check": check[order].view(np.int32),
@@ -176,13 +184,11 @@ def repeated_windows(documents: DataFrame, anchors: DataFrame, cover: Cover) ->
         }
 
     schema = "key bigint, check int, salt int, doc_id bigint, place bigint, decided boolean"
-    flagged = documents.select("doc_id", "text", "tag").join(measured_bytes(anchors, "runs"), "doc_id")
+    flagged = documents.select("doc_id", "text", "tag").join(measured_bytes(anchors, "runs"), ["doc_id", "tag"])
     found = words.map_slices(flagged, kernel, schema)
     smallest = F.min("doc_id").over(Window.partitionBy("key", "check", "salt"))
     found = found.withColumn("smallest", smallest).filter("decided or doc_id > smallest")
-    return found.select(
-        "doc_id", F.shiftright("place", 32).alias("tag"), F.col("place").bitwiseAND(0x7FFFFFFF).cast("int").alias("place")
-    )
+    return found.select("doc_id", *_unpacked_place())
 
 
 def deduplicate(documents: DataFrame, width: int = 50) -> DataFrame:
@@ -191,7 +197,7 @@ def deduplicate(documents: DataFrame, width: int = 50) -> DataFrame:
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("tag", F.crc32(F.col("text").cast("binary")).bitwiseAND(0x7FFFFFFF))
     anchors = materialized(runs(shared_anchors(texts, cover)))
-    removed = materialized(runs(repeated_windows(texts, anchors, cover), ("doc_id", "tag")))
+    removed = materialized(runs(repeated_windows(texts, anchors, cover)))
 
     def kernel(batch: pa.RecordBatch) -> dict:
         held = [bytes(t.as_buffer()).split() for t in batch.column("text")]  # white space of bytes is ASCII's

@@ -46,3 +46,11 @@ def test_odd_rows(spark):
 
 def test_no_rows(spark):
     assert substrings.deduplicate(documents(spark, []), 5).count() == 0
+
+
+def test_larger_ids_of_several_texts(spark):
+    long = " ".join(f"a{k % 9}" for k in range(30))
+    rows = [(1, long), (9, "q " + long), (9, "a b c " + long), (9, "no part of it"), (12, long + " z"), (12, "y " + long)]
+    for parts in (1, 6):
+        got = substrings.deduplicate(documents(spark, rows).repartition(parts), 6).collect()
+        assert sorted((tuple(r) for r in got), key=str) == plain(rows, 6)
