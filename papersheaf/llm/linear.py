@@ -16,8 +16,8 @@ from papersheaf.operators.blocks import arrow_schema
 
 BITS = 18
 SHARD_ROWS = 8_000
-SAMPLE_ROWS = 16_000
-UPDATES = 50_000
+SAMPLE_ROWS = 32_000
+PASSES = 12  # over a shard, whatever its size
 
 
 @dataclass
@@ -132,10 +132,5 @@ def scored(documents: DataFrame, columns: Callable[[pa.Array], dict], schema: st
     return words.map_slices(documents.select("doc_id", "text"), kernel, f"doc_id bigint, {schema}")
 
 
-def epochs(rows: int, least: int = 6, most: int = 12) -> int:
-    """Passes over a shard, so that small ones get about as many updates as large ones."""
-    return int(min(most, max(least, UPDATES // max(1, rows))))
-
-
 def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))

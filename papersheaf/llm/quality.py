@@ -54,7 +54,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", max_row
     def train(texts: pa.ChunkedArray, marks: np.ndarray) -> np.ndarray:
         rows = [(at, SCALE * counts / max(1, counts.sum())) for at, counts in linear.training_rows(texts, features)]
         model = linear.Ftrl(size + 1, rate=0.3, l1=0.1, l2=0.01)
-        for _ in range(linear.epochs(len(rows))):
+        for _ in range(linear.PASSES):
             for (at, values), mark in zip(rows, marks):
                 at, values = np.append(at, size), np.append(values, 1.0)
                 weights = model.weights(at)

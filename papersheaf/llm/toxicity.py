@@ -62,7 +62,7 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_gr
     model = linear.Ftrl(1 << linear.BITS, rate=0.2, l1=8.0, l2=0.01)
     thresholds = np.linspace(1.0, 3.0, n_grades - 1)
     moved = np.full(n_grades - 1, 1.0)
-    for _ in range(linear.epochs(len(rows))):
+    for _ in range(linear.PASSES):
         for (at, counts), grade in zip(rows, grades):
             values = np.minimum(counts, MOST).astype(float)
             weights = model.weights(at)

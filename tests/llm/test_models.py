@@ -57,3 +57,9 @@ def test_sample_is_bounded(spark):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(2000)], LABELS)
     assert linear.sample(table, labels, "quality", 5000).count() == 2000
     assert 150 < linear.sample(table, labels, "quality", 200).count() < 260
+
+
+def test_sample_takes_all_of_many_labels(spark):
+    table = spark.range(30_000).selectExpr("id AS doc_id", "'a' AS text")
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality", "0 AS toxic")
+    assert linear.sample(table, labels, "quality").count() == 30_000
