@@ -1,8 +1,10 @@
 """The training-data pipeline: each stage is one operator, written to Parquet and read by the next.
 
 A stage takes the documents that its predecessor kept and returns those that it keeps, with all columns of ``documents``; the
-last returns their tokens. Decisions are made per ``doc_id``: an id goes where none of its rows stays. Rows without
-``doc_id`` cannot be named by a decision and pass the stages, but for toxicity, which judges each row.
+last returns their tokens. Decisions are made per row: rows that repeat a ``doc_id`` with different texts are judged one by one, and
+of rows with the same ``doc_id`` and text one is left. Of copies of a text without ``doc_id`` one is left by exact dedup, which does not
+compare them with rows that have an id; near dedup and decontamination judge rows without ``doc_id`` as all others. Where the
+smallest id decides, the first text of a repeated id counts by it, and all its other texts and rows without id come after the ids.
 """
 
 from __future__ import annotations
@@ -22,11 +24,38 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL = None  # a trained model, signatures and a tokenizer are beyond SQL
 
 
-def _kept(docs: DataFrame, judged: DataFrame, stays: Column) -> DataFrame:
-    """``docs`` without the ids of which no row of ``judged`` stays."""
-    named = judged.filter("doc_id is not null").groupBy("doc_id").agg(F.max(stays).alias("stays"))
-    gone = materialized(named.filter("not stays").select("doc_id"))
-    return docs.join(measured(gone, 16), "doc_id", "left_anti").select(docs.columns)
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row in ``_row``: its id, or a hash above the usual ids for further texts of an id and for no id."""
+    text = F.coalesce("text", F.lit(""))
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    repeated = materialized(ids)
+    first = docs.join(measured(repeated, 16), "doc_id").groupBy("doc_id").agg(F.min(F.xxhash64(text)).alias("_first"))
+    known = docs.join(measured(materialized(first), 24), "doc_id", "left")
+    mixed = F.xxhash64(F.lit("row"), "doc_id", text).bitwiseAND((1 << 61) - 1) + F.lit(1 << 62)
+    own = F.col("doc_id").isNotNull() & (F.col("_first").isNull() | (F.col("_first") == F.xxhash64(text)))
+    return known.select(*(docs[c] for c in docs.columns), F.when(own, F.col("doc_id")).otherwise(mixed).alias("_row"))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """What the operators judge: each row by its key."""
+    return rows.select(F.col("_row").alias("doc_id"), "text")
+
+
+def _kept(rows: DataFrame, judged: DataFrame, stays: Column) -> DataFrame:
+    """``rows``, less their key, without those that ``judged`` names by their key and that do not stay."""
+    gone = materialized(judged.filter(~stays).select(F.col("doc_id").alias("_row")).distinct())
+    return rows.join(measured(gone, 16), "_row", "left_anti").drop("_row")
+
+
+def _one_of_equal(rows: DataFrame) -> DataFrame:
+    """One of the rows with the same key, the first by its other columns."""
+    repeated = materialized(rows.groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1").select("_row"))
+    if repeated.isEmpty():
+        return rows
+    several = rows.join(measured(repeated, 16), "_row", "left_semi").select(rows.columns)
+    first = several.groupBy("_row").agg(F.min(F.struct(*(F.col(c) for c in rows.columns if c != "_row"))).alias("first"))
+    rest = rows.join(measured(repeated, 16), "_row", "left_anti").select(rows.columns)
+    return rest.unionByName(first.select("_row", "first.*"))
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,17 +65,22 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The longest row of each group of equal texts."""
-    return _kept(docs, exact.groups(docs), F.col("kept"))
+    rows = _one_of_equal(_rows(docs))
+    found = exact.groups(rows.select(F.when(F.col("doc_id").isNotNull(), F.col("_row")).alias("doc_id"), "text"))
+    return _kept(rows, found.filter("doc_id is not null"), F.col("kept")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates: five words, a similarity of 0.8."""
-    return _kept(docs, minhash.near_duplicates(docs, width=5, percent=80), F.col("kept"))
+    rows = _rows(docs)
+    return _kept(rows, minhash.near_duplicates(_named(rows), width=5, percent=80), F.col("kept")).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share less than a twentieth of their words with benchmark items."""
-    return _kept(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")), ~F.col("contaminated"))
+    rows = _rows(docs)
+    found = decontaminate.contamination(_named(rows), table(spark, sf_dir, "benchmark"))
+    return _kept(rows, found, ~F.col("contaminated")).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

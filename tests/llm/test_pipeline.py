@@ -59,3 +59,24 @@ def test_stages_take_odd_rows(spark):
         assert stage(spark, docs.filter("false"), SF).count() == 0
     left = {r.doc_id for r in corpus_pipeline.exact_dedup(spark, docs, SF).collect()}
     assert left == {None, 1, 3}
+
+
+def test_stages_decide_by_row(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 200").orderBy("item_id").first().text
+    plain = " ".join(f"p{k}" for k in range(60))
+    near = plain + " more"
+    other = " ".join(f"o{k}" for k in range(60))
+    rows = [(1, other), (1, item), (None, item), (2, plain), (2, plain), (2, near), (None, near), (3, plain), (3, "its own text")]
+    docs = documents(spark, rows)
+
+    def left(stage, docs):
+        return sorted(((r.doc_id, r.text) for r in stage(spark, docs, SF).collect()), key=str)
+
+    want = [r for r in rows if r[1] != item]
+    assert left(corpus_pipeline.decontaminated, docs) == sorted(want, key=str)
+    got = left(corpus_pipeline.exact_dedup, docs.repartition(5))
+    assert sum(t == plain for _, t in got) == 1 and {(3, "its own text"), (1, other), (1, item)} <= set(got)
+    assert len(set(got)) == len(got)
+    got = left(corpus_pipeline.near_dedup, documents(spark, list(dict.fromkeys(rows))))
+    assert sum(t in (plain, near) for _, t in got) == 1 and {(1, other), (1, item), (3, "its own text")} <= set(got)
+    assert sum(t == item for _, t in got) == 1
