@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papersheaf.llm import bpe, decontaminate, exact, html, minhash, pii, quality, substrings, toxicity, urls
+from papersheaf.llm import bpe, counts, decontaminate, exact, html, minhash, pii, quality, repair, substrings, toxicity, urls, whitening
 from papersheaf.session import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,3 +208,24 @@ DEMONSTRATION_KEY = "papersheaf"
 @query
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
+
+
+def piece_model(path: str = public_tokenizers.path("piece_bpe_32k.model")) -> bytes:
+    """The model file, read on the driver like that of ``tokenizer_source``."""
+    with open(path, "rb") as file:
+        return file.read()
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"), piece_model(), limit=4096)
+
+
+@query
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
