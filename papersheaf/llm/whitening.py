@@ -37,7 +37,7 @@ ROWS = 4096  # of a batch that are multiplied at once
 WAYS = 64  # groups of the first of two steps that add up parts
 PRECISE = np.longdouble
 NO_VARIANCE = 1e-12  # of the largest eigenvalue
-STEPS = 40
+STEPS, PATIENCE, EXACT = 40, 3, 1e-18
 
 
 def whole_numbers(vector: Column) -> Column:
@@ -151,24 +151,25 @@ def eigenvectors(v: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndar
 
 
 def _corrected(v: np.ndarray, x: np.ndarray, steps: int) -> np.ndarray:
-    """``x`` after as many steps as it takes until nothing gets better; close eigenvalues are solved among themselves between steps."""
-    error = np.inf
+    """The best ``x`` of the steps, which end when none gets better; close eigenvalues are solved among themselves between steps."""
+    best, least, since = x, np.inf, 0
     for _ in range(steps):
         off, inner, values, bound = _parts(v, x)
+        error = max(float(np.abs(off).max()), float(np.abs(inner - np.diag(values)).max()))
+        if error < least:
+            best, least, since = x, error, 0
+        else:
+            since += 1
+        if error < EXACT or since == PATIENCE:
+            break
         order = np.argsort(-values, kind="stable")
         x, off, inner, values = x[:, order], off[np.ix_(order, order)], inner[np.ix_(order, order)], values[order]
         apart = values[None, :] - values[:, None]
         near = np.abs(apart) <= bound
-        e = np.where(near, off / 2, (inner + values[None, :] * off) / np.where(near, 1, apart))
-        x = x + _product(x, e)
-        size = float(np.abs(e).max())
-        close = _together(values, float(bound))
-        for group in close:
+        x = x + _product(x, np.where(near, off / 2, (inner + values[None, :] * off) / np.where(near, 1, apart)))
+        for group in _together(values, float(bound)):
             x[:, group] = _turned(v, x[:, group], float(values[group].mean()))
-        if size < 1e-17 or (size >= error / 2 and size < 1e-14):
-            break
-        error = size
-    return x
+    return best
 
 
 def _turned(v: np.ndarray, x: np.ndarray, middle: float) -> np.ndarray:
