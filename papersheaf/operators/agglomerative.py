@@ -1,12 +1,20 @@
 """Bottom-up clustering on a table of clusters.
 
-Ward: in each round all pairs of clusters that are nearest to each other merge at once, which gives
-the same tree as merging one pair at a time. Single linkage: each round adds the shortest edge that
-leaves each component. Nearest rows are found block by block and reduced to one row per cluster.
+Ward and average linkage: a merged cluster is never nearer to a third one than the nearer of its two parts was. So all pairs of
+clusters that are nearest to each other may merge at once, which gives the same tree as merging one pair at a time, and
+whatever was found of a cluster's distances stays a lower bound after any merges elsewhere. Clusters lie in groups of at most
+about one block; a task holds the distances inside its group, and each cluster carries a bound on its height to all clusters
+outside. A task merges as long as pairs stay below the bounds of both ends. Only clusters whose nearest partner inside lies beyond
+their bound look for their nearest partner outside, and pairs that name each other across groups merge. The rest keep their bounds from
+round to round. The same steps run at every size; all clusters in one group are the case without anything outside.
+
+Single linkage: each round adds the shortest edge that leaves each component. Nearest rows are found block by block and reduced to
+one row per component.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -15,18 +23,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papersheaf.functions import vectors
-from papersheaf.operators import blocks
+from papersheaf.operators import blocks, metrics
 from papersheaf.operators.components import connected_components
-from papersheaf.session import materialized
+from papersheaf.session import discard, materialized
 
-LINKAGES = ("ward", "single")
-TAIL_CLUSTERS = 256
+LINKAGES = ("ward", "average", "single")
+PIVOTS = 1024
 
 
-def _nearest(
-    state: DataFrame, size: blocks.Size, block_rows: int, by_label: bool
-) -> DataFrame:
-    """For each cluster (or component) its closest partner as ``struct(height, lo, hi)``.
+def ward_heights(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The growth of spread, as a distance, that merging clusters with these means and sizes brings."""
+    d = blocks.squared_distances(x, y)
+    d *= 2.0 * n[:, None] * m[None, :] / (n[:, None] + m[None, :])
+    return np.sqrt(d, out=d)
+
+
+def average_heights(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The mean cosine distance between the members of clusters with these means of unit vectors."""
+    return 1.0 - x @ y.T
+
+
+HEIGHTS = {"ward": ward_heights, "average": average_heights}
+
+
+def _nearest(state: DataFrame, size: blocks.Size, block_rows: int) -> DataFrame:
+    """For each component its closest partner as ``struct(height, lo, hi, other)``.
 
     The order ``(height, lo, hi)`` is the same seen from both ends, so ties cannot form circles.
     """
@@ -34,13 +55,7 @@ def _nearest(
 
     def kernel(left: blocks.Block, right: blocks.Block, same: bool) -> dict:
         d = blocks.squared_distances(left.x, right.x, same)
-        if by_label:
-            d[left.column("label")[:, None] == right.column("label")[None, :]] = np.inf
-        else:
-            a, b = left.column("weight").astype(float), right.column("weight").astype(float)
-            d *= 2.0 * a[:, None] * b[None, :] / (a[:, None] + b[None, :])
-            if same:
-                np.fill_diagonal(d, np.inf)
+        d[left.column("label")[:, None] == right.column("label")[None, :]] = np.inf
         np.sqrt(d, out=d)
         parts = []
         sides = [(left, right, d)] if same else [(left, right, d), (right, left, d.T)]
@@ -50,95 +65,216 @@ def _nearest(
             height = h[np.arange(len(h)), best]
             found = np.isfinite(height)
             mine, partner = rows.ids[found], others.ids[best[found]]
-            group, other = mine, partner
-            if by_label:
-                group, other = rows.column("label")[found], others.column("label")[best[found]]
             swap = mine > partner
             ends = (np.where(swap, partner, mine), np.where(swap, mine, partner))
-            parts.append((group, height[found], *ends, other))
+            parts.append((rows.column("label")[found], height[found], *ends, others.column("label")[best[found]]))
         columns = [np.concatenate(c) for c in zip(*parts)]
         return dict(zip(["owner", "height", "lo", "hi", "other"], columns))
 
     schema = f"owner {id_type}, height double, lo {id_type}, hi {id_type}, other {id_type}"
-    carry = ("label",) if by_label else ("weight",)
-    found = blocks.self_pairs(state, kernel, schema, size, carry, block_rows=block_rows)
+    found = blocks.self_pairs(state, kernel, schema, size, ("label",), block_rows=block_rows)
     return found.groupBy("owner").agg(F.min(F.struct("height", "lo", "hi", "other")).alias("best"))
 
 
-def _tail(state: DataFrame, first_round: int) -> DataFrame:
-    """The last merges of at most ``TAIL_CLUSTERS`` clusters, as one small group."""
+def _grouped(clusters: DataFrame, rows: int, block_rows: int) -> DataFrame:
+    """``clusters`` with a new ``cell``: near ones together, about ``block_rows`` in each.
+
+    Clusters go to the nearest of some pivots; crowded pivots are cut by hash, neighbours of few clusters share a cell. At most
+    ``PIVOTS`` vectors and counts come to the driver. Bounds become those to any other cluster, which hold for every grouping.
+    """
+    if rows <= block_rows:
+        return clusters.withColumn("cell", F.lit(0)).withColumn("bound", F.lit(float("inf")))
+    spark = clusters.sparkSession
+    wanted = min(PIVOTS, 2 * -(-rows // block_rows))
+    pivots = clusters.select("doc_id", "embedding").orderBy(F.xxhash64("doc_id"), "doc_id").limit(wanted).toArrow()
+    centres = blocks.matrix(pivots.column("embedding"))
+    shared = spark.sparkContext.broadcast(centres)
+    id_type = clusters.schema["doc_id"].dataType.simpleString()
+    out = blocks.arrow_schema(clusters, f"doc_id {id_type}, pivot int")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = blocks.squared_distances(blocks.matrix(batch.column("embedding")), shared.value).argmin(1)
+            yield from pa.table([batch.column("doc_id"), best.astype(np.int32)], schema=out).to_batches()
+
+    placed = materialized(clusters.select("doc_id", "embedding").mapInArrow(nearest, f"doc_id {id_type}, pivot int"))
+    counts = {row.pivot: row.n for row in placed.groupBy("pivot").agg(F.count("*").alias("n")).collect()}
+    table, cell, held = [], 0, 0
+    for pivot in _walk(centres, sorted(counts)):
+        parts = -(-counts[pivot] // block_rows)
+        if held and held + counts[pivot] > block_rows:
+            cell, held = cell + 1, 0
+        table.append((pivot, cell, parts))
+        cell, held = cell + parts - 1, held + counts[pivot] if parts == 1 else block_rows
+    cells = F.broadcast(spark.createDataFrame(table, "pivot int, first int, parts int"))  # at most PIVOTS rows
+    share = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    named = placed.join(cells, "pivot").select("doc_id", (F.col("first") + share).alias("cell"))
+    return clusters.drop("cell").join(named, "doc_id").withColumn("bound", F.least("bound", "inner"))
+
+
+def _walk(centres: np.ndarray, present: list[int]) -> Iterator[int]:
+    """The pivots in an order that goes from each to the nearest one left."""
+    left = np.array(present)
+    at = 0
+    while len(left):
+        yield int(left[at])
+        here, left = centres[left[at]], np.delete(left, at)
+        if len(left):
+            at = int(((centres[left] - here) ** 2).sum(1).argmin())
+
+
+def _merged_inside(state: DataFrame, linkage: str, number: int) -> DataFrame:
+    """All merges that the bounds allow inside each cell, and the clusters that are left with their nearest height inside.
+
+    Rows with ``dead`` are merges, all others clusters.
+    """
     id_type = state.schema["doc_id"].dataType.simpleString()
-    schema = f"dead {id_type}, survivor {id_type}, height double, round int"
+    fields = f"doc_id {id_type}, embedding array<double>, weight bigint, cell int, bound double, inner double"
+    schema = f"{fields}, dead {id_type}, survivor {id_type}, height double, round bigint"
     out = blocks.arrow_schema(state, schema)
+    heights = HEIGHTS[linkage]
 
-    def finish(table: pa.Table) -> pa.Table:
-        rows = blocks.Block(table.sort_by("doc_id"))
-        ids, x, n = rows.ids, rows.x.copy(), rows.column("weight").astype(float).copy()
+    def merge(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")  # the first of equal heights is the partner of the smallest id
+        ids, x = table.column("doc_id").to_numpy(), blocks.matrix(table.column("embedding")).copy()
+        n, bound = table.column("weight").to_numpy().astype(float), table.column("bound").to_numpy().copy()
+        cell = table.column("cell")[0].as_py()
+        d = heights(x, n, x, n)
+        d = np.triu(d, 1)
+        d += d.T
+        np.fill_diagonal(d, np.inf)
         alive = np.ones(len(ids), bool)
-        merges = []
-        for step in range(len(ids) - 1):
-            d = blocks.squared_distances(x, x) * (2.0 * n[:, None] * n[None, :] / (n[:, None] + n[None, :]))
-            d[~alive] = np.inf
-            d[:, ~alive] = np.inf
-            d[np.tril_indices_from(d)] = np.inf
-            i, j = np.unravel_index(int(d.argmin()), d.shape)
-            merges.append((ids[j], ids[i], float(np.sqrt(d[i, j])), first_round + step))
-            x[i] = (n[i] * x[i] + n[j] * x[j]) / (n[i] + n[j])
-            n[i] += n[j]
-            alive[j] = False
+        best = d.argmin(1)
+        at, merges = np.arange(len(ids)), []
+        for step in range(len(ids)):
+            near = d[at, best]
+            lo = np.flatnonzero(alive & (best[best] == at) & (at < best) & np.isfinite(near))
+            lo = lo[near[lo] <= np.minimum(bound[lo], bound[best[lo]])]
+            if not len(lo):
+                break
+            hi = best[lo]
+            merges += zip(ids[hi], ids[lo], near[lo], [(number << 32) + step] * len(lo))
+            total = n[lo] + n[hi]
+            x[lo] = (n[lo, None] * x[lo] + n[hi, None] * x[hi]) / total[:, None]
+            n[lo], bound[lo], alive[hi] = total, np.minimum(bound[lo], bound[hi]), False
+            fresh = heights(x[lo], n[lo], x, n)
+            fresh[:, ~alive] = np.inf
+            fresh[np.arange(len(lo)), lo] = np.inf
+            d[lo], d[:, lo] = fresh, fresh.T
+            d[np.ix_(lo, lo)] = np.minimum(d[np.ix_(lo, lo)], d[np.ix_(lo, lo)].T)  # the same from both ends
+            d[hi], d[:, hi] = np.inf, np.inf
+            changed = np.zeros(len(ids), bool)
+            changed[lo] = changed[hi] = True
+            again = np.flatnonzero(alive & (changed | changed[best]))
+            best[again] = d[again].argmin(1)
+        left = np.flatnonzero(alive)
+        clusters = pa.table(
+            {
+                "doc_id": ids[left], "embedding": pa.array(list(x[left]), pa.list_(pa.float64())),
+                "weight": n[left].astype(np.int64), "cell": np.full(len(left), cell, np.int32),
+                "bound": bound[left], "inner": d[left, best[left]],
+            }
+        )
         columns = list(zip(*merges)) if merges else [[], [], [], []]
-        return pa.table(dict(zip(out.names, [pa.array(list(c)) for c in columns]))).cast(out)
+        done = pa.table({name: pa.array(list(c)) for name, c in zip(["dead", "survivor", "height", "round"], columns)})
+        full = [pa.table({f.name: t[f.name] if f.name in t.column_names else pa.nulls(len(t), f.type) for f in out}).cast(out) for t in (clusters, done)]
+        return pa.concat_tables(full)
 
-    return state.groupBy(F.lit("all")).applyInArrow(finish, schema)
+    names = ["doc_id", "embedding", "weight", "cell", "bound"]
+    return state.select(*names).groupBy("cell").applyInArrow(merge, schema)
 
 
-def ward_merges(
-    distinct: DataFrame, size: blocks.Size, block_rows: int, tail_clusters: int = TAIL_CLUSTERS
-) -> DataFrame:
+def _nearest_outside(broken: DataFrame, clusters: DataFrame, linkage: str, block_rows: int) -> DataFrame:
+    """For each row of ``broken`` the nearest cluster of another cell: ``(doc_id, best)`` with ``struct(height, lo, hi, partner)``."""
+    id_type = clusters.schema["doc_id"].dataType.simpleString()
+    heights = HEIGHTS[linkage]
+
+    def kernel(rows: pa.Table, targets: pa.Table) -> dict:
+        targets = targets.sort_by("doc_id")
+        mine, ids = rows.column("doc_id").to_numpy(), targets.column("doc_id").to_numpy()
+        sizes = (rows.column("weight").to_numpy().astype(float), targets.column("weight").to_numpy().astype(float))
+        h = heights(blocks.matrix(rows.column("embedding")), sizes[0], blocks.matrix(targets.column("embedding")), sizes[1])
+        h[rows.column("cell").to_numpy()[:, None] == targets.column("cell").to_numpy()[None, :]] = np.inf
+        best = h.argmin(1)
+        partner, swap = ids[best], mine > ids[best]
+        columns = (mine, h[np.arange(len(h)), best], np.where(swap, partner, mine), np.where(swap, mine, partner), partner)
+        return dict(zip(["doc_id", "height", "lo", "hi", "partner"], columns))
+
+    schema = f"doc_id {id_type}, height double, lo {id_type}, hi {id_type}, partner {id_type}"
+    fields = ["doc_id", "embedding", "weight", "cell"]
+    found = blocks.against(
+        broken.select(fields), clusters.select(fields), blocks.each(kernel), schema, reduce=lambda parts: parts, block_rows=block_rows
+    )
+    return found.groupBy("doc_id").agg(F.min(F.struct("height", "lo", "hi", "partner")).alias("best"))
+
+
+def reducible_merges(distinct: DataFrame, size: blocks.Size, linkage: str = "ward", block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """``(dead, survivor, height, round)``, one row per merge; a cluster is named by its smallest id."""
-    state, merges, number = distinct.select("doc_id", "embedding", "weight"), [], 0
-    rows = size.rows
-    while rows > max(tail_clusters, 1):
-        current = blocks.Size(rows, size.dimension, size.weight, size.max_norm)
-        nearest = _nearest(state, current, block_rows, by_label=False)
-        # a pair is mutual when both of its ends name it
-        ends = nearest.select("best.*").groupBy("lo", "hi").agg(F.count("*").alias("ends"), F.min("height").alias("height"))
-        pairs = materialized(
-            ends.filter("ends = 2").select(
-                F.col("hi").alias("dead"), F.col("lo").alias("survivor"), "height", F.lit(number).alias("round")
-            )
-        )
-        target = pairs.select(F.col("dead").alias("doc_id"), "survivor")
-        moved = state.join(target, "doc_id", "left").withColumn("_to", F.coalesce("survivor", "doc_id"))
-        # two members at most, so a join of the small pair table with both ends
-        merged = (
-            moved.groupBy("_to")
-            .agg(F.collect_list(F.struct("embedding", "weight")).alias("parts"))
-            .select(
-                F.col("_to").alias("doc_id"),
-                F.when(F.size("parts") == 1, F.col("parts")[0]["embedding"])
-                .otherwise(
-                    F.zip_with(
-                        F.col("parts")[0]["embedding"],
-                        F.try_element_at("parts", F.lit(2))["embedding"],
-                        lambda a, b: (
-                            a * F.col("parts")[0]["weight"] + b * F.try_element_at("parts", F.lit(2))["weight"]
-                        )
-                        / (F.col("parts")[0]["weight"] + F.try_element_at("parts", F.lit(2))["weight"]),
-                    )
-                )
-                .alias("embedding"),
-                F.aggregate("parts", F.lit(0).cast("bigint"), lambda acc, p: acc + p.weight).alias("weight"),
-            )
-        )
-        state = materialized(merged)
-        merges.append(pairs)
-        rows, number = rows - pairs.count(), number + 1
-    if rows > 1:
-        merges.append(materialized(_tail(state, number)))
+    state = distinct.select("doc_id", "embedding", "weight", F.lit(0.0).alias("bound"), F.lit(float("inf")).alias("inner"))
+    rows, grouped_at, merges = size.rows, 0, []
+    number = 0
+    while rows > 1:
+        if not grouped_at or rows <= grouped_at // 2:
+            state, grouped_at = _grouped(state, rows, block_rows), rows
+        done = materialized(_merged_inside(state, linkage, number))
+        clusters = done.filter("dead is null").drop("dead", "survivor", "height", "round")
+        merges.append(done.filter("dead is not null").select("dead", "survivor", "height", "round"))
+        left = clusters.count()
+        inside, rows = rows - left, left
+        if rows == 1:
+            break
+        broken = clusters.filter("inner > bound")
+        found = materialized(_nearest_outside(broken, clusters, linkage, block_rows))
+        across = _across(clusters, found, forced=not inside, round_number=(number << 32) + (1 << 31))
+        if not across.isEmpty():
+            merges.append(across.select("dead", "survivor", "height", "round"))
+        state = materialized(_after(clusters, found, across))
+        discard(found)
+        rows, number = state.count(), number + 1
     if not merges:
-        return _no_merges(state)
-    return materialized(reduce(DataFrame.unionByName, merges))
+        return _no_merges(distinct)
+    every = materialized(reduce(DataFrame.unionByName, merges))
+    discard(*merges)
+    return every
+
+
+def _across(clusters: DataFrame, found: DataFrame, forced: bool, round_number: int) -> DataFrame:
+    """Pairs of different cells that name each other; without any merge so far, the shortest of all, should rounding hide it."""
+    inner = found.join(clusters.select("doc_id", "inner"), "doc_id").filter(F.col("best.height") <= F.col("inner")).select("best.*")
+    ends = inner.groupBy("lo", "hi").agg(F.count("*").alias("ends"), F.min("height").alias("height"))
+    named = lambda pairs: pairs.select(
+        F.col("hi").alias("dead"), F.col("lo").alias("survivor"), "height", F.lit(round_number).cast("bigint").alias("round")
+    )
+    pairs = materialized(named(ends.filter("ends = 2")))
+    if forced and pairs.isEmpty():
+        low = clusters.agg(F.min("inner")).scalar()
+        pairs = materialized(named(ends.filter(F.col("height") <= low).orderBy("height", "lo", "hi").limit(1)))
+    return pairs
+
+
+def _after(clusters: DataFrame, found: DataFrame, across: DataFrame) -> DataFrame:
+    """Clusters with their new bounds, pairs across cells as one cluster in the cell of the smaller id.
+
+    A searched cluster's bound is its nearest height outside. A new cluster's is the height of its merge, as nothing was nearer to
+    either part. Where a cell has lost a cluster to another one, nothing in it was nearer to that cluster than to its nearest one inside.
+    """
+    exact = found.select("doc_id", F.col("best.height").alias("outside"))
+    rows = clusters.join(exact, "doc_id", "left").withColumn("bound", F.coalesce("outside", "bound")).drop("outside")
+    gone = across.join(clusters.select(F.col("doc_id").alias("dead"), "cell"), "dead").select("cell").distinct().withColumn("lost", F.lit(True))
+    rows = rows.join(gone, "cell", "left").withColumn("bound", F.when(F.col("lost"), F.least("bound", "inner")).otherwise(F.col("bound")))
+    moves = across.select(F.col("dead").alias("doc_id"), F.col("survivor").alias("to"))
+    tops = across.select(F.col("survivor").alias("doc_id"), F.col("height").alias("at"))
+    rows = rows.drop("lost").join(moves, "doc_id", "left").join(tops, "doc_id", "left")
+    stays = rows.filter("to is null and at is null").select("doc_id", "embedding", "weight", "cell", "bound", "inner")
+    lower = rows.filter("at is not null").select("doc_id", "embedding", "weight", "cell", "at")
+    upper = rows.filter("to is not null").select(F.col("to").alias("doc_id"), F.col("embedding").alias("other"), F.col("weight").alias("more"))
+    both = F.col("weight") + F.col("more")
+    joined = lower.join(upper, "doc_id").select(
+        "doc_id",
+        F.zip_with("embedding", "other", lambda a, b: (a * F.col("weight") + b * F.col("more")) / both).alias("embedding"),
+        both.alias("weight"), "cell", F.col("at").alias("bound"), F.col("at").alias("inner"),
+    )
+    return stays.unionByName(joined)
 
 
 def single_merges(distinct: DataFrame, size: blocks.Size, block_rows: int) -> DataFrame:
@@ -146,9 +282,9 @@ def single_merges(distinct: DataFrame, size: blocks.Size, block_rows: int) -> Da
     labelled = distinct.select("doc_id", "embedding", F.col("doc_id").alias("label"))
     edges, components, number = [], size.rows, 0
     while components > 1:
-        nearest = materialized(_nearest(labelled, size, block_rows, by_label=True).select("owner", "best.*"))
+        nearest = materialized(_nearest(labelled, size, block_rows).select("owner", "best.*"))
         chosen = nearest.select(
-            F.col("hi").alias("dead"), F.col("lo").alias("survivor"), "height", F.lit(number).alias("round")
+            F.col("hi").alias("dead"), F.col("lo").alias("survivor"), "height", F.lit(number).cast("bigint").alias("round")
         )
         edges.append(chosen.distinct())
         joined = connected_components(
@@ -168,7 +304,7 @@ def single_merges(distinct: DataFrame, size: blocks.Size, block_rows: int) -> Da
 def _no_merges(state: DataFrame) -> DataFrame:
     same = F.col("doc_id")
     return state.select(
-        same.alias("dead"), same.alias("survivor"), F.lit(0.0).alias("height"), F.lit(0).alias("round")
+        same.alias("dead"), same.alias("survivor"), F.lit(0.0).alias("height"), F.lit(0).cast("bigint").alias("round")
     ).limit(0)
 
 
@@ -177,9 +313,12 @@ def agglomerative(
     n_clusters: int,
     linkage: str = "ward",
     block_rows: int = blocks.BLOCK_ROWS,
-    tail_clusters: int = TAIL_CLUSTERS,
+    tail_clusters: int | None = None,
 ) -> DataFrame:
-    """``(doc_id, cluster_id)`` after cutting the tree at ``n_clusters``, numbered by size, then id."""
+    """``(doc_id, cluster_id)`` after cutting the tree at ``n_clusters``, numbered by size, then id.
+
+    ``linkage`` is ``ward`` (Euclidean), ``average`` (mean cosine distance) or ``single`` (Euclidean).
+    """
     return next(iter(agglomerative_cuts(points, [n_clusters], linkage, block_rows, tail_clusters).values()))
 
 
@@ -188,19 +327,21 @@ def agglomerative_cuts(
     ks: list[int],
     linkage: str = "ward",
     block_rows: int = blocks.BLOCK_ROWS,
-    tail_clusters: int = TAIL_CLUSTERS,
+    tail_clusters: int | None = None,
 ) -> dict[int, DataFrame]:
-    """Cuts of one tree at several numbers of clusters."""
+    """Cuts of one tree at several numbers of clusters. ``tail_clusters`` has no effect any more."""
     if linkage not in LINKAGES:
         raise ValueError(f"no linkage named {linkage!r}, only {', '.join(LINKAGES)}")
     if any(k < 1 for k in ks):
         raise ValueError("the number of clusters must be at least 1")
+    if linkage == "average":
+        points = metrics.unit_points(points, "doc_id")
     distinct = materialized(blocks.distinct_points(points))
     size = blocks.measure(distinct)
-    if linkage == "ward":
-        merges = ward_merges(distinct, size, block_rows, tail_clusters)
-    else:
+    if linkage == "single":
         merges = single_merges(distinct, size, block_rows)
+    else:
+        merges = reducible_merges(distinct, size, linkage, block_rows)
     return {k: _cut(points, distinct, size, merges, k) for k in ks}
 
 

@@ -74,6 +74,49 @@ PAIRS = POINTS + """, pairs AS (
   FROM points a JOIN points b ON a.doc_id <> b.doc_id)"""
 
 
+MERGE_DISTANCES = {"ward": "list_distance(p.x, q.x) ** 2", "average": "1 - list_cosine_similarity(p.x, q.x)", "single": "list_distance(p.x, q.x)"}
+MERGE_UPDATES = {
+    "ward": "((na + no) * da + (nb + no) * db - no * dab) / (na + nb + no)",
+    "average": "(na * da + nb * db) / (na + nb)",
+    "single": "least(da, db)",
+}
+
+
+def tree(linkage: str) -> str:
+    """Step by step, the nearest two of all clusters merge and their distances to the others are made anew from the old ones."""
+    return (
+        POINTS
+        + f""", steps(t, a, b, d, na, nb, merged) AS (
+  SELECT 0, p.doc_id, q.doc_id, {MERGE_DISTANCES[linkage]}, 1.0::DOUBLE, 1.0::DOUBLE, false
+  FROM points p JOIN points q ON p.doc_id < q.doc_id
+  UNION ALL (
+  WITH now AS (SELECT * FROM steps WHERE NOT merged),
+  best AS (SELECT * FROM now ORDER BY d, a, b LIMIT 1),
+  touched AS (
+    SELECT c.a IN (best.a, best.b) AS left_one, CASE WHEN left_one THEN c.a ELSE c.b END = best.a AS of_a,
+      CASE WHEN left_one THEN c.b ELSE c.a END AS o, CASE WHEN left_one THEN c.nb ELSE c.na END AS no, c.d
+    FROM now c, best WHERE (c.a IN (best.a, best.b)) <> (c.b IN (best.a, best.b))),
+  sides AS (SELECT o, any_value(no) AS no, max(d) FILTER (of_a) AS da, max(d) FILTER (NOT of_a) AS db FROM touched GROUP BY o),
+  anew AS (
+    SELECT t, a, o, no, na + nb AS size, {MERGE_UPDATES[linkage]} AS d FROM sides, (SELECT t, a, na, nb, d AS dab FROM best))
+  SELECT best.t + 1, c.a, c.b, c.d, c.na, c.nb, false FROM now c, best
+    WHERE c.a NOT IN (best.a, best.b) AND c.b NOT IN (best.a, best.b)
+  UNION ALL SELECT t + 1, least(a, o), greatest(a, o), d,
+    CASE WHEN o < a THEN no ELSE size END, CASE WHEN o < a THEN size ELSE no END, false FROM anew
+  UNION ALL SELECT t + 1, a, b, d, na, nb, true FROM best)),
+merges AS (SELECT t, a, b, d FROM steps WHERE merged)"""
+    )
+
+
+def tree_cut(linkage: str, k: int) -> str:
+    return f"""WITH RECURSIVE {tree(linkage)},
+parents AS (SELECT a, b FROM merges WHERE t <= (SELECT count(*) FROM points) - {k}),
+up(doc_id, root) AS (SELECT doc_id, doc_id FROM points UNION ALL SELECT doc_id, a FROM up JOIN parents ON b = root),
+roots AS (SELECT doc_id, min(root) AS root FROM up GROUP BY doc_id),
+numbers AS (SELECT root, (row_number() OVER (ORDER BY count(*) DESC, root) - 1)::INT AS cluster_id FROM roots GROUP BY root)
+SELECT doc_id, cluster_id FROM roots JOIN numbers USING (root)"""
+
+
 def silhouettes(distance: str) -> str:
     return (
         PAIRS
@@ -407,6 +450,12 @@ border AS (SELECT id_a AS id, min(cluster_id) AS cluster_id FROM near JOIN numbe
   WHERE id_a NOT IN (FROM cores) GROUP BY id_a)
 SELECT doc_id, coalesce(n.cluster_id, b.cluster_id, -1)::INT AS cluster_id, n.id IS NOT NULL AS is_core
 FROM points LEFT JOIN numbered n ON n.id = doc_id LEFT JOIN border b ON b.id = doc_id""",
+    "agglomerative": tree_cut("ward", 5),
+    "agglomerative_average": tree_cut("average", 5),
+    "agglomerative_single": tree_cut("single", 5),
+    "fit_predict_agglomerative": tree_cut("ward", 8),
+    "agglomerative_merges": f"""WITH RECURSIVE {tree('ward')}
+SELECT b AS dead, a AS survivor, {r6('sqrt(d)')} AS height FROM merges""",
     "normalize_scores": f"""WITH {NORMALIZED} SELECT k, {r6('s')} AS silhouette_norm, {r6('d')} AS davies_bouldin_norm
 FROM normalized""",
     "elbow_point": f"WITH {NORMALIZED} SELECT arg_max(k, distance) AS elbow_k FROM elbow",

@@ -16,6 +16,7 @@ from papersheaf.functions import names, text, vectors
 from papersheaf.functions.binding import once
 from papersheaf.operators import (
     agglomerative,
+    blocks,
     dbscan,
     documents,
     embedding,
@@ -577,6 +578,24 @@ QUERIES["agglomerative"] = _agglomerative
 QUERIES["agglomerative_single"] = _agglomerative_single
 
 
+@query
+def agglomerative_average(spark, sf_dir):
+    return agglomerative.agglomerative(points(spark, sf_dir), 5, linkage="average")
+
+
+@query
+def agglomerative_merges(spark, sf_dir):
+    """Every merge of the tree; each must join the two nearest of all clusters left at its height."""
+    distinct = materialized(blocks.distinct_points(points(spark, sf_dir)))
+    merges = agglomerative.reducible_merges(distinct, blocks.measure(distinct))
+    return with_rounded(merges.select("dead", "survivor", "height"), "height")
+
+
+@query
+def fit_predict_agglomerative(spark, sf_dir):
+    return pipeline.DocumentClusterer("agglomerative", n_clusters=8).fit_predict(points(spark, sf_dir)).select("doc_id", "cluster_id")
+
+
 @query
 def k_sweep(spark, sf_dir):
     found = select_k.k_sweep(points(spark, sf_dir))

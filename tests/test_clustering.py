@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from papersheaf import DocumentClusterer, cluster_documents
-from papersheaf.operators import agglomerative, dbscan, kmeans, select_k
+from papersheaf.operators import agglomerative, blocks, dbscan, kmeans, select_k
 from papersheaf.operators.components import connected_components
 from tests.test_vectors import frame
 
@@ -108,6 +108,51 @@ def test_ward_matches_one_merge_at_a_time(spark, tail):
         assert list(sizes) == sorted(sizes, reverse=True)
 
 
+def naive_average(x, k):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - unit @ unit.T
+    groups = [[i] for i in range(len(x))]
+    while len(groups) > k:
+        pairs = [(d[np.ix_(groups[a], groups[b])].mean(), a, b) for a in range(len(groups)) for b in range(a + 1, len(groups))]
+        _, a, b = min(pairs)
+        groups[a] += groups.pop(b)
+    label = np.empty(len(x), int)
+    for number, group in enumerate(groups):
+        label[group] = number
+    return label
+
+
+@pytest.mark.parametrize("block_rows", [45, 2048])
+def test_average_linkage_by_cosine(spark, block_rows):
+    x = blobs(seed=5, n=70, copies=6, spread=0.6)
+    cuts = agglomerative.agglomerative_cuts(frame(spark, x), [2, 6, 15], "average", block_rows=block_rows)
+    for k, cut in cuts.items():
+        assert same_partition(labels_of(cut, len(x)), naive_average(x, k))
+
+
+@pytest.mark.parametrize("seed, spread, block_rows", [(11, 2.0, 90), (12, 0.05, 70)])
+def test_ward_over_many_groups(spark, seed, spread, block_rows):
+    """Heights of all merges in order, against one merge at a time, where most partners lie in other groups."""
+    x = blobs(seed=seed, n=150, copies=3, spread=spread)
+    rows = frame(spark, x)
+    distinct = blocks.distinct_points(rows)
+    merges = agglomerative.reducible_merges(distinct, blocks.measure(distinct), "ward", block_rows).collect()
+    assert len(merges) == distinct.count() - 1
+    one = agglomerative.reducible_merges(distinct, blocks.measure(distinct), "ward").collect()
+    heights = lambda found: np.array(sorted((r.height, r.dead, r.survivor) for r in found))
+    assert heights(merges) == pytest.approx(heights(one))
+    for k, cut in agglomerative.agglomerative_cuts(rows, [3, 20], block_rows=block_rows).items():
+        assert same_partition(labels_of(cut, len(x)), naive_ward(x, k))
+
+
+def test_equal_heights_everywhere(spark):
+    """A lattice and the corners of a simplex: any order of equal merges will do, but every merge must come."""
+    lattice = np.array([[i, j] for i in range(7) for j in range(7)], float)
+    for x, linkage in ((lattice, "ward"), (np.eye(40), "ward"), (np.eye(40), "average")):
+        got = labels_of(agglomerative.agglomerative(frame(spark, x + 1), 4, linkage, block_rows=30), len(x))
+        assert len(set(got)) == 4
+
+
 def test_single_linkage(spark):
     x = blobs(n=60, copies=6)
     got = labels_of(agglomerative.agglomerative(frame(spark, x), 4, "single", block_rows=25), len(x))
