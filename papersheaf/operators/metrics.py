@@ -2,7 +2,7 @@
 
 Whatever can be written with per-cluster counts, vector sums and second moments is computed from them
 in one pre-aggregated pass. Only the Euclidean silhouette and the compactness need distances between
-rows; those come block by block, and only sums leave a block. ``by`` names an extra grouping column,
+rows; those come block by block, and only sums or finished values leave a task. ``by`` names an extra grouping column,
 such as the k of a sweep, so that many clusterings of the same documents are measured in one pass.
 """
 
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from papersheaf.functions import names, vectors
 from papersheaf.functions.binding import bind
+from papersheaf.functions.ranking import top_per_key
 from papersheaf.operators import blocks
 from papersheaf.operators.embedding import histogram
+from papersheaf.session import materialized
 
 
 def without_noise(points: DataFrame) -> DataFrame:
@@ -250,45 +252,124 @@ def silhouette_cosine(points: DataFrame, by: str | None = None) -> DataFrame:
     return cosine_samples(points, by).groupBy(*_keys(by)).agg(F.avg("silhouette").alias("silhouette_cosine"))
 
 
-def _euclidean_by_vector(points: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame, blocks.Size]:
-    """Silhouette of every distinct (vector, cluster) with the number of documents sharing it."""
-    distinct = blocks.distinct_points(points, ("cluster_id",))
-    size = blocks.measure(distinct)
+def _block_store(rows: DataFrame, blocks_total: int) -> DataFrame:
+    """``(doc_id, embedding, labels, weight)`` as one written row per block, with all its vectors, labels and weights packed."""
+    id_type, label_type = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "labels"))
+    schema = f"block int, ids array<{id_type}>, data binary, labels {label_type}, weights array<bigint>"
+    out = blocks.arrow_schema(rows, schema)
 
-    def toward(rows: blocks.Block, others: blocks.Block, d: np.ndarray) -> tuple[np.ndarray, ...]:
-        ids, member = np.unique(others.column("cluster_id"), return_inverse=True)
-        share = np.zeros((len(others), len(ids)))
-        share[np.arange(len(others)), member] = others.column("weight")
-        sums = d @ share
-        return (
-            np.repeat(rows.ids, len(ids)),
-            np.repeat(rows.column("cluster_id"), len(ids)),
-            np.repeat(rows.column("weight"), len(ids)),
-            np.tile(ids, len(rows)),
-            sums.ravel(),
-        )
+    def pack(table: pa.Table) -> pa.Table:
+        listed = lambda values, kind: pa.array([values.to_pylist()], kind)
+        x = blocks.matrix(table.column("embedding"))
+        labels = table.column("labels").combine_chunks().flatten()
+        columns = [
+            table.column("block").slice(0, 1), listed(table.column("doc_id"), out.field("ids").type), pa.array([x.tobytes()]),
+            listed(labels, out.field("labels").type), listed(table.column("weight"), pa.list_(pa.int64())),
+        ]
+        return pa.table(columns, names=out.names).cast(out)
+
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks_total)).cast("int")
+    return materialized(rows.withColumn("block", block).groupBy("block").applyInArrow(pack, schema))
+
+
+class _Toward:
+    """Sums of the distances from the rows of one block to every cluster of every clustering, as other blocks come by."""
+
+    def __init__(self, row: dict):
+        self.ids, self.weights = row["ids"], row["weights"]
+        self.x, self.labels = self.unpacked(row)
+        self.places: list[dict] = [{} for _ in range(self.labels.shape[1])]
+        self.sums = [np.zeros((len(self.ids), 0)) for _ in self.places]
+        self.sizes = [np.zeros(0) for _ in self.places]
+
+    @staticmethod
+    def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        n = len(row["ids"])
+        return np.frombuffer(row["data"], np.float64).reshape(n, -1), np.asarray(row["labels"]).reshape(n, -1)
+
+    def add(self, row: dict, same: bool) -> None:
+        x, labels = self.unpacked(row)
+        weights = np.asarray(row["weights"], float)
+        distances = np.sqrt(blocks.squared_distances(self.x, x, same))
+        for k, place in enumerate(self.places):
+            found, member = np.unique(labels[:, k], return_inverse=True)
+            share = np.zeros((len(x), len(found)))
+            share[np.arange(len(x)), member] = weights
+            at = [place.setdefault(label, len(place)) for label in found.tolist()]
+            more = len(place) - self.sums[k].shape[1]
+            if more:
+                self.sums[k] = np.pad(self.sums[k], ((0, 0), (0, more)))
+                self.sizes[k] = np.pad(self.sizes[k], (0, more))
+            self.sums[k][:, at] += distances @ share
+            self.sizes[k][at] += share.sum(0)
+
+    def silhouettes(self) -> np.ndarray:
+        """``(b - a) / max(a, b)`` by row and clustering; 0 for a lone member, a single cluster or no distance at all."""
+        out = np.zeros(self.labels.shape)
+        rows = np.arange(len(self.ids))
+        for k, place in enumerate(self.places):
+            own = np.array([place[label] for label in self.labels[:, k].tolist()])
+            n = self.sizes[k]
+            inner = self.sums[k][rows, own] / np.maximum(n[own] - 1, 1)
+            outer = self.sums[k] / n
+            outer[rows, own] = np.inf
+            b = outer.min(1)
+            good = (n[own] > 1) & np.isfinite(b) & (np.maximum(inner, b) > 0)
+            out[good, k] = ((b - inner) / np.maximum(inner, b))[good]
+        return out
+
+
+def euclidean_silhouettes(rows: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """``(doc_id, labels, weight, silhouettes)`` of ``(doc_id, embedding, labels, weight)``: one value for each label of the array.
+
+    Vectors are packed into a written store of blocks. Every block of rows is held by one task, and all blocks pass by it one
+    after the other, so distances are made once for all clusterings, partial sums never leave the task, and what is
+    shuffled are packed blocks. Blocks get smaller where there are so many clusters that their sums would fill a task.
+    """
+    spark = rows.sparkSession
+    first = rows.agg(F.count("*").alias("n"), F.max(F.size("labels")).alias("k")).first()
+    clusterings = first.k or 0
+    if clusterings:
+        labels = rows.agg(*(F.approx_count_distinct(F.col("labels")[k]) for k in range(clusterings))).first()
+        block_rows = max(1, min(block_rows, blocks.TARGET_BYTES // (8 * max(sum(labels), 1))))
+    total = blocks.block_count(first.n, block_rows)
+    store = _block_store(rows, total)
+    spread = store.select(F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("own"), "*")
+    own_first = (F.col("own") != F.col("block")).alias("other")
+    passing = spread.select("own", own_first, "ids", "data", "labels", "weights")
+    tasks = int(min(total, blocks.MAX_PARTITIONS, max(spark.sparkContext.defaultParallelism, total)))
+    passing = passing.repartition(tasks, "own").sortWithinPartitions("own", "other")
+    id_type, label_type = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "labels"))
+    schema = f"doc_id {id_type}, labels {label_type}, weight bigint, silhouettes array<double>"
+    out = blocks.arrow_schema(rows, schema)
+
+    def finished(held: _Toward) -> pa.Table:
+        return pa.table([held.ids, held.labels.tolist(), held.weights, list(held.silhouettes())], names=out.names).cast(out)
+
+    def run(batches):
+        own, held = None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if row["own"] != own:
+                    if held is not None:
+                        yield from finished(held).to_batches()
+                    own, held = row["own"], _Toward(row)
+                held.add(row, not row["other"])
+        if held is not None:
+            yield from finished(held).to_batches()
+
+    return passing.mapInArrow(run, schema)
 
-    def kernel(left: blocks.Block, right: blocks.Block, same: bool) -> dict:
-        d = np.sqrt(blocks.squared_distances(left.x, right.x, same))
-        parts = [toward(left, right, d)]
-        if not same:
-            parts.append(toward(right, left, d.T))
-        columns = [np.concatenate(column) for column in zip(*parts)]
-        return dict(zip(["doc_id", "cluster_id", "weight", "other", "total"], columns))
 
-    id_type = points.schema["doc_id"].dataType.simpleString()
-    cluster_type = points.schema["cluster_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, cluster_id {cluster_type}, weight bigint, other {cluster_type}, total double"
-    parts = blocks.self_pairs(distinct, kernel, schema, size, ("cluster_id", "weight"), block_rows=block_rows)
-    sums = parts.groupBy("doc_id", "cluster_id", "weight", "other").agg(F.sum("total").alias("total"))
-    sizes = points.groupBy(F.col("cluster_id").alias("other")).agg(F.count("*").alias("n"))
-    own = F.col("cluster_id") == F.col("other")
-    means = sums.join(sizes, "other").groupBy("doc_id", "cluster_id", "weight").agg(
-        F.max(F.when(own & (F.col("n") > 1), F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"),
-        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"),
-    )
-    scored = means.withColumn("silhouette", _coefficient(F.col("a"), F.col("b"))).drop("a", "b")
-    return scored, distinct, size
+def _euclidean_by_vector(points: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame, blocks.Size]:
+    """Silhouette of every distinct (vector, cluster) with the number of documents sharing it."""
+    distinct = materialized(blocks.distinct_points(points, ("cluster_id",)))
+    size = blocks.measure(distinct)
+    rows = distinct.select("doc_id", "embedding", F.array("cluster_id").alias("labels"), "weight")
+    found = euclidean_silhouettes(rows, block_rows)
+    cluster, value = F.col("labels")[0].alias("cluster_id"), F.col("silhouettes")[0].alias("silhouette")
+    return found.select("doc_id", cluster, "weight", value), distinct, size
 
 
 def silhouette_samples(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
@@ -303,13 +384,86 @@ def silhouette_samples(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -
     return samples.orderBy("cluster_id", "silhouette", "doc_id")
 
 
-def silhouette_euclidean(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
-    """Mean Euclidean silhouette, 0 for a single cluster."""
+def silhouette_euclidean(
+    points: DataFrame, block_rows: int = blocks.BLOCK_ROWS, sample: int | None = None, seed: int = 0
+) -> DataFrame:
+    """Mean Euclidean silhouette, 0 for a single cluster; with ``sample``, the estimate of ``sampled_silhouette``."""
+    if sample is not None:
+        return sampled_silhouette(points, sample, seed)
     scored, _, _ = _euclidean_by_vector(points, block_rows)
     mean = F.try_divide(F.sum(F.col("silhouette") * F.col("weight")), F.sum("weight"))
     return scored.agg(F.coalesce(mean, F.lit(0.0)).alias("silhouette_euclidean"))
 
 
+def silhouettes_by_clustering(rows: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """``(position, silhouette_euclidean)``: the mean of each clustering of ``(doc_id, embedding, labels)``, all from one pass over pairs."""
+    distinct = rows.groupBy(vectors.doubles(F.col("embedding")).alias("embedding"), "labels").agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("weight")
+    )
+    found = euclidean_silhouettes(materialized(distinct), block_rows)
+    each = found.select("weight", F.posexplode("silhouettes").alias("position", "value"))
+    mean = F.sum(F.col("value") * F.col("weight")) / F.sum("weight")
+    return each.groupBy("position").agg(mean.alias("silhouette_euclidean"))
+
+
+def stratified_sample(points: DataFrame, sample: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """About ``sample`` rows, at least two of each cluster, and the clusters with their rows ``n`` and sampled rows ``taken``.
+
+    Rows are taken in the order of a digest of the seed and their id, in proportion to the clusters' sizes. Only the first rows of each
+    cluster in each task are shuffled.
+    """
+    sizes = points.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).scalar()
+    share = F.floor(F.lit(sample) * F.col("n") / F.col("_total"))
+    sizes = materialized(sizes.withColumn("_total", total).select("cluster_id", "n", F.least("n", F.greatest(F.lit(2), share)).alias("taken")))
+    order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), F.col("doc_id")]
+    first = top_per_key(points.select("doc_id", "embedding", "cluster_id"), ["cluster_id"], order, max(sample, 2))
+    chosen = first.join(sizes.select("cluster_id", "taken"), "cluster_id").filter("rank <= taken").drop("rank", "taken")
+    return materialized(chosen), sizes
+
+
+def sampled_silhouette(points: DataFrame, sample: int, seed: int = 0, limit_bytes: int = blocks.TARGET_BYTES) -> DataFrame:
+    """``(n_sampled, silhouette_euclidean, standard_error)``: the mean over a stratified sample, each row of it against all rows.
+
+    Clusters weigh by their size. The error is that of a stratified mean without replacement; it is 0 where all rows are taken.
+    Work grows with the rows times the sample, not with their square.
+    """
+    chosen, sizes = stratified_sample(points, sample, seed)
+
+    def kernel(slices, targets: pa.Table):
+        y, sums = blocks.matrix(targets.column("embedding")), {}
+        for part in slices:
+            found, member = np.unique(part.column("cluster_id").to_numpy(), return_inverse=True)
+            share = np.zeros((part.num_rows, len(found)))
+            share[np.arange(part.num_rows), member] = 1.0
+            added = np.sqrt(blocks.squared_distances(y, blocks.matrix(part.column("embedding")))) @ share
+            for k, label in enumerate(found.tolist()):
+                sums[label] = sums.get(label, 0.0) + added[:, k]
+        for label, total in sums.items():
+            yield {"doc_id": targets.column("doc_id"), "cluster_id": targets.column("cluster_id"), "other": [label] * len(y), "total": total}
+
+    id_type, cluster_type = (points.schema[c].dataType.simpleString() for c in ("doc_id", "cluster_id"))
+    schema = f"doc_id {id_type}, cluster_id {cluster_type}, other {cluster_type}, total double"
+    parts = blocks.against(
+        points.select("doc_id", "embedding", "cluster_id"), chosen, kernel, schema, reduce=lambda p: p, limit_bytes=limit_bytes
+    )
+    sums = parts.groupBy("doc_id", "cluster_id", "other").agg(F.sum("total").alias("total"))
+    own = F.col("cluster_id") == F.col("other")
+    means = sums.join(sizes.select(F.col("cluster_id").alias("other"), "n"), "other").groupBy("doc_id", "cluster_id").agg(
+        F.max(F.when(own & (F.col("n") > 1), F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"),
+        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"),
+    )
+    scored = means.select("cluster_id", _coefficient(F.col("a"), F.col("b")).alias("s"))
+    strata = scored.groupBy("cluster_id").agg(F.avg("s").alias("mean"), F.var_samp("s").alias("spread")).join(sizes, "cluster_id")
+    rest = (1 - F.col("taken") / F.col("n")) * F.coalesce("spread", F.lit(0.0)) / F.col("taken")
+    total = F.sum("n")
+    return strata.agg(
+        F.sum("taken").alias("n_sampled"),
+        F.coalesce(F.try_divide(F.sum(F.col("mean") * F.col("n")), total), F.lit(0.0)).alias("silhouette_euclidean"),
+        F.coalesce(F.try_divide(F.sqrt(F.sum(F.col("n") * F.col("n") * rest)), total), F.lit(0.0)).alias("standard_error"),
+    )
+
+
 def cluster_compactness(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """Mean Euclidean distance over the pairs of each cluster, 0 below two members."""
     distinct = blocks.distinct_points(points, ("cluster_id",))

@@ -6,6 +6,7 @@ A score table has one row per ``k`` with ``inertia, silhouette, davies_bouldin,
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from papersheaf.functions import vectors
 from papersheaf.operators import agglomerative as agg
 from papersheaf.operators import blocks, kmeans, metrics
 from papersheaf.operators import dbscan as density
-from papersheaf.session import spread_rows
+from papersheaf.session import materialized, spread_rows
 
 MAX_CLUSTERS = 10
 MIN_CLUSTERS = 2
@@ -210,7 +211,7 @@ def choose_k(points: DataFrame, seed: int = kmeans.SEED, restarts: int = SWEEP_R
 def evaluate_k_range(
     points: DataFrame, ks: list[int], algorithm: str = "kmeans", seed: int = kmeans.SEED, **options
 ) -> DataFrame:
-    """One row per k below the number of documents: both scores, inertia and clusters found."""
+    """One row per k below the number of documents: both scores, inertia and clusters found. All ks share one pass over pairs."""
     spark = points.sparkSession
     n = points.count()
     usable = [k for k in ks if k < n]
@@ -219,30 +220,31 @@ def evaluate_k_range(
     )
     if not usable:
         return spark.createDataFrame([], schema)
-    vectors_only = points.select("doc_id", "embedding")
-    inertias: dict[int, float | None] = dict.fromkeys(usable)
+    ks = sorted(usable)
+    inertias: dict[int, float | None] = dict.fromkeys(ks)
     if algorithm == "kmeans":
-        fits = kmeans.fit_many(points, usable, seed, **options)
-        inertias = {k: float(fits[k].inertia) for k in usable}
-        labels = {k: kmeans.kmeans_assign(points, fits[k].table(spark)) for k in usable}
-    elif algorithm == "agglomerative":
-        labels = agg.agglomerative_cuts(points, usable, **options)
-    elif algorithm == "dbscan":
-        same = density.dbscan(points, **options)
-        labels = dict.fromkeys(usable, same)
+        fits = kmeans.fit_many(points, ks, seed, **options)
+        inertias = {k: float(fits[k].inertia) for k in ks}
+        labelled = label_all(points, fits)
+    elif algorithm in ("agglomerative", "dbscan"):
+        if algorithm == "agglomerative":
+            cuts = agg.agglomerative_cuts(points, ks, **options)
+            named = [cuts[k].select("doc_id", F.lit(k).alias("k"), "cluster_id") for k in ks]
+            listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "cluster_id"))), lambda x: x["cluster_id"])
+            labels = reduce(DataFrame.unionByName, named).groupBy("doc_id").agg(listed.alias("labels"))  # one entry for each k
+        else:
+            found = density.dbscan(points, **options)
+            labels = found.select("doc_id", F.array_repeat("cluster_id", len(ks)).alias("labels"))
+        labelled = points.select("doc_id", "embedding").join(labels, "doc_id")
     else:
         raise ValueError(f"no algorithm named {algorithm!r}")
-    rows = []
-    for k in usable:
-        labelled = vectors_only.join(labels[k].select("doc_id", "cluster_id"), "doc_id")
-        scored = metrics.cluster_sizes(labelled).agg(F.count("*").alias("found"))
-        row = (
-            scored.withColumn("s", metrics.silhouette_euclidean(labelled).scalar())
-            .withColumn("c", metrics.calinski_harabasz(labelled).scalar())
-            .first()
-        )
-        rows.append((k, row.s, row.c, inertias[k], row.found))
-    return spark.createDataFrame(rows, schema)
+    labelled = materialized(labelled)
+    silhouettes = {row.position: row.silhouette_euclidean for row in metrics.silhouettes_by_clustering(labelled).collect()}
+    rows = labelled.select("doc_id", "embedding", F.posexplode("labels").alias("position", "cluster_id"))
+    found = rows.groupBy("position").agg(F.count_distinct("cluster_id").alias("found"))
+    spread = {row.position: row for row in found.join(metrics.calinski_harabasz(rows, "position"), "position").collect()}
+    table = [(k, silhouettes[i], spread[i].calinski_harabasz, inertias[k], spread[i].found) for i, k in enumerate(ks)]
+    return spark.createDataFrame(table, schema)  # one row a k
 
 
 def best_per_metric(evaluation: DataFrame) -> DataFrame:

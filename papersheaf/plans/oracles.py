@@ -468,6 +468,23 @@ FROM normalized""",
 SELECT coalesce((SELECT arg_max(c.k, c.silhouette) FROM scores c, p WHERE c.k <= greatest(2, p.k - 2)
   AND c.k > greatest(1, p.k - 5) AND c.silhouette > p.s AND p.s < 0.25), p.k) AS final_k FROM p""",
     "silhouette_euclidean": f"WITH {silhouettes('distance')} SELECT {r6('avg(s)')} AS silhouette_euclidean FROM samples",
+    "silhouette_sampled": f"""WITH {POINTS}, strata AS (
+  SELECT cluster_id, count(*) AS n, least(count(*), greatest(2, {q.SAMPLED} * count(*) // (SELECT count(*) FROM points)))::BIGINT AS taken
+  FROM points GROUP BY cluster_id),
+chosen AS (
+  SELECT doc_id, x, cluster_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY md5('0:' || doc_id), doc_id) AS rank FROM points)
+  JOIN strata USING (cluster_id) WHERE rank <= taken),
+toward AS (
+  SELECT c.doc_id, c.cluster_id, p.cluster_id AS other, avg(list_distance(c.x, p.x)) AS d
+  FROM chosen c JOIN points p ON p.doc_id <> c.doc_id GROUP BY ALL),
+samples AS (
+  SELECT doc_id, cluster_id, coalesce((b - a) / nullif(greatest(a, b), 0), 0) AS s FROM (
+    SELECT doc_id, cluster_id, min(d) FILTER (other = cluster_id) AS a, min(d) FILTER (other <> cluster_id) AS b
+    FROM toward GROUP BY ALL)),
+means AS (SELECT cluster_id, avg(s) AS mean, coalesce(var_samp(s), 0) AS spread FROM samples GROUP BY cluster_id)
+SELECT sum(taken)::BIGINT AS n_sampled, {r6('sum(n * mean) / sum(n)')} AS silhouette_euclidean,
+  {r6('sqrt(sum(n * n * (1 - taken / n) * spread / taken)) / sum(n)')} AS standard_error FROM means JOIN strata USING (cluster_id)""",
     "silhouette_cosine": f"WITH {silhouettes('cosine')} SELECT {r6('avg(s)')} AS silhouette_cosine FROM samples",
     "silhouette_samples": f"WITH {silhouettes('distance')} SELECT doc_id, cluster_id, {r6('s')} AS silhouette FROM samples",
     "cosine_samples": f"WITH {silhouettes('cosine')} SELECT doc_id, cluster_id, {r6('s')} AS silhouette FROM samples",

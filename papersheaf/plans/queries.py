@@ -652,6 +652,15 @@ def silhouette_euclidean(spark, sf_dir):
     return with_rounded(metrics.silhouette_euclidean(points(spark, sf_dir)), "silhouette_euclidean")
 
 
+SAMPLED = 150
+
+
+@query
+def silhouette_sampled(spark, sf_dir):
+    found = metrics.silhouette_euclidean(points(spark, sf_dir), sample=SAMPLED)
+    return with_rounded(found, "silhouette_euclidean", "standard_error")
+
+
 @query
 def silhouette_cosine(spark, sf_dir):
     return with_rounded(metrics.silhouette_cosine(points(spark, sf_dir)), "silhouette_cosine")

@@ -113,6 +113,34 @@ def test_euclidean_silhouette(spark, block_rows):
     assert metrics.silhouette_euclidean(rows, block_rows).first()[0] == pytest.approx(wanted.mean())
 
 
+@pytest.mark.parametrize("block_rows", [9, 2048])
+def test_silhouettes_of_many_clusterings(spark, block_rows):
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(90, 4))
+    x[70:] = x[5]
+    labels = np.stack([rng.integers(0, k, 90) for k in (1, 2, 5, 40)], axis=1)
+    rows = frame(spark, x).join(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(labels)], "doc_id long, labels array<int>"), "doc_id")
+    got = {r.position: r.silhouette_euclidean for r in metrics.silhouettes_by_clustering(rows, block_rows).collect()}
+    assert got[0] == 0
+    for k in (1, 2, 3):
+        assert got[k] == pytest.approx(silhouette(x, labels[:, k], "euclidean").mean())
+
+
+def test_sampled_silhouette(spark):
+    rng = np.random.default_rng(32)
+    labels = np.repeat([0, 1, 2, 3], [200, 60, 3, 1])
+    x = rng.normal(size=(len(labels), 3)) + labels[:, None] * 1.5
+    rows = frame(spark, x, labels)
+    exact = silhouette(x, labels, "euclidean").mean()
+    for sample, seed, limit in ((60, 0, 1 << 26), (60, 3, 500), (120, 1, 1 << 26)):
+        got = metrics.sampled_silhouette(rows, sample, seed, limit_bytes=limit).first()
+        assert 0 < got.standard_error < 0.1 and abs(got.silhouette_euclidean - exact) <= 3 * got.standard_error
+        assert got.n_sampled <= sample + 4
+    every = metrics.silhouette_euclidean(rows, sample=10_000).first()
+    assert every.silhouette_euclidean == pytest.approx(exact) and every.standard_error == 0 and every.n_sampled == len(x)
+    assert metrics.sampled_silhouette(rows.limit(0), 10).first().silhouette_euclidean == 0
+
+
 @pytest.mark.parametrize("limit", [blocks.TARGET_BYTES, 100])
 def test_cosine_silhouette(spark, limit):
     x, labels = sample()
