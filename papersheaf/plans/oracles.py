@@ -454,6 +454,27 @@ FROM points LEFT JOIN numbered n ON n.id = doc_id LEFT JOIN border b ON b.id = d
     "agglomerative_average": tree_cut("average", 5),
     "agglomerative_single": tree_cut("single", 5),
     "fit_predict_agglomerative": tree_cut("ward", 8),
+    "evaluate_agglomerative": f"""WITH RECURSIVE {tree('ward')},
+parents AS (SELECT k, a, b FROM merges, (VALUES (2), (3), (5), (9)) ks(k) WHERE t <= (SELECT count(*) FROM points) - k),
+up(k, doc_id, root) AS (
+  SELECT k, doc_id, doc_id FROM points, (VALUES (2), (3), (5), (9)) ks(k)
+  UNION ALL SELECT up.k, doc_id, a FROM up JOIN parents p ON p.k = up.k AND b = root),
+labels AS (SELECT k, doc_id, min(root) AS c FROM up GROUP BY ALL),
+apart AS (SELECT p.doc_id AS i, q.doc_id AS j, list_distance(p.x, q.x) AS d FROM points p JOIN points q ON p.doc_id <> q.doc_id),
+toward AS (
+  SELECT l.k, i, l.c, m.c AS other, avg(d) AS d FROM apart JOIN labels l ON l.doc_id = i JOIN labels m ON m.doc_id = j AND m.k = l.k
+  GROUP BY ALL),
+samples AS (
+  SELECT k, i, coalesce((b - a) / nullif(greatest(a, b), 0), 0) AS s FROM (
+    SELECT k, i, min(d) FILTER (other = c) AS a, min(d) FILTER (other <> c) AS b FROM toward GROUP BY k, i)),
+longs_of AS (SELECT k, c, doc_id, unnest(generate_series(1, len(x))) AS i, unnest(x) AS v FROM points JOIN labels USING (doc_id)),
+middle AS (SELECT k, c, i, avg(v) AS m, count(*) AS n FROM longs_of GROUP BY ALL),
+overall AS (SELECT k, i, avg(v) AS m FROM longs_of GROUP BY ALL),
+within AS (SELECT k, sum((v - m) ** 2) AS w FROM longs_of JOIN middle USING (k, c, i) GROUP BY k),
+between_ AS (SELECT k, sum(n * (middle.m - overall.m) ** 2) AS b FROM middle JOIN overall USING (k, i) GROUP BY k)
+SELECT k, (SELECT {r6('avg(s)')} FROM samples WHERE samples.k = within.k) AS silhouette_score,
+  {r6('(b / (k - 1)) / (w / ((SELECT count(*) FROM points) - k))')} AS calinski_harabasz_score, k::BIGINT AS n_clusters_found
+FROM within JOIN between_ USING (k)""",
     "agglomerative_merges": f"""WITH RECURSIVE {tree('ward')}
 SELECT b AS dead, a AS survivor, {r6('sqrt(d)')} AS height FROM merges""",
     "normalize_scores": f"""WITH {NORMALIZED} SELECT k, {r6('s')} AS silhouette_norm, {r6('d')} AS davies_bouldin_norm

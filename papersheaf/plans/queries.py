@@ -644,6 +644,12 @@ def evaluate_k_range(spark, sf_dir):
     return with_rounded(found, "silhouette_score", "calinski_harabasz_score", "inertia")
 
 
+@query
+def evaluate_agglomerative(spark, sf_dir):
+    found = select_k.evaluate_k_range(points(spark, sf_dir), [2, 3, 5, 9], "agglomerative").drop("inertia")
+    return with_rounded(found, "silhouette_score", "calinski_harabasz_score")
+
+
 # Quality
 
 
