@@ -30,10 +30,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papersheaf.llm import words
 from papersheaf.operators.blocks import arrow_schema
 
 PIECE_CHARS = 32_768
-BATCH_CHARS = 1 << 19
 WINDOW = 64  # characters on each side of a join at first
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 RUN = 4  # characters of the same kind that make a place the middle of a run
@@ -44,7 +44,7 @@ LETTER, NUMBER, SPACE = (regex.compile(p) for p in (r"\p{L}", r"\p{N}", r"\s"))
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PLAIN = "\\t\\n\\r\u0020-\u007e\u00a1-\u024f"
 OTHER = regex.compile(f"[^{PLAIN}]")
-KNOWN = 1 << 18  # remembered pre-tokens of a task
+KNOWN, KNOWN_BYTES = 1 << 18, 1 << 22  # remembered pre-tokens of a task, and what they and their ids may take
 LONG_WORD = 64  # characters; longer ones are not remembered
 
 
@@ -75,6 +75,7 @@ class Codec:
             self.bytes[token["id"]] = token["content"].encode()
         self.special = [t["content"] for t in model["added_tokens"]]
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
         self.margin = max([len(s) for s in self.special], default=0)
 
     def packed(self, texts: list[str]) -> list[bytes]:
@@ -83,14 +84,16 @@ class Codec:
         Pre-tokens are encoded on their own by definition, so each is looked up once and remembered. Texts with special tokens or
         with characters outside ``PLAIN``, where versions of Unicode could differ, are left to the tokenizer as a whole.
         """
-        words = [None if OTHER.search(t) or any(s in t for s in self.special) else PRE_TOKEN.findall(t) for t in texts]
-        new = list(set().union(*(w for w in words if w)) - self.known.keys())
+        parts = [None if OTHER.search(t) or any(s in t for s in self.special) else PRE_TOKEN.findall(t) for t in texts]
+        new = list(set().union(*(p for p in parts if p)) - self.known.keys())
         self.known.update(zip(new, map(pack, self.encode(new))))
-        out = [b"" if w is None else b"".join(map(self.known.__getitem__, w)) for w in words]
-        for k, found in zip(rest := [k for k, w in enumerate(words) if w is None], self.encode([texts[k] for k in rest])):
+        out = [b"" if p is None else b"".join(map(self.known.__getitem__, p)) for p in parts]
+        for k, found in zip(rest := [k for k, p in enumerate(parts) if p is None], self.encode([texts[k] for k in rest])):
             out[k] = pack(found)
-        if len(self.known) > KNOWN:
+        self.known_bytes += sum(len(word) + len(self.known[word]) for word in new)
+        if len(self.known) > KNOWN or self.known_bytes > KNOWN_BYTES:
             self.known.clear()
+            self.known_bytes = 0
         for word in new:
             if len(word) > LONG_WORD:
                 self.known.pop(word, None)
@@ -254,25 +257,19 @@ def encode(documents: DataFrame, source: str, piece_chars: int = PIECE_CHARS) ->
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(shared.value)
-        for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            start = 0
-            while start < len(texts):
-                stop, size = start, 0
-                while stop < len(texts) and (stop == start or size + len(texts[stop]) <= BATCH_CHARS):
-                    size += len(texts[stop])
-                    stop += 1
-                found = code.packed(texts[start:stop])
-                columns = [ids.slice(start, stop - start), found, [code.decode(unpack(x)).decode() for x in found]]
-                yield from pa.table(columns, schema=out).to_batches()
-                start = stop
+        for part in words.slices(batches):
+            found = code.packed(part.column("text").to_pylist())
+            columns = [part.column("doc_id"), found, [code.decode(unpack(x)).decode() for x in found]]
+            yield from pa.table(columns, schema=out).to_batches()
+        words.give_back()
 
     cut_out = arrow_schema(rows, "row bigint, doc_id bigint, piece int, text string")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(shared.value)
         for batch in batches:
-            for row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
+            for k in range(batch.num_rows):
+                row, doc_id, text = (batch.column(c)[k].as_py() for c in ("row", "doc_id", "text"))
                 parts = pieces(text, piece_chars, code)
                 n = len(parts)
                 yield from pa.table([[row] * n, pa.array([doc_id] * n, pa.int64()), range(n), parts], schema=cut_out).to_batches()

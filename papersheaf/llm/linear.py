@@ -102,6 +102,7 @@ def fit_shards(rows: DataFrame, fit: Callable[[list[str], np.ndarray], np.ndarra
     def train(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         model = fit(table.column("text"), table.column("label").to_numpy())
+        words.give_back()
         return pa.table({"rows": [table.num_rows], "model": [model.astype("<f4").tobytes()]}, schema=out)
 
     models = rows.groupBy("shard").applyInArrow(train, "rows bigint, model binary").collect()

@@ -7,6 +7,8 @@ machine, the batch or the slice.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -146,6 +148,15 @@ def windows(values: np.ndarray, width: int) -> np.ndarray:
     return mix((running[width:] - running[:-width]) * backward[: len(values) - width + 1])
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on between tasks and would keep the most that any task needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_slices(rows: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text") -> DataFrame:
     """``kernel`` on every slice of rows; it returns columns by name."""
     out = arrow_schema(rows, schema)
@@ -154,5 +165,6 @@ def map_slices(rows: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema
         for batch in slices(batches, text):
             if batch.num_rows:
                 yield from pa.table(kernel(batch), schema=out).to_batches()
+        give_back()
 
     return rows.mapInArrow(run, schema)
