@@ -74,6 +74,34 @@ PAIRS = POINTS + """, pairs AS (
   FROM points a JOIN points b ON a.doc_id <> b.doc_id)"""
 
 
+def components(n: int) -> str:
+    """The first ``n`` principal components: the covariance squared again and again leaves one direction, which is then taken out."""
+    parts = [
+        LONG,
+        "overall AS (SELECT i, avg(v) AS m FROM longs GROUP BY i)",
+        "centred AS (SELECT doc_id, cluster_id, i, v - m AS v FROM longs JOIN overall USING (i))",
+        """cov_1 AS MATERIALIZED (
+  SELECT p.i, q.i AS j, sum(p.v * q.v) / ((SELECT count(*) FROM points) - 1) AS v
+  FROM centred p JOIN centred q USING (doc_id) GROUP BY ALL)""",
+    ]
+    for c in range(1, n + 1):
+        parts += [
+            f"""power_{c}(step, i, j, v) AS (
+  SELECT 0, i, j, v FROM cov_{c} UNION ALL
+  SELECT step + 1, i, j, v / max(abs(v)) OVER () FROM (
+    SELECT p.step, p.i, q.j, sum(p.v * q.v) AS v FROM power_{c} p JOIN power_{c} q ON p.j = q.i WHERE p.step < 15 GROUP BY ALL))""",
+            f"""column_{c} AS (SELECT i, v FROM power_{c} WHERE step = 15 AND j = (
+  SELECT arg_max(i, v) FROM power_{c} WHERE step = 15 AND i = j))""",
+            f"""vector_{c} AS MATERIALIZED (
+  SELECT i, v / sqrt((SELECT sum(v * v) FROM column_{c})) * sign((SELECT arg_max(v, abs(v)) FROM column_{c})) AS w FROM column_{c})""",
+            f"""value_{c} AS (
+  SELECT sum(p.w * v * q.w) AS e FROM cov_1 c JOIN vector_{c} p ON p.i = c.i JOIN vector_{c} q ON q.i = c.j)""",
+            f"""cov_{c + 1} AS MATERIALIZED (SELECT c.i, c.j, v - (SELECT e FROM value_{c}) * p.w * q.w AS v
+  FROM cov_{c} c JOIN vector_{c} p ON p.i = c.i JOIN vector_{c} q ON q.i = c.j)""",
+        ]
+    return ", ".join(parts)
+
+
 MERGE_DISTANCES = {"ward": "list_distance(p.x, q.x) ** 2", "average": "1 - list_cosine_similarity(p.x, q.x)", "single": "list_distance(p.x, q.x)"}
 MERGE_UPDATES = {
     "ward": "((na + no) * da + (nb + no) * db - no * dab) / (na + nb + no)",
@@ -450,6 +478,16 @@ border AS (SELECT id_a AS id, min(cluster_id) AS cluster_id FROM near JOIN numbe
   WHERE id_a NOT IN (FROM cores) GROUP BY id_a)
 SELECT doc_id, coalesce(n.cluster_id, b.cluster_id, -1)::INT AS cluster_id, n.id IS NOT NULL AS is_core
 FROM points LEFT JOIN numbered n ON n.id = doc_id LEFT JOIN border b ON b.id = doc_id""",
+    "pca_project": f"""WITH RECURSIVE {components(2)} SELECT doc_id, {r6('sum(v * a.w)')} AS x, {r6('sum(v * b.w)')} AS y
+FROM centred JOIN vector_1 a USING (i) JOIN vector_2 b USING (i) GROUP BY doc_id""",
+    "project_centers": f"""WITH RECURSIVE {components(2)}, middle AS (
+  SELECT cluster_id, i, avg(v) AS v FROM centred GROUP BY ALL)
+SELECT cluster_id, {r6('sum(v * a.w)')} AS x, {r6('sum(v * b.w)')} AS y
+FROM middle JOIN vector_1 a USING (i) JOIN vector_2 b USING (i) GROUP BY cluster_id""",
+    "explained_variance": f"""WITH RECURSIVE {components(10)}, shares AS (
+  SELECT c::INT AS component, e / (SELECT sum(v) FROM cov_1 WHERE i = j) AS share FROM ({' UNION ALL '.join(
+      f'SELECT {c} AS c, e FROM value_{c}' for c in range(1, 11))}))
+SELECT component, {r6('share')} AS explained_variance_ratio, {r6('sum(share) OVER (ORDER BY component)')} AS cumulative FROM shares""",
     "agglomerative": tree_cut("ward", 5),
     "agglomerative_average": tree_cut("average", 5),
     "agglomerative_single": tree_cut("single", 5),
