@@ -173,6 +173,37 @@ def test_cache_embeds_each_missing_text_once(spark):
     assert calls.value == 5
 
 
+def test_overlapping_runs_leave_each_key_once(spark):
+    path = fresh_folder(spark, "cache")
+    rows = spark.createDataFrame([(1, "aa"), (2, "bbb"), (3, "aa")], "doc_id bigint, full_text string")
+    more = rows.unionByName(spark.createDataFrame([(4, "c")], rows.schema))
+
+    def embed(found, column):
+        return found.withColumn("embedding", F.array(F.length(column).cast("float")))
+
+    def overtaken(found, column):
+        assert cache.incremental_embed(rows, embed, path, "m").count() == 3  # commits while the outer run is at work
+        return embed(found, column)
+
+    got = cache.incremental_embed(more, overtaken, path, "m")
+    assert sorted((r.doc_id, r.embedding[0]) for r in got.collect()) == [(1, 2.0), (2, 3.0), (3, 2.0), (4, 1.0)]
+    cached = cache.read_cache(spark, path, "m")
+    assert cached.count() == cached.select("cache_key").distinct().count() == 3
+    version, tables = cache.latest_manifest(spark, path)
+    assert version == len(tables) == 2
+
+    # two writers that have read the same manifest: the later one leaves out what the earlier one has brought
+    vectors = materialized(spark.createDataFrame([("x", [1.0]), ("y", [2.0])], cache.CACHE))
+    cache.commit(spark, path, vectors, "m", version)
+    after = cache.commit(spark, path, vectors, "m", version)
+    assert after.count() == 5 and cache.latest_manifest(spark, path)[0] == 4
+    assert cache.read_cache(spark, path, "m2").count() == 0
+
+    # a name that is taken is not taken over
+    cache._written(spark, f"{path}/manifests/draft", "[]")
+    assert not cache._renamed(spark, f"{path}/manifests/draft", f"{path}/manifests/4.json")
+
+
 def test_unwritable_cache_only_warns(spark, tmp_path):
     (tmp_path / "file").write_text("x")  # no folder can be made below a file
 
