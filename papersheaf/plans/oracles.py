@@ -348,6 +348,10 @@ two AS (
 SELECT doc_id, d || '/' || s || CASE WHEN r + taken = 0 THEN '' ELSE '_' || (r + taken) END || '.pdf' AS destination_path
 FROM (SELECT *, row_number() OVER (PARTITION BY d, s ORDER BY doc_id) - 1 AS r FROM placed) JOIN two USING (d, s)"""
 
+NEAREST = f"""WITH {POINTS}, scored AS (
+  SELECT q.doc_id AS query_id, p.doc_id, list_dot_product(q.x, p.x) AS s FROM points q, points p WHERE q.doc_id % 50 = 0)
+SELECT query_id, doc_id, {r6('s')} AS similarity, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id)::INT AS rank FROM scored) WHERE rank <= 5"""
 ORACLES = {
     "validate_files": f"""WITH {INVENTORY} SELECT doc_id, reason IS NULL AS valid, reason AS reject_reason FROM (
   SELECT doc_id, CASE WHEN length IS NULL THEN 'File not found' WHEN lang = 'es' THEN 'Not a PDF file'
@@ -426,10 +430,8 @@ FROM twice a JOIN twice b ON a.doc_id < b.doc_id WHERE list_dot_product(a.x, b.x
   SELECT doc_id, list_transform(x, lambda e: e - m) AS x FROM (SELECT doc_id, x, list_avg(x) AS m FROM twice))
 SELECT a.doc_id AS id_a, b.doc_id AS id_b, {r6('list_cosine_similarity(a.x, b.x)')} AS correlation
 FROM centred a JOIN centred b ON a.doc_id < b.doc_id WHERE list_cosine_similarity(a.x, b.x) >= 0.25""",
-    "find_most_similar": f"""WITH {POINTS}, scored AS (
-  SELECT q.doc_id AS query_id, p.doc_id, list_dot_product(q.x, p.x) AS s FROM points q, points p WHERE q.doc_id % 50 = 0)
-SELECT query_id, doc_id, {r6('s')} AS similarity, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id)::INT AS rank FROM scored) WHERE rank <= 5""",
+    "find_most_similar": NEAREST,
+    "search_index": NEAREST,
     "similarity_network": f"""WITH {PAIRS} SELECT id_a, id_b, {r6('dot')} AS similarity FROM pairs
 WHERE id_a < id_b AND dot > 0.3""",
     "pairwise_correlation": f"""WITH {POINTS}, centred AS (

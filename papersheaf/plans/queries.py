@@ -28,6 +28,7 @@ from papersheaf.operators import (
     select_k,
     similarity,
 )
+from papersheaf.operators import search_index as index
 from papersheaf.plans import pipeline
 from papersheaf.session import fresh_folder, materialized, spread_rows
 from papersheaf.sources import cache, files, reports
@@ -438,6 +439,14 @@ def find_most_similar(spark, sf_dir):
     return with_rounded(similarity.find_most_similar(asked, rows), "similarity")
 
 
+@query
+def search_index(spark, sf_dir):
+    rows, path = points(spark, sf_dir), fresh_folder(spark, "index")
+    index.build_index(rows, path)
+    asked = rows.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    return with_rounded(index.search_index(asked, path)[0], "similarity")
+
+
 @query
 def search_text(spark, sf_dir):
     """The benchmark texts against all documents, both placed by the same model."""
