@@ -76,7 +76,7 @@ def _nearest(state: DataFrame, size: blocks.Size, block_rows: int) -> DataFrame:
     return found.groupBy("owner").agg(F.min(F.struct("height", "lo", "hi", "other")).alias("best"))
 
 
-def _grouped(clusters: DataFrame, rows: int, block_rows: int) -> DataFrame:
+def near_groups(clusters: DataFrame, rows: int, block_rows: int) -> DataFrame:
     """``clusters`` with a new ``cell``: near ones together, about ``block_rows`` in each.
 
     Clusters go to the nearest of some pivots; crowded pivots are cut by hash, neighbours of few clusters share a cell. At most
@@ -215,7 +215,7 @@ def reducible_merges(distinct: DataFrame, size: blocks.Size, linkage: str = "war
     number = 0
     while rows > 1:
         if not grouped_at or rows <= grouped_at // 2:
-            state, grouped_at = _grouped(state, rows, block_rows), rows
+            state, grouped_at = near_groups(state, rows, block_rows), rows
         done = materialized(_merged_inside(state, linkage, number))
         clusters = done.filter("dead is null").drop("dead", "survivor", "height", "round")
         merges.append(done.filter("dead is not null").select("dead", "survivor", "height", "round"))
@@ -351,15 +351,7 @@ def _cut(points: DataFrame, distinct: DataFrame, size: blocks.Size, merges: Data
     Copies of a vector merge first, at height 0; only for more clusters than distinct vectors do the
     largest ids among them stand alone.
     """
-    highest = (
-        merges.orderBy(F.desc("height"), F.desc("round"), F.desc("dead"), F.desc("survivor"))
-        .limit(min(k, size.rows) - 1)
-        .select("dead", "survivor")
-    )
-    kept = merges.join(highest, ["dead", "survivor"], "left_anti")
-    nodes = distinct.select(F.col("doc_id").alias("id"))
-    labels = connected_components(nodes, kept.select(F.col("dead").alias("u"), F.col("survivor").alias("v")))
-    result = labels.withColumnRenamed("id", "doc_id")
+    result = cut_labels(distinct, size, merges, k)
     if size.has_copies:
         copies = blocks.copies_of(points, distinct)
         grouped = copies.join(result.withColumnRenamed("doc_id", "rep"), "rep").select("doc_id", "label")
@@ -369,6 +361,24 @@ def _cut(points: DataFrame, distinct: DataFrame, size: blocks.Size, merges: Data
                 alone.withColumn("label", F.col("doc_id"))
             )
         result = result.unionByName(grouped)
+    return numbered(result)
+
+
+def cut_labels(distinct: DataFrame, size: blocks.Size, merges: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, label)``: what stays connected without the ``k - 1`` highest merges, named by its smallest id."""
+    highest = (
+        merges.orderBy(F.desc("height"), F.desc("round"), F.desc("dead"), F.desc("survivor"))
+        .limit(min(k, size.rows) - 1)
+        .select("dead", "survivor")
+    )
+    kept = merges.join(highest, ["dead", "survivor"], "left_anti")
+    nodes = distinct.select(F.col("doc_id").alias("id"))
+    labels = connected_components(nodes, kept.select(F.col("dead").alias("u"), F.col("survivor").alias("v")))
+    return labels.withColumnRenamed("id", "doc_id")
+
+
+def numbered(result: DataFrame) -> DataFrame:
+    """``(doc_id, cluster_id)`` of ``(doc_id, label)``: clusters numbered by size, then label."""
     order = Window.orderBy(F.desc("n"), F.asc("label"))  # k rows
     numbers = (
         result.groupBy("label")

@@ -491,6 +491,11 @@ FROM middle JOIN vector_1 a USING (i) JOIN vector_2 b USING (i) GROUP BY cluster
       f'SELECT {c} AS c, e FROM value_{c}' for c in range(1, 11))}))
 SELECT component, {r6('share')} AS explained_variance_ratio, {r6('sum(share) OVER (ORDER BY component)')} AS cumulative FROM shares""",
     "agglomerative": tree_cut("ward", 5),
+    "agglomerative_features": tree_cut("ward", 5),
+    "cluster_features": f"""WITH {LONG}, whole AS (
+  SELECT count(DISTINCT doc_id) AS n_rows, sum(v * v) AS squares FROM longs)
+SELECT (i - 1)::INT AS position, {r6('sum(v)')} AS total, any_value(n_rows) AS n_rows, {r6('any_value(squares)')} AS squares,
+  any_value(n_rows) AS n_members, any_value(n_rows) AS n_distinct FROM longs, whole GROUP BY i""",
     "agglomerative_average": tree_cut("average", 5),
     "agglomerative_single": tree_cut("single", 5),
     "fit_predict_agglomerative": tree_cut("ward", 8),

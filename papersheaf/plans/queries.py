@@ -20,6 +20,7 @@ from papersheaf.operators import (
     dbscan,
     documents,
     embedding,
+    features,
     kmeans,
     metrics,
     naming,
@@ -600,6 +601,23 @@ def agglomerative_merges(spark, sf_dir):
     return with_rounded(merges.select("dead", "survivor", "height"), "height")
 
 
+@query
+def agglomerative_features(spark, sf_dir):
+    """Ward over the features of radius 0, whose tree is that of the rows."""
+    return features.agglomerative_over_features(points(spark, sf_dir), 5, radius=0.0)
+
+
+@query
+def cluster_features(spark, sf_dir):
+    """What all features hold together, whatever rows they put together: rows, members, sums by dimension and squares."""
+    found, members = features.cluster_features(points(spark, sf_dir), radius=0.9)
+    found = materialized(found)
+    sums = found.select(F.posexplode("total").alias("position", "v")).groupBy("position").agg(F.sum("v").alias("total"))
+    whole = found.agg(F.sum("n").alias("n_rows"), F.sum("squares").alias("squares"))
+    placed = members.agg(F.count("*").alias("n_members"), F.count_distinct("doc_id").alias("n_distinct"))
+    return with_rounded(sums.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(placed)), "total", "squares")  # one row each
+
+
 @query
 def fit_predict_agglomerative(spark, sf_dir):
     return pipeline.DocumentClusterer("agglomerative", n_clusters=8).fit_predict(points(spark, sf_dir)).select("doc_id", "cluster_id")
