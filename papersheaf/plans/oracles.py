@@ -650,6 +650,14 @@ UNION ALL SELECT 1, cluster_id, 2, document_name || ' ' || doc_id, '  • ' || d
 FROM texts LEFT JOIN names USING (cluster_id)""",
 }
 
+ORACLES["scanned_rows"] = " UNION ALL ".join(f"SELECT '{name}.parquet' AS filename, count(*) AS n_rows FROM {name}" for name in q.SCANNED)
+ORACLES["report_totals"] = ORACLES["organize_summary"]
+ORACLES["report_listing"] = ORACLES["cluster_listing"]
+ORACLES["report_placements"] = ORACLES["placement_manifest"]
+ORACLES["report_text"] = f"SELECT line FROM ({REPORT}) WHERE line NOT LIKE 'Written: %' AND line NOT LIKE 'Folder: %'"
+ORACLES["report_breakdown"] = f"WITH {TEXTS} SELECT doc_id, document_name, cluster_id FROM texts"
+ORACLES["plan_quality"] = f"""WITH {SCORES} SELECT k, {r6('inertia')} AS inertia, {r6('silhouette')} AS silhouette,
+  {r6('davies_bouldin')} AS davies_bouldin, {r6('calinski_harabasz')} AS calinski_harabasz FROM scores"""
 ORACLES["fit_predict_dbscan"] = f"SELECT doc_id, cluster_id FROM ({ORACLES['dbscan']})"
 ORACLES["kmeans_invariants"] = f"""WITH {POINTS} SELECT count(*) AS n, count(*) AS n_nearest, 8::BIGINT AS n_clusters,
   8::BIGINT AS n_means, true AS sizes_descend FROM points"""

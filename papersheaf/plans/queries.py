@@ -260,6 +260,71 @@ def embedding_cache(spark, sf_dir):
     return found.unionByName(absent)
 
 
+SCANNED = ["documents", "embeddings", "pages", "labels", "conversations", "benchmark"]
+
+
+@query
+def scanned_rows(spark, sf_dir):
+    """The files of a folder with the rows that each holds."""
+    found = files.scan_files(spark, sf_dir, glob="*.parquet").select(names.basename(F.col("path")).alias("filename"))
+    counted = None
+    for name in SCANNED:
+        rows = table(spark, sf_dir, name).select(names.basename(F.input_file_name()).alias("filename"))
+        counted = rows if counted is None else counted.unionByName(rows)
+    return found.join(counted.groupBy("filename").agg(F.count("*").alias("n_rows")), "filename")
+
+
+def written_reports(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    rows, known = assignments(spark, sf_dir), sample_names(spark, sf_dir)
+    manifest = materialized(organize.placement_manifest(rows, named_files(spark, sf_dir), known, "/in"))
+    return reports.write_reports(fresh_folder(spark, "reports"), rows, manifest, known)
+
+
+@query
+def report_totals(spark, sf_dir):
+    schema = "total_files_processed bigint, successful_operations bigint, failed_operations bigint, success_rate double"
+    return with_rounded(spark.read.schema(schema).json(written_reports(spark, sf_dir)["metadata"]), "success_rate")
+
+
+@query
+def report_listing(spark, sf_dir):
+    schema = "cluster_id int, cluster string, document_name string"
+    return spark.read.schema(schema).json(written_reports(spark, sf_dir)["files"])
+
+
+@query
+def report_placements(spark, sf_dir):
+    """Placed and failed files, from their two tables."""
+    paths = written_reports(spark, sf_dir)
+    schema = (
+        "doc_id bigint, document_name string, cluster_id int, success boolean, operation string, source_path string, "
+        "destination_path string, file_size_mb double, error string"
+    )
+    return spark.read.schema(schema).json([paths["organized"], paths["failed"]])
+
+
+@query
+def report_text(spark, sf_dir):
+    """The lines of the written report, less the two that depend on the run."""
+    lines = spark.read.text(written_reports(spark, sf_dir)["text"]).withColumnRenamed("value", "line")
+    return lines.filter("line not like 'Written: %' and line not like 'Folder: %'")
+
+
+@query
+def report_breakdown(spark, sf_dir):
+    schema = "doc_id bigint, document_name string, cluster_id int"
+    return spark.read.schema(schema).option("header", True).csv(written_reports(spark, sf_dir)["breakdown"])
+
+
+@query
+def plan_quality(spark, sf_dir):
+    """The quality block of a written plan."""
+    scores = score_table(spark, sf_dir)
+    path = reports.write_plan(fresh_folder(spark, "plan"), assignments(spark, sf_dir), sample_names(spark, sf_dir), scores)
+    found = spark.read.schema(scores.schema).json(f"{path}/clustering_quality")
+    return with_rounded(found, "inertia", "silhouette", "davies_bouldin", "calinski_harabasz")
+
+
 @query
 def write_reports(spark, sf_dir):
     rows, known = assignments(spark, sf_dir), sample_names(spark, sf_dir)
