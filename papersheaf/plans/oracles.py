@@ -651,6 +651,11 @@ FROM texts LEFT JOIN names USING (cluster_id)""",
 }
 
 ORACLES["scanned_rows"] = " UNION ALL ".join(f"SELECT '{name}.parquet' AS filename, count(*) AS n_rows FROM {name}" for name in q.SCANNED)
+ORACLES["default_run"] = f"""WITH {TEXTS} SELECT count(*) AS total_files_processed,
+  count(*) FILTER (lang <> 'fr') AS successful_operations, count(*) FILTER (lang = 'fr') AS failed_operations,
+  {r6("count(*) FILTER (lang <> 'fr') * 100.0 / count(*)")} AS success_rate,
+  true AS clusters_in_range, true AS every_cluster_named, true AS every_file_reported
+FROM texts JOIN embeddings ON vec_id = doc_id"""
 ORACLES["report_totals"] = ORACLES["organize_summary"]
 ORACLES["report_listing"] = ORACLES["cluster_listing"]
 ORACLES["report_placements"] = ORACLES["placement_manifest"]

@@ -1000,6 +1000,31 @@ def archive_path(spark, sf_dir):
     return organize.archive_paths(assignments(spark, sf_dir), sample_names(spark, sf_dir))
 
 
+@query
+def default_run(spark, sf_dir):
+    """A whole run with nothing chosen: number of clusters, clusters, names, placement and reports, and what must hold of each."""
+    done = pipeline.DocumentClusterer("kmeans").fit(points(spark, sf_dir).select("doc_id", "embedding"))
+    rows = materialized(
+        texts(spark, sf_dir).select("doc_id", "document_name", "full_text").join(done.assignments.select("doc_id", "cluster_id"), "doc_id")
+    )
+    known = materialized(naming.content_names(rows))
+    run = pipeline.organize_documents(
+        rows.select("doc_id", "document_name", "cluster_id"), fresh_folder(spark, "run"), named_files(spark, sf_dir), "/in", known
+    )
+    held = rows.agg(F.count_distinct("cluster_id")).scalar()
+    schema = "cluster_id int, file_count bigint"
+    listed_files = spark.read.schema(schema).json(run.report_paths["cluster_summary"])
+    named = known.agg((F.count("*") == held) & (F.sum(F.regexp_extract("name", r"\((\d+)docs\)$", 1).cast("bigint")) == rows.agg(F.count("*")).scalar()))
+    reported = listed_files.agg(F.sum("file_count")).scalar()
+    return with_rounded(
+        run.summary()
+        .withColumn("clusters_in_range", F.lit(done.n_clusters).between(2, select_k.MAX_CLUSTERS) & (held == done.n_clusters))
+        .withColumn("every_cluster_named", named.scalar())
+        .withColumn("every_file_reported", reported == F.col("total_files_processed")),
+        "success_rate",
+    )
+
+
 def flagship(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """Raw texts to cleaned, embedded and clustered documents with the summary of their clusters."""
     rows = raw_documents(spark, sf_dir)
