@@ -5,13 +5,18 @@ to the ``main`` or ``article`` around it, or to the lowest ancestor that holds n
 for the generalised path of that: tags with their classes from the root, digits replaced, so that numbered classes fall together. Spark
 counts the votes per host, and every page of the host is extracted again from its winning paths. A page that has none of
 them is extracted from its own best container. Blocks that stand directly in the containers around the chosen one, as a heading,
-belong to the text unless they are mostly links.
+belong to the text unless they are mostly links. So do the boxes beside the chosen container, whatever their size, where no ``main``
+or ``article`` bounds the text: unless they are mostly links, or repeat on the host. Pages vote on that too: a box's path counts as
+repeated when the same text stands there beside at least ``REPEATS`` different main texts and beside ``share`` of the host's.
 
-A host is never gathered: votes are counts per host and path, and a host has at most ``1 / share`` winning paths beside its
-first. Winning paths are broadcast when their measured size allows, else joined by host.
+A host is never gathered: votes are counts per host and path, or per host, path and digests of texts. A host has at most ``1 / share``
+winning paths beside its first, and as many repeated ones for each box that its pages have on average. Both are broadcast when their
+measured size allows, else joined by host. Paths are kept as digests along the tree, so a page takes memory in proportion
+to its length however deep its tags are nested.
 
 Side matter is what its tag, role or ``hidden`` says, and containers whose class or id names it, unless they hold the main text
-(``Page.without_side``). Names that tell of a state, as ``has-sidebar``, are no such names.
+(``Page.without_side``). Names that tell of a state, as ``has-sidebar``, are no such names. Inside ``main`` or ``article`` a name that
+says so with less than half of its words, as ``notice-board-history``, counts only for boxes that are mostly links.
 
 Defined results: null or empty html has an empty text. A page whose url is null or names no host votes with the others of
 that kind. Cut-off pages are read as far as they go. Repeated pages vote and are extracted one by one. Other columns are ignored.
@@ -19,6 +24,7 @@ that kind. Cut-off pages are read as far as they go. Repeated pages vote and are
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import json
 import re
@@ -35,6 +41,7 @@ from papersheaf.llm.tables import measured_bytes
 from papersheaf.session import materialized
 
 SHARE = 0.2
+REPEATS = 3
 PARENT_PART = 0.5
 NEARLY = 0.95
 
@@ -49,6 +56,9 @@ INLINE = RAW | set("button select option svg canvas object audio video map".spli
 CLOSES_P = LEAVES | CONTAINERS | SKIPPED - INLINE | {"hr"}
 MAIN = ("main", "article")
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+HEADINGS = {f"h{k}" for k in range(1, 7)}
+PARAGRAPH = {"p"}
+ENDED = {name: PARAGRAPH | same for name, same in SAME.items()} | {name: PARAGRAPH | HEADINGS for name in HEADINGS}
 SIDE_WORDS = set(
     """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies
     disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion
@@ -64,35 +74,54 @@ NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @lru_cache(4096)
-def describe(name: str, attributes: str) -> tuple[str, bool, set[str]]:
-    """A tag's step of a generalised path, whether it stands beside the main text, and the words by which its names say so."""
+def describe(name: str, attributes: str) -> tuple[str, bool, set[str], bool]:
+    """A tag's step of a generalised path, whether it stands beside the main text, the words by which its names say so, and
+    whether they are less than half of each name and none of them is for readers' comments."""
     if not attributes.strip("/ \t\n\r\f"):
-        return name, name in SKIPPED, set()
+        return name, name in SKIPPED, set(), False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     classes = found.get("class", "").split()
     step = ".".join([name, *sorted({re.sub(r"\d+", "#", c) for c in classes})])
     aside = name in SKIPPED or "hidden" in found or found.get("role", "").lower() in SIDE_ROLES
     marks: set[str] = set()
+    weak = True
     if name not in ("html", "body"):
         for token in [*classes, *found.get("id", "").split()]:
             named = {w.lower() for w in NAMES.findall(token)}
-            if not named & STATE_WORDS:
-                marks |= named & SIDE_WORDS
-    return step, aside, marks
+            side = named & SIDE_WORDS
+            if side and not named & STATE_WORDS:
+                marks |= side
+                weak = weak and 2 * len(side) < len(named)
+    return step, aside, marks, bool(marks) and weak and not marks & READER_WORDS
 
 
 @dataclass
 class Page:
-    """The blocks of a page, and the containers they stand in."""
+    """The blocks of a page, and the containers they stand in; what is inside a container comes after it."""
 
-    paths: list[str] = field(default_factory=lambda: [""])
+    steps: list[str] = field(default_factory=lambda: [""])
+    paths: list[str] = field(default_factory=lambda: [""])  # digests, equal for equal paths
     parents: list[int] = field(default_factory=lambda: [-1])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # container, text, linked characters
     marks: dict[int, set[str]] = field(default_factory=dict)  # containers whose names put them beside the main text
+    weak: set[int] = field(default_factory=set)  # those of them whose names say so with less than half of their words
     passed: int = 0  # characters of marked tags inside paragraphs
+    known: dict[tuple[str, str], str] = field(default_factory=dict)
+
+    def add(self, container: int, step: str) -> int:
+        """A new container inside another one."""
+        around = self.paths[container]
+        path = self.known.get((around, step))
+        if path is None:
+            path = hashlib.blake2b(f"{around} {step}".encode("utf-8", "replace"), digest_size=16).hexdigest()
+            self.known[around, step] = path
+        self.steps.append(step)
+        self.paths.append(path)
+        self.parents.append(container)
+        return len(self.paths) - 1
 
     def tag(self, container: int) -> str:
-        return self.paths[container].rpartition("/")[2].partition(".")[0]
+        return self.steps[container].partition(".")[0]
 
     def chain(self, container: int) -> list[int]:
         """A container and those around it, from the inside."""
@@ -102,42 +131,53 @@ class Page:
             container = self.parents[container]
         return found
 
+    def sums(self) -> tuple[list[int], list[int]]:
+        """The characters of each container with all inside it, and the linked ones of them."""
+        sizes, links = [0] * len(self.paths), [0] * len(self.paths)
+        for k, text, linked in self.blocks:
+            sizes[k] += len(text)
+            links[k] += linked
+        for k in range(len(sizes) - 1, 0, -1):
+            sizes[self.parents[k]] += sizes[k]
+            links[self.parents[k]] += links[k]
+        return sizes, links
+
     def without_side(self) -> Page:
         """The page without the blocks of marked containers, where the mark counts.
 
-        It does not count for a container that holds ``main``. If no ``main`` or ``article`` with text stands outside the marked
-        ones, it counts neither where an unmarked ``article`` inside holds more than all that stands outside, nor where the
-        container holds most of the page's unlinked text, unless it is named for readers' comments.
+        It does not count for a container that holds ``main``, nor, inside ``main`` or ``article``, for a weak one that is not
+        mostly links. If no ``main`` or ``article`` with text stands outside the marked ones, it counts neither where an unmarked
+        ``article`` inside holds more than all that stands outside, nor where the container holds most of the page's unlinked
+        text, unless it is named for readers' comments.
         """
         if not self.marks:
             return self
-        size, sizes = len(self.paths), [0] * len(self.paths)
-        marked = [False] * size
+        whole, links = self.sums()
+        sizes = [a - b for a, b in zip(whole, links)]
+        size, parents = len(self.paths), self.parents
+        bounded, counts, marked = [False] * size, [False] * size, [False] * size
         for k in range(size):
-            marked[k] = k in self.marks or (self.parents[k] >= 0 and marked[self.parents[k]])
-        for k, text, linked in self.blocks:
-            sizes[k] += len(text) - linked
-        outside = sum(value for value, side in zip(sizes, marked) if not side)
-        for k in range(size - 1, 0, -1):
-            sizes[self.parents[k]] += sizes[k]
+            bounded[k] = k > 0 and (bounded[parents[k]] or self.tag(parents[k]) in MAIN)
+            counts[k] = k in self.marks and not (bounded[k] and k in self.weak and 2 * links[k] <= whole[k])
+            marked[k] = counts[k] or (k > 0 and marked[parents[k]])
+        outside = sum(len(text) - linked for k, text, linked in self.blocks if not marked[k])
         plain = any(sizes[k] > 0 and not marked[k] and self.tag(k) in MAIN for k in range(size))
-        holds_main, article = set(), dict.fromkeys(range(size), 0)
-        for k in range(size):
-            if self.tag(k) == "main":
-                holds_main.update(self.chain(k))
-            elif self.tag(k) == "article" and k not in self.marks:
-                for around in self.chain(k):
-                    article[around] = max(article[around], sizes[k])
-                    if around in self.marks and self.marks[around] & READER_WORDS:
-                        break
+        holds_main, article = [self.tag(k) == "main" for k in range(size)], [0] * size
+        for k in range(size - 1, 0, -1):
+            if self.tag(k) == "article" and not counts[k]:
+                article[k] = max(article[k], sizes[k])
+            holds_main[parents[k]] |= holds_main[k]
+            if not (counts[k] and self.marks[k] & READER_WORDS):
+                article[parents[k]] = max(article[parents[k]], article[k])
         side = [False] * size
-        for k in range(size):
-            side[k] = self.parents[k] >= 0 and side[self.parents[k]]
-            if k in self.marks and k not in holds_main:
+        for k in range(1, size):
+            side[k] = side[parents[k]]
+            if counts[k] and not holds_main[k]:
                 reader = bool(self.marks[k] & READER_WORDS)
                 main = not plain and not reader and (article[k] > outside or 2 * sizes[k] > sizes[0])
                 side[k] = side[k] or not main
-        return Page(self.paths, self.parents, [block for block in self.blocks if not side[block[0]]], {}, self.passed)
+        left = [block for block in self.blocks if not side[block[0]]]
+        return Page(self.steps, self.paths, parents, left, {}, set(), self.passed, self.known)
 
     def scores(self) -> dict[int, float]:
         scores: dict[int, float] = defaultdict(float)
@@ -148,79 +188,98 @@ class Page:
                 scores[self.parents[container]] += PARENT_PART * value
         return scores
 
+    def core(self) -> int | None:
+        """The best container, the first of equals."""
+        scores = self.scores()
+        return min(scores, key=lambda k: (-scores[k], k)) if scores else None
+
     def held(self) -> dict[str, int]:
         """The unlinked characters in all containers of each path, with those inside."""
-        own = [0] * len(self.paths)
-        for container, text, linked in self.blocks:
-            own[container] += len(text) - linked
-        for k in range(len(own) - 1, 0, -1):  # what is inside comes later
-            own[self.parents[k]] += own[k]
         held: dict[str, int] = defaultdict(int)
-        for path, value in zip(self.paths, own):
-            held[path] += value
+        for path, size, linked in zip(self.paths, *self.sums()):
+            held[path] += size - linked
         return held
 
     def best(self) -> str | None:
-        """The path of the best container, the first of equals, or of what holds the text around it.
+        """The path of the best container, or of what holds the text around it.
 
         That is the outermost ``main`` or ``article`` around it with half of the page's unlinked text, else the lowest ancestor
         with ``NEARLY`` all of it.
         """
-        scores = self.scores()
-        if not scores:
+        core = self.core()
+        if core is None:
             return None
-        held, chain = self.held(), self.chain(min(scores, key=lambda k: (-scores[k], k)))
+        held, chain = self.held(), self.chain(core)
         total = held[""]
         for k in reversed(chain):
             if self.tag(k) in MAIN and 2 * held[self.paths[k]] >= total:
                 return self.paths[k]
         return next((self.paths[k] for k in chain if held[self.paths[k]] >= NEARLY * total), "")
 
-    def text(self, chosen: str) -> str:
-        """The text inside the containers of a path and the blocks of those around them that are not mostly links.
+    def layout(self, chosen: str) -> tuple[list[bool], list[bool], list[int]]:
+        """For each container whether it lies in one of the chosen path or around it, and the box beside them that it lies in, or -1.
 
-        Where the path is that of the whole page, containers beside the best one are left out if they are mostly links.
+        Where the path is that of the whole page, the best container takes its place. ``main`` and ``article`` have no box beside them.
         """
-        inside, around = [False] * len(self.paths), {0}
-        for k, path in enumerate(self.paths):
-            inside[k] = path == chosen or (self.parents[k] >= 0 and inside[self.parents[k]])
-            if path == chosen:
-                around.update(self.chain(k)[1:])
-        if self.tag(self.paths.index(chosen)) in ("", "html", "body"):
-            for k in self._linked():
-                inside[k] = False
-        return " ".join(
-            text for k, text, linked in self.blocks if inside[k] or (k in around and 2 * linked <= len(text))
-        )
-
-    def _linked(self) -> list[int]:
-        """Containers that neither hold the best one nor lie in it and are mostly links, with all inside them."""
-        scores, sizes, links = self.scores(), [0] * len(self.paths), [0] * len(self.paths)
-        core = min(scores, key=lambda k: (-scores[k], k))
-        for k, text, linked in self.blocks:
-            sizes[k] += len(text)
-            links[k] += linked
-        for k in range(len(sizes) - 1, 0, -1):
-            sizes[self.parents[k]] += sizes[k]
-            links[self.parents[k]] += links[k]
-        spared, out = set(self.chain(core)), [False] * len(self.paths)
-        for k in range(1, len(self.paths)):
-            if core in self.chain(k):
-                continue
-            out[k] = k not in spared and (out[self.parents[k]] or 2 * links[k] > sizes[k])
-        return [k for k, left in enumerate(out) if left]
-
-    def extract(self, winning: list[str]) -> str:
+        size = len(self.paths)
+        first = self.paths.index(chosen)
+        whole = self.tag(first) in ("", "html", "body")
+        core = self.core() if whole else None
+        inside, around, box = [False] * size, [False] * size, [-1] * size
+        for k in range(size):
+            found = k == core if whole else self.paths[k] == chosen
+            inside[k] = found or (k > 0 and inside[self.parents[k]])
+        for k in range(size - 1, -1, -1):
+            starts = inside[k] and (k == 0 or not inside[self.parents[k]])
+            if k > 0 and (starts or around[k]):
+                around[self.parents[k]] = True
+        around[0] = around[0] or not inside[0]
+        if self.tag(first) not in MAIN:
+            for k in range(1, size):
+                if not inside[k] and not around[k]:
+                    box[k] = k if around[self.parents[k]] else box[self.parents[k]]
+        return inside, around, box
+
+    def text(self, chosen: str, repeated: frozenset[str] = frozenset()) -> str:
+        """The text inside the containers of a path, the blocks around them that are not mostly links, and the boxes beside them.
+
+        Left out of these are repeated ones, and containers in them that are mostly links.
+        """
+        inside, around, box = self.layout(chosen)
+        sizes, links = self.sums()
+        taken = list(inside)
+        for k in range(1, len(taken)):
+            if box[k] >= 0 and 2 * links[k] <= sizes[k]:
+                taken[k] = self.paths[k] not in repeated if box[k] == k else taken[self.parents[k]]
+        return " ".join(text for k, text, linked in self.blocks if taken[k] or (around[k] and 2 * linked <= len(text)))
+
+    def votes(self) -> list[tuple[str, str | None, str]]:
+        """``(path, text, main)``: the best path with no text, and each box beside it with the digests of its and of the main text."""
+        chosen = self.best()
+        if chosen is None:
+            return []
+        inside, _, box = self.layout(chosen)
+        main, boxes = hashlib.blake2b(digest_size=16), {}
+        for k, text, _ in self.blocks:
+            if inside[k] or box[k] >= 0:
+                digest = main if inside[k] else boxes.setdefault(box[k], hashlib.blake2b(digest_size=16))
+                digest.update(text.encode("utf-8", "replace") + b"\0")
+        named = main.hexdigest()
+        return [(chosen, None, named), *((self.paths[k], digest.hexdigest(), named) for k, digest in boxes.items())]
+
+    def extract(self, winning: list[str], repeated: frozenset[str] = frozenset()) -> str:
         """The text of the winning path that scores best here among those that hold nearly the most, or of the page's own."""
-        held, scores = self.held(), defaultdict(float)
-        filled = {path for container, _, _ in self.blocks for path in map(self.paths.__getitem__, self.chain(container))}
+        held, scores, filled = self.held(), defaultdict(float), set()
+        for path, size in zip(self.paths, self.sums()[0]):
+            if size:
+                filled.add(path)
         for k, value in self.scores().items():
             scores[self.paths[k]] += value
         known = [path for path in winning if path in filled]
         most = max((held[path] for path in known), default=0)
         known = [path for path in known if held[path] >= NEARLY * most]
         chosen = max(known, key=lambda path: (scores[path], path)) if known else self.best()
-        return self.text(chosen) if chosen is not None else ""
+        return self.text(chosen, repeated) if chosen is not None else ""
 
 
 class Reader:
@@ -230,9 +289,9 @@ class Reader:
         self.page = Page()
         self.by_name = by_name
         self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, beside the main text, passed over
+        self.open: dict[str, int] = defaultdict(int)
         self.parts: list[str] = []
         self.linked = 0
-        self.anchors = 0
         self._read(source)
         self._flush()
 
@@ -281,7 +340,7 @@ class Reader:
             return
         text = references.unescape(raw) if "&" in raw else raw
         self.parts.append(text)
-        if self.anchors:
+        if self.open["a"]:
             self.linked += len(text)
 
     def _flush(self) -> None:
@@ -301,27 +360,29 @@ class Reader:
         if name in VOID:
             return
         _, container, aside, passed = self.stack[-1]
-        step, side, marks = describe(name, attributes if name != "a" else "")
+        step, side, marks, weak = describe(name, attributes if name != "a" else "")
         marks = marks if self.by_name else set()
-        if name == "a":
-            self.anchors += 1
         if not aside and not side and (name in CONTAINERS or (marks and block)):
-            self.page.paths.append(f"{self.page.paths[container]}/{step}")
-            self.page.parents.append(container)
-            container = len(self.page.paths) - 1
+            container = self.page.add(container, step)
             if marks:
                 self.page.marks[container] = marks
-        elif marks and not aside and not side:  # inside a paragraph
+                if weak:
+                    self.page.weak.add(container)
+        elif marks and not weak and not aside and not side:  # inside a paragraph
             side = passed = True
         elif side:
             passed = False
         self.stack.append((name, container, aside or side, passed))
+        self.open[name] += 1
 
     def _close_leaf(self, name: str) -> None:
         """A new block ends an open paragraph, and a list item or cell ends the one before it."""
-        ended = {"p"} | SAME.get(name, set())
-        if re.fullmatch("h[1-6]", name):
-            ended |= {"h1", "h2", "h3", "h4", "h5", "h6"}
+        ended = ENDED.get(name, PARAGRAPH)
+        for tag in ended:
+            if self.open[tag]:
+                break
+        else:
+            return
         for depth in range(len(self.stack) - 1, 0, -1):
             tag = self.stack[depth][0]
             if tag in ended:
@@ -334,6 +395,8 @@ class Reader:
     def _close(self, name: str) -> None:
         if name in CLOSES_P:
             self._flush()
+        if not self.open[name]:
+            return
         for depth in range(len(self.stack) - 1, 0, -1):
             if self.stack[depth][0] == name:
                 self._pop(depth)
@@ -342,9 +405,13 @@ class Reader:
                 return  # an inline end tag without a start does not leave its container
 
     def _pop(self, depth: int) -> None:
-        if any(tag in CLOSES_P for tag, *_ in self.stack[depth:]):
-            self._flush()
-        self.anchors -= sum(tag == "a" for tag, *_ in self.stack[depth:])
+        ended = self.stack[depth:]
+        for entry in ended:
+            if entry[0] in CLOSES_P:
+                self._flush()
+                break
+        for entry in ended:
+            self.open[entry[0]] -= 1
         del self.stack[depth:]
 
 
@@ -358,31 +425,48 @@ def read(source: str | None) -> Page:
     return page
 
 
-def winning_paths(pages: DataFrame, share: float = SHARE) -> DataFrame:
-    """``(host, paths)``: the path with most votes of each host, and all that have at least ``share`` of them."""
+def consensus(pages: DataFrame, share: float = SHARE) -> DataFrame:
+    """``(host, paths, repeated)``: the path with most votes of each host and all that have at least ``share`` of them, and the paths
+    of boxes beside them whose text repeats."""
 
     def vote(batch: pa.RecordBatch) -> dict:
-        return {"host": batch.column("host"), "path": [read(x).best() for x in batch.column("html").to_pylist()]}
+        rows = [
+            (host, *found)
+            for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())
+            for found in read(source).votes()
+        ]
+        return {name: [row[k] for row in rows] for k, name in enumerate(("host", "path", "beside", "main"))}
 
-    votes = words.map_slices(pages.select("host", "html"), vote, "host string, path string", text="html")
-    counted = materialized(votes.filter("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes")))
-    totals = counted.groupBy("host").agg(
-        F.sum("votes").alias("total"), F.max_by("path", F.struct("votes", "path")).alias("first")
+    votes = words.map_slices(
+        pages.select("host", "html"), vote, "host string, path string, beside string, main string", text="html"
+    )
+    counted = materialized(votes.groupBy("host", "path", "beside", "main").agg(F.count("*").alias("votes")))
+    best = counted.filter("beside is null").groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.count("*").alias("texts"))
+    totals = best.groupBy("host").agg(
+        F.sum("votes").alias("total"), F.sum("texts").alias("texts"), F.max_by("path", F.struct("votes", "path")).alias("first")
+    )
+    winning = best.drop("texts").join(totals, "host").filter((F.col("path") == F.col("first")) | (F.col("votes") >= share * F.col("total")))
+    beside = counted.filter("beside is not null").groupBy("host", "path", "beside").agg(F.count("*").alias("times"))
+    beside = beside.groupBy("host", "path").agg(F.max("times").alias("times")).filter(F.col("times") >= REPEATS)
+    repeated = beside.join(totals, "host").filter(F.col("times") >= share * F.col("texts"))
+    found = winning.select("host", "path", F.lit(None).cast("string").alias("box")).unionByName(
+        repeated.select("host", F.lit(None).cast("string").alias("path"), F.col("path").alias("box"))
+    )
+    return found.groupBy("host").agg(
+        F.array_sort(F.collect_list("path")).alias("paths"), F.array_sort(F.collect_list("box")).alias("repeated")
     )
-    winners = counted.join(totals, "host").filter((F.col("path") == F.col("first")) | (F.col("votes") >= share * F.col("total")))
-    return winners.groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("paths"))
 
 
 def extract(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """``(page_id, url, text)``, one row per page."""
     named = pages.select("page_id", "url", "html", urls.host(F.col("url")).alias("host"))
-    winners = winning_paths(named, share).select("host", F.to_json("paths").alias("paths"))
-    joined = named.join(measured_bytes(materialized(winners), "paths"), "host", "left")
+    agreed = consensus(named, share).select("host", F.to_json(F.struct("paths", "repeated")).alias("agreed"))
+    joined = named.join(measured_bytes(materialized(agreed), "agreed"), "host", "left")
 
     def again(batch: pa.RecordBatch) -> dict:
         texts = [
-            read(source).extract(_paths(packed))
-            for source, packed in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist())
+            read(source).extract(*_paths(packed))
+            for source, packed in zip(batch.column("html").to_pylist(), batch.column("agreed").to_pylist())
         ]
         return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts}
 
@@ -390,5 +474,6 @@ def extract(pages: DataFrame, share: float = SHARE) -> DataFrame:
 
 
 @lru_cache(4096)
-def _paths(packed: str | None) -> list[str]:
-    return json.loads(packed) if packed else []
+def _paths(packed: str | None) -> tuple[list[str], frozenset[str]]:
+    found = json.loads(packed) if packed else {}
+    return found.get("paths", []), frozenset(found.get("repeated", []))

@@ -1,5 +1,8 @@
 """Extraction of main text on small pages."""
 
+import random
+import tracemalloc
+
 import pytest
 
 from papersheaf.llm import html
@@ -100,3 +103,90 @@ def test_names_of_side_matter_around_the_main_text(spark, body, wanted):
 def test_no_page_is_empty_for_its_names():
     assert html.read("<div class='comments'><p>all there is</p></div><nav>x</nav>").extract([]) == "all there is"
     assert html.read("<p><span class='notice'>all there is</span></p>").extract([]) == "all there is"
+
+
+@pytest.mark.parametrize("body", ["<div class=body>", "<section class='body'>"])
+@pytest.mark.parametrize(
+    "box, kept",
+    [
+        ("<div class=lead><p>a lead</p></div>", "a lead"),
+        ("<section>the <i>closing</i> words</section>", "the closing words"),
+        ("<blockquote><p>a quote</p></blockquote>", "a quote"),
+        ("<div><div><table><tr><td>cell</table></div></div>", "cell"),
+        ("<div class='links'><a href=x>one</a> <a href=y>two</a></div>", ""),
+        ("<div class=lead>a lead of words, <ul><li><a>link list</a></ul></div>", "a lead of words,"),
+        ("<div class='sidebar'>no</div>", ""),
+    ],
+)
+def test_boxes_beside_the_best_container(body, box, kept):
+    long = "long text of the body " * 90
+    for order in (f"{body}<p>{long}</p></{body[1:].split()[0]}>{box}", f"{box}{body}<p>{long}</p></{body[1:].split()[0]}>"):
+        wanted = [long.strip(), kept] if order.startswith(body) else [kept, long.strip()]
+        assert html.read(page(order)).extract([]) == " ".join(filter(None, wanted))
+        assert html.read(page(f"<div class=w>{order}</div>")).extract([]) == " ".join(filter(None, wanted))
+
+
+def test_names_with_few_words_of_side_matter_inside_an_article():
+    long = "long text of the body " * 40
+    source = (
+        f"<article><p>{long}</p><section class='notice-board-history'><p>kept</p></section>"
+        "<div class='page-share-tools'><a>drop this</a></div><div class='related-posts'>drop</div><div class='long-user-comments'>drop</div></article>"
+    )
+    assert html.read(page(source)).extract([]) == f"{long.strip()} kept"
+
+
+def test_deep_pages_take_memory_by_their_length():
+    def peak(depth):
+        source = "<div>" * depth + "<p>text</p>" + "<div><p>x</p></div></div>" * depth
+        tracemalloc.start()
+        found = html.read(source)
+        assert found.extract([found.best()]).startswith("text")
+        found.votes()
+        size = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return size
+
+    small, large = peak(3000), peak(12000)
+    assert large < 5 * small
+    assert large < 60 * 1024 * 1024
+
+
+def test_tags_without_end_take_time_by_their_length():
+    source = "<b>" * 20000 + "<p>a</i></p>" * 20000
+    assert html.read(source).extract([]) == " ".join(["a"] * 20000)
+
+
+TEMPLATES = {
+    "wrapped.org": "<div class='w'><div class='promo-x'>{same}</div><div class='intro'>{a}</div><div class='post-{n}'><h1>{b}</h1><p>{c}</p></div><div class='end'>{d}</div></div>",
+    "flat.org": "<div class='tpl'>{same}</div><h1>{b}</h1><div id='x{n}' class='txt'><p>{a}</p><p>{c}</p></div><blockquote>{d}</blockquote>",
+    "article.org": "<div class='tpl'>{same}</div><article class='n{n}'><p>{a}</p><div class='in'><p>{b}</p><ul><li>{c}</ul></div><section>{d}</section></article>",
+    "table.org": "<table><tr><td><div class='head'>{a}</div><div class='main-col{n}'>{b}<br>{c}</div><center>{d}</center></table><div class='about-us'>{same}</div>",
+}
+ORDER = {"wrapped.org": "abcd", "flat.org": "bacd", "article.org": "abcd", "table.org": "abcd"}
+
+
+def test_templates_of_hosts_against_what_was_put_in(spark):
+    """Each page is made from parts, so its article is known without reading any markup."""
+    draw, rows, wanted = random.Random(5), [], {}
+    for number in range(160):
+        host = list(TEMPLATES)[number % 4]
+        parts = {p: " ".join(draw.choice("one two three four five six".split()) for _ in range(n)) for p, n in zip("abcd", (12, 8, 200, 15))}
+        parts |= {"same": f"this box is on all pages of {host}", "n": number}
+        rows.append((number, f"http://{host}/{number}", page(TEMPLATES[host].format(**parts))))
+        wanted[number] = " ".join(parts[p] for p in ORDER[host])
+    rows += [(1000 + k, url, source) for k, (_, url, source) in enumerate(rows[:8])]  # copies vote, too
+    wanted |= {1000 + k: wanted[k] for k in range(8)}
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == wanted
+
+
+def test_copies_of_one_page_do_not_repeat_its_boxes(spark):
+    source = page("<div class='lead'>a lead</div><div class='body'><p>" + "long text " * 90 + "</p></div>")
+    got = html.extract(spark.createDataFrame([(k, "http://a.org/", source) for k in range(20)], SCHEMA + ""))
+    assert {r.text for r in got.collect()} == {"a lead " + ("long text " * 90).strip()}
+
+
+def test_other_columns_with_names_of_its_own(spark):
+    rows = [(1, "http://a.org/", page("<article><p>x</p></article>"), *["z"] * 8)]
+    names = "host string, path string, paths string, votes string, beside string, main string, agreed string, text string"
+    assert html.extract(spark.createDataFrame(rows, f"{SCHEMA}, {names}")).collect() == [(1, "http://a.org/", "x")]
