@@ -2,18 +2,22 @@
 
 Level 0 of the cascade holds the listed keys. Level 1 holds the keys of the corpus that level 0 takes for listed ones by mistake,
 level 2 the listed keys that level 1 takes for those, and so on until a level makes no mistake. Because the levels are built
-over every key of the corpus, the answer is exact for each of them, and rows are judged where they lie, without a join.
+over every key of the corpus, the answer is exact for each of them, and rows are judged without a join.
 
-A cascade is measured before it is built: if its first level would pass ``limit_bytes``, keys are dealt to shards by hash,
-each shard has a cascade of its own within the limit, and rows are judged in one pass per shard. The result is the same.
+Keys are dealt to shards by hash, as many as all levels of one need to stay within ``limit_bytes``; their sizes follow from
+the counted keys of both sides. The levels of all shards are one written table of chunks of words, made in Spark. If there is one shard
+within the limit, it is broadcast and rows are judged where they lie. Else rows and levels meet by shard and salt: a task reads the
+chunks of one shard and then the shard's rows as a stream, so it holds one shard at a time, no more than that ever comes to the
+driver, and a shard with many rows is spread over the salts. The result is the same.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is not listed. Repeated urls
-are judged alike. Other columns are ignored.
+are judged alike. Other columns may have any name; one with the name of the answer is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -22,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papersheaf.llm.tables import measured
 from papersheaf.operators.blocks import arrow_schema
-from papersheaf.session import materialized
+from papersheaf.session import discard, materialized
 
 LIMIT_BYTES = 32 * 1024 * 1024
 BITS_PER_KEY = (12, 6)  # of level 0, of the others
 HASHES = (8, 4)
+CHUNK = 4096  # words of a row of the table of levels
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"^(?s).*?://([^/?#]*)([^?#]*)"
 
@@ -69,11 +75,11 @@ class Level:
         return held
 
 
-def _bit(first: np.ndarray, second: np.ndarray, k: int, seed: int, bits: int) -> np.ndarray:
+def _bit(first: np.ndarray, second: np.ndarray, k: int, seed: int, bits: int | np.ndarray) -> np.ndarray:
     x = first.view(np.uint64) + np.uint64(64 * seed + k + 1) * (second.view(np.uint64) | np.uint64(1))
     x ^= x >> np.uint64(31)
     x *= np.uint64(0x9E3779B97F4A7C15)
-    return ((x >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)
+    return ((x >> np.uint64(20)) % np.asarray(bits, np.uint64)).astype(np.int64)
 
 
 @dataclass
@@ -91,87 +97,171 @@ class Cascade:
         return answer
 
 
-def _hashed(keys: DataFrame, key: str = "key") -> DataFrame:
-    return keys.withColumn("_first", F.xxhash64(key)).withColumn("_second", F.xxhash64(F.lit("second"), key))
-
-
-def _map(rows: DataFrame, schema: str, run) -> DataFrame:
-    out = arrow_schema(rows, schema)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from pa.table(run(batch), schema=out).to_batches()
+@dataclass
+class Cascades:
+    """The cascades of all shards: ``levels`` is a written table ``(shard, level, bits, chunk, at, words)``.
 
-    return rows.mapInArrow(each, schema)
+    Iterating over them loads one shard at a time to the driver.
+    """
 
+    shards: int
+    levels: DataFrame
+    limit_bytes: int
 
-def _level(keys: DataFrame, count: int, number: int) -> Level:
-    """A filter of ``count`` keys; its 64-bit words are combined in Spark and only they come to the driver."""
-    per_key, hashes = BITS_PER_KEY[min(number, 1)], HASHES[min(number, 1)]
-    bits = max(64, -(-count * per_key // 64) * 64)
+    def __len__(self) -> int:
+        return self.shards
 
-    def words(batch: pa.RecordBatch) -> dict:
-        first, second = (batch.column(c).to_numpy() for c in ("_first", "_second"))
-        at = np.concatenate([_bit(first, second, k, number, bits) for k in range(hashes)])
-        return {"word": at >> 6, "value": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)}
+    def __iter__(self) -> Iterator[Cascade]:
+        return (_loaded(self.levels.filter(F.col("shard") == shard)) for shard in range(self.shards))
 
-    rows = _map(keys.select("_first", "_second"), "word bigint, value bigint", words)
-    found = rows.groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
-    filled = np.zeros(bits // 64, np.uint64)
-    filled[found.column("word").to_numpy()] = found.column("value").to_numpy().view(np.uint64)
-    return Level(filled, bits, hashes, number)
 
+def _hashed(key: Column, shards: int) -> list[Column]:
+    second = F.xxhash64(F.lit("second"), key)
+    return [F.xxhash64(key).alias("first"), second.alias("second"), F.pmod(F.xxhash64(second), F.lit(shards)).alias("shard")]
 
-def _passing(keys: DataFrame, level: Level) -> DataFrame:
-    shared = keys.sparkSession.sparkContext.broadcast(level)  # within the limit of its shard
 
-    def run(batch: pa.RecordBatch) -> dict:
-        first, second = (batch.column(c).to_numpy() for c in ("_first", "_second"))
-        held = shared.value.holds(first, second)
-        return {"_first": first[held], "_second": second[held]}
+def _sizes(count: np.ndarray, number: int) -> np.ndarray:
+    """The bits of a level for ``count`` keys."""
+    return np.maximum(64, -(-count * BITS_PER_KEY[min(number, 1)] // 64) * 64)
 
-    return _map(keys.select("_first", "_second"), "_first bigint, _second bigint", run)
 
+def expected_bytes(listed: int, other: int) -> float:
+    """The size of all levels for these numbers of keys, from the share of keys that a level takes by mistake."""
+    first, later = ((1 - math.exp(-h / b)) ** h for b, h in zip(BITS_PER_KEY, HASHES))
+    bits = listed * BITS_PER_KEY[0]
+    encoded, asked = other * first, float(listed)
+    while encoded >= 1:
+        bits += encoded * BITS_PER_KEY[1]
+        encoded, asked = asked * later, encoded
+    return bits / 8
 
-def build(listed: DataFrame, universe: DataFrame, key: str = "key", limit_bytes: int = LIMIT_BYTES) -> list[Cascade]:
-    """One cascade per shard for the keys of ``listed``, exact for all keys of ``universe``."""
-    inside = listed.select(F.col(key).alias("key")).filter("key is not null").distinct()
-    outside = universe.select(F.col(key).alias("key")).filter("key is not null").distinct().join(inside, "key", "left_anti")
-    inside, outside = (materialized(_hashed(rows).select("_first", "_second")) for rows in (inside, outside))
-    shards = max(1, -(-inside.count() * BITS_PER_KEY[0] // (8 * limit_bytes)))
-    return [_cascade(*(rows.filter(_shard(shards) == shard) for rows in (inside, outside))) for shard in range(shards)]
 
+def _map(rows: DataFrame, schema: str, run: Callable[[pa.RecordBatch], dict]) -> DataFrame:
+    out = arrow_schema(rows, schema)
 
-def _shard(shards: int) -> Column:
-    return F.pmod(F.xxhash64("_second"), F.lit(shards))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from pa.table(run(batch), schema=out).to_batches()
 
+    return rows.mapInArrow(each, schema)
 
-def _cascade(inside: DataFrame, outside: DataFrame) -> Cascade:
-    cascade = Cascade()
-    encoded, other = inside, outside
-    while count := encoded.count():
-        level = _level(encoded, count, len(cascade.levels))
-        cascade.levels.append(level)
-        encoded, other = materialized(_passing(other, level)), encoded
-    return cascade
 
+def _level(keys: DataFrame, counts: DataFrame, number: int) -> DataFrame:
+    """The filters of all shards for ``keys (first, second, shard)``, as rows of chunks with the words that are not zero."""
+    hashes = HASHES[min(number, 1)]
+
+    def bits(batch: pa.RecordBatch) -> dict:
+        first, second, shard, count = (batch.column(c).to_numpy() for c in ("first", "second", "shard", "keys"))
+        size = _sizes(count, number)
+        at = np.concatenate([_bit(first, second, k, number, size) for k in range(hashes)])
+        return {
+            "shard": np.tile(shard, hashes), "bits": np.tile(size, hashes),
+            "word": at >> 6, "value": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64),
+        }
+
+    numbered = keys.join(measured(counts, 16), "shard").select("first", "second", "shard", "keys")
+    rows = _map(numbered, "shard bigint, bits bigint, word bigint, value bigint", bits)
+    filled = rows.groupBy("shard", "bits", "word").agg(F.bit_or("value").alias("value"))
+    chunk = F.floor(F.col("word") / CHUNK).alias("chunk")
+    entry = F.struct((F.col("word") % CHUNK).cast("int").alias("at"), F.col("value"))
+    chunks = filled.groupBy("shard", "bits", chunk).agg(F.collect_list(entry).alias("entries"))  # at most CHUNK of them
+    return chunks.select(
+        "shard", F.lit(number).alias("level"), "bits", "chunk",
+        F.col("entries.at").alias("at"), F.col("entries.value").alias("words"),
+    )
+
+
+def _filled(cascade: dict[int, Level], rows: pa.Table | pa.RecordBatch) -> None:
+    """Puts rows of the table of levels into the levels of one shard."""
+    numbers, sizes, chunks = (rows.column(c).to_pylist() for c in ("level", "bits", "chunk"))
+    places, words = rows.column("at"), rows.column("words")
+    for k, (number, size, chunk) in enumerate(zip(numbers, sizes, chunks)):
+        level = cascade.setdefault(number, Level(np.zeros(0, np.uint64), size, HASHES[min(number, 1)], number))
+        if not len(level.words):
+            level.words = np.zeros(size // 64, np.uint64)
+        at = places[k].values.to_numpy() + chunk * CHUNK
+        level.words[at] = words[k].values.to_numpy().view(np.uint64)
+
+
+def _loaded(levels: DataFrame) -> Cascade:
+    """The cascade of one shard on the driver."""
+    found: dict[int, Level] = {}
+    _filled(found, levels.toArrow().combine_chunks())
+    return Cascade([found[k] for k in sorted(found)])
+
+
+def _judged(rows: DataFrame, schema: str, cascades: Cascades, run: Callable[[pa.RecordBatch, Cascade], dict]) -> DataFrame:
+    """``run`` on batches of ``rows (first, second, shard, ..)`` with the cascade of their shard."""
+    held = (cascades.levels.select("shard", "level", "bits").distinct().agg(F.sum("bits")).first()[0] or 0) // 8
+    if cascades.shards == 1 and held <= cascades.limit_bytes:
+        shared = rows.sparkSession.sparkContext.broadcast(_loaded(cascades.levels))
+        return _map(rows, schema, lambda batch: run(batch, shared.value))
+    out = arrow_schema(rows, schema)
+    salts = max(1, -(-rows.sparkSession.sparkContext.defaultParallelism // cascades.shards))
+    dealt = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    copies = cascades.levels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    both = dealt.unionByName(copies, allowMissingColumns=True).repartition(cascades.shards * salts, "shard", "salt")
 
-def contains(rows: DataFrame, key: Column, cascades: list[Cascade], name: str = "listed") -> DataFrame:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, levels, cascade = None, {}, Cascade()
+        for batch in batches:
+            shard, salt = (batch.column(c).to_numpy() for c in ("shard", "salt"))
+            of_rows = batch.column("level").is_null().to_numpy(zero_copy_only=False)
+            turns = np.flatnonzero((np.diff(shard) != 0) | (np.diff(salt) != 0) | (np.diff(of_rows.view(np.int8)) != 0)) + 1
+            for start, stop in zip([0, *turns], [*turns, batch.num_rows]):
+                if start == stop:
+                    continue
+                if group != (shard[start], salt[start]):
+                    group, levels, cascade = (shard[start], salt[start]), {}, Cascade()
+                part = batch.slice(start, stop - start)
+                if not of_rows[start]:
+                    _filled(levels, part)
+                    cascade = Cascade([levels[k] for k in sorted(levels)])
+                else:
+                    yield from pa.table(run(part, cascade), schema=out).to_batches()
+
+    # a shard's levels come before its rows
+    ordered = both.sortWithinPartitions("shard", "salt", F.col("level").isNull(), "level", "chunk")
+    return ordered.mapInArrow(each, schema)
+
+
+def build(listed: DataFrame, universe: DataFrame, key: str = "key", limit_bytes: int = LIMIT_BYTES) -> Cascades:
+    """The cascades for the keys of ``listed``, exact for all keys of ``universe``."""
+    inside = listed.select(F.col(key).alias("key")).filter("key is not null").distinct()
+    outside = universe.select(F.col(key).alias("key")).filter("key is not null").distinct().join(inside, "key", "left_anti")
+    inside, outside = materialized(inside), materialized(outside)
+    shards = max(1, math.ceil(expected_bytes(inside.count(), outside.count()) / limit_bytes))
+    encoded, other = (materialized(keys.select(*_hashed(F.col("key"), shards))) for keys in (inside, outside))
+    discard(inside, outside)
+    spark, levels, number = listed.sparkSession, [], 0
+    while True:
+        counts = materialized(encoded.groupBy("shard").agg(F.count("*").alias("keys")))
+        if counts.isEmpty():
+            break
+        levels.append(materialized(_level(encoded, counts, number)))
+
+        def passing(batch: pa.RecordBatch, cascade: Cascade) -> dict:
+            first, second = (batch.column(c).to_numpy() for c in ("first", "second"))
+            held = cascade.levels[0].holds(first, second) if cascade.levels else np.zeros(len(first), bool)
+            return {"first": first[held], "second": second[held], "shard": batch.column("shard").to_numpy()[held]}
+
+        level = Cascades(shards, levels[-1], limit_bytes)
+        left = materialized(_judged(other, "first bigint, second bigint, shard bigint", level, passing))
+        encoded, other, number = left, encoded, number + 1
+    if not levels:
+        levels = [spark.createDataFrame([], "shard bigint, level int, bits bigint, chunk bigint, at array<int>, words array<bigint>")]
+    return Cascades(shards, reduce(DataFrame.unionByName, levels), limit_bytes)
+
+
+def contains(rows: DataFrame, key: Column, cascades: Cascades, name: str = "listed") -> DataFrame:
     """``rows`` with a column that tells whether ``key`` is listed."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    hashed, names = _hashed(rows.withColumn("_key", key), "_key").drop("_key"), rows.columns
-
-    def judged(part: DataFrame, cascade: Cascade) -> DataFrame:
-        shared = part.sparkSession.sparkContext.broadcast(cascade)  # within the limit of its shard
-
-        def run(batch: pa.RecordBatch) -> dict:
-            first, second = (batch.column(c).to_numpy() for c in ("_first", "_second"))
-            kept = {c: batch.column(c) for c in names}
-            return kept | {name: shared.value.listed(first, second)}
+    names = [f"`{c}`" for c in rows.columns if c != name]
+    packed = rows.select(F.struct(*names).alias("row"), *_hashed(key, cascades.shards))
 
-        return _map(part, f"{fields}, `{name}` boolean", run)
+    def run(batch: pa.RecordBatch, cascade: Cascade) -> dict:
+        first, second = (batch.column(c).to_numpy() for c in ("first", "second"))
+        return {"row": batch.column("row"), "answer": cascade.listed(first, second)}
 
-    shards = len(cascades)
-    parts = [judged(hashed.filter(_shard(shards) == k) if shards > 1 else hashed, c) for k, c in enumerate(cascades)]
-    return reduce(DataFrame.unionByName, parts)
+    schema = f"row {packed.schema['row'].dataType.simpleString()}, answer boolean"
+    return _judged(packed, schema, cascades, run).select("row.*", F.col("answer").alias(name))

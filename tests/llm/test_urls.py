@@ -51,3 +51,30 @@ def test_urls_are_split_and_judged(spark, tmp_path):
     got = {r.page_id: tuple(r)[1:] for r in queries.op1_urls(spark, str(tmp_path)).collect()}
     assert [got[k] for k in range(len(CASES))] == [case[1:] for case in CASES]
     assert got[None] == CASES[0][1:]
+
+
+def test_shards_give_one_answer_and_leave_the_driver_alone(spark, monkeypatch):
+    """From 1 to many forced shards: equal rows, and nothing is loaded to the driver beyond one shard."""
+    universe = spark.range(5000).select(F.concat(F.lit("h"), "id").alias("key"))
+    listed = universe.filter("xxhash64(key) % 7 = 0")
+    rows = universe.selectExpr("key", "1 AS _key", "2 AS first", "3 AS second", "4 AS shard", "5 AS level", "6 AS salt", "'x' AS row", "'y' AS listed")
+    hot = spark.range(4000).selectExpr("'h3' AS key").join(rows, "key")
+    one = urls.contains(rows.union(hot), F.col("key"), urls.build(listed, universe))
+    loaded, load = [], urls._loaded
+    monkeypatch.setattr(urls, "_loaded", lambda levels: loaded.append(1) or load(levels))
+    cascades = urls.build(listed, universe, limit_bytes=80)
+    many = urls.contains(rows.union(hot), F.col("key"), cascades)
+    assert len(cascades) >= 13 and not loaded
+    assert many.columns == one.columns == [c for c in rows.columns if c != "listed"] + ["listed"]
+    assert many.count() == 9000 and one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
+    assert many.filter("listed").select("key").distinct().count() == listed.count()
+    sizes = [8 * sum(len(level.words) for level in cascade.levels) for cascade in cascades]
+    assert max(sizes) <= 3 * 80 and sum(sizes) <= 1.5 * urls.expected_bytes(listed.count(), 5000 - listed.count()) + 24 * len(sizes)
+
+
+def test_the_expected_size_holds_all_levels(spark):
+    universe = spark.range(200000).select(F.concat(F.lit("h"), "id").alias("key"))
+    listed = universe.filter("xxhash64(key) % 50 = 0")
+    cascade = next(iter(urls.build(listed, universe)))
+    size = 8 * sum(len(level.words) for level in cascade.levels)
+    assert 0.9 < size / urls.expected_bytes(listed.count(), 200000 - listed.count()) < 1.1
