@@ -8,7 +8,9 @@ Cards keep a valid check digit, dates stay dates of the same 400 years, e-mail a
 validate is left as it is. Runs of digit groups are searched for every card in them, so one followed by another number is found.
 The country code of a telephone number follows from its digits, not from its separators.
 
-All of it is column expressions: the text is split at the matches and put together again with their pseudonyms.
+All of it is column expressions: the text is split at the matches and put together again with their pseudonyms. The key is no
+literal of them but the one value of a local table, which a scalar subquery reads: plans, and with them logs and the
+web interface, do not show it.
 
 Defined results: null text stays null and counts no values; empty text stays empty. Dates outside 1800 to 2199 are left. Rows are
 treated one by one, repeated ones alike; other columns are ignored.
@@ -16,6 +18,7 @@ treated one by one, repeated ones alike; other columns are ignored.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,11 +56,12 @@ FIRST_DAY = "1800-01-01"
 DAY_PARTS = (189, 773)  # their product is the number of days in 400 years
 
 
-def _hash(secret: str, kind: str, *parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(secret), F.lit(kind), *(p.cast("string") for p in parts)), 256)
+def _hash(secret: str | Column, kind: str, *parts: Column) -> Column:
+    key = F.lit(secret) if isinstance(secret, str) else secret
+    return F.sha2(F.concat_ws("|", key, F.lit(kind), *(p.cast("string") for p in parts)), 256)
 
 
-def feistel(a: Column, b: Column, sizes: tuple[Column, Column], secret: str, kind: str) -> Column:
+def feistel(a: Column, b: Column, sizes: tuple[Column, Column], secret: str | Column, kind: str) -> Column:
     """A keyed permutation of all pairs with ``0 <= a < sizes[0]`` and ``0 <= b < sizes[1]``, as a struct of ``a`` and ``b``."""
 
     def turn(pair: Column, number: Column) -> Column:
@@ -69,7 +73,7 @@ def feistel(a: Column, b: Column, sizes: tuple[Column, Column], secret: str, kin
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
 
 
-def digits_pseudonym(digits: Column, secret: str, kind: str) -> Column:
+def digits_pseudonym(digits: Column, secret: str | Column, kind: str) -> Column:
     """A string of 2 to 36 digits permuted within its length."""
 
     def permuted(digits: Column, half: Column, rest: Column) -> Column:
@@ -121,7 +125,7 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(places, F.lit(0), lambda total, place: total + value(place))
 
 
-def card_pseudonym(digits: Column, secret: str) -> Column:
+def card_pseudonym(digits: Column, secret: str | Column) -> Column:
     """All digits but the last permuted, then the check digit that makes the number valid."""
     body = digits_pseudonym(F.substring(digits, F.lit(1), F.length(digits) - 1), secret, "card")
     return bind(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
@@ -194,7 +198,7 @@ def card_pieces(run: Column) -> Column:
     return bind(F.regexp_extract_all(run, F.lit(r"\d+|[ \-]"), F.lit(0)), pieces)
 
 
-def address_pseudonym(address: Column, secret: str) -> Column:
+def address_pseudonym(address: Column, secret: str | Column) -> Column:
     octet = [F.element_at(F.split(address, r"\."), k).cast("bigint") for k in (1, 2, 3, 4)]
     size = F.lit(65536).cast("bigint")
     moved = feistel(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], (size, size), secret, "address")
@@ -217,7 +221,7 @@ def _day(text: Column) -> Column:
     return F.date_diff(_date(text), F.lit(FIRST_DAY).cast("date")).cast("bigint")
 
 
-def date_pseudonym(text: Column, secret: str) -> Column:
+def date_pseudonym(text: Column, secret: str | Column) -> Column:
     many, few = DAY_PARTS
     sizes = F.lit(many).cast("bigint"), F.lit(few).cast("bigint")
     pair = bind(_day(text), lambda day: feistel(F.floor(day / few), day % few, sizes, secret, "date"))
@@ -245,12 +249,12 @@ def _shifted(half: Column, digest: Column) -> Column:
     return F.array_join(F.transform(places, char), "")
 
 
-def _email_turn(pair: Column, number: Column, secret: str) -> Column:
+def _email_turn(pair: Column, number: Column, secret: str | Column) -> Column:
     digest = _hash(secret, "email", F.length(pair["a"]), F.length(pair["b"]), number, pair["b"])
     return bind(digest, lambda known: F.struct(pair["b"].alias("a"), _shifted(pair["a"], known).alias("b")))
 
 
-def email_pseudonym(address: Column, secret: str) -> Column:
+def email_pseudonym(address: Column, secret: str | Column) -> Column:
     """The part before the sign permuted, each character within letters of its case or digits."""
     local = F.substring_index(address, "@", 1)
     half = F.floor(F.length(local) / 2).cast("int")
@@ -275,7 +279,7 @@ def kind_of(match: Column) -> Column:
     )
 
 
-def pseudonym(match: Column, kind: Column, secret: str) -> Column:
+def pseudonym(match: Column, kind: Column, secret: str | Column) -> Column:
     """The pseudonym of a validated candidate, or the candidate itself where ``kind`` is null."""
     digits = only_digits(match)
 
@@ -297,20 +301,22 @@ def pseudonym(match: Column, kind: Column, secret: str) -> Column:
 def pseudonymise(documents: DataFrame, secret: str) -> DataFrame:
     """``(doc_id, n_card, .., n_email, text)`` with every validated value replaced. ``secret`` is the key of the permutations."""
     text = F.col("text")
+    key = documents.sparkSession.createDataFrame(pa.table({"key": pa.array([secret], pa.string())})).scalar()
     some = text.rlike("[0-9@]")
     found = documents.select(
         "doc_id",
         "text",
         F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).alias("matches"),
         F.when(some, F.split(text, CANDIDATE, -1)).alias("gaps"),
+        key.alias("key"),
     )
     def named(match: Column) -> Column:
         one = F.array(F.struct(match.alias("match"), kind_of(match).alias("kind")))
         return F.when(match.rlike(RUN) & one[0]["kind"].isNull(), card_pieces(match)).otherwise(one)
 
     named = F.when(F.size("matches") > 0, F.transform("matches", named))
-    found = found.select("doc_id", "text", "gaps", named.alias("matches"))
-    replaced = F.transform("matches", lambda m: F.array_join(F.transform(m, lambda x: pseudonym(x["match"], x["kind"], secret)), ""))
+    found = found.select("doc_id", "text", "gaps", named.alias("matches"), "key")
+    replaced = F.transform("matches", lambda m: F.array_join(F.transform(m, lambda x: pseudonym(x["match"], x["kind"], F.col("key"))), ""))
     pieces = F.zip_with("gaps", F.concat(replaced, F.array(F.lit(""))), lambda gap, value: F.concat(gap, value))
     counts = [
         F.when(F.col("matches").isNull(), 0).otherwise(F.size(F.filter(F.flatten("matches"), lambda m: m["kind"] == kind))).alias(f"n_{kind}")

@@ -147,3 +147,16 @@ def test_one_telephone_number_in_several_spellings(spark):
     for k, code in enumerate(["49", "44", "33", "351", "1"]):
         digits = known[k * 10]
         assert {got[i] for i in got if i // 10 == k} == {code + number(digits[len(code) :], "phone")}
+
+
+def test_no_plan_shows_the_key(spark):
+    secret = "Kellerschluessel-4711"
+    rows = [(1, "pay 4539578763621486 on 2000-02-29, mail a.b@c.org, call +49 170 1234567 from 10.0.0.1"), (2, None)]
+    found = pii.pseudonymise(documents(spark, rows), secret)
+    plans = [found._jdf.queryExecution().toString()]
+    got = found.collect()
+    plans += [found._jdf.queryExecution().toString(), found._jdf.queryExecution().executedPlan().treeString()]
+    assert got[0].text != rows[0][1] and sum(got[0][k] for k in range(1, 1 + len(pii.KINDS))) == 5
+    for plan in plans:
+        assert secret not in plan and "4711" not in plan and "Python" not in plan
+    assert replaced(spark, rows, secret) != replaced(spark, rows, "another")
