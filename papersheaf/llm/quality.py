@@ -8,6 +8,7 @@ The model is fitted on a bounded sample of labelled rows (``max_rows``): each sh
 and the models are averaged. Scoring reads every whole text.
 
 Defined results: a text without tokens, null included, has the score of the intercept alone. Without labels all scores are 0.5.
+Rows are scored one by one, repeated ones alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def features(texts: pa.Array) -> linear.Features:
     shape = np.where(KINDS[first] == 2, 3, np.where((first >= ord("0")) & (first <= ord("9")), 4, np.where(upper, 1, 0)))
     shape = np.where(upper & (last >= ord("A")) & (last <= ord("Z")) & (found.ends - found.starts > 1), 2, shape)
     again = np.zeros(len(hashed), bool)
-    again[1:] = hashed[1:] == hashed[:-1]
+    again[1:] = (hashed[1:] == hashed[:-1]) & (owner[1:] == owner[:-1])
     shapes = words.mix(np.where(shape == 3, hashed, shape.astype(np.uint64) + np.uint64(7) + (again * 16).astype(np.uint64)))
     parts = [(hashed, owner)]
     for series in (hashed, shapes):
