@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -56,6 +57,13 @@ def scan_files(
         return spark.createDataFrame([], INVENTORY + (", content binary" if with_content else ""))
 
 
+def entry_name(path: Column, directory: str) -> Column:
+    """The file or folder directly in ``directory`` that ``path`` is or lies in."""
+    plain = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", directory).rstrip("/")
+    below = F.substring(path, F.locate(f"{plain}/", path) + F.lit(len(plain) + 1), F.length(path))
+    return F.substring_index(below, "/", 1)
+
+
 def reject_reason(path: Column, length: Column, max_file_size_mb: float = MAX_FILE_SIZE_MB) -> Column:
     """Null for a usable file, else why it cannot be used; a null length means a missing file."""
     return (

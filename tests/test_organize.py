@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from papersheaf import organize_documents
 from papersheaf.operators import embedding, organize
-from papersheaf.plans import pipeline
+from papersheaf.plans import pipeline, queries
 from papersheaf.session import clear_scratch, fresh_folder, materialized, scratch_folder, shared_folder
 from papersheaf.sources import cache, reports
 
@@ -236,3 +236,13 @@ def test_scratch_can_be_cleared(spark):
     clear_scratch(spark)
     with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST"):
         spark.read.parquet(kept.inputFiles()[0])
+
+
+def test_rows_of_tables_in_parts(spark, tmp_path):
+    for name in queries.SCANNED:
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        rows = rows.limit(0) if name == "benchmark" else rows
+        rows.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {r.filename: r.n_rows for r in queries.scanned_rows(spark, str(tmp_path)).collect()}
+    want = {f"{name}.parquet": spark.read.parquet(str(tmp_path / f"{name}.parquet")).count() for name in queries.SCANNED}
+    assert got == want and got["benchmark.parquet"] == 0
