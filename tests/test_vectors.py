@@ -260,3 +260,22 @@ def test_cluster_summary_and_scores(spark):
     got = done.summary(names).collect()
     assert [(r.cluster_id, r.document_name) for r in got] == sorted((r.cluster_id, r.document_name) for r in got)
     assert done.scores().first().silhouette_score == pytest.approx(silhouette(x, labels, "euclidean").mean())
+
+
+def test_blocks_do_not_grow_in_number():
+    """What a pair job shuffles is the rows times their blocks, which must not grow with the rows."""
+    for rows in (100_000, 200_000, 400_000):
+        assert blocks.block_count(rows, blocks.wide_rows(rows, 64, blocks.BLOCK_ROWS)) <= blocks.MAX_BLOCKS
+    assert blocks.wide_rows(10_000_000, 64, blocks.BLOCK_ROWS) * 64 * 8 <= blocks.BLOCK_BYTES
+    assert blocks.wide_rows(120, 5, 17) == 17
+
+
+def test_many_copies_in_parts(spark, monkeypatch):
+    """Pairs of many copies come once each, in bounded parts, and distances are made once."""
+    monkeypatch.setattr(similarity, "MEMBERS", 3)
+    monkeypatch.setattr(similarity, "PAIRS_AT_ONCE", 4)
+    x = np.array([[1.0, 0.0]] * 10 + [[0.8, 0.6]] * 7 + [[0.0, 1.0]] * 2)
+    found = similarity.pairwise_similarity(frame(spark, x), 0.7, include_diagonal=False)
+    sims = x @ x.T
+    wanted = sorted((i, j) for i in range(19) for j in range(i + 1, 19) if sims[i, j] >= 0.7)
+    assert sorted((a, b) for a, b, _ in found.collect()) == wanted
