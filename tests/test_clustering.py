@@ -300,3 +300,27 @@ def test_small_inputs(spark):
         DocumentClusterer("agglomerative").fit(rows, auto_tune=False)
     noise = DocumentClusterer("dbscan", eps=1e-6).fit(rows)
     assert {r.cluster_id for r in noise.assignments.collect()} == {-1}
+
+
+def test_single_linkage_over_many_rows(spark):
+    """Groups of more rows than a row knows neighbours, so that rows must search again."""
+    x = blobs(seed=31, n=90, k=3, spread=0.05, copies=2)
+    got = labels_of(agglomerative.agglomerative(frame(spark, x), 3, "single"), len(x))
+    assert same_partition(got, naive_single(x, 3))
+
+
+def test_merge_rounds_search_without_the_driver(spark, monkeypatch):
+    """No round collects the clusters, and few search again."""
+    asked, search = [], agglomerative._nearest_of
+
+    def counted(rows, clusters, counts, *rest):
+        asked.append(counts)
+        return search(rows, clusters, counts, *rest)
+
+    monkeypatch.setattr(agglomerative, "_nearest_of", counted)
+    monkeypatch.setattr(blocks, "against", None)
+    x = blobs(seed=12, n=90, copies=2, spread=2.0)
+    distinct = blocks.distinct_points(frame(spark, x)).persist()
+    merges = agglomerative.reducible_merges(distinct, blocks.measure(distinct), "average", 50)
+    assert merges.count() == distinct.count() - 1
+    assert asked[0][0] == asked[0][1] and all(0 < few < every for few, every in asked[1:])
