@@ -255,15 +255,18 @@ def silhouette_cosine(points: DataFrame, by: str | None = None) -> DataFrame:
 def _block_store(rows: DataFrame, blocks_total: int) -> DataFrame:
     """``(doc_id, embedding, labels, weight)`` as one written row per block, with all its vectors, labels and weights packed."""
     id_type, label_type = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "labels"))
-    schema = f"block int, ids array<{id_type}>, data binary, labels {label_type}, weights array<bigint>"
+    schema = f"block int, ids array<{id_type}>, data binary, single boolean, labels {label_type}, weights array<bigint>"
     out = blocks.arrow_schema(rows, schema)
 
     def pack(table: pa.Table) -> pa.Table:
         listed = lambda values, kind: pa.array([values.to_pylist()], kind)
         x = blocks.matrix(table.column("embedding"))
+        narrow = x.astype(np.float32)
+        single = bool((narrow == x).all())  # half the bytes where nothing is lost
         labels = table.column("labels").combine_chunks().flatten()
         columns = [
-            table.column("block").slice(0, 1), listed(table.column("doc_id"), out.field("ids").type), pa.array([x.tobytes()]),
+            table.column("block").slice(0, 1), listed(table.column("doc_id"), out.field("ids").type),
+            pa.array([narrow.tobytes() if single else x.tobytes()]), pa.array([single]),
             listed(labels, out.field("labels").type), listed(table.column("weight"), pa.list_(pa.int64())),
         ]
         return pa.table(columns, names=out.names).cast(out)
@@ -285,7 +288,8 @@ class _Toward:
     @staticmethod
     def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
         n = len(row["ids"])
-        return np.frombuffer(row["data"], np.float64).reshape(n, -1), np.asarray(row["labels"]).reshape(n, -1)
+        x = np.frombuffer(row["data"], np.float32 if row["single"] else np.float64).reshape(n, -1)
+        return x.astype(np.float64), np.asarray(row["labels"]).reshape(n, -1)
 
     def add(self, row: dict, same: bool) -> None:
         x, labels = self.unpacked(row)
@@ -326,7 +330,6 @@ def euclidean_silhouettes(rows: DataFrame, block_rows: int = blocks.BLOCK_ROWS)
     after the other, so distances are made once for all clusterings, partial sums never leave the task, and what is
     shuffled are packed blocks. Blocks get smaller where there are so many clusters that their sums would fill a task.
     """
-    spark = rows.sparkSession
     first = rows.agg(F.count("*").alias("n"), F.max(F.size("labels")).alias("k")).first()
     clusterings = first.k or 0
     if clusterings:
@@ -336,9 +339,9 @@ def euclidean_silhouettes(rows: DataFrame, block_rows: int = blocks.BLOCK_ROWS)
     store = _block_store(rows, total)
     spread = store.select(F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("own"), "*")
     own_first = (F.col("own") != F.col("block")).alias("other")
-    passing = spread.select("own", own_first, "ids", "data", "labels", "weights")
-    tasks = int(min(total, blocks.MAX_PARTITIONS, max(spark.sparkContext.defaultParallelism, total)))
-    passing = passing.repartition(tasks, "own").sortWithinPartitions("own", "other")
+    passing = spread.select("own", own_first, "ids", "data", "single", "labels", "weights")
+    passing = passing.repartitionById(min(total, blocks.MAX_PARTITIONS), F.col("own"))  # one block of rows a task, not several by chance
+    passing = passing.sortWithinPartitions("own", "other")
     id_type, label_type = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "labels"))
     schema = f"doc_id {id_type}, labels {label_type}, weight bigint, silhouettes array<double>"
     out = blocks.arrow_schema(rows, schema)

@@ -279,3 +279,12 @@ def test_many_copies_in_parts(spark, monkeypatch):
     sims = x @ x.T
     wanted = sorted((i, j) for i in range(19) for j in range(i + 1, 19) if sims[i, j] >= 0.7)
     assert sorted((a, b) for a, b, _ in found.collect()) == wanted
+
+
+def test_silhouettes_hold_one_block_a_task(spark):
+    """A task reads the passing blocks once, for one block of rows."""
+    x, label = sample()
+    rows = frame(spark, x, label).select("doc_id", "embedding", F.array("cluster_id").alias("labels"), F.lit(1).cast("bigint").alias("weight"))
+    found = metrics.euclidean_silhouettes(rows.withColumn("embedding", F.col("embedding").cast("array<double>")), block_rows=8)
+    held = [n for n in found.groupBy(F.spark_partition_id().alias("p"), F.pmod(F.xxhash64("doc_id"), F.lit(-(-len(x) // 8))).alias("b")).count().groupBy("p").count().select("count").collect()]
+    assert max(n[0] for n in held) == 1
