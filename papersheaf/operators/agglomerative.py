@@ -48,45 +48,92 @@ def average_heights(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray)
 HEIGHTS = {"ward": ward_heights, "average": average_heights}
 
 
+def _narrowed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """``(a, b, lengths, scale)``: ``a @ b <= limit * scale ** 2 - lengths`` holds for all rows within ``limit``, a squared distance.
+
+    Both matrices lie around a common centre, in single precision and with values up to 1; squared lengths are less what rounding may add.
+    """
+    usable = y[np.isfinite(y).all(1)]
+    centre = usable.mean(0) if len(usable) else np.zeros(y.shape[1])
+    x, y = x - centre, y - centre
+    largest = max(np.abs(v[np.isfinite(v)]).max(initial=0.0) for v in (x, y))
+    scale = 1.0 / largest if largest > 0 else 1.0
+    x, y = x * scale, y * scale
+    share = 1.0 - 4.0 * (x.shape[1] + 8) * float(np.finfo(np.float32).eps)
+    a = np.hstack([-2.0 * x, np.ones((len(x), 1))]).astype(np.float32)
+    b = np.hstack([y, share * (y * y).sum(1)[:, None]]).astype(np.float32)
+    return a, np.ascontiguousarray(b.T), share * (x * x).sum(1), scale
+
+
+def _nearest_rows(x: np.ndarray, own: np.ndarray, y: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``x`` the ``NEAREST`` rows of ``y`` of other labels, the first of equal ones: rows, places in ``y`` and distances.
+
+    A product of single precision leaves out what is too far for certain; what it leaves is measured by differences, which
+    are the same from both ends.
+    """
+    a, b, lengths, scale = _narrowed(x, y)
+    strip, columns = blocks.SLICE_ROWS
+    near, at = np.full((len(x), NEAREST), np.inf), np.full((len(x), NEAREST), -1)
+    starts = [0, *[s for s in (strip, 4 * strip) if s < len(y)], *range(2 * columns, len(y), 2 * columns)]  # the first ones set limits
+    for i in range(0, len(x), strip):
+        rows = slice(i, min(i + strip, len(x)))
+        some, mine, shift, best, place = x[rows], own[rows], lengths[rows], near[rows], at[rows]
+        for j, end in zip(starts, [*starts[1:], len(y)]):
+            h = a[rows] @ b[:, j:end]
+            if j == 0:
+                limit = _limit(h, some, mine, y[:end], other[:end])
+            within = (limit * scale * scale - shift + 1e-37).astype(np.float32)
+            r, c = np.divmod(np.flatnonzero(h <= within[:, None]), end - j)  # few: faster than by rows and columns
+            c += j
+            outside = mine[r] != other[c]
+            r, c = r[outside], c[outside]
+            gap = some[r] - y[c]
+            d = (gap * gap).sum(1)
+            closer = (d <= limit[r]) & (d < best[r, -1])
+            if not closer.any():
+                continue
+            r, c, d = r[closer], c[closer], d[closer]
+            touched = np.unique(r)
+            r = np.concatenate([np.repeat(touched, NEAREST), r])
+            d, c = np.concatenate([best[touched].ravel(), d]), np.concatenate([place[touched].ravel(), c])
+            order = np.lexsort((c, d, r))
+            r, d, c = r[order], d[order], c[order]
+            rank = np.arange(len(r)) - np.searchsorted(r, r)
+            kept = rank < NEAREST
+            best[r[kept], rank[kept]], place[r[kept], rank[kept]] = d[kept], c[kept]
+            limit = np.minimum(limit, best[:, -1])
+    r, k = np.nonzero(np.isfinite(near))
+    return r, at[r, k], np.sqrt(near[r, k])
+
+
+def _limit(h: np.ndarray, x: np.ndarray, own: np.ndarray, y: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """A squared distance for each row of ``x`` within which ``NEAREST`` rows of ``y`` of other labels lie, infinite if there are fewer."""
+    if len(y) < NEAREST:
+        return np.full(len(x), np.inf)
+    outside = np.where(own[:, None] == other[None, :], np.inf, h)
+    found = np.argpartition(outside, NEAREST - 1, axis=1)[:, :NEAREST]
+    gap = x[:, None, :] - y[found]
+    d = np.where(np.take_along_axis(outside, found, 1) < np.inf, (gap * gap).sum(2), np.inf)
+    return d.max(1)
+
+
 def _nearest_outside(rows: DataFrame, targets: DataFrame, counts: tuple[int, int], dimension: int, block_rows: int) -> DataFrame:
     """For each of ``rows`` the ``NEAREST`` rows of other labels that are nearest, as ``(doc_id, height, lo, hi, partner)``.
 
-    The order ``(height, lo, hi)`` is the same seen from both ends, so ties cannot form circles; the first of each row is exact in it.
+    The order ``(height, lo, hi)`` is the same seen from both ends, so ties cannot form circles; of one row it is that of ``(height, partner)``.
     """
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def kernel(rows: blocks.Block, targets: blocks.Block, same: bool) -> dict:
         targets = blocks.Block(targets.table.sort_by("doc_id"))  # the first of equal heights is the smallest partner
-        mine, ids, x, y = rows.ids, targets.ids, rows.x, targets.x
-        own, other = rows.column("label"), targets.column("label")
-        first, least = np.zeros(len(mine), int), np.full(len(mine), np.inf)
-        near, at = np.full((len(mine), NEAREST), np.inf), np.zeros((len(mine), NEAREST), int)
-        for i, j, some, others, _ in blocks.slices(x, y):
-            h = blocks.squared_distances(some, others)
-            h[own[i : i + len(some), None] == other[None, j : j + len(others)]] = np.inf
-            low = h.argmin(1)
-            value = h[np.arange(len(h)), low]
-            r = np.flatnonzero(value < least[i : i + len(some)])
-            first[i + r], least[i + r] = j + low[r], value[r]
-            r = np.flatnonzero(value < near[i : i + len(some), -1])
-            if len(r):
-                both = np.hstack([near[i + r], h[r]])
-                places = np.hstack([at[i + r], np.broadcast_to(np.arange(j, j + len(others)), (len(r), len(others)))])
-                kept = np.argpartition(both, NEAREST - 1, axis=1)[:, :NEAREST]
-                both, places = np.take_along_axis(both, kept, 1), np.take_along_axis(places, kept, 1)
-                order = np.argsort(both, axis=1)
-                near[i + r], at[i + r] = np.take_along_axis(both, order, 1), np.take_along_axis(places, order, 1)
-        r = np.concatenate([np.arange(len(mine)), *([np.arange(len(mine))] * NEAREST)])
-        c, h = np.concatenate([first, *at.T]), np.sqrt(np.concatenate([least, *near.T]))
-        r, c, h = r[np.isfinite(h)], c[np.isfinite(h)], h[np.isfinite(h)]
-        a, b = mine[r], ids[c]
-        swap = a > b
-        return {"doc_id": a, "height": h, "lo": np.where(swap, b, a), "hi": np.where(swap, a, b), "partner": b}
-
-    schema = f"doc_id {id_type}, height double, lo {id_type}, hi {id_type}, partner {id_type}"
+        r, c, height = _nearest_rows(rows.x, rows.column("label"), targets.x, targets.column("label"))
+        return {"doc_id": rows.ids[r], "height": height, "partner": targets.ids[c]}
+
+    schema = f"doc_id {id_type}, height double, partner {id_type}"
     fields = ["doc_id", "embedding", "label"]
     found = blocks.rows_with_rows(rows.select(fields), targets.select(fields), counts, dimension, kernel, schema, block_rows)
-    return ranking.top_per_key(found.distinct(), ["doc_id"], [F.asc("height"), F.asc("lo"), F.asc("hi")], NEAREST).select("doc_id", "height", "lo", "hi", "partner")
+    nearest = ranking.top_per_key(found, ["doc_id"], [F.asc("height"), F.asc("partner")], NEAREST)
+    return nearest.select("doc_id", "height", F.least("doc_id", "partner").alias("lo"), F.greatest("doc_id", "partner").alias("hi"), "partner")
 
 
 def near_groups(clusters: DataFrame, rows: int, block_rows: int) -> DataFrame:

@@ -302,6 +302,32 @@ def test_small_inputs(spark):
     assert {r.cluster_id for r in noise.assignments.collect()} == {-1}
 
 
+def nearest_by_differences(x, own, y, other):
+    d = ((x[:, None] - y[None]) ** 2).sum(2)
+    d[own[:, None] == other[None]] = np.inf
+    at = np.argsort(d, axis=1, kind="stable")[:, : agglomerative.NEAREST]
+    d = np.take_along_axis(d, at, 1)
+    r, k = np.nonzero(np.isfinite(d))
+    return r, at[r, k], np.sqrt(d[r, k])
+
+
+@pytest.mark.parametrize(("scale", "offset"), [(1.0, 0.0), (1e-25, 0.0), (1e25, 0.0), (1.0, 1e7)])
+def test_nearest_rows_leave_none_out(scale, offset):
+    rng = np.random.default_rng(7)
+    x, y = (rng.normal(size=(n, 6)) * scale + offset for n in (300, 2700))
+    y[5], y[900:1000] = y[5] * 1e4, y[7]  # one far from all, many equal
+    for labels in (10_000, 3, 1):
+        own, other = rng.integers(0, labels, len(x)), rng.integers(0, labels, len(y))
+        for got, want in zip(agglomerative._nearest_rows(x, own, y, other), nearest_by_differences(x, own, y, other)):
+            assert np.array_equal(got, want)
+
+
+def test_single_linkage_far_from_the_origin(spark):
+    x = blobs(seed=3, n=90, d=4, copies=1)
+    got = labels_of(agglomerative.agglomerative(frame(spark, x + 1e8), 12, "single", block_rows=25), len(x))
+    assert same_partition(got, naive_single(x + 1e8, 12))
+
+
 def test_single_linkage_over_many_rows(spark):
     """Groups of more rows than a row knows neighbours, so that rows must search again."""
     x = blobs(seed=31, n=90, k=3, spread=0.05, copies=2)
