@@ -27,6 +27,9 @@ SEEDING_ROWS = 256  # expected draws of a round, at least
 SEEDING_FACTOR = 4  # expected draws of a round, per centre
 SEEDING_ROUNDS = 4
 LIMIT_BYTES = blocks.TARGET_BYTES
+PARTIAL_BYTES = 1024 * 1024  # partial sums of one pass that the driver adds up itself, at most
+TASKS_PER_CORE = 2  # of a pass: each task returns sums for all centres
+PASS_CELLS = 1 << 18  # distances that a task holds at a time: they stay in its cache
 
 
 @dataclass
@@ -129,56 +132,81 @@ class Sums:
     cost: float = 0.0
 
 
+def _by_size(sets: list[np.ndarray]) -> list[tuple[list[int], int]]:
+    """The sets of each number of centres, with that number."""
+    return [([r for r, c in enumerate(sets) if len(c) == k], k) for k in sorted({len(c) for c in sets})]
+
+
+def _assigned(x: np.ndarray, groups: list[tuple[list[int], int]], known: np.ndarray) -> Iterator[tuple]:
+    """For each of ``groups`` its sets, the sums of rows and their number by ``(cluster, set)``, and the inertia by set.
+
+    ``known`` has the centres of ``_stacked``. A slice of rows meets all sets of a group at once, one cluster after the other.
+    """
+    ones = np.ones((len(x), 1))
+    whole = np.hstack([x, ones])
+    length = (x * x).sum(1)
+    d = known @ whole.T
+    start = 0
+    for members, k in groups:
+        some = d[start : start + k * len(members)].reshape(k, len(members), len(x))
+        start += k * len(members)
+        least = some.min(0)
+        member = (some == least).astype(np.float64)
+        if member.sum() != least.size:  # centres at equal distance: the first one takes the row
+            member = np.equal(some.argmin(0)[None], np.arange(k)[:, None, None]).astype(np.float64)
+        sums = member.reshape(-1, len(x)) @ whole
+        yield members, sums.reshape(k, len(members), -1), np.maximum(least + length, 0.0).sum(1)
+
+
+def _stacked(sets: list[np.ndarray], groups: list[tuple[list[int], int]]) -> np.ndarray:
+    """One row ``(-2 centre, squared length)`` for each cluster and set of each group: its product with ``(row, 1)`` ranks distances."""
+    rows = np.concatenate([np.stack([sets[r] for r in members], axis=1).reshape(k * len(members), -1) for members, k in groups])
+    return np.hstack([-2.0 * rows, (rows * rows).sum(1)[:, None]])
+
+
 def _one_pass(packed: DataFrame, partitions: int, centers: list[np.ndarray]) -> list[Sums]:
     """Assign all rows under every set of centres: cluster sizes, vector sums and inertia of each set."""
-    schema = "run int, cluster int, n bigint, cost double, total array<double>"
+    schema = "run int, data binary"  # the sums of a set with the number of rows as last column, then its inertia
     out = blocks.arrow_schema(packed, schema)
     shared = packed.sparkSession.sparkContext.broadcast(centers)
 
+    def table(found: dict[int, np.ndarray]) -> list[pa.RecordBatch]:
+        return pa.table([list(found), [sums.tobytes() for sums in found.values()]], names=out.names).cast(out).to_batches()
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shared.value
-        counts = [np.zeros(len(c)) for c in sets]
-        costs = [np.zeros(len(c)) for c in sets]
-        totals = [np.zeros(c.shape) for c in sets]
-        stacked = np.concatenate(sets)
-        for x in blocks.unpack(batches, len(stacked)):
-            near = blocks.squared_distances(x, stacked)
-            start = 0
-            for r, c in enumerate(sets):
-                d = near[:, start : start + len(c)]
-                start += len(c)
-                label = d.argmin(1)
-                member = np.zeros(d.shape)
-                member[np.arange(len(d)), label] = 1.0
-                counts[r] += member.sum(0)
-                costs[r] += np.bincount(label, weights=d[np.arange(len(d)), label], minlength=len(c))
-                totals[r] += member.T @ x
-        rows = [(r, j) for r in range(len(sets)) for j in range(len(sets[r])) if counts[r][j]]
-        yield from pa.table(
-            {
-                "run": [r for r, _ in rows],
-                "cluster": [j for _, j in rows],
-                "n": [int(counts[r][j]) for r, j in rows],
-                "cost": [costs[r][j] for r, j in rows],
-                "total": [totals[r][j] for r, j in rows],
-            },
-            schema=out,
-        ).to_batches()
+        groups = _by_size(sets)
+        known = _stacked(sets, groups)
+        found = [[np.zeros((k, len(members), known.shape[1])), np.zeros(len(members))] for members, k in groups]
+        step = max(64, PASS_CELLS // len(known))
+        for block in blocks.unpack(batches, len(known)):
+            for start in range(0, len(block), step):
+                for held, (_, sums, cost) in zip(found, _assigned(block[start : start + step], groups, known)):
+                    held[0] += sums
+                    held[1] += cost
+        for (members, _), (sums, cost) in zip(groups, found):
+            yield from table({r: np.append(sums[:, i].ravel(), cost[i]) for i, r in enumerate(members)})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for run, data in zip(*(batch.column(c) for c in out.names)):
+                sums = np.frombuffer(data.as_buffer())
+                found[run.as_py()] = found.get(run.as_py(), 0.0) + sums
+        yield from table(found)
 
     partial = packed.mapInArrow(scan, schema)
-    if sum(c.size for c in centers) * 8 * partitions > LIMIT_BYTES:  # too many partial sums for the driver: let Spark add them up
-        partial = partial.groupBy("run", "cluster").agg(
-            F.sum("n").alias("n"),
-            F.sum("cost").alias("cost"),
-            vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
-        )
+    if sum(c.size for c in centers) * 8 * partitions > PARTIAL_BYTES:  # too many partial sums for the driver
+        partial = partial.repartition("run").mapInArrow(add, schema)
     results = [Sums(np.zeros(len(c)), np.zeros(c.shape)) for c in centers]
-    sums = partial.toArrow()
-    totals = blocks.matrix(sums.column("total"))
-    for i, (r, j, n, cost) in enumerate(zip(*(sums.column(c).to_numpy() for c in ("run", "cluster", "n", "cost")))):
-        results[r].sizes[j] += n
-        results[r].totals[j] += totals[i]
-        results[r].cost += cost
+    for batch in partial.toArrow().to_batches():
+        for run, data in zip(*(batch.column(c) for c in out.names)):
+            result, values = results[run.as_py()], np.frombuffer(data.as_buffer())
+            sums = values[:-1].reshape(len(result.sizes), -1)
+            result.sizes += sums[:, -1]
+            result.totals += sums[:, :-1]
+            result.cost += float(values[-1])
+    shared.unpersist()
     return results
 
 
@@ -258,7 +286,7 @@ def fit_many(
     wanted = blocks.tasks_for(float(data.rows) * data.dimension * centres)
     kept = _prepared(points, wanted)
     try:
-        used = kept.coalesce(wanted)
+        used = kept.coalesce(min(wanted, TASKS_PER_CORE * points.sparkSession.sparkContext.defaultParallelism))
         rows, counts = candidates(used, data.rows, max(SEEDING_ROWS, SEEDING_FACTOR * max(ks)), seed)
         runs = [
             (k, spread_start(rows, counts, k, np.random.default_rng([seed, k, r]))) for k in ks for r in range(restarts)

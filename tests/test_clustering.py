@@ -350,3 +350,35 @@ def test_merge_rounds_search_without_the_driver(spark, monkeypatch):
     merges = agglomerative.reducible_merges(distinct, blocks.measure(distinct), "average", 50)
     assert merges.count() == distinct.count() - 1
     assert asked[0][0] == asked[0][1] and all(0 < few < every for few, every in asked[1:])
+
+
+def one_pass_plainly(x, sets):
+    found = []
+    for c in sets:
+        d = ((x[:, None] - c[None]) ** 2).sum(2)
+        label = d.argmin(1)
+        found.append((np.bincount(label, minlength=len(c)), np.stack([x[label == j].sum(0) for j in range(len(c))]), d.min(1).sum()))
+    return found
+
+
+def test_a_pass_over_many_partitions_returns_one_sum_for_each_set(spark, monkeypatch):
+    x = np.random.default_rng(5).integers(-3, 4, (400, 6)).astype(float)
+    sets = [x[:3], np.concatenate([x[:2], x[:2]]), x[10:13], x[:90]]  # of several sizes; equal centres, of which the first takes the rows
+    packed = blocks.pack(frame(spark, x).repartition(40)).persist()
+    sent = []
+    collected = type(packed).toArrow
+    monkeypatch.setattr(type(packed), "toArrow", lambda df: sent.append(collected(df)) or sent[-1])
+    for limit in (0, 1 << 40):
+        monkeypatch.setattr(kmeans, "PARTIAL_BYTES", limit)
+        for got, (sizes, totals, cost) in zip(kmeans._one_pass(packed, 40, sets), one_pass_plainly(x, sets)):
+            assert np.array_equal(got.sizes, sizes) and np.allclose(got.totals, totals) and np.isclose(got.cost, cost)
+    assert sent[0].num_rows == len(sets) < sent[1].num_rows
+
+
+def test_a_pass_has_a_few_tasks_for_each_core(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "TASK_PRODUCTS", 1)
+    seen = []
+    lloyd = kmeans.lloyd
+    monkeypatch.setattr(kmeans, "lloyd", lambda packed, *rest: seen.append(packed.rdd.getNumPartitions()) or lloyd(packed, *rest))
+    kmeans.fit_many(frame(spark, blobs()).repartition(60), [3], restarts=2)
+    assert seen == [kmeans.TASKS_PER_CORE * spark.sparkContext.defaultParallelism]
