@@ -382,3 +382,15 @@ def test_a_pass_has_a_few_tasks_for_each_core(spark, monkeypatch):
     monkeypatch.setattr(kmeans, "lloyd", lambda packed, *rest: seen.append(packed.rdd.getNumPartitions()) or lloyd(packed, *rest))
     kmeans.fit_many(frame(spark, blobs()).repartition(60), [3], restarts=2)
     assert seen == [kmeans.TASKS_PER_CORE * spark.sparkContext.defaultParallelism]
+
+
+def test_packs_and_slices_are_bounded_in_bytes(spark):
+    rows = spark.range(0, 9000, 1, 1).select(F.array_repeat(F.col("id").cast("float"), 384).alias("embedding"))
+    packed = blocks.pack(rows)
+    sizes = packed.select(F.octet_length("data").alias("n"), "dimension").collect()
+    assert sum(r.n for r in sizes) == 9000 * 384 * 4 and max(r.n for r in sizes) <= blocks.PACK_BYTES
+    held = np.concatenate(list(blocks.unpack(packed.toArrow().to_batches(), 5)))
+    assert np.array_equal(held, np.repeat(np.arange(9000.0), 384).reshape(-1, 384))
+    table = packed.sparkSession.range(10_000).toArrow()
+    pieces = list(blocks.cut(table, 5, 384))
+    assert sum(len(p) for p in pieces) == 10_000 and max(len(p) for p in pieces) * 384 * 8 * blocks.COPIES <= blocks.TARGET_BYTES
