@@ -27,7 +27,7 @@ SEEDING_ROWS = 256  # expected draws of a round, at least
 SEEDING_FACTOR = 4  # expected draws of a round, per centre
 SEEDING_ROUNDS = 4
 LIMIT_BYTES = blocks.TARGET_BYTES
-PARTIAL_BYTES = 1024 * 1024  # partial sums of one pass that the driver adds up itself, at most
+PARTIAL_BYTES = 128 * 1024  # partial sums of one pass that the driver adds up itself, at most: there may be hundreds of passes
 TASKS_PER_CORE = 2  # of a pass: each task returns sums for all centres
 PASS_CELLS = 1 << 18  # distances that a task holds at a time: they stay in its cache
 
@@ -196,8 +196,10 @@ def _one_pass(packed: DataFrame, partitions: int, centers: list[np.ndarray]) ->
         yield from table(found)
 
     partial = packed.mapInArrow(scan, schema)
-    if sum(c.size for c in centers) * 8 * partitions > PARTIAL_BYTES:  # too many partial sums for the driver
-        partial = partial.repartition("run").mapInArrow(add, schema)
+    sent = sum(c.size for c in centers) * 8 * partitions
+    if partitions > 1 and sent > PARTIAL_BYTES:  # too many partial sums for the driver
+        dealt = partial.withColumn("part", F.spark_partition_id()).repartition(-(-sent // LIMIT_BYTES), "run")
+        partial = dealt.sortWithinPartitions("run", "part").select(*out.names).mapInArrow(add, schema)  # in the driver's order
     results = [Sums(np.zeros(len(c)), np.zeros(c.shape)) for c in centers]
     for batch in partial.toArrow().to_batches():
         for run, data in zip(*(batch.column(c) for c in out.names)):

@@ -375,6 +375,33 @@ def test_a_pass_over_many_partitions_returns_one_sum_for_each_set(spark, monkeyp
     assert sent[0].num_rows == len(sets) < sent[1].num_rows
 
 
+def test_few_bytes_reach_the_driver_however_many_tasks_a_pass_has(spark, monkeypatch):
+    """Every pass sends its bounded partial sums or one sum for each set; both ways end in the same bits."""
+    rows = frame(spark, np.random.default_rng(8).normal(size=(600, 32))).repartition(60).persist()
+    monkeypatch.setattr(blocks, "TASK_PRODUCTS", 1)
+    cores = spark.sparkContext.defaultParallelism
+    passes, collected, one = [], type(rows).toArrow, kmeans._one_pass
+
+    def counted(packed, partitions, sets):
+        sent = []
+        monkeypatch.setattr(type(rows), "toArrow", lambda df: sent.append(collected(df)) or sent[-1])
+        found = one(packed, partitions, sets)
+        monkeypatch.setattr(type(rows), "toArrow", collected)
+        passes.append((sent[0].nbytes, partitions, sum(c.size + len(c) + 1 for c in sets) * 8, len(sets)))
+        return found
+
+    monkeypatch.setattr(kmeans, "_one_pass", counted)
+    fits = [kmeans.fit_many(rows, [8], max_iter=6)[8]]
+    assert passes[0][1] == kmeans.TASKS_PER_CORE * cores > 8
+    for sent, partitions, one_each, sets in passes:
+        assert sent <= max(kmeans.PARTIAL_BYTES + partitions * sets * 256, one_each + sets * 256)
+    assert sum(p[0] for p in passes) < len(passes) * 160 * 1024  # of some 340 kB made in the first of them
+    for limit in (0, 1 << 40):
+        monkeypatch.setattr(kmeans, "PARTIAL_BYTES", limit)
+        fits.append(kmeans.fit_many(rows, [8], max_iter=6)[8])
+    assert all(np.array_equal(f.centers, fits[0].centers) and f.inertia == fits[0].inertia for f in fits)
+
+
 def test_a_pass_has_a_few_tasks_for_each_core(spark, monkeypatch):
     monkeypatch.setattr(blocks, "TASK_PRODUCTS", 1)
     seen = []
