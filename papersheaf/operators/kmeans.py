@@ -27,7 +27,7 @@ SEEDING_ROWS = 256  # expected draws of a round, at least
 SEEDING_FACTOR = 4  # expected draws of a round, per centre
 SEEDING_ROUNDS = 4
 LIMIT_BYTES = blocks.TARGET_BYTES
-PARTIAL_BYTES = 128 * 1024  # partial sums of one pass that the driver adds up itself, at most: there may be hundreds of passes
+PARTIAL_BYTES = 256 * 1024  # partial sums of one pass that the driver adds up itself, at most: there may be hundreds of passes
 TASKS_PER_CORE = 2  # of a pass: each task returns sums for all centres
 PASS_CELLS = 1 << 18  # distances that a task holds at a time: they stay in its cache
 
