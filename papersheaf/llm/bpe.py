@@ -44,7 +44,9 @@ LETTER, NUMBER, SPACE = (regex.compile(p) for p in (r"\p{L}", r"\p{N}", r"\s"))
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PLAIN = "\\t\\n\\r\u0020-\u007e\u00a1-\u024f"
 OTHER = regex.compile(f"[^{PLAIN}]")
-KNOWN, KNOWN_BYTES = 1 << 18, 1 << 22  # remembered pre-tokens of a task, and what they and their ids may take
+KNOWN, KNOWN_BYTES = 1 << 17, 1 << 22  # remembered pre-tokens of a task, and what they and their ids may take
+SLICE_BYTES = 1 << 18  # of text at a time, since its pre-tokens take many times as much
+AT_ONCE = 512  # pre-tokens that the tokenizer gets at once, since its own results take far more room than ids
 LONG_WORD = 64  # characters; longer ones are not remembered
 
 
@@ -85,10 +87,10 @@ class Codec:
         with characters outside ``PLAIN``, where versions of Unicode could differ, are left to the tokenizer as a whole.
         """
         parts = [None if OTHER.search(t) or any(s in t for s in self.special) else PRE_TOKEN.findall(t) for t in texts]
-        new = list(set().union(*(p for p in parts if p)) - self.known.keys())
-        self.known.update(zip(new, map(pack, self.encode(new))))
+        new = list(set().union(*(p for p in parts if p)).difference(self.known))
+        self.known.update(zip(new, map(pack, self.encoded(new, AT_ONCE))))
         out = [b"" if p is None else b"".join(map(self.known.__getitem__, p)) for p in parts]
-        for k, found in zip(rest := [k for k, p in enumerate(parts) if p is None], self.encode([texts[k] for k in rest])):
+        for k, found in zip(rest := [k for k, p in enumerate(parts) if p is None], self.encoded([texts[k] for k in rest])):
             out[k] = pack(found)
         self.known_bytes += sum(len(word) + len(self.known[word]) for word in new)
         if len(self.known) > KNOWN or self.known_bytes > KNOWN_BYTES:
@@ -99,8 +101,14 @@ class Codec:
                 self.known.pop(word, None)
         return out
 
+    def encoded(self, texts: list[str], at_once: int = 1) -> Iterator[list[int]]:
+        """The ids of each text, made for ``at_once`` texts at a time."""
+        for start in range(0, len(texts), at_once):
+            for found in self.tokenizer.encode_batch_fast(texts[start : start + at_once], add_special_tokens=False):
+                yield found.ids
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return list(self.encoded(texts))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes[k] for k in ids]).decode("utf-8", "replace").encode()
@@ -116,7 +124,9 @@ class Codec:
 
 @cache
 def codec(source: str) -> Codec:
-    return Codec(source)
+    made = Codec(source)
+    words.give_back()  # the parsed file
+    return made
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -257,7 +267,7 @@ def encode(documents: DataFrame, source: str, piece_chars: int = PIECE_CHARS) ->
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(shared.value)
-        for part in words.slices(batches):
+        for part in words.slices(batches, size=SLICE_BYTES):
             found = code.packed(part.column("text").to_pylist())
             columns = [part.column("doc_id"), found, [code.decode(unpack(x)).decode() for x in found]]
             yield from pa.table(columns, schema=out).to_batches()

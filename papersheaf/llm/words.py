@@ -71,13 +71,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts batches into runs of whole rows of about ``SLICE_BYTES`` of text, at least one row each."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts batches into runs of whole rows of about ``size`` bytes of text, at least one row each."""
     for batch in batches:
         _, offsets = utf8(batch.column(text))
         start = 0
         while start < batch.num_rows:
-            stop = int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, side="right")) - 1
+            stop = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop

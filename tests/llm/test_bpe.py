@@ -56,3 +56,23 @@ def test_rows(spark):
     want = [(i, b"".join(x.to_bytes(4, "little") for x in code.encode([t or ""])[0]).hex(), t or "") for i, t in rows]
     assert got == sorted(want, key=str)
     assert bpe.encode(documents(spark, []), tokenizer_source()).filter(F.lit(True)).count() == 0
+
+
+class Watched:
+    """A tokenizer that notes what it gets at once."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.batches = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.batches.append(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_the_tokenizer_gets_few_texts_at_once():
+    code = bpe.Codec(tokenizer_source())
+    texts = [" ".join(f"word{k}x{j}" for j in range(300)) for k in range(20)] + ["日本語 " * 500, "中文 <|endoftext|>" * 300, ""]
+    want = [bpe.pack(found.ids) for found in code.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    code.tokenizer = Watched(code.tokenizer)
+    assert code.packed(texts) == want
+    assert all(len(batch) == 1 or len(batch) <= bpe.AT_ONCE and max(map(len, batch)) < 20 for batch in code.tokenizer.batches)

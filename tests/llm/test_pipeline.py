@@ -3,6 +3,7 @@
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,23 @@ def test_stages_decide_by_row(spark):
     got = left(corpus_pipeline.near_dedup, documents(spark, list(dict.fromkeys(rows))))
     assert sum(t in (plain, near) for _, t in got) == 1 and {(1, other), (1, item), (3, "its own text")} <= set(got)
     assert sum(t == item for _, t in got) == 1
+
+
+def test_stages_bound_the_batches_of_workers(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 100_000).alias("text")).coalesce(1)
+    before = spark.conf.get(corpus_pipeline.BATCH_LIMIT, None)
+    try:
+        spark.conf.unset(corpus_pipeline.BATCH_LIMIT)
+        corpus_pipeline.encoded(spark, docs, SF)
+        assert docs.mapInArrow(sizes, "n bigint").agg(F.max("n")).first()[0] < 2 * corpus_pipeline.BATCH_BYTES
+        spark.conf.set(corpus_pipeline.BATCH_LIMIT, "1m")
+        corpus_pipeline.encoded(spark, docs, SF)
+        assert spark.conf.get(corpus_pipeline.BATCH_LIMIT) == "1m"
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH_LIMIT)
+        if before is not None:
+            spark.conf.set(corpus_pipeline.BATCH_LIMIT, before)
