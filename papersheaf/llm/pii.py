@@ -37,15 +37,18 @@ OTHER = (
     rf"{LOCAL}++@|\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?!\w|\.\d)|\d{{3}}-\d{{2}}-\d{{4}}(?!\w|-\d)"
     r"|(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?!\w|[./\-]\d)"
 )
+# digit groups joined by hyphens; repeated groups are possessive, as the others take a stack frame for each turn and end the executor on long runs
+HYPHENED = r"\d++(?:-\d++)*+"
 PATTERNS = {
-    "email": rf"(?<!{LOCAL}){LOCAL}++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
+    "email": rf"(?<!{LOCAL}){LOCAL}++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++",
     "phone": rf"(?<![\w+])\+(?:{FIXED}|\d{{1,3}}[ .\-]?\(?\d{{2,4}}\)?(?:[ .\-]?\d{{2,4}}){{2,3}}(?!\d))",
     "date": r"(?<![\w./\-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?!\w|[./\-]\d)",
     "address": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
     "security": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?!\w|-\d)",
-    "card": rf"(?<![\w\-])\d(?:(?:-| (?!{OTHER}))?\d){{12,}}(?!\w|-\d)",  # a run of groups, see card_pieces
+    # a run of groups, see card_pieces: 13 digits or more, up to the last space or end that no letter stands before
+    "card": rf"(?<![\w\-])(?=\d(?:(?:-| (?!{OTHER}))?\d){{12}}\d*+(?:-\d++)*+(?!\w)){HYPHENED}(?: (?!{OTHER}){HYPHENED}(?!\w))*+",
 }
-RUN = r"^\d(?:[ \-]?\d){12,}$"
+RUN = r"^\d(?:[ \-]?\d){12,}+$"
 CANDIDATE = "|".join(PATTERNS.values())
 # ITU country codes of one and two digits; all others have three
 COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"

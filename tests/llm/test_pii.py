@@ -160,3 +160,20 @@ def test_no_plan_shows_the_key(spark):
     for plan in plans:
         assert secret not in plan and "4711" not in plan and "Python" not in plan
     assert replaced(spark, rows, secret) != replaced(spark, rows, "another")
+
+
+def test_runs_of_any_length_need_no_stack(spark):
+    """A recursive pattern ended the executor on these: digits, groups by spaces and hyphens, labels of a domain."""
+    n, valid = 20_000, "4539578763621486"
+    plain = ["1" * n, "1 " * n, "12-" * n + "12", "1 " * n + "x", f"{valid} " + "1 " * n]
+    got = [row[-1] for row in replaced(spark, [(k, text) for k, text in enumerate([*plain, "x@" + "a." * n + "de"])])]
+    assert got[:4] == plain[:4] and got[4] == plain[4].replace(valid, card(valid), 1)
+    assert re.fullmatch(r"[a-z]@(?:a\.){20000}de", got[5])
+
+
+def test_runs_end_before_a_group_with_letters(spark):
+    one = "4111111111111111"
+    spaced = "4111 1111 1111 1111"
+    moved = fill("0000 0000 0000 0000", card(one))
+    cases = [(f"{spaced} 7x", f"{moved} 7x"), (f"{spaced} 7-8x", f"{moved} 7-8x"), (f"{spaced}x", f"{spaced}x"), ("12345678 901234x", "12345678 901234x")]
+    assert [row[-1] for row in replaced(spark, [(k, text) for k, (text, _) in enumerate(cases)])] == [want for _, want in cases]
