@@ -322,6 +322,52 @@ def test_nearest_rows_leave_none_out(scale, offset):
             assert np.array_equal(got, want)
 
 
+def nearest_by_heights(rows, targets, linkage, ties):
+    (mine, x, n), (ids, y, m) = rows, targets
+    gaps = x[:, None] - y[None]
+    growth = (0.5 / n)[:, None] + (0.5 / m)[None]
+    h = np.sqrt((gaps * gaps).sum(2) / growth) if linkage == "ward" else 1.0 - (x[:, None] * y[None]).sum(2)
+    h[(mine[:, None] == ids[None]) | ~np.isfinite(h)] = np.inf
+    low, found = h.min(1), []
+    for i in range(len(x)):
+        equal = np.flatnonzero(h[i] == low[i])
+        keys = agglomerative._mixed(np.minimum(mine[i], ids[equal]), np.maximum(mine[i], ids[equal])) if ties else np.zeros(len(equal), int)
+        found.append(equal[np.lexsort((equal, keys))[0]] if np.isfinite(low[i]) else -1)
+    return np.array(found), low
+
+
+@pytest.mark.parametrize("linkage", ["ward", "average"])
+@pytest.mark.parametrize(("scale", "offset"), [(1.0, 0.0), (1e-25, 0.0), (1.0, 1e7), (0.0, 1.0), (None, 0.0)])
+def test_nearest_clusters_leave_none_out(linkage, scale, offset, monkeypatch):
+    """Products of single precision, crowded ones, equal heights, clusters of many sizes, some without a finite vector."""
+    monkeypatch.setattr(agglomerative, "PRODUCTS", (64, 128))
+    monkeypatch.setattr(agglomerative, "MEASURED", 1000)
+    rng = np.random.default_rng(9)
+    every = rng.normal(size=(900, 6)) * (scale or 1.0) + offset if scale is not None else rng.integers(0, 3, (900, 6)).astype(float)
+    if linkage == "average":
+        every = every / np.maximum(np.linalg.norm(every, axis=1, keepdims=True), 1e-300)
+    every[500] = np.nan
+    weights = rng.geometric(0.2, 900) ** rng.integers(1, 4, 900)
+    for mine, ids in ((np.arange(0, 900, 3), np.arange(900)), (np.arange(100), np.arange(100, 900)), (np.array([7]), np.array([7]))):
+        rows, targets = (mine, every[mine], weights[mine]), (ids, every[ids], weights[ids])
+        for ties in (False, True):
+            at, height, _ = agglomerative._nearest_clusters(rows, targets, linkage, ties)
+            with np.errstate(invalid="ignore"):
+                want, low = nearest_by_heights(rows, targets, linkage, ties)
+            assert np.array_equal(height, low) and np.array_equal(at, want)
+
+
+def test_heights_far_from_the_origin(spark):
+    """Measured from products they were lost in rounding."""
+    x = np.random.default_rng(4).normal(size=(200, 6)) + 1e8
+    rows = blocks.distinct_points(frame(spark, x)).persist()
+    found = agglomerative._nearest_of(rows, rows, (200, 200), 6, "ward", 50, False)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    got = {r.doc_id: (r.partner, r.height) for r in found.collect()}
+    assert all(got[i][0] == d[i].argmin() and math.isclose(got[i][1], d[i].min(), rel_tol=1e-12) for i in range(200))
+
+
 def test_single_linkage_far_from_the_origin(spark):
     x = blobs(seed=3, n=90, d=4, copies=1)
     got = labels_of(agglomerative.agglomerative(frame(spark, x + 1e8), 12, "single", block_rows=25), len(x))
