@@ -275,10 +275,14 @@ def _block_store(rows: DataFrame, blocks_total: int) -> DataFrame:
     return materialized(rows.withColumn("block", block).groupBy("block").applyInArrow(pack, schema))
 
 
+FIELDS = ("ids", "data", "single", "labels", "weights")
+
+
 class _Toward:
     """Sums of the distances from the rows of one block to every cluster of every clustering, as other blocks come by."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, first: int):
+        self.own, self.first = row.get("own"), first
         self.ids, self.weights = row["ids"], row["weights"]
         self.x, self.labels = self.unpacked(row)
         self.places: list[dict] = [{} for _ in range(self.labels.shape[1])]
@@ -299,13 +303,28 @@ class _Toward:
             found, member = np.unique(labels[:, k], return_inverse=True)
             share = np.zeros((len(x), len(found)))
             share[np.arange(len(x)), member] = weights
-            at = [place.setdefault(label, len(place)) for label in found.tolist()]
-            more = len(place) - self.sums[k].shape[1]
-            if more:
-                self.sums[k] = np.pad(self.sums[k], ((0, 0), (0, more)))
-                self.sizes[k] = np.pad(self.sizes[k], (0, more))
-            self.sums[k][:, at] += distances @ share
-            self.sizes[k][at] += share.sum(0)
+            self._put(k, place, found.tolist(), distances @ share, share.sum(0))
+
+    def _put(self, k: int, place: dict, found: list, sums: np.ndarray, sizes: np.ndarray) -> None:
+        at = [place.setdefault(label, len(place)) for label in found]
+        more = len(place) - self.sums[k].shape[1]
+        if more:
+            self.sums[k] = np.pad(self.sums[k], ((0, 0), (0, more)))
+            self.sizes[k] = np.pad(self.sizes[k], (0, more))
+        self.sums[k][:, at] += sums
+        self.sizes[k][at] += sizes
+
+    def partial(self) -> dict:
+        """What ``take`` adds to the sums of another part of the store."""
+        return {
+            "own": self.own, "first": self.first, "ids": self.ids, "labels": self.labels.ravel().tolist(), "weights": self.weights,
+            "places": [list(place) for place in self.places], "sums": [s.ravel() for s in self.sums], "sizes": self.sizes,
+        }
+
+    def take(self, row: dict) -> None:
+        for k, place in enumerate(self.places):
+            found, sizes = row["places"][k], np.asarray(row["sizes"][k], float)
+            self._put(k, place, found, np.asarray(row["sums"][k], float).reshape(len(self.ids), len(found)), sizes)
 
     def silhouettes(self) -> np.ndarray:
         """``(b - a) / max(a, b)`` by row and clustering; 0 for a lone member, a single cluster or no distance at all."""
@@ -327,8 +346,9 @@ def euclidean_silhouettes(rows: DataFrame, block_rows: int = blocks.BLOCK_ROWS)
     """``(doc_id, labels, weight, silhouettes)`` of ``(doc_id, embedding, labels, weight)``: one value for each label of the array.
 
     Vectors are packed into a written store of blocks. Every block of rows is held by one task, and all blocks pass by it one
-    after the other, so distances are made once for all clusterings, partial sums never leave the task, and what is
-    shuffled are packed blocks. Blocks get smaller where there are so many clusters that their sums would fill a task.
+    after the other, so distances are made once for all clusterings. Tasks read the passing blocks from the store again, so they
+    are never shuffled; of a store beyond ``blocks.TARGET_BYTES`` each task takes a part, and sums of the parts are added up.
+    Blocks get smaller where there are so many clusters that their sums would fill a task.
     """
     first = rows.agg(F.count("*").alias("n"), F.max(F.size("labels")).alias("k")).first()
     clusterings = first.k or 0
@@ -337,32 +357,53 @@ def euclidean_silhouettes(rows: DataFrame, block_rows: int = blocks.BLOCK_ROWS)
         block_rows = max(1, min(block_rows, blocks.TARGET_BYTES // (8 * max(sum(labels), 1))))
     total = blocks.block_count(first.n, block_rows)
     store = _block_store(rows, total)
-    spread = store.select(F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("own"), "*")
-    own_first = (F.col("own") != F.col("block")).alias("other")
-    passing = spread.select("own", own_first, "ids", "data", "single", "labels", "weights")
-    passing = passing.repartitionById(min(total, blocks.MAX_PARTITIONS), F.col("own"))  # one block of rows a task, not several by chance
-    passing = passing.sortWithinPartitions("own", "other")
+    stored = store.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
+    parts = int(max(1, min(total, -(-stored // blocks.TARGET_BYTES))))
+    own = store.select(F.col("block").alias("own"), *(F.col(c).alias(f"own_{c}") for c in store.columns if c != "block"))
+    own = own.repartitionById(min(total, blocks.MAX_PARTITIONS), F.col("own"))  # one block of rows a task, not several by chance
+    passing = blocks.every_pair(own, store.coalesce(parts))
     id_type, label_type = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "labels"))
     schema = f"doc_id {id_type}, labels {label_type}, weight bigint, silhouettes array<double>"
     out = blocks.arrow_schema(rows, schema)
+    partial_schema = (
+        f"own int, first int, ids array<{id_type}>, labels {label_type}, weights array<bigint>, "
+        f"places array<{label_type}>, sums array<array<double>>, sizes array<array<double>>"
+    )
+    partial_out = blocks.arrow_schema(rows, partial_schema)
 
     def finished(held: _Toward) -> pa.Table:
         return pa.table([held.ids, held.labels.tolist(), held.weights, list(held.silhouettes())], names=out.names).cast(out)
 
+    def added(held: _Toward) -> pa.Table:
+        return pa.Table.from_pylist([held.partial()], schema=partial_out)
+
     def run(batches):
         own, held = None, None
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                if row["own"] != own:
+                row = batch.slice(k, 1)
+                if row.column("own")[0].as_py() != own:
                     if held is not None:
-                        yield from finished(held).to_batches()
-                    own, held = row["own"], _Toward(row)
-                held.add(row, not row["other"])
+                        yield from (finished if parts == 1 else added)(held).to_batches()
+                    row = row.to_pylist()[0]
+                    own = row["own"]
+                    held = _Toward({"own": own} | {c: row[f"own_{c}"] for c in FIELDS}, row["block"])
+                else:
+                    row = row.select(["block", *FIELDS]).to_pylist()[0]
+                held.add(row, row["block"] == own)
         if held is not None:
-            yield from finished(held).to_batches()
-
-    return passing.mapInArrow(run, schema)
+            yield from (finished if parts == 1 else added)(held).to_batches()
+
+    def together(table: pa.Table) -> pa.Table:
+        first, *others = sorted(table.to_pylist(), key=lambda row: row["first"])
+        held = _Toward(first | {"data": b"", "single": True}, first["first"])
+        for part in (first, *others):
+            held.take(part)
+        return finished(held)
+
+    if parts == 1:
+        return passing.mapInArrow(run, schema)
+    return passing.mapInArrow(run, partial_schema).groupBy("own").applyInArrow(together, schema)
 
 
 def _euclidean_by_vector(points: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame, blocks.Size]:

@@ -288,3 +288,27 @@ def test_silhouettes_hold_one_block_a_task(spark):
     found = metrics.euclidean_silhouettes(rows.withColumn("embedding", F.col("embedding").cast("array<double>")), block_rows=8)
     held = [n for n in found.groupBy(F.spark_partition_id().alias("p"), F.pmod(F.xxhash64("doc_id"), F.lit(-(-len(x) // 8))).alias("b")).count().groupBy("p").count().select("count").collect()]
     assert max(n[0] for n in held) == 1
+
+
+@pytest.mark.parametrize("limit", [1 << 26, 900])
+def test_silhouettes_shuffle_no_copies_of_the_vectors(spark, monkeypatch, limit):
+    """Passing blocks are read again from the store, by one task or, of a large store, in parts whose sums are added up."""
+    x, label = sample()
+    x = np.vstack([x, x + 0.25])
+    label = np.r_[label, label + 1]
+    rows = frame(spark, x, label).select(
+        "doc_id", F.col("embedding").cast("array<double>").alias("embedding"), F.array("cluster_id", F.col("doc_id").cast("int") % 3).alias("labels"), F.lit(1).cast("bigint").alias("weight")
+    )
+    monkeypatch.setattr(blocks, "TARGET_BYTES", limit)
+    found = metrics.euclidean_silhouettes(rows, block_rows=8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and ("FlatMapGroupsInArrow" in plan) == (limit < 1000)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    got = {row.doc_id: row for row in found.collect()}
+    assert len(got) == len(x)
+    for k, member in enumerate((label, np.arange(len(x)) % 3)):
+        for i in range(len(x)):
+            means = {c: d[i, member == c].sum() / max(1, (member == c).sum() - (c == member[i])) for c in set(member.tolist())}
+            a, b = means.pop(member[i]), min(means.values())
+            want = (b - a) / max(a, b) if (member == member[i]).sum() > 1 else 0.0
+            assert got[i].labels[k] == member[i] and abs(got[i].silhouettes[k] - want) < 1e-9
