@@ -312,3 +312,17 @@ def test_silhouettes_shuffle_no_copies_of_the_vectors(spark, monkeypatch, limit)
             a, b = means.pop(member[i]), min(means.values())
             want = (b - a) / max(a, b) if (member == member[i]).sum() > 1 else 0.0
             assert got[i].labels[k] == member[i] and abs(got[i].silhouettes[k] - want) < 1e-9
+
+
+@pytest.mark.parametrize("cells", [1, 5])
+def test_pairs_shuffle_no_copies_of_the_blocks(spark, monkeypatch, cells):
+    """Blocks, and the packs of large ones, meet by reading the written store again."""
+    monkeypatch.setattr(blocks, "PACK_BYTES", 200)
+    x, _ = sample()
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = similarity.pairwise_similarity(frame(spark, np.vstack([x, x[:7]])), 0.6, include_diagonal=False, block_rows=9, cells=cells)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    sims = np.vstack([x, x[:7]]) @ np.vstack([x, x[:7]]).T
+    wanted = sorted((i, j) for i in range(len(sims)) for j in range(i + 1, len(sims)) if sims[i, j] >= 0.6)
+    assert sorted((a, b) for a, b, _ in found.collect()) == wanted
