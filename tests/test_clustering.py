@@ -357,6 +357,39 @@ def test_nearest_clusters_leave_none_out(linkage, scale, offset, monkeypatch):
             assert np.array_equal(height, low) and np.array_equal(at, want)
 
 
+@pytest.mark.parametrize("linkage", ["ward", "average"])
+def test_one_task_searches_among_the_last_clusters(spark, linkage, monkeypatch):
+    """More clusters than a matrix may have are merged without a round of the whole job for each few of them."""
+    x = blobs(seed=21, n=90, spread=1.0, copies=1)
+    distinct = blocks.distinct_points(frame(spark, x)).persist()
+    size = blocks.measure(distinct)
+    want = {(r.dead, r.survivor, round(r.height, 9)) for r in agglomerative.reducible_merges(distinct, size, linkage).collect()}
+    monkeypatch.setattr(agglomerative, "LAST_ROWS", 12)
+    monkeypatch.setattr(agglomerative, "_nearest_of", None)
+    got = agglomerative.reducible_merges(distinct, size, linkage).collect()
+    assert {(r.dead, r.survivor, round(r.height, 9)) for r in got} == want and len(got) == len(want) == size.rows - 1
+    order = {r.dead: r["round"] for r in got}
+    assert all(order[r.dead] < order[r.survivor] for r in got if r.survivor in order)
+
+
+def test_searched_merges_are_the_nearest_left():
+    """Whole numbers with many equal heights, and vectors that are not finite, which never merge."""
+    rng = np.random.default_rng(2)
+    x = np.unique(rng.integers(0, 6, (150, 3)), axis=0).astype(float)
+    x[5], x[9] = np.nan, np.inf
+    ids, means, sizes, merges = agglomerative._searched(np.arange(len(x)), x.copy(), np.ones(len(x)), "ward", 1, 7)
+    assert sorted(ids) == [0, 5, 9] and sizes[list(ids).index(0)] == len(x) - 2 and len(merges) == len(x) - 3
+    members = {i: [i] for i in range(len(x))}
+    for number in sorted({m[3] for m in merges}):
+        alive = {i: (x[m].mean(0), len(m)) for i, m in members.items() if i not in (5, 9)}
+        for dead, survivor, height, _ in (m for m in merges if m[3] == number):
+            for one in (dead, survivor):
+                others = [np.sqrt(((alive[one][0] - y) ** 2).sum() / (0.5 / alive[one][1] + 0.5 / m)) for j, (y, m) in alive.items() if j != one]
+                assert math.isclose(min(others), height, rel_tol=1e-9)
+        for dead, survivor, _, _ in (m for m in merges if m[3] == number):
+            members[survivor] += members.pop(dead)
+
+
 def test_heights_far_from_the_origin(spark):
     """Measured from products they were lost in rounding."""
     x = np.random.default_rng(4).normal(size=(200, 6)) + 1e8
